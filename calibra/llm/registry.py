@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
-from calibra.llm import bpe, langid, ngram_join, sharding, topk
+from calibra.llm import bpe, ctph, langid, ngram_join, sharding, topk
 
-_MODULES = (bpe, sharding, langid, ngram_join, topk)
+_MODULES = (bpe, sharding, ctph, langid, ngram_join, topk)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
