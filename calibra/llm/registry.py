@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
-from calibra.llm import bpe, ctph, langid, mixing, ngram_join, pii, sharding, suffix_dedup, topk
+from calibra.llm import bpe, ctph, langid, licenses, mixing, ngram_join, pii, sharding, suffix_dedup, topk
 
-_MODULES = (bpe, sharding, ctph, langid, pii, mixing, suffix_dedup, ngram_join, topk)
+_MODULES = (bpe, sharding, ctph, langid, pii, licenses, mixing, suffix_dedup, ngram_join, topk)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
