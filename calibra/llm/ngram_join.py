@@ -221,7 +221,8 @@ def _search(members: DataFrame, docs: DataFrame, width: int, percent: int, parts
                 yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], names=["a", "b"])
 
     text = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
-    sets = members.join(text, "doc_id").select("doc_id", "key", "tasks", "text").mapInArrow(run, "doc_id long, tasks array<string>, shingles binary")
+    # members have no size bound: never broadcast, at no size
+    sets = members.join(text.hint("merge"), "doc_id").select("doc_id", "key", "tasks", "text").mapInArrow(run, "doc_id long, tasks array<string>, shingles binary")
     dealt = sets.select(F.explode("tasks").alias("task"), "doc_id", "shingles").repartition(parts, "task").sortWithinPartitions("task")
     return dealt.mapInArrow(link, "a long, b long")
 
