@@ -301,10 +301,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     found = cut(_anchors(docs, length))
     ranges = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))) * 4
     classes = cut(found.groupBy("seed", "whole").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("d", "u", "at", "first", "last"))))
-    settled = found.join(classes.filter("n > 1").select("seed", "whole"), ["seed", "whole"], "left_semi")
+    # none of these tables has a size bound: merge joins, never broadcasts, at every size
+    settled = found.hint("merge").join(classes.filter("n > 1").select("seed", "whole"), ["seed", "whole"], "left_semi")
     several = classes.groupBy("seed").agg(F.count("*").alias("k"), F.min("n").alias("least")).filter("k > 1 and least = 1").select("seed")
     marks = classes.join(several, "seed", "left_semi").groupBy("d", "u").agg(F.collect_list(F.struct("seed", "at", "first", "last", (F.col("n") == 1).alias("open"))).alias("marks"))
-    around = docs.join(marks, ["d", "u"]).select("d", "u", "text", "marks")
+    around = docs.hint("merge").join(marks, ["d", "u"]).select("d", "u", "text", "marks")
     around = around.dropDuplicates(["d", "u"])
     open_spans = _merged(_runs(around, length, ranges), length, ranges)
     return settled.select("d", "u", F.col("first").alias("start"), (F.col("last") + length).alias("end")).unionByName(open_spans)
@@ -333,7 +334,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id"
 
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary()]
-    joined = base.join(spans, ["d", "u"], "left").select(F.col("doc_id").cast("long"), "text", "spans")
+    joined = base.hint("merge").join(spans, ["d", "u"], "left").select(F.col("doc_id").cast("long"), "text", "spans")
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>, kept binary")
 
 
