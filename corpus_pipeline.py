@@ -27,7 +27,7 @@ def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Keeps the document with the smallest id of each group of near duplicates (five words, 0.8)."""
     found = ngram_join.link_components(docs)
     first = found.filter("component_id is null or component_id = doc_id").select("doc_id").distinct()
-    return docs.join(first, F.equal_null(docs["doc_id"], first["doc_id"]), "left_semi").select(*COLUMNS)
+    return docs.hint("merge").join(first, F.equal_null(docs["doc_id"], first["doc_id"]), "left_semi").select(*COLUMNS)
 
 
 def without_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
