@@ -3,9 +3,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from calibra.plans import decisions, evaluation, joins, learning, prompts, scoring
+
+_PARTS = (scoring, evaluation, joins, prompts, decisions, learning)
+QUERIES = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
+ORACLES = {k: v for p in _PARTS for k, v in p.ORACLES.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return scoring.dual_encoder_choice(spark, sf_dir)
