@@ -6,6 +6,7 @@ import shutil
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,3 +46,31 @@ def free_name(df: DataFrame, *names: str) -> None:
 def doc_hash(col: str = "doc_id"):
     """A seedless uniform hash of an id, for reproducible sampling."""
     return F.xxhash64(F.col(col))
+
+
+#: Bits of a membership filter: its size is fixed, whatever the number of ids; with very many ids it lets all rows pass.
+FILTER_BITS = 1 << 25
+
+
+def id_hash(*cols: str):
+    """The hash that `members_filter` and `may_hold` share."""
+    return F.xxhash64(*cols)
+
+
+def members_filter(hashes: DataFrame):
+    """A broadcast Bloom filter (two bits a member) over one column of hashes; at most FILTER_BITS / 64 words reach the driver."""
+    h, spark = hashes.columns[0], hashes.sparkSession
+    bits = F.explode(F.array(F.expr(f"{h} & {FILTER_BITS - 1}"), F.expr(f"shiftrightunsigned({h}, 25) & {FILTER_BITS - 1}"))).alias("p")
+    words = hashes.select(bits).groupBy(F.expr("shiftright(p, 6)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("v")).toArrow()
+    table_ = np.zeros(FILTER_BITS // 64, np.uint64)
+    table_[np.asarray(words["w"], np.int64)] = np.asarray(words["v"], np.int64).view(np.uint64)
+    return spark.sparkContext.broadcast(table_)
+
+
+def may_hold(words: np.ndarray, hashes) -> np.ndarray:
+    """For each hash, False only if it is no member."""
+    h = np.asarray(hashes, np.int64).view(np.uint64)
+    out = np.ones(len(h), bool)
+    for p in (h & np.uint64(FILTER_BITS - 1), (h >> np.uint64(25)) & np.uint64(FILTER_BITS - 1)):
+        out &= ((words[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1)).astype(bool)
+    return out

@@ -4,12 +4,14 @@ A document's set holds its distinct w-word shingles (words: runs of bytes that a
 Two documents link when 100 * |intersection| >= percent * |union|.
 
 Plan: equal sets collapse to one representative. Sets of J >= percent/100 differ in few shingles, so when the shingles
-are dealt into one bucket more than can differ, one bucket is equal in both: the hash of each bucket is a signature,
-and documents that share one fall into one block. Within a block an inverted index is searched for each document:
-the short lists are merged by a heap, the long ones probed by binary search (DivideSkip), and the documents that reach
-the required overlap T are links. A document of the component of a block's first member need not search: whatever it
-links to outside finds it. Blocks of more than BLOCK_SHINGLES shingles are dealt into parts, and each pair of parts is
-searched by a task of its own, so no task holds an unbounded group and no link is lost.
+are dealt into more buckets than can differ, some are equal in both: the hash of each bucket is a signature, and
+documents that share one fall into one block. There are SLACK more buckets than that takes, so each set leaves out its
+emptiest buckets, up to that number, and a common bucket of more shingles still remains. Within a block an inverted
+index is searched for each document: the short lists are merged by a heap, the long ones probed by binary search
+(DivideSkip), and the documents that reach the required overlap T are links. A document of the component of the first
+member need not search: whatever it links to outside finds it. Blocks are searched by size class (sets link only within
+a class or with the next), and classes of more than BLOCK_SHINGLES / 2 shingles in parts: each pair of parts is a task
+of its own, so no task holds an unbounded group and no link is lost.
 
 Null or empty texts, and texts without words, have empty sets and link with nothing. Fewer than w words make one
 shingle of all. Rows with a null id link with nothing and have a null component. Repeated rows link with each other.
@@ -28,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from calibra.llm._common import cut, table
+from calibra.llm._common import cut, id_hash, may_hold, members_filter, table
 from calibra.llm.graph import components
 
 #: Above this sum of set sizes a block is dealt into parts.
@@ -37,6 +39,8 @@ BLOCK_SHINGLES = 1_500_000
 PROBE_WEIGHT = 0.0085
 #: From this many postings on, short lists are merged by a sort of their concatenation.
 HEAP_POSTINGS = 4096
+#: Buckets beyond those that may differ, as a share of them; so many of the emptiest give no signature.
+SLACK = 0.25
 _MEMO = 500_000
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
@@ -89,22 +93,26 @@ class Classes:
             self.upper.append(max(self.upper[-1] + 1, self.upper[-1] * 100 // self.percent))
         return int(np.searchsorted(self.upper, size))
 
-    def buckets(self, k: int) -> int:
-        """One more than two linked sets can differ, the smaller one of class k."""
+    def buckets(self, k: int) -> tuple[int, int]:
+        """(buckets, those that a set may leave out): without these still one more than can differ, the smaller set of class k."""
         u, p = self.upper[k], self.percent
-        return (u + u * 100 // p) * (100 - p) // (100 + p) + 1
+        needed = (u + u * 100 // p) * (100 - p) // (100 + p) + 1
+        return needed + int(SLACK * needed), int(SLACK * needed)
 
     def signatures(self, s: np.ndarray) -> np.ndarray:
         """A hash per bucket, for the set's own class and the one below, whose members may be linked as the smaller."""
         k = self.of(len(s))
         out = []
         for c in {k, max(0, k - 1)}:
-            m = self.buckets(c)
+            m, spare = self.buckets(c)
             bucket = ((s >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)  # rises with s
             ends = np.searchsorted(bucket, np.arange(m + 1, dtype=np.uint64))
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mixed(s), dtype=np.uint64)])
             own = sums[ends[1:]] - sums[ends[:-1]]
-            out.append(_mixed(own * _MIX[0] + np.arange(m, dtype=np.uint64) * _MIX[1] + np.uint64((c + 1) * int(_MIX[2]) % 2**64)))
+            held = np.bincount(np.diff(ends))
+            few = np.cumsum(held) <= spare  # buckets of up to so many shingles may be left out
+            kept = np.diff(ends) >= (len(few) if few.all() else int(few.argmin()))
+            out.append(_mixed(own * _MIX[0] + np.arange(m, dtype=np.uint64) * _MIX[1] + np.uint64((c + 1) * int(_MIX[2]) % 2**64))[kept])
         return np.concatenate(out).view(np.int64)
 
 
@@ -206,11 +214,13 @@ def _signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 def _search(members: DataFrame, docs: DataFrame, width: int, percent: int, parts: int) -> DataFrame:
     """members: doc_id, key, tasks (array of task keys). Gives edges (a, b) that span each task's components."""
+    wanted = members_filter(members.select(id_hash("doc_id").alias("h")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(d, t, s) for d, k, t, x in zip(*(c.to_pylist() for c in batch.columns), strict=True) if set_key(s := shingles(x, width)) == k]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.string())), pa.array([r[2].tobytes() for r in rows], pa.binary())], names=["doc_id", "tasks", "shingles"])
+            batch = batch.filter(pa.array(may_hold(wanted.value, batch.column(1))))
+            found = [shingles(x, width) for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([set_key(s) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], names=["doc_id", "key", "shingles"])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
@@ -220,10 +230,10 @@ def _search(members: DataFrame, docs: DataFrame, width: int, percent: int, parts
             if edges:
                 yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], names=["a", "b"])
 
-    text = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
+    text = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), id_hash(F.col("doc_id").cast("long")).alias("h"), "text")
+    sets = text.mapInArrow(run, "doc_id long, key binary, shingles binary")
     # members have no size bound: never broadcast, at no size
-    sets = members.join(text.hint("merge"), "doc_id").select("doc_id", "key", "tasks", "text").mapInArrow(run, "doc_id long, tasks array<string>, shingles binary")
-    dealt = sets.select(F.explode("tasks").alias("task"), "doc_id", "shingles").repartition(parts, "task").sortWithinPartitions("task")
+    dealt = members.hint("merge").join(sets, ["doc_id", "key"]).select(F.explode("tasks").alias("task"), "doc_id", "shingles").repartition(parts, "task").sortWithinPartitions("task")
     return dealt.mapInArrow(link, "a long, b long")
 
 
@@ -241,11 +251,21 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     to_rep = known.filter("rep is not null").select("doc_id", "rep").distinct()
     as_reps = edges.join(to_rep.toDF("a", "ra"), "a").join(to_rep.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")).filter("a <> b")
     blocks = components(as_reps)
-    sized = blocks.join(reps.select(F.col("rep").alias("node"), "key", "n"), "node")
-    parts = cut(sized.join(sized.groupBy("comp").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("parts")), "comp"))
-    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    pair = lambda k: F.concat_ws("-", "comp", F.least(k, F.col("own")), F.greatest(k, F.col("own")))
-    members = parts.withColumn("own", own).select(F.col("node").alias("doc_id"), "key", F.when(F.col("parts") == 1, F.array(F.col("comp").cast("string"))).otherwise(F.transform(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: k != F.col("own")), pair)).alias("tasks"))
+    classes, most = Classes(percent), known.agg(F.max("n")).first()[0] or 1
+    classes.of(most)
+    upper = F.array(*map(F.lit, classes.upper))
+    sized = blocks.join(reps.select(F.col("rep").alias("node"), "key", "n"), "node").withColumn("c", F.size(F.filter(upper, lambda u: u < F.col("n"))))
+    per = sized.groupBy("comp", "c").agg(F.ceil(2 * F.sum("n") / BLOCK_SHINGLES).cast("int").alias("p"))
+    parts = sized.join(per.groupBy("comp").agg(F.map_from_entries(F.collect_list(F.struct("c", "p"))).alias("p")), "comp")  # a map entry for each size class
+    parts = cut(parts.withColumn("own", F.pmod(F.xxhash64("node"), F.try_element_at("p", F.col("c"))).cast("int")))
+    at = lambda d: F.coalesce(F.try_element_at("p", F.col("c") + d), F.lit(0))
+    here, above, below = at(0), at(1), at(-1)
+    each = lambda n: F.filter(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda k: k < n)
+    name = lambda c, i, j: F.concat_ws("-", "comp", c, i, j)
+    within = F.when(here > 1, F.transform(F.filter(each(here), lambda k: k != F.col("own")), lambda k: name(F.col("c"), F.least(k, F.col("own")), F.greatest(k, F.col("own"))))).when((above == 0) & (below == 0), F.array(F.col("comp").cast("string"))).otherwise(F.array().cast("array<string>"))
+    upward = F.transform(each(above), lambda k: name(F.concat(F.col("c").cast("string"), F.lit("+")), F.col("own"), k))
+    downward = F.transform(each(below), lambda k: name(F.concat((F.col("c") - 1).cast("string"), F.lit("+")), k, F.col("own")))
+    members = parts.select(F.col("node").alias("doc_id"), "key", F.concat(within, upward, downward).alias("tasks"))
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     linked = components(_search(members, docs, width, percent, n_parts))
     return known.join(linked.toDF("rep", "comp"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("comp", "rep", "doc_id").alias("component_id"))
