@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calibra.llm._common import cut, table
+from calibra.llm._common import cut, id_hash, may_hold, members_filter, table
 
 LENGTH, SEED, WALK, BAND = 400, 32, 64, 16
 #: Window starts of a long text that are looked at together.
@@ -294,6 +294,19 @@ def _merged(runs: DataFrame, length: int, ranges: int) -> DataFrame:
     return dealt.mapInArrow(run, "d long, u long, start long, end long")
 
 
+def _only(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """docs (d, u, text) without rows that a filter of fixed size knows not to be in wanted: they need no shuffle."""
+    held = members_filter(wanted.select(id_hash("d", "u").alias("h")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(may_hold(held.value, batch.column(3))))
+            if batch.num_rows:
+                yield batch.select(["d", "u", "text"])
+
+    return docs.select("d", "u", "text", id_hash("d", "u").alias("h")).mapInArrow(run, "d long, u long, text string")
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs: d, u, text. (d, u, start, end) of repeated bytes; spans may overlap."""
     if length <= SEED:
@@ -305,21 +318,34 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     settled = found.hint("merge").join(classes.filter("n > 1").select("seed", "whole"), ["seed", "whole"], "left_semi")
     several = classes.groupBy("seed").agg(F.count("*").alias("k"), F.min("n").alias("least")).filter("k > 1 and least = 1").select("seed")
     marks = classes.join(several, "seed", "left_semi").groupBy("d", "u").agg(F.collect_list(F.struct("seed", "at", "first", "last", (F.col("n") == 1).alias("open"))).alias("marks"))
-    around = docs.hint("merge").join(marks, ["d", "u"]).select("d", "u", "text", "marks")
+    marks = cut(marks)
+    around = _only(docs, marks).hint("merge").join(marks, ["d", "u"]).select("d", "u", "text", "marks")
     around = around.dropDuplicates(["d", "u"])
     open_spans = _merged(_runs(around, length, ranges), length, ranges)
     return settled.select("d", "u", F.col("first").alias("start"), (F.col("last") + length).alias("end")).unionByName(open_spans)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (byte offsets) and kept (bytes) for each row."""
+def remove_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text", keep_bytes: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (byte offsets) and kept (bytes, if wanted) for each row."""
     base = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("d"), F.xxhash64(F.col(text)).alias("u"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    spans = repeated_spans(base.select("d", "u", "text"), length).distinct().groupBy("d", "u").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    spans = cut(repeated_spans(base.select("d", "u", "text"), length).distinct().groupBy("d", "u").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
+    held = members_filter(spans.select(id_hash("d", "u").alias("h")))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = may_hold(held.value, batch.column(4))
+            text_ = batch.column(3).to_pylist()
+            whole = [None if h else (t or "").encode() for t, h in zip(text_, hit, strict=True)]
+            kept = [w if keep_bytes else None for w in whole]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([t if h else None for t, h in zip(text_, hit, strict=True)], pa.string()), pa.array(~hit), pa.array([w if w is None else len(w) for w in whole], pa.int64()), pa.array([w if w is None else hashlib.sha256(w).hexdigest() for w in whole], pa.string()), pa.array(kept, pa.binary())], names=["d", "u", "doc_id", "text", "clean", "n", "sha", "whole"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc, t, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc, t, clean, n, sha, whole, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if clean:
+                    out.append((doc, n, 0, 0, sha, [], whole))
+                    continue
                 data, merged = (t or "").encode(), []
                 for start, end in sorted((s["start"], s["end"]) for s in found or ()):
                     if merged and start <= merged[-1][1]:
@@ -328,18 +354,19 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id"
                         merged.append([start, end])
                 edges = [0, *(x for m in merged for x in m), len(data)]
                 kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                out.append((doc, len(data), len(data) - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), [{"start": a, "end": b} for a, b in merged], kept))
+                out.append((doc, len(data), len(data) - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), [{"start": a, "end": b} for a, b in merged], kept if keep_bytes else None))
             cols = list(zip(*out, strict=True)) or [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary()]
-    joined = base.hint("merge").join(spans, ["d", "u"], "left").select(F.col("doc_id").cast("long"), "text", "spans")
+    parted = base.select("d", "u", F.col("doc_id").cast("long").alias("doc_id"), "text", id_hash("d", "u").alias("h")).mapInArrow(split, "d long, u long, doc_id long, text string, clean boolean, n long, sha string, whole binary")
+    joined = parted.hint("merge").join(spans, ["d", "u"], "left").select("doc_id", "text", "clean", "n", "sha", "whole", "spans")
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>, kept binary")
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return remove_repeats(table(spark, sf_dir, "documents"), keep_bytes=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 QUERIES = {"op7_suffix_dedup": op7_suffix_dedup}
