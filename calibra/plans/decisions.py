@@ -85,9 +85,9 @@ def keyed_calibration(spark, sf_dir):
     return readers.first_by_priority([keys.filter("key_hash = 'F'").withColumn("origin", F.lit("user")), shipped], "key_hash")
 
 
-@query("SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS calls, round(avg(value), 3) AS mean_ms FROM events GROUP BY 1, 2")
+@query("SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS calls, round(sum(value), 2) AS total_ms FROM events GROUP BY 1, 2")
 def stream_call_log_daily(spark, sf_dir):
     from calibra.streaming import call_log
 
     path = f"{_folder(spark)}/stream-{sf_dir.rstrip('/').rsplit('/', 1)[-1]}"
-    return call_log.daily_counts(spark, f"{sf_dir}/events.parquet", path).select("day", "event_type", "calls", F.round("mean_ms", 3).alias("mean_ms"))
+    return call_log.daily_counts(spark, f"{sf_dir}/events.parquet", path).select("day", "event_type", "calls", F.round("total_ms", 2).alias("total_ms"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 
 def daily_counts(spark: SparkSession, source: str, work: str, late: str = "1 day") -> DataFrame:
-    """day, event_type, calls, mean_ms of all files now in source, through a stream that stops when it has caught up."""
+    """day, event_type, calls, total_ms of all files now in source, through a stream that stops when it has caught up."""
     schema = spark.read.parquet(source).schema
     folder, _, name = source.rpartition("/")
     stream = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder) if name.endswith(".parquet") and not _is_folder(spark, source) else spark.readStream.schema(schema).parquet(source)
@@ -16,7 +16,7 @@ def daily_counts(spark: SparkSession, source: str, work: str, late: str = "1 day
     out = f"{work}/{uuid.uuid4().hex}"
     q = once.select(F.to_date("ts").alias("day"), "event_type", "value").writeStream.outputMode("append").format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(f"{out}/rows").groupBy("day", "event_type").agg(F.count("*").alias("calls"), F.avg("value").alias("mean_ms"))
+    return spark.read.parquet(f"{out}/rows").groupBy("day", "event_type").agg(F.count("*").alias("calls"), F.sum("value").alias("total_ms"))
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:
