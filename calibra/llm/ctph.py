@@ -5,7 +5,7 @@ becomes one character of a signature. The block size is the least power of two t
 a fingerprint holds the signatures at that size and at twice that size, so texts of unlike length stay comparable.
 Two fingerprints are compared at a block size they share, by the edit distance (insertions and deletions) of their
 signatures: likeness = 1 - distance / (sum of lengths). Signatures without a common run of RUN characters are unlike
-(0); equal fingerprints are alike (1).
+(0); equal fingerprints are alike (1). Texts that repeat one short phrase have few kinds of chunks, hence short signatures.
 
 A null text counts as empty; the fingerprint of the empty text is `1::`. Texts of any length are read whole. "Next"
 goes by ascending id (null ids first, ties by text), and the last document is followed by the first. Rows that are
@@ -47,6 +47,10 @@ def _signature(mixed: np.ndarray, ends: np.ndarray) -> str:
     return _LETTERS[(sums * np.uint32(0x9E3779B1)) >> np.uint32(26)].tobytes().decode()
 
 
+def _ends(hashes: np.ndarray, size: int) -> np.ndarray:
+    return np.flatnonzero((hashes & np.uint32(size - 1)) == size - 1)
+
+
 def fingerprint(text: str | None) -> str:
     b = np.frombuffer((text or "").encode(), np.uint8)
     if not len(b):
@@ -55,11 +59,12 @@ def fingerprint(text: str | None) -> str:
     mixed = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
     trailing = mixed ^ (mixed >> np.uint32(13))
     size = 1 << max(0, (len(b) // LONGEST - 1).bit_length() - 1)
-    while True:
-        ends = np.flatnonzero((trailing & np.uint32(size - 1)) == size - 1)
-        if len(ends) + 1 <= LONGEST:
-            break
+    ends = _ends(trailing, size)
+    while len(ends) >= LONGEST:
         size *= 2
+        ends = ends[(trailing[ends] & np.uint32(size - 1)) == size - 1]
+    while size > 1 and len(finer := _ends(trailing, size // 2)) < LONGEST:
+        size, ends = size // 2, finer
     coarse = ends[(trailing[ends] & np.uint32(2 * size - 1)) == 2 * size - 1]
     return f"{size}:{_signature(mixed, ends)}:{_signature(mixed, coarse)}"
 
