@@ -268,7 +268,7 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     members = parts.select(F.col("node").alias("doc_id"), "key", F.concat(within, upward, downward).alias("tasks"))
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     linked = components(_search(members, docs, width, percent, n_parts))
-    return known.join(linked.toDF("rep", "comp"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("comp", "rep", "doc_id").alias("component_id"))
+    return known.join(linked.toDF("rep", "comp"), "rep", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "rep", "doc_id")).alias("component_id"))
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,7 +50,7 @@ _PATTERNS: list[tuple[str, str, re.Pattern]] = [
     ("name", "", re.compile(rf"(?<!\w)(?:{_TITLES})\.?[ ]({_NAME}(?:[ ]{_NAME}){{0,2}})")),
     ("name", "", re.compile(rf"(?<!\w)((?:{'|'.join(n for names in GIVEN.values() for n in names)})[ ]{_NAME})(?!\w)")),
     ("secret", "=:", re.compile(r"""(?i)(?<![a-z])(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth(?:orization)?|bearer|key)["']?[ ]?[:=][ ]?["']?([A-Za-z0-9_+/=.-]{8,})""")),
-    ("secret", "0", re.compile(r"(?<![A-Za-z0-9])(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|sk-[A-Za-z0-9]{20,}|[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9])")),
+    ("secret", "0", re.compile(r"(?<![A-Za-z0-9])(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|sk-[A-Za-z0-9]{20,}|(?=\d*[a-f])[0-9a-f]{32,128}|(?=\d*[A-F])[0-9A-F]{32,128})(?![A-Za-z0-9])")),
     ("iban", "0", re.compile(r"(?<![A-Za-z0-9])([A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){3,7}(?:[ ]?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])")),
     ("ip", "0", re.compile(r"(?<![\w.])((?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d))(?!\w|\.\d)")),
     ("ssn", "0", re.compile(r"(?<![\w-])(\d{3}-\d{2}-\d{4})(?![\w-])")),

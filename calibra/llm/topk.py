@@ -9,8 +9,8 @@ is verified by exact integer products. A second step keeps the k best over all t
 
 Rows with a null id, or a vector that is null, empty or holds a null or non-finite component, take no part. Vectors are
 compared with vectors of the same dimension. Ties go to the smaller id. Repeated rows are candidates each by itself; a
-query's own id is never its candidate, in any copy. An empty table gives an empty result. Components must keep scores
-within 64 bits.
+query's own id is never its candidate, in any copy; an id with several vectors asks with each and ranks over all. An
+empty table gives an empty result. Components must keep scores within 64 bits.
 """
 from __future__ import annotations
 
