@@ -32,10 +32,12 @@ from pyspark.sql import functions as F
 
 from calibra.llm._common import cut, id_hash, may_hold, members_filter, table
 
-LENGTH, SEED, WALK, BAND = 400, 32, 64, 16
+LENGTH, SEED, WALK, BAND, ROWS = 400, 32, 64, 64, 256
 #: Window starts of a long text that are looked at together.
 PIECE = 1 << 20
 _POS = np.uint64((1 << 24) - 1)
+_VALUES = np.random.default_rng(11).integers(0, 2**64, 256, np.uint64)
+_WEIGHTS = np.random.default_rng(12).integers(0, 2**64, 1 << 14, np.uint64) | np.uint64(1)
 
 
 def _seeds(b: np.ndarray) -> np.ndarray:
@@ -168,43 +170,45 @@ def _walk(i: int, known: list[int], lefts: list[bytes], rights: list[bytes], len
     return (best_l, best_r) if best_l >= 0 else None
 
 
-def _hashed(members: list[int], lefts: list[bytes], rights: list[bytes], length: int) -> dict[int, tuple[int, int]]:
-    """The same for a large group: windows at equal distance from the anchor are compared by 64-bit hashes, band by band."""
-    reach: dict[int, tuple[int, int]] = {}
-    power = np.uint64(pow(0x9E3779B97F4A7C15, length, 2**64))
-    mult = 0x9E3779B97F4A7C15
-    most = max(map(len, lefts))
-    powers = np.array([pow(mult, length - 1 - k, 2**64) for k in range(length)], np.uint64)
-    for low in range(0, most + 1, BAND):
-        seen: list[np.ndarray] = []
-        who: list[np.ndarray] = []
-        for i in members:
-            # windows that start o bytes left of the anchor, o from low on
-            offsets = np.arange(low, min(low + BAND, len(lefts[i]) + 1))
-            offsets = offsets[length - offsets <= len(rights[i])]
-            if not len(offsets):
-                continue
-            text = np.frombuffer(lefts[i][: offsets[-1]][::-1] + rights[i][: length - offsets[0]], np.uint8).astype(np.uint64) + np.uint64(7)
-            h = (text[:length] * powers).sum(dtype=np.uint64)
-            hashes = [h]
-            with np.errstate(over="ignore"):
-                for k in range(len(offsets) - 1):
-                    h = h * np.uint64(mult) + text[k + length] - text[k] * power
-                    hashes.append(h)
-            seen.append(np.array(hashes[::-1], np.uint64) ^ (offsets.astype(np.uint64) << np.uint64(48)) * np.uint64(mult))
-            who.append(np.stack([np.full(len(offsets), i), offsets]))
-        if not seen:
-            continue
-        flat, owner = np.concatenate(seen), np.concatenate(who, axis=1)
-        order = np.argsort(flat, kind="stable")
-        same = flat[order][1:] == flat[order][:-1]
-        twice = np.zeros(len(flat), bool)
-        twice[order[1:][same]] = True
-        twice[order[:-1][same]] = True
-        for i, o in owner[:, twice].T.tolist():
-            a, b = reach.get(i, (-1, -1))
-            reach[i] = max(a, o), max(b, length - o)
-    return reach
+def _hashed(lefts: list[bytes], rights: list[bytes], length: int) -> dict[int, tuple[int, int]]:
+    """The same for all members of a large group: windows at equal distance from the anchor are compared by 64-bit hashes.
+
+    The members are laid side by side with their anchors in one column; a window's hash is the difference of two running
+    sums of random weights. Bands of distances bound the memory; the cost is in proportion to the members.
+    """
+    n, w, c = len(lefts), max(map(len, lefts)), max(map(len, rights))
+    len_l, len_r = (np.array([len(x) for x in side]) for side in (lefts, rights))
+    best_l, best_r = np.full(n, -1), np.full(n, -1)
+    weights, values = _WEIGHTS[: w + c], _VALUES
+
+    def sums(at: int) -> np.ndarray:
+        grid = np.zeros((min(ROWS, n - at), w + c), np.uint8)
+        for k in range(len(grid)):
+            left, right = lefts[at + k], rights[at + k]
+            grid[k, w - len(left) : w] = np.frombuffer(left, np.uint8)[::-1]
+            grid[k, w : w + len(right)] = np.frombuffer(right, np.uint8)
+        out = np.zeros((len(grid), w + c + 1), np.uint64)
+        np.cumsum(values[grid] * weights, axis=1, dtype=np.uint64, out=out[:, 1:])
+        return out
+
+    for low in range(max(0, length - c), w + 1, BAND):
+        offsets = np.arange(low, min(low + BAND, w + 1))
+        offsets = offsets[w - offsets + length <= w + c]
+        flat, owner = [], []
+        for at in range(0, n, ROWS):
+            part = sums(at)
+            h = (part[:, w - offsets + length] - part[:, w - offsets]) * np.uint64(0x9E3779B97F4A7C15) + offsets.astype(np.uint64)
+            ok = (offsets[None, :] <= len_l[at : at + ROWS, None]) & (length - offsets[None, :] <= len_r[at : at + ROWS, None])
+            flat.append(h[ok])
+            owner.append((np.nonzero(ok)[0] + at) * BAND + np.nonzero(ok)[1])
+        flat, owner = np.concatenate(flat), np.concatenate(owner)
+        order = np.argsort(flat)
+        same = flat[order[1:]] == flat[order[:-1]]
+        twice = owner[np.concatenate([order[1:][same], order[:-1][same]])]
+        who, o = twice // BAND, offsets[twice % BAND] if len(twice) else twice
+        np.maximum.at(best_l, who, o)
+        np.maximum.at(best_r, who, length - o)
+    return {int(i): (int(best_l[i]), int(best_r[i])) for i in np.flatnonzero(best_l >= 0)}
 
 
 def _anchors(docs: DataFrame, length: int) -> DataFrame:
@@ -257,7 +261,7 @@ def _merge(runs: list[tuple], length: int) -> Iterator[tuple[int, int, int, int]
         known = [g[2] - 8 for g in group]
         lefts, rights = [runs[r][2][i] for r, i, _, _ in group], [g[3][8:] for g in group]
         opened = [k for k, (r, i, _, _) in enumerate(group) if runs[r][6][i]]
-        reach = _hashed(list(range(len(group))), lefts, rights, length) if len(group) > WALK else {}
+        reach = _hashed(lefts, rights, length) if len(group) > WALK else {}
         for k in opened:
             got = reach.get(k) if len(group) > WALK else _walk(k, known, lefts, rights, length)
             if got:
@@ -309,8 +313,8 @@ def _only(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs: d, u, text. (d, u, start, end) of repeated bytes; spans may overlap."""
-    if length <= SEED:
-        raise ValueError(f"length must be over {SEED}")
+    if not SEED < length <= len(_WEIGHTS) // 2:
+        raise ValueError(f"length must be over {SEED} and at most {len(_WEIGHTS) // 2}")
     found = cut(_anchors(docs, length))
     ranges = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))) * 4
     classes = cut(found.groupBy("seed", "whole").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("d", "u", "at", "first", "last"))))
