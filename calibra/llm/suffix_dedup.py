@@ -15,6 +15,7 @@ Equal windows have equal anchors, so every repeated window is found among the su
 4. For each suffix the neighbours are visited by falling common prefix; one that shares `length` bytes or more, left
    and right of the anchor together, gives the bytes to remove. Seeds with more than WALK suffixes are matched window by
    window through hashes instead, in bands, at a cost that grows with their number and not its square.
+5. Seeds with more than HOT suffixes are never gathered: their windows are hashed where they are and counted by a shuffle.
 
 A null text counts as empty. Texts shorter than `length` keep all. Repeated rows are repeats of each other. Rows are
 told apart by id and text, so shared and null ids are fine. Texts of any length are read whole, in pieces.
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from calibra.llm._common import cut, id_hash, may_hold, members_filter, table
 
-LENGTH, SEED, WALK, BAND, ROWS = 400, 32, 64, 64, 256
+LENGTH, SEED, WALK, BAND, ROWS, HOT = 400, 32, 64, 64, 256, 50_000
 #: Window starts of a long text that are looked at together.
 PIECE = 1 << 20
 _POS = np.uint64((1 << 24) - 1)
@@ -298,6 +299,25 @@ def _merged(runs: DataFrame, length: int, ranges: int) -> DataFrame:
     return dealt.mapInArrow(run, "d long, u long, start long, end long")
 
 
+def _counted_windows(found: DataFrame, length: int) -> DataFrame:
+    """(d, u, start, end) for open anchors of hot seeds: each window a row, counted by its hash and distance to the anchor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for d, u, t, marks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                data = (t or "").encode()
+                for m in marks:
+                    starts = range(m["first"], m["last"] + 1)
+                    h = np.array([xxhash.xxh3_64_intdigest(data[p : p + length], seed=m["at"] - p) for p in starts], np.uint64).view(np.int64)
+                    n = len(h)
+                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(n, d)), pa.array(np.full(n, u)), pa.array(np.full(n, m["at"])), pa.array(m["at"] - np.arange(m["first"], m["last"] + 1)), pa.array(np.full(n, m["open"]))], names=["h", "d", "u", "at", "o", "open"])
+
+    windows = cut(found.mapInArrow(run, "h long, d long, u long, at long, o long, open boolean"))
+    twice = windows.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    hit = windows.filter("open").hint("merge").join(twice, "h", "left_semi").groupBy("d", "u", "at").agg(F.max("o").alias("l"), F.min("o").alias("r"))
+    return hit.select("d", "u", (F.col("at") - F.col("l")).alias("start"), (F.col("at") - F.col("r") + length).alias("end"))
+
+
 def _only(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """docs (d, u, text) without rows that a filter of fixed size knows not to be in wanted: they need no shuffle."""
     held = members_filter(wanted.select(id_hash("d", "u").alias("h")))
@@ -320,12 +340,17 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     classes = cut(found.groupBy("seed", "whole").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("d", "u", "at", "first", "last"))))
     # none of these tables has a size bound: merge joins, never broadcasts, at every size
     settled = found.hint("merge").join(classes.filter("n > 1").select("seed", "whole"), ["seed", "whole"], "left_semi")
-    several = classes.groupBy("seed").agg(F.count("*").alias("k"), F.min("n").alias("least")).filter("k > 1 and least = 1").select("seed")
-    marks = classes.join(several, "seed", "left_semi").groupBy("d", "u").agg(F.collect_list(F.struct("seed", "at", "first", "last", (F.col("n") == 1).alias("open"))).alias("marks"))
-    marks = cut(marks)
-    around = _only(docs, marks).hint("merge").join(marks, ["d", "u"]).select("d", "u", "text", "marks")
-    around = around.dropDuplicates(["d", "u"])
-    open_spans = _merged(_runs(around, length, ranges), length, ranges)
+    several = classes.groupBy("seed").agg(F.count("*").alias("k"), F.min("n").alias("least")).filter("k > 1 and least = 1")
+
+    def around(seeds: DataFrame) -> DataFrame:
+        marks = classes.join(seeds.select("seed"), "seed", "left_semi").groupBy("d", "u").agg(F.collect_list(F.struct("seed", "at", "first", "last", (F.col("n") == 1).alias("open"))).alias("marks"))
+        marks = cut(marks)
+        return _only(docs, marks).hint("merge").join(marks, ["d", "u"]).select("d", "u", "text", "marks").dropDuplicates(["d", "u"])
+
+    open_spans = _merged(_runs(around(several.filter(F.col("k") <= HOT)), length, ranges), length, ranges)
+    hot = several.filter(F.col("k") > HOT)
+    if not hot.isEmpty():
+        open_spans = open_spans.unionByName(_counted_windows(around(hot), length))
     return settled.select("d", "u", F.col("first").alias("start"), (F.col("last") + length).alias("end")).unionByName(open_spans)
 
 

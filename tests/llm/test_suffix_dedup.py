@@ -37,9 +37,10 @@ def corpus(seed=3):
     return [*rows, *hot, (300, "ab" * 300), (301, None), (302, ""), (303, rows[5][1]), (303, rows[5][1]), (None, rows[6][1]), (None, rows[7][1] + "z")]
 
 
-@pytest.mark.parametrize("walk", [64, 2])
-def test_same_as_brute_force(spark, monkeypatch, walk):
+@pytest.mark.parametrize(("walk", "hot"), [(64, 50_000), (2, 50_000), (64, 3)])
+def test_same_as_brute_force(spark, monkeypatch, walk, hot):
     monkeypatch.setattr(suffix_dedup, "WALK", walk)
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
     monkeypatch.setattr(suffix_dedup, "PIECE", 170)  # long texts in pieces
     rows = corpus()
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
