@@ -97,4 +97,16 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op2_sharding": op2_sharding}
-ORACLES: dict[str, str] = {}
+#: The same law from one running sum over all records; the CRC table follows from its polynomial.
+ORACLES = {
+    "op2_sharding": f"""
+WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+b AS (SELECT doc_id, coalesce(text, '') AS text, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS b FROM documents),
+r AS (SELECT doc_id, CAST(len(b) + 8 AS BIGINT) AS size, CAST('0x' || substr(md5(text), 1, 15) AS BIGINT) AS k,
+  xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), b), lambda c, y: xor(c // 256, t[xor(c, y) % 256 + 1])), 4294967295) AS text_crc32 FROM b, crc),
+g AS (SELECT *, sum(size) OVER (PARTITION BY k) AS gb, sum(size) OVER () AS total, sum(size) OVER (ORDER BY k, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING) - size AS pos FROM r),
+p AS (SELECT *, CASE WHEN gb > total / {SHARDS} / {WHOLE_GROUPS} THEN 2 * pos + size ELSE 2 * min(pos) OVER (PARTITION BY k) + gb END AS centre FROM g),
+s AS (SELECT *, CAST(least({SHARDS - 1}, centre * {SHARDS} // (2 * total)) AS INTEGER) AS shard FROM p)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY k, doc_id NULLS FIRST) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s
+"""
+}
