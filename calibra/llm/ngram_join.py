@@ -244,7 +244,8 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     spark = docs.sparkSession
     base = cut(_sets(docs, width))
     reps = base.filter("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"))
-    known = cut(base.join(reps, "key", "left"))
+    reps = cut(reps)  # so that the join below reads plain exchanges, which Spark splits where a key is hot
+    known = cut(base.hint("merge").join(reps, "key", "left"))
     sigs = _signatures(docs, width, percent)
     stars = sigs.withColumn("a", F.min("doc_id").over(Window.partitionBy("sig")))
     edges = stars.select("a", F.col("doc_id").alias("b")).filter("a <> b").distinct()
