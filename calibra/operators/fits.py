@@ -12,6 +12,8 @@ from calibra.functions import arrays as A
 
 #: Rows per group that the numpy fits (vector scaling, mixing, ordinal) take at most, by a hash of the id.
 FIT_ROWS = 20_000
+#: A weight of this size has run away: its group is separable and the fit stops there.
+FAR = 25.0
 
 
 def fit_logistic(df: DataFrame, key: str, features: list[str], y: str, ridge: float = 1e-9, rounds: int = 25) -> DataFrame:
@@ -29,20 +31,23 @@ def fit_logistic(df: DataFrame, key: str, features: list[str], y: str, ridge: fl
         return df.join(F.broadcast(made), df[key].eqNullSafe(made["_k"])).withColumn("_z", z).withColumn("_p", A.sigmoid(F.col("_z")))
 
     loss = F.when(F.col("_z") > 0, F.col("_z") + F.log1p(F.exp(-F.col("_z")))).otherwise(F.log1p(F.exp(F.col("_z")))) - y_ * F.col("_z")
-    live, out = dict(w), {}
+    live, open_, out = dict(w), dict(w), {}
     for _ in range(rounds):
         v = F.col("_p") * (1 - F.col("_p"))
         sums = [F.sum((F.col("_p") - y_) * x[i]).alias(f"g{i}") for i in range(d)] + [F.sum(v * x[i] * x[j]).alias(f"h{i}_{j}") for i in range(d) for j in range(i + 1)]
-        moved = 0.0
-        for r in scored(live).groupBy("_k").agg(*sums, F.count("*").alias("n"), F.avg(loss).alias("nll")).collect():
-            g = np.array([r[f"g{i}"] for i in range(d)]) + ridge * live[r["_k"]]
+        for r in scored(open_).groupBy("_k").agg(*sums, F.count("*").alias("n"), F.avg(loss).alias("nll")).collect():
+            k = r["_k"]
+            g = np.array([r[f"g{i}"] for i in range(d)]) + ridge * live[k]
             h = np.array([[r[f"h{max(i, j)}_{min(i, j)}"] for j in range(d)] for i in range(d)]) + ridge * np.eye(d)
             step = np.linalg.lstsq(h, g, rcond=None)[0]
-            out[r["_k"]] = (live[r["_k"]].copy(), r["n"], r["nll"])
             size = np.abs(step).max()
-            live[r["_k"]] = live[r["_k"]] - step * min(1.0, 5.0 / max(size, 1e-300))
-            moved = max(moved, size)
-        if moved < 1e-9:
+            live[k] = live[k] - step * min(1.0, 5.0 / max(size, 1e-300))
+            out[k] = (live[k], r["n"], r["nll"])
+            if size < 1e-7 or np.abs(live[k]).max() > FAR:  # done, or the classes can be told apart without error
+                open_.pop(k, None)
+            else:
+                open_[k] = live[k]
+        if not open_:
             break
     rows = [(k, live[k].tolist(), int(n), float(loss_)) for k, (_, n, loss_) in out.items()]
     return spark.createDataFrame(rows, f"{key} {df.schema[key].dataType.simpleString()}, w array<double>, n long, nll double")
