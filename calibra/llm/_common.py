@@ -2,11 +2,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,3 +76,12 @@ def may_hold(words: np.ndarray, hashes) -> np.ndarray:
     for p in (h & np.uint64(FILTER_BITS - 1), (h >> np.uint64(25)) & np.uint64(FILTER_BITS - 1)):
         out &= ((words[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1)).astype(bool)
     return out
+
+
+def give_back() -> None:
+    """Returns freed memory of a Python worker to the system: workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass

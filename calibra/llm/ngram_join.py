@@ -6,7 +6,10 @@ Two documents link when 100 * |intersection| >= percent * |union|.
 Plan: equal sets collapse to one representative. Sets of J >= percent/100 differ in few shingles, so when the shingles
 are dealt into more buckets than can differ, some are equal in both: the hash of each bucket is a signature, and
 documents that share one fall into one block. There are SLACK more buckets than that takes, so each set leaves out its
-emptiest buckets, up to that number, and a common bucket of more shingles still remains. Within a block an inverted
+emptiest buckets, up to that number, and a common bucket of more shingles still remains. Shingles of passages that many
+documents share would tie unrelated documents together, so signatures are made without the FREQUENT most frequent ones
+of a sample (sets differ in no more shingles without them); a set with too little left adds the signatures of all its
+shingles, for others like it. Any choice of these shingles gives the same links. Within a block an inverted
 index is searched for each document: the short lists are merged by a heap, the long ones probed by binary search
 (DivideSkip), and the documents that reach the required overlap T are links. A document of the component of the first
 member need not search: whatever it links to outside finds it. Blocks are searched by size class (sets link only within
@@ -30,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from calibra.llm._common import cut, id_hash, may_hold, members_filter, table
+from calibra.llm._common import cut, give_back, id_hash, may_hold, members_filter, table
 from calibra.llm.graph import components
 
 #: Above this sum of set sizes a block is dealt into parts.
@@ -41,7 +44,9 @@ PROBE_WEIGHT = 0.0085
 HEAP_POSTINGS = 4096
 #: Buckets beyond those that may differ, as a share of them; so many of the emptiest give no signature.
 SLACK = 0.25
-_MEMO = 500_000
+#: So many frequent shingles at most, from one in SAMPLE documents, by a hash of the text.
+FREQUENT, SAMPLE = 100_000, 64
+_MEMO = 200_000
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
@@ -99,22 +104,41 @@ class Classes:
         needed = (u + u * 100 // p) * (100 - p) // (100 + p) + 1
         return needed + int(SLACK * needed), int(SLACK * needed)
 
-    def signatures(self, s: np.ndarray) -> np.ndarray:
+    def signatures(self, s: np.ndarray, frequent: np.ndarray | None = None) -> np.ndarray:
         """A hash per bucket, for the set's own class and the one below, whose members may be linked as the smaller."""
         k = self.of(len(s))
+        rare = None
+        if frequent is not None and len(frequent):
+            at = np.searchsorted(frequent, s)
+            at[at == len(frequent)] = 0
+            rare = s[frequent[at] != s]
         out = []
         for c in {k, max(0, k - 1)}:
-            m, spare = self.buckets(c)
-            bucket = ((s >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)  # rises with s
-            ends = np.searchsorted(bucket, np.arange(m + 1, dtype=np.uint64))
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mixed(s), dtype=np.uint64)])
-            own = sums[ends[1:]] - sums[ends[:-1]]
-            held = np.bincount(np.diff(ends))
-            few = np.cumsum(held) <= spare  # buckets of up to so many shingles may be left out
-            kept = np.diff(ends) >= (len(few) if few.all() else int(few.argmin()))
-            out.append(_mixed(own * _MIX[0] + np.arange(m, dtype=np.uint64) * _MIX[1] + np.uint64((c + 1) * int(_MIX[2]) % 2**64))[kept])
+            whole = rare is None
+            if rare is not None:
+                found, enough = self._hashed(rare, c, 0)
+                out.append(found)
+                whole = not enough
+            if whole:
+                out.append(self._hashed(s, c, 1, empty=True)[0])
         return np.concatenate(out).view(np.int64)
 
+    def _hashed(self, s: np.ndarray, c: int, tag: int, empty: bool = False) -> tuple[np.ndarray, bool]:
+        """Bucket hashes without the emptiest buckets, and whether no more than the spare ones were empty.
+
+        Where more are empty, all that hold a shingle are given, and the empty ones too if asked.
+        """
+        m, spare = self.buckets(c)
+        bucket = ((s >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)  # rises with s
+        ends = np.searchsorted(bucket, np.arange(m + 1, dtype=np.uint64))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mixed(s), dtype=np.uint64)])
+        own, size = sums[ends[1:]] - sums[ends[:-1]], np.diff(ends)
+        few = np.cumsum(np.bincount(size)) <= spare  # buckets of up to so many shingles may be left out
+        level = len(few) if few.all() else int(few.argmin())
+        kept = size >= (level if level or empty else 1)
+        seed = np.uint64((c + 1 + tag * 1_000_003) * int(_MIX[2]) % 2**64)
+        return _mixed(own * _MIX[0] + np.arange(m, dtype=np.uint64) * _MIX[1] + seed)[kept], level > 0
+
 
 class DivideSkip:
     """An inverted index over sets and its T-occurrence search."""
@@ -192,7 +216,23 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, key binary")
 
 
+def _frequent(docs: DataFrame, width: int) -> np.ndarray:
+    """At most FREQUENT shingles that several texts of a hashed sample hold, sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.concatenate([np.zeros(0, np.uint64), *(shingles(t, width) for t in batch.column(0).to_pylist())])
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], names=["s"])
+
+    sample = docs.filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text").distinct()
+    counts = sample.mapInArrow(run, "s long").groupBy("s").agg(F.count("*").alias("n")).filter("n > 1")
+    top = counts.orderBy(F.desc("n"), "s").limit(FREQUENT).select("s").toArrow()
+    return np.sort(np.asarray(top["s"], np.int64).view(np.uint64))
+
+
 def _signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, width))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, seen = Classes(percent), set()
         for batch in batches:
@@ -204,7 +244,7 @@ def _signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 if len(seen) > _MEMO:
                     seen.clear()
                 seen.add(key)
-                found.append(classes.signatures(s))
+                found.append(classes.signatures(s, frequent.value))
                 ids.append(np.full(len(found[-1]), doc, np.int64))
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.concatenate(ids))], names=["sig", "doc_id"])
@@ -229,6 +269,7 @@ def _search(members: DataFrame, docs: DataFrame, width: int, percent: int, parts
             edges = link_block(list(own), list(own.values()), percent)
             if edges:
                 yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], names=["a", "b"])
+        give_back()
 
     text = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), id_hash(F.col("doc_id").cast("long")).alias("h"), "text")
     sets = text.mapInArrow(run, "doc_id long, key binary, shingles binary")

@@ -53,6 +53,7 @@ def families(seed=5):
 def test_same_as_brute_force(spark, monkeypatch, width, percent, block):
     monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", block)
     monkeypatch.setattr(ngram_join, "HEAP_POSTINGS", 200 if block < 10_000 else 4096)
+    monkeypatch.setattr(ngram_join, "SAMPLE", 2 if block < 10_000 else 64)
     rows = families()
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     got = {r[0]: (r[1], r[2]) for r in ngram_join.link_components(df, width, percent).collect()}
@@ -77,6 +78,9 @@ def test_signatures_never_miss():
             b = a[np.sort(rng.permutation(len(a))[:keep])]  # the smallest subset that still links
             assert 100 * len(b) >= percent * len(a)
             assert set(c.signatures(a).tolist()) & set(c.signatures(b).tolist())
+            for share in (0.1, 0.5, 0.95):  # whatever shingles count as frequent
+                f = np.sort(a[rng.random(len(a)) < share])
+                assert set(c.signatures(a, f).tolist()) & set(c.signatures(b, f).tolist())
 
 
 def test_components_of_chains_and_stars(spark):
