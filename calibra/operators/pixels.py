@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 SIDE = 32
+#: Pictures that are made at a time.
+CHUNK = 256
 
 
 def _clip(x: np.ndarray) -> np.ndarray:
@@ -114,26 +116,28 @@ def pictures(ids: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         y, z = np.mgrid[0:SIDE, 0:SIDE] / SIDE
-        for pdf in batches:
+        for ids in (pdf["item_id"].iloc[k : k + CHUNK] for pdf in batches for k in range(0, len(pdf), CHUNK)):
             made = []
-            for i in pdf["item_id"]:
+            for i in ids:
                 g = np.random.default_rng(int(i))
                 f = g.uniform(1, 9, (3, 2))
-                made.append(_clip(127 + 100 * np.stack([np.sin(a * y * 6 + b * z * 6) for a, b in f], axis=-1)).ravel().tolist())
-            yield pd.DataFrame({"item_id": pdf["item_id"], "pixels": made})
+                made.append(_clip(127 + 100 * np.stack([np.sin(a * y * 6 + b * z * 6) for a, b in f], axis=-1)).ravel())
+            yield pd.DataFrame({"item_id": ids.to_numpy(), "pixels": made})
 
     return ids.mapInPandas(run, "item_id long, pixels array<double>")
 
 
 def distort(rows: DataFrame, strength: float = 2.0) -> DataFrame:
-    """rows: item_id, pixels, kernel. Gives item_id, kernel, mean, deviation of the clipped result."""
+    """rows: item_id, pixels, kernels (array of names). Gives item_id, kernel, mean, deviation of each clipped result."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for i, p, k in zip(pdf["item_id"], pdf["pixels"], pdf["kernel"], strict=True):
-                x = _clip(KERNELS[k](np.asarray(p).reshape(SIDE, SIDE, 3), strength, np.random.default_rng(int(i))))
-                out.append((i, k, round(float(x.mean()), 6), round(float(x.std()), 6)))
+            for i, p, kernels in zip(pdf["item_id"], pdf["pixels"], pdf["kernels"], strict=True):
+                picture = np.asarray(p).reshape(SIDE, SIDE, 3)
+                for k in kernels:
+                    x = _clip(KERNELS[k](picture, strength, np.random.default_rng(int(i))))
+                    out.append((i, k, round(float(x.mean()), 6), round(float(x.std()), 6)))
             yield pd.DataFrame(out, columns=["item_id", "kernel", "mean", "deviation"])
 
     return rows.mapInPandas(run, "item_id long, kernel string, mean double, deviation double")
