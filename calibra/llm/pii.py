@@ -10,16 +10,21 @@ name. Each gets a replacement of its own type that a keyed permutation of all va
 * coreference: a surrogate depends on key, type and canonical value only, so it is the same in all documents and
   however a number is punctuated or an address cased;
 * gender, script, format: known given names are permuted within their list of one gender and script; other names keep
-  vowels, consonants, script, case and the last letter; digits stay digits and punctuation stays.
+  vowels, consonants, script, case and the last letter; digits stay digits and punctuation stays. Letters of other
+  scripts move within those of their script, kind and 256 code points; secrets of punctuation alone get other punctuation.
 
-`collisions` checks the outcome over a whole corpus. A null text stays null with no entities; empty texts stay empty;
+`collisions` checks the outcome over a whole corpus; op5 reports their number, which must be 0, in each row. A null text stays null with no entities; empty texts stay empty;
 rows are independent, so repeated rows and shared ids are fine; extra columns pass through.
 """
 from __future__ import annotations
 
 import hashlib
 import re
+import sys
+import unicodedata
+from collections import defaultdict
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +46,7 @@ _KNOWN = {name.casefold(): (group, i) for group, names in GIVEN.items() for i, n
 #: Letters that stand in for each other: vowels and consonants of each script, digits, hexadecimal digits.
 CLASSES = ["aeiou", "bcdfghjklmnpqrstvwxyz", "áéíóúàèìòùâêîôûäëïöü", "аеёиоуыэюя", "бвгджзклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ", "0123456789"]
 _CLASS = {c: k for k in CLASSES for c in k}
+_MARKS = {c: "_+/=.-" for c in "_+/=.-"}
 _HEX = {c: "0123456789abcdef" for c in "0123456789abcdef"}
 _DIGIT = {c: "0123456789" for c in "0123456789"}
 
@@ -57,6 +63,23 @@ _PATTERNS: list[tuple[str, str, re.Pattern]] = [
     ("phone", "0", re.compile(r"(?<![\w+])(\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ ]?\d{3}[ .-]\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?!\w)")),
     ("number", "0", re.compile(r"(?<![\w.-])(\d(?:[ -]?\d){11,18})(?![\w-]|\.\d)")),
 ]
+
+
+@cache
+def _all_classes() -> dict[str, str]:
+    """_CLASS and a class of at least two for every other letter and digit of Unicode; each character is in one only."""
+    rest = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and c not in _CLASS and c != "ς" and (c.lower() == c or len(c.lower()) > 1)]
+    casing = lambda c: 0 if c.upper() == c else 1 if len(c.upper()) == 1 and c.upper().lower() == c else 2
+    found = dict(_CLASS)
+    for key in (lambda c: (unicodedata.name(c, "").split(" ")[0], unicodedata.category(c), casing(c), ord(c) >> 8), lambda c: (unicodedata.category(c), casing(c)), lambda c: 0):
+        groups = defaultdict(list)
+        for c in rest:
+            groups[key(c)].append(c)
+        found |= {c: k for g in groups.values() if len(g) > 1 for k in ["".join(g)] for c in g}
+        rest = [g[0] for g in groups.values() if len(g) == 1]
+    return found
+
+
 _LOCAL = re.compile(r"[\w.%+-]{1,64}$")
 _DOMAIN = re.compile(r"(?:[^\W_](?:[\w-]{0,61}[^\W_])?\.)+[^\W\d_]{2,24}")
 _HAS_DIGIT = re.compile(r"\d")
@@ -128,11 +151,16 @@ class Surrogates:
     def _spelled(self, value: str, tweak: str, alphabets: dict[str, str], keep: Callable[[str], bool] = lambda s: True, fixed: int = 0) -> str:
         """value with each letter of an alphabet moved within it; case and everything else stay, the last `fixed` letters too."""
         low = value.lower()
-        if len(low) != len(value):
-            return value
+        if len(low) != len(value):  # a dotted capital I becomes two characters: it stays one
+            low = "".join(v if len(v.lower()) > 1 else v.lower() for v in value)
+        if alphabets is _CLASS:
+            if any(c not in _CLASS and c.isalnum() for c in low):
+                alphabets = _all_classes()
+            elif not any(c in _CLASS for c in low):
+                alphabets = _MARKS
         places = [i for i, c in enumerate(low) if c in alphabets]
         places = places[: len(places) - fixed] or places
-        if not places:
+        if not places:  # only the separators of a name
             return value
         n = 1
         for i in places:
@@ -150,15 +178,13 @@ class Surrogates:
                 letters[i] = a[k]
             made = "".join(letters)
             if made == low or keep(made):
-                if value.isupper():
-                    return made.upper()
-                return "".join(c.upper() if v.isupper() else c for c, v in zip(made, value, strict=True))
+                return "".join(_cased(c, k, v) for c, k, v in zip(made, low, value, strict=True))
 
     def _digits(self, value: str, tweak: str, skip: int = 0, keep: Callable[[str], bool] = lambda s: True) -> str:
-        """The digits permuted as one number, whatever stands between them; the first `skip` digits stay."""
-        digits = [c for c in value if c.isascii() and c.isdigit()]
+        """The digits permuted as one number, whatever stands between them and in whatever script; the first `skip` digits stay."""
+        digits = [str(unicodedata.decimal(c)) for c in value if c.isdecimal()]
         made = iter("".join(digits[:skip]) + self._spelled("".join(digits[skip:]), f"{tweak}|{''.join(digits[:skip])}", _DIGIT, lambda s: keep("".join(digits[:skip]) + s)))
-        return "".join(next(made) if c.isascii() and c.isdigit() else c for c in value)
+        return "".join(chr(ord(c) - unicodedata.decimal(c) + int(next(made))) if c.isdecimal() else c for c in value)
 
     def _name(self, value: str) -> str:
         out = []
@@ -213,6 +239,14 @@ class Surrogates:
         return ("".join([*out, text[at:]]) if out else text), spans, pairs
 
 
+def _cased(c: str, low: str, v: str) -> str:
+    """c, which replaces low, in the case of v, of which low is the lower case."""
+    if c == low:
+        return v
+    up = c.upper()
+    return up if v != low and v.isupper() and len(up) == 1 and up.lower() == c else c
+
+
 def _private(p: list[int]) -> bool:
     return p[0] in (0, 10, 127) or p[0] >= 224 or (p[0] == 172 and 16 <= p[1] < 32) or (p[0] == 192 and p[1] == 168) or (p[0] == 169 and p[1] == 254)
 
@@ -255,7 +289,7 @@ def collisions(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
     Entities are compared by their canonical value: digits only for numbers, lower case for the rest.
     """
     found = pseudonymize(docs.select(text), key, text, None, "pairs").select(F.explode("pairs").alias("p")).select("p.*")
-    canon = lambda c: F.when(F.col("type").isin("phone", "number", "ssn"), F.regexp_replace(c, r"\D", "")).otherwise(F.lower(c))
+    canon = lambda c: F.when(F.col("type").isin("phone", "number", "ssn"), F.regexp_replace(c, r"\P{Nd}", "")).otherwise(F.lower(c))
     return found.select("type", canon("entity").alias("entity"), canon("surrogate").alias("surrogate")).groupBy("type", "surrogate").agg(F.min("entity").alias("a"), F.max("entity").alias("b")).filter("a <> b").select("type", "surrogate", F.array("a", "b").alias("entities"))
 
 
@@ -264,8 +298,9 @@ def key_of(spark: SparkSession) -> bytes:
 
 
 def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), key_of(spark))
-    return found.select("doc_id", F.size("pii_spans").cast("long").alias("n_entities"), "pii_spans", "text")
+    docs, key = table(spark, sf_dir, "documents").select("doc_id", "text"), key_of(spark)
+    found = pseudonymize(docs, key).select("doc_id", F.size("pii_spans").cast("long").alias("n_entities"), "pii_spans", "text")
+    return found.crossJoin(F.broadcast(collisions(docs, key).agg(F.count("*").alias("n_collisions"))))  # one row
 
 
 QUERIES = {"op5_pii_surrogates": op5_pii_surrogates}

@@ -61,3 +61,31 @@ def test_frames(spark):
     assert pii.collisions(df, b"key").count() == 0
     with pytest.raises(ValueError):
         pii.pseudonymize(df.withColumnRenamed("note", "pii_spans"), b"key")
+
+
+@pytest.mark.parametrize(("kind", "values"), [
+    ("name", ["王小明", "李小", "李大", "محمد", "محمود", "דוד", "İpek", "Ipek", "İİ", "Çğ", "김철수", "ŽŽ", "ẞẞ", "ΝΙΚΟΣ", "ꙀꙀ"]),
+    ("email", ["用户@例子.com", "用户@例孑.com", "ñ@ñ.es", "١@٢.com"]), ("secret", ["========", "=======.", "--------"]),
+    ("number", ["٤١١١١١١١١١١١١١١١", "٤١١١١١١١١١١١١١١٢", "4111111111111111"]), ("ssn", ["१२३-४५-६७८९"]),
+])
+def test_no_entity_stays_in_any_script(made, kind, values):
+    out = [made.make(v, kind) for v in values]
+    assert len({o.lower() for o in out}) == len(values) and not any(a == b for a, b in zip(values, out, strict=True))
+    for a, b in zip(values, out, strict=True):
+        assert len(a) == len(b) and all(c.isalnum() == d.isalnum() and c.isdecimal() == d.isdecimal() for c, d in zip(a, b, strict=True))
+
+
+def test_classes_are_a_partition():
+    classes = pii._all_classes()
+    assert all(c in k and len(k) > 1 for c, k in classes.items()) and sum(map(len, set(classes.values()))) == len(classes)
+
+
+def test_names_of_other_scripts_are_found_and_moved(made):
+    for name in ("王小明", "محمد", "İpek"):
+        out, spans, _ = made.replace(f"met Dr. {name}, today")
+        assert len(spans) == 1 and name not in out and out.startswith("met Dr. ") and out.endswith(", today")
+
+
+def test_query_reports_collisions(spark, tmp_path):
+    spark.createDataFrame([(1, "Dr. 王小明 and a@b.co"), (2, "Dr. 李小 and c@b.co"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [r["n_collisions"] for r in pii.op5_pii_surrogates(spark, str(tmp_path)).collect()] == [0, 0, 0]
