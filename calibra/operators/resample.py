@@ -1,40 +1,73 @@
 """Bootstrap intervals and sampling floors. Clusters are summed first, so draws run over clusters and not over rows."""
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DRAWS = 2000
-#: Clusters that resampling holds at most; more are folded into this many by a hash, which keeps means and widens nothing.
-MOST_CLUSTERS = 20_000
+#: Clusters that are weighted at a time, and units whose sums a task holds before it passes them on.
+CHUNK, UNITS = 256, 256
+#: Poisson(1): a hash below the k-th bound has a weight of k or less.
+_BOUNDS = np.array([int(p * 2**64) for p in np.cumsum([math.exp(-1) / math.factorial(k) for k in range(16)])], np.uint64)
 
 
 def clustered(df: DataFrame, unit: list[str], cluster: str, value: str, other: str | None = None) -> DataFrame:
-    """Sums and counts per cluster, at most MOST_CLUSTERS of them in a unit."""
-    folded = F.pmod(F.xxhash64(cluster), F.lit(MOST_CLUSTERS)).alias("cluster")
-    sums = [F.sum(F.col(value).cast("double")).alias("s"), F.count(value).alias("n")]
-    return df.groupBy(*unit, folded).agg(*sums, *([F.sum(F.col(other).cast("double")).alias("s2")] if other else []))
+    """Sum and count of value (or of value - other where both are there) for each cluster of a unit."""
+    v = F.col(value).cast("double") - F.col(other).cast("double") if other else F.col(value).cast("double")
+    return df.groupBy(*unit, F.col(cluster).alias("cluster")).agg(F.coalesce(F.sum(v), F.lit(0.0)).alias("s"), F.count(v).alias("n"))
+
+
+def weights(hashes: np.ndarray, draws: int, seed: int) -> np.ndarray:
+    """Poisson(1) weights (clusters x draws) that depend on hash, draw and seed only."""
+    x = hashes.view(np.uint64)[:, None] + np.arange(1, draws + 1, dtype=np.uint64)[None] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed * 0xC2B2AE3D27D4EB4F % 2**64)
+    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
+    return np.searchsorted(_BOUNDS, x ^ (x >> np.uint64(31)), side="right").astype(np.float64)
 
 
 def cluster_bootstrap(df: DataFrame, unit: str, cluster: str, value: str, other: str | None = None, draws: int = DRAWS, seed: int = 7) -> DataFrame:
-    """unit, mean, low, high of a mean (or of the mean difference value - other) over resampled clusters."""
+    """unit, mean, low, high of a mean (or of the mean difference value - other) over resampled clusters, and their number.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("cluster")
-        s = pdf["s"].to_numpy() - (pdf["s2"].to_numpy() if other else 0)
-        n = pdf["n"].to_numpy()
-        rng = np.random.default_rng(seed)
-        found = np.empty(draws)
-        for i in range(draws):
-            pick = rng.integers(0, len(s), len(s))
-            found[i] = s[pick].sum() / n[pick].sum()
-        low, high = np.percentile(found, [2.5, 97.5])
-        return pd.DataFrame({unit: [pdf[unit].iloc[0]], "mean": [s.sum() / n.sum()], "low": [low], "high": [high], "clusters": [len(s)]})
+    Each draw weighs every cluster by a hashed Poisson(1) number; tasks sum over their clusters and Spark over the tasks,
+    so no unit is gathered. Draws without a value are left out.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict = {}
+
+        def made() -> Iterator[pd.DataFrame]:
+            for u, (s, n, c) in sums.items():
+                yield pd.DataFrame({unit: pd.Series([u] * (draws + 1), dtype=object), "draw": np.arange(-1, draws), "s": s, "n": n, "c": c})
+            sums.clear()
+
+        for pdf in batches:
+            for u, own in pdf.groupby(unit, dropna=False, sort=False):
+                u = None if pd.isna(u) else u
+                if u not in sums and len(sums) >= UNITS:
+                    yield from made()
+                total = sums.setdefault(u, [np.zeros(draws + 1), np.zeros(draws + 1), 0])
+                total[2] += len(own)
+                for k in range(0, len(own), CHUNK):
+                    part = own.iloc[k : k + CHUNK]
+                    w = weights(part["h"].to_numpy(np.int64), draws, seed)
+                    for t, c in zip(total, ("s", "n")):
+                        x = part[c].to_numpy(np.float64)
+                        t[0] += x.sum()
+                        t[1:] += x @ w
+        yield from made()
 
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # rows are narrow and draws cost time: spread them
+    hashed = clustered(df, [unit], cluster, value, other).select(unit, F.xxhash64("cluster").alias("h"), "s", "n").repartition(parts, "h")
     kind = df.schema[unit].dataType.simpleString()
-    return clustered(df, [unit], cluster, value, other).groupBy(unit).applyInPandas(run, f"{unit} {kind}, mean double, low double, high double, clusters long")
+    drawn = hashed.mapInPandas(run, f"`{unit}` {kind}, draw int, s double, n double, c long").groupBy(unit, "draw").agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.sum("c").alias("c"))
+    mean, whole = F.when(F.col("n") > 0, F.col("s") / F.col("n")), F.col("draw") < 0
+    found = drawn.groupBy(unit).agg(F.max(F.when(whole, mean)).alias("mean"), F.percentile(F.when(~whole, mean), F.array(F.lit(0.025), F.lit(0.975))).alias("p"), F.max(F.when(whole, F.col("c"))).alias("clusters"))
+    return found.select(unit, "mean", F.col("p")[0].alias("low"), F.col("p")[1].alias("high"), "clusters")
 
 
 def ece_floor(bins: DataFrame, unit: str, draws: int = 200, seed: int = 7) -> DataFrame:
