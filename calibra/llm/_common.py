@@ -6,9 +6,11 @@ import ctypes
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,12 +32,59 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared store."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it back: the lineage ends there and survives lost executors."""
+    """Writes df to the shared folder and reads it back: the lineage ends there and survives lost executors.
+
+    `drop` deletes the files once nothing reads them any more; what is left goes when the driver ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    if not _left:
+        atexit.register(_clear)
+    _left[path] = spark
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut = path
+    return out
+
+
+_left: dict[str, SparkSession] = {}
+
+
+def drop(*cuts: DataFrame) -> None:
+    """Deletes the files of tables that `cut` gave and that nothing reads any more."""
+    for df in cuts:
+        if _left.pop(df._cut, None):
+            delete(df.sparkSession, df._cut)
+
+
+def _clear() -> None:
+    for path, spark in _left.items():
+        try:
+            delete(spark, path)
+        except Exception:  # the session has ended: nothing can reach its store any more
+            return
+
+
+#: Bytes of text that a Python worker turns into objects at once.
+SLICE_BYTES = 4 << 20
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int | str, most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of about `most` (SLICE_BYTES) bytes in a column of texts or bytes; a row of more is a piece of its own."""
+    for batch in batches:
+        size = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64)
+        piece = np.cumsum(size) // (most or SLICE_BYTES)
+        edges = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(size)]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if b > a:
+                yield batch.slice(a, b - a)
 
 
 def free_name(df: DataFrame, *names: str) -> None:

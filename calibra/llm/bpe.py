@@ -22,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from calibra.llm._common import free_name, table
+from calibra.llm._common import free_name, give_back, slices, table
 
 VOCAB = "byte_bpe_50k.tiktoken"
-#: Entries that a worker's memo of pre-tokens, and of token pairs, holds before it starts anew.
-MEMO_ENTRIES = 500_000
+#: Entries that a worker's memo of pre-tokens, and of token pairs, holds before it starts anew: about 10 MB each.
+MEMO_ENTRIES = 60_000
+#: Longer runs of text are not remembered: they hardly come again.
+LONGEST_KEY = 64
 _MANY_CHARS = 4_000_000
 _WIDE = re.compile(r"\s\s|\s$|^\n")
 _RUNS = re.compile(r"\s*\S+|\s+")
@@ -34,21 +36,19 @@ _loaded: dict[str, "ByteBPE"] = {}
 
 
 class _Memo(dict):
-    """A bounded memo. When it is full, what is in use moves on to the next generation and the rest is dropped."""
+    """A bounded memo that starts anew when it is full."""
 
     def __init__(self, work):
         super().__init__()
-        self.work, self.older = work, {}
+        self.work = work
 
     def __missing__(self, key):
-        found = self.older.get(key)
-        self[key] = found = self.work(key) if found is None else found
-        return found
-
-    def trim(self) -> None:
-        if len(self) > MEMO_ENTRIES:
-            self.older = dict(self)
+        if len(self) >= MEMO_ENTRIES:
             self.clear()
+        found = self.work(key)
+        if not isinstance(key, str) or len(key) <= LONGEST_KEY:
+            self[key] = found
+        return found
 
 
 class ByteBPE:
@@ -147,9 +147,6 @@ class ByteBPE:
         No match of the pattern goes from a character that is no white space on to white space, so each run of white
         space with the characters after it can be encoded, and remembered, by itself.
         """
-        self.words.trim()
-        self.spaced.trim()
-        self.fits.trim()
         if len(text) < _MANY_CHARS:
             if not _WIDE.search(text):  # single spaces only: splitting at them is the same, and faster
                 first, *rest = text.replace("\n", " \n").split(" ")
@@ -158,7 +155,6 @@ class ByteBPE:
         out, found = [], (m[0] for m in _RUNS.finditer(text))
         while part := list(islice(found, MEMO_ENTRIES)):
             out.append(b"".join(map(self.words.__getitem__, part)))
-            self.words.trim()
         return b"".join(out)
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -190,11 +186,12 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", vocab: str = VOC
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(ranks.value, pattern)
-        for batch in batches:
+        for batch in slices(batches, text):
             packed = [coder.encode_packed(t or "") for t in batch.column(text).to_pylist()]
             offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]).astype(np.int32)
             values = pa.array(np.frombuffer(b"".join(packed), "<i4"), pa.int32())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(offsets), values)], names=[*batch.schema.names, ids])
+        give_back()
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
 
@@ -219,7 +216,7 @@ def round_trip(df: DataFrame, key: str = "doc_id", text: str = "text", vocab: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(ranks.value, pattern)
-        for batch in batches:
+        for batch in slices(batches, 1):
             n, ids, back = [], [], []
             for t in batch.column(1).to_pylist():
                 packed = coder.encode_packed(t or "")
@@ -227,6 +224,7 @@ def round_trip(df: DataFrame, key: str = "doc_id", text: str = "text", vocab: st
                 ids.append(hashlib.sha256(packed).hexdigest())
                 back.append(hashlib.sha256(coder.decode(np.frombuffer(packed, "<u4"))).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
+        give_back()
 
     kept = df.select(key, text)
     return kept.mapInArrow(run, T.StructType([kept.schema[key], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]))

@@ -10,14 +10,16 @@ emptiest buckets, up to that number, and a common bucket of more shingles still
 documents share would tie unrelated documents together, so signatures are made without the FREQUENT most frequent ones
 of a sample (sets differ in no more shingles without them); a set with too little left adds the signatures of all its
 shingles, for others like it. Any choice of these shingles gives the same links. Within a block an inverted
-index is searched for each document: the short lists are merged by a heap, the long ones probed by binary search
-(DivideSkip), and the documents that reach the required overlap T are links. A document of the component of the first
-member need not search: whatever it links to outside finds it. Blocks are searched by size class (sets link only within
-a class or with the next), and classes of more than BLOCK_SHINGLES / 2 shingles in parts: each pair of parts is a task
-of its own, so no task holds an unbounded group and no link is lost.
+index is searched for each set: the short lists are merged by a heap, the long ones probed by binary search
+(DivideSkip), and the sets that reach the required overlap T are links. Every link is found and counted once, weighted
+by the copies of both sets. Blocks of more than BLOCK_SHINGLES are searched by size class (sets link only within a
+class or with the next) and classes in parts: each pair of parts is a task of its own, so no task holds an unbounded
+group and no link is lost. Counting all links of many different near copies takes time with the square of their number,
+as many as there are links; exact copies take none.
 
 Null or empty texts, and texts without words, have empty sets and link with nothing. Fewer than w words make one
 shingle of all. Rows with a null id link with nothing and have a null component. Repeated rows link with each other.
+Rows that share an id are one node of the components; links between different sets of one id are not counted.
 Shingles are compared by 64-bit hashes, whole sets by 128 bits.
 """
 from __future__ import annotations
@@ -33,20 +35,18 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from calibra.llm._common import cut, give_back, id_hash, may_hold, members_filter, table
+from calibra.llm._common import cut, drop, give_back, id_hash, may_hold, members_filter, slices, table
 from calibra.llm.graph import components
 
-#: Above this sum of set sizes a block is dealt into parts.
-BLOCK_SHINGLES = 1_500_000
+#: Above this sum of set sizes a block is dealt into parts; an index of so many shingles takes some 30 MB.
+BLOCK_SHINGLES = 500_000
 #: Weight of a probe against a step of the heap, as DivideSkip's tuning constant.
 PROBE_WEIGHT = 0.0085
-#: From this many postings on, short lists are merged by a sort of their concatenation.
-HEAP_POSTINGS = 4096
 #: Buckets beyond those that may differ, as a share of them; so many of the emptiest give no signature.
 SLACK = 0.25
 #: So many frequent shingles at most, from one in SAMPLE documents, by a hash of the text.
 FREQUENT, SAMPLE = 100_000, 64
-_MEMO = 200_000
+_MEMO = 100_000
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
@@ -141,88 +141,132 @@ class Classes:
 
 
 class DivideSkip:
-    """An inverted index over sets and its T-occurrence search."""
+    """An inverted index over sets, which must come by rising size, and its T-occurrence search."""
 
     def __init__(self, sets: list[np.ndarray], percent: int):
         self.sets, self.percent = sets, percent
-        self.sizes = np.array([len(s) for s in sets])
-        owner = np.repeat(np.arange(len(sets)), self.sizes)
+        self.sizes = np.array([len(s) for s in sets], np.int64)
         flat = np.concatenate(sets)
-        order = np.lexsort((owner, flat))
+        order = np.argsort(flat, kind="stable")
         self.tokens, self.at = np.unique(flat[order], return_index=True)
         self.at = np.append(self.at, len(flat))
-        self.owner = owner[order]
-
-    def search(self, q: int) -> list[int]:
-        """The sets that link with set q, itself left out."""
-        s, p = self.sets[q], self.percent
-        least_size = -(-p * len(s) // 100)  # no smaller set can link
-        t = -(-p * (len(s) + least_size) // (100 + p))
+        self.owner = np.repeat(np.arange(len(sets)), self.sizes)[order]
+
+    def search(self, s: np.ndarray, after: int = -1) -> list[int]:
+        """The sets behind place `after` that link with s."""
+        p, n = self.percent, len(s)
+        first = max(after + 1, int(np.searchsorted(self.sizes, -(-p * n // 100))))
+        last = int(np.searchsorted(self.sizes, 100 * n // p, side="right"))  # no smaller and no larger set can link
+        if first >= last:
+            return []
+        t = -(-p * (n + int(self.sizes[first])) // (100 + p))
         i = np.searchsorted(self.tokens, s)
-        start, end = self.at[i], self.at[i + 1]
-        length = end - start
-        order = np.argsort(length, kind="stable")
-        longest = int(length.max())
-        n_long = min(t - 1, int(t / (PROBE_WEIGHT * np.log2(longest + 1) + 1)))
-        short, long = order[: len(s) - n_long], order[len(s) - n_long :]
-        lists = [self.owner[start[k] : end[k]] for k in short]
-        if sum(map(len, lists)) <= HEAP_POSTINGS:
-            counts = [(d, sum(1 for _ in g)) for d, g in groupby(heapq.merge(*(x.tolist() for x in lists)))]
-        else:
-            counts = zip(*(x.tolist() for x in np.unique(np.concatenate(lists), return_counts=True)), strict=True)
-        found, wanted = [], s[long]
-        for d, c in counts:
-            size = int(self.sizes[d])
-            if d == q or 100 * min(size, len(s)) < p * max(size, len(s)):
-                continue
-            need = -(-p * (len(s) + size) // (100 + p))
-            if c + n_long < need:
-                continue
-            other = self.sets[d]
-            k = np.searchsorted(other, wanted)
-            k[k == len(other)] = 0
-            if c + int((other[k] == wanted).sum()) >= need:
-                found.append(d)
-        return found
-
-
-def link_block(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """(id, smallest id of its component) for the linked sets of a block."""
-    order = sorted(range(len(ids)), key=lambda k: ids[k])
-    ids, sets = [ids[k] for k in order], [sets[k] for k in order]
-    index, root = DivideSkip(sets, percent), list(range(len(ids)))
+        i[i == len(self.tokens)] = 0
+        i = i[self.tokens[i] == s]
+        lists = [x for x in (self.owner[a:b] for a, b in zip(self.at[i].tolist(), self.at[i + 1].tolist(), strict=True)) if x[-1] >= first]
+        lists = [x[x.searchsorted(first) : x.searchsorted(last)] for x in lists]
+        lists = sorted((x for x in lists if len(x)), key=len)
+        if len(lists) < t:
+            return []
+        n_long = min(t - 1, int(t / (PROBE_WEIGHT * np.log2(len(lists[-1]) + 1) + 1)))
+        short, long = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
+        counts = [(d, sum(1 for _ in g)) for d, g in groupby(heapq.merge(*(x.tolist() for x in short)))]
+        found, count = (np.array(x, np.int64) for x in zip(*counts, strict=True))
+        need = -(-p * (n + self.sizes[found]) // (100 + p))
+        for k, x in enumerate(long):
+            stay = count + (n_long - k) >= need  # the rest of the long lists may still make up for it
+            if not stay.all():
+                found, count, need = found[stay], count[stay], need[stay]
+            if not len(found):
+                return []
+            at = x.searchsorted(found)
+            at[at == len(x)] = 0
+            count += x[at] == found
+        return found[count >= need].tolist()
+
+
+def link_block(members: list[tuple[int, int, np.ndarray]], others: list[tuple[int, int, np.ndarray]], percent: int) -> list[tuple[int, int]]:
+    """(number of the first member of its component, documents it links with) for the members and then the others.
+
+    A member is (id, number of copies, set). Without others all members are compared with each other, else each member
+    with each of the others only.
+    """
+    order = sorted(range(len(members)), key=lambda k: len(members[k][2]))
+    both = [*members, *others]
+    root, links = list(range(len(both))), [0] * len(both)
+    index = DivideSkip([members[k][2] for k in order], percent)
 
     def find(x: int) -> int:
         while root[x] != x:
             root[x] = x = root[root[x]]
         return x
 
-    for q in range(len(ids)):
-        if q and find(q) == find(0):
-            continue
-        for d in index.search(q):
+    asks = ((len(members) + k, o[2], -1) for k, o in enumerate(others)) if others else ((k, members[k][2], place) for place, k in enumerate(order))
+    for q, s, after in asks:
+        for d in index.search(s, after):
+            d = order[d]
+            links[q] += both[d][1]
+            links[d] += both[q][1]
             a, b = find(q), find(d)
             if a != b:
                 root[max(a, b)] = min(a, b)
-    return [(ids[q], ids[find(q)]) for q in range(len(ids)) if find(q) != q]
+    return [(find(k), links[k]) for k in range(len(both))]
 
 
-def _sets(docs: DataFrame, width: int) -> DataFrame:
+def _combined(keys: list[bytes | None], found: list[np.ndarray], owner: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures and the places of their owners; where several texts of the slice share signatures, one pair stands for all.
+
+    A text that shares signatures with one before it in the slice gives these up for one signature of the pair, which
+    the other one gets too. So each signature leaves a slice at most once for itself, however many near copies there are.
+    """
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    sig, at = np.concatenate(found), np.repeat(owner, [len(f) for f in found])
+    _, first, back = np.unique(sig, return_index=True, return_inverse=True)
+    leader = at[first][back]
+    pairs = np.unique(np.stack([leader, at])[:, leader != at], axis=1)
+    head = np.array([int.from_bytes(k[:8]) if k else 0 for k in keys], np.uint64)
+    joint = _mixed(head[pairs[0]] * _MIX[0] + head[pairs[1]] * _MIX[1] + _MIX[2])
+    alone = leader == at
+    return np.concatenate([sig[alone], joint, joint]), np.concatenate([at[alone], pairs[0], pairs[1]])
+
+
+def _sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, key of the set, and the signatures that stand for the row."""
+    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, width))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingles(t, width) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([set_key(s) for s in found], pa.binary())], names=["doc_id", "n_shingles", "key"])
+        classes = Classes(percent)
+        for batch in slices(batches, 1):
+            sizes, keys, found, owner, seen = [], [], [], [], set()
+            for k, (doc, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                s = shingles(text, width)
+                key = set_key(s)
+                sizes.append(len(s))
+                keys.append(key)
+                if doc is not None and key is not None and key not in seen:  # a copy in the same slice adds nothing
+                    seen.add(key)
+                    found.append(classes.signatures(s, frequent.value).view(np.uint64))
+                    owner.append(k)
+            sig, at = _combined(keys, found, owner)
+            sig, ends = sig[np.argsort(at, kind="stable")], np.cumsum(np.bincount(at, minlength=len(keys)))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(sig.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), lists], names=["doc_id", "n_shingles", "key", "sigs"])
+        _words.clear()
+        give_back()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, key binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, key binary, sigs array<long>")
 
 
 def _frequent(docs: DataFrame, width: int) -> np.ndarray:
     """At most FREQUENT shingles that several texts of a hashed sample hold, sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 0):
             found = np.concatenate([np.zeros(0, np.uint64), *(shingles(t, width) for t in batch.column(0).to_pylist())])
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], names=["s"])
+        _words.clear()
+        give_back()
 
     sample = docs.filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text").distinct()
     counts = sample.mapInArrow(run, "s long").groupBy("s").agg(F.count("*").alias("n")).filter("n > 1")
@@ -230,87 +274,93 @@ def _frequent(docs: DataFrame, width: int) -> np.ndarray:
     return np.sort(np.asarray(top["s"], np.int64).view(np.uint64))
 
 
-def _signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, width))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, seen = Classes(percent), set()
-        for batch in batches:
-            ids, found = [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                s = shingles(text, width)
-                if (key := set_key(s)) is None or key in seen:  # a copy in the same task adds nothing
-                    continue
-                if len(seen) > _MEMO:
-                    seen.clear()
-                seen.add(key)
-                found.append(classes.signatures(s, frequent.value))
-                ids.append(np.full(len(found[-1]), doc, np.int64))
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.concatenate(ids))], names=["sig", "doc_id"])
-
-    return docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "sig long, doc_id long")
-
-
 def _search(members: DataFrame, docs: DataFrame, width: int, percent: int, parts: int) -> DataFrame:
-    """members: doc_id, key, tasks (array of task keys). Gives edges (a, b) that span each task's components."""
+    """members: doc_id, key, copies, tasks (task, side). Gives a (a member), key, b (the first of its component in the task), links."""
     wanted = members_filter(members.select(id_hash("doc_id").alias("h")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 2):
             batch = batch.filter(pa.array(may_hold(wanted.value, batch.column(1))))
             found = [shingles(x, width) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([set_key(s) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], names=["doc_id", "key", "shingles"])
+        _words.clear()
+        give_back()
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
-        for _, group in groupby(rows, key=lambda r: r[0]):
-            own = {d: np.frombuffer(s, np.uint64) for _, d, s in group}
-            edges = link_block(list(own), list(own.values()), percent)
-            if edges:
-                yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], names=["a", "b"])
+        rows = (r for batch in slices(batches, "shingles") for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for task, group in groupby(rows, key=lambda r: r[0]):
+            sides, keys = ([], []), ([], [])
+            for _, side, doc, key, copies, s in group:
+                sides[side == 1].append((doc, copies, np.frombuffer(s, np.uint64)))
+                keys[side == 1].append(key)
+            if not sides[0] or not sides[1] and "x" in task:
+                continue
+            ids = [m[0] for side in sides for m in side]
+            made = link_block(*sides, percent)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([*keys[0], *keys[1]], pa.binary()), pa.array([ids[r] for r, _ in made], pa.int64()), pa.array([n for _, n in made], pa.int64())], names=["a", "key", "b", "links"])
         give_back()
 
     text = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), id_hash(F.col("doc_id").cast("long")).alias("h"), "text")
-    sets = text.mapInArrow(run, "doc_id long, key binary, shingles binary")
+    sets = text.mapInArrow(run, "doc_id long, key binary, shingles binary").dropDuplicates(["doc_id", "key"])
     # members have no size bound: never broadcast, at no size
-    dealt = members.hint("merge").join(sets, ["doc_id", "key"]).select(F.explode("tasks").alias("task"), "doc_id", "shingles").repartition(parts, "task").sortWithinPartitions("task")
-    return dealt.mapInArrow(link, "a long, b long")
+    dealt = members.hint("merge").join(sets, ["doc_id", "key"]).select(F.explode("tasks").alias("t"), "doc_id", "key", "copies", "shingles").select("t.task", "t.side", "doc_id", "key", "copies", "shingles").repartition(parts, "task").sortWithinPartitions("task")
+    return dealt.mapInArrow(link, "a long, key binary, b long, links long")
+
+
+def _tasks(blocks: DataFrame, reps: DataFrame, most: int, percent: int) -> DataFrame:
+    """doc_id, key, copies, tasks of the members of blocks: what is compared with what.
+
+    A block of up to BLOCK_SHINGLES is one task. A larger one is split by size class and each class into parts of up to
+    half of that; each part is compared with itself, with the other parts of its class and with those of the next class.
+    """
+    classes = Classes(percent)
+    classes.of(most)
+    upper = F.array(*map(F.lit, classes.upper))
+    sized = cut(blocks.join(reps.select(F.col("rep").alias("node"), "key", "n", "copies"), "node").withColumn("c", F.size(F.filter(upper, lambda u: u < F.col("n")))))
+    per = sized.groupBy("comp", "c").agg(F.sum("n").alias("n"))
+    whole = per.groupBy("comp").agg((F.sum("n") <= BLOCK_SHINGLES).alias("whole"), F.map_from_entries(F.collect_list(F.struct("c", F.ceil(2 * F.col("n") / BLOCK_SHINGLES).cast("int").alias("p")))).alias("p"))  # a map entry for each size class
+    parts = cut(sized.join(whole, "comp").withColumn("own", F.pmod(F.xxhash64("node", "key"), F.try_element_at("p", F.col("c"))).cast("int")))
+    drop(sized)
+    at = lambda d: F.coalesce(F.try_element_at("p", F.col("c") + d), F.lit(0))
+    each = lambda n: F.filter(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda k: k < n)
+    task = lambda c, i, j, side: F.struct(F.concat_ws("x", "comp", c, i, j).alias("task"), side.cast("int").alias("side"))
+    alone = lambda name: F.array(F.struct(name.alias("task"), F.lit(0).alias("side")))
+    itself = alone(F.concat_ws("-", "comp", "c", "own"))
+    within = F.transform(F.filter(each(at(0)), lambda k: k != F.col("own")), lambda k: task(F.col("c"), F.least(k, F.col("own")), F.greatest(k, F.col("own")), k < F.col("own")))
+    upward = F.transform(each(at(1)), lambda k: task(F.concat(F.col("c").cast("string"), F.lit("+")), F.col("own"), k, F.lit(0)))
+    downward = F.transform(each(at(-1)), lambda k: task(F.concat((F.col("c") - 1).cast("string"), F.lit("+")), k, F.col("own"), F.lit(1)))
+    return parts.select(F.col("node").alias("doc_id"), "key", "copies", F.when(F.col("whole"), alone(F.col("comp").cast("string"))).otherwise(F.concat(itself, within, upward, downward)).alias("tasks"))
 
 
 def link_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest id reachable by links, itself included) for each row of docs."""
+    """doc_id, n_shingles, component_id (the smallest id reachable by links, itself included) and n_links for each row of docs.
+
+    n_links counts the other rows that a row links with, copies included.
+    """
     if not 50 <= percent <= 100:
         raise ValueError("percent must be from 50 to 100")
     spark = docs.sparkSession
-    base = cut(_sets(docs, width))
-    reps = base.filter("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"))
+    base = cut(_sets(docs, width, percent))
+    reps = base.filter("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.count("*").alias("copies"))
     reps = cut(reps)  # so that the join below reads plain exchanges, which Spark splits where a key is hot
-    known = cut(base.hint("merge").join(reps, "key", "left"))
-    sigs = _signatures(docs, width, percent)
-    stars = sigs.withColumn("a", F.min("doc_id").over(Window.partitionBy("sig")))
+    known = cut(base.select("doc_id", "n_shingles", "key").hint("merge").join(reps.select("key", "rep", "copies"), "key", "left"))
+    sigs = base.select(F.explode("sigs").alias("sig"), "doc_id")
+    stars = sigs.withColumn("a", F.min("doc_id").over(Window.partitionBy("sig")))  # a row for each slice at most
     edges = stars.select("a", F.col("doc_id").alias("b")).filter("a <> b").distinct()
     to_rep = known.filter("rep is not null").select("doc_id", "rep").distinct()
     as_reps = edges.join(to_rep.toDF("a", "ra"), "a").join(to_rep.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")).filter("a <> b")
     blocks = components(as_reps)
-    classes, most = Classes(percent), known.agg(F.max("n")).first()[0] or 1
-    classes.of(most)
-    upper = F.array(*map(F.lit, classes.upper))
-    sized = blocks.join(reps.select(F.col("rep").alias("node"), "key", "n"), "node").withColumn("c", F.size(F.filter(upper, lambda u: u < F.col("n"))))
-    per = sized.groupBy("comp", "c").agg(F.ceil(2 * F.sum("n") / BLOCK_SHINGLES).cast("int").alias("p"))
-    parts = sized.join(per.groupBy("comp").agg(F.map_from_entries(F.collect_list(F.struct("c", "p"))).alias("p")), "comp")  # a map entry for each size class
-    parts = cut(parts.withColumn("own", F.pmod(F.xxhash64("node"), F.try_element_at("p", F.col("c"))).cast("int")))
-    at = lambda d: F.coalesce(F.try_element_at("p", F.col("c") + d), F.lit(0))
-    here, above, below = at(0), at(1), at(-1)
-    each = lambda n: F.filter(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda k: k < n)
-    name = lambda c, i, j: F.concat_ws("-", "comp", c, i, j)
-    within = F.when(here > 1, F.transform(F.filter(each(here), lambda k: k != F.col("own")), lambda k: name(F.col("c"), F.least(k, F.col("own")), F.greatest(k, F.col("own"))))).when((above == 0) & (below == 0), F.array(F.col("comp").cast("string"))).otherwise(F.array().cast("array<string>"))
-    upward = F.transform(each(above), lambda k: name(F.concat(F.col("c").cast("string"), F.lit("+")), F.col("own"), k))
-    downward = F.transform(each(below), lambda k: name(F.concat((F.col("c") - 1).cast("string"), F.lit("+")), k, F.col("own")))
-    members = parts.select(F.col("node").alias("doc_id"), "key", F.concat(within, upward, downward).alias("tasks"))
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    linked = components(_search(members, docs, width, percent, n_parts))
-    return known.join(linked.toDF("rep", "comp"), "rep", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "rep", "doc_id")).alias("component_id"))
+    drop(base)
+    most = reps.agg(F.max("n")).first()[0] or 1
+    members = cut(_tasks(blocks, reps, most, percent))
+    found = cut(_search(members, docs, width, percent, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    linked = components(found.select("a", "b").filter("a <> b"))
+    drop(blocks, members)
+    links = found.groupBy(F.col("a").alias("rep"), "key").agg(F.sum("links").alias("links"))
+    joined = known.join(linked.toDF("rep", "comp"), "rep", "left").join(links, ["rep", "key"], "left")
+    own = F.col("doc_id").isNotNull()
+    n_links = F.when(own & F.col("key").isNotNull(), F.coalesce("links", F.lit(0)) + F.col("copies") - 1).otherwise(0)
+    return joined.select("doc_id", "n_shingles", F.when(own, F.coalesce("comp", "rep", "doc_id")).alias("component_id"), n_links.alias("n_links"))
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -330,7 +380,7 @@ pairs AS (
   SELECT a.doc_id AS x, b.doc_id AS y FROM toks a JOIN toks b ON a.t = b.t AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
   GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
 reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, p.y FROM reach r JOIN pairs p ON r.y = p.x)
-SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, m.c AS component_id
-FROM sets s JOIN (SELECT x, min(y) AS c FROM reach GROUP BY x) m ON s.doc_id = m.x
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, m.c AS component_id, coalesce(l.n, 0) AS n_links
+FROM sets s JOIN (SELECT x, min(y) AS c FROM reach GROUP BY x) m ON s.doc_id = m.x LEFT JOIN (SELECT x, count(*) AS n FROM pairs GROUP BY x) l ON s.doc_id = l.x
 """
 }

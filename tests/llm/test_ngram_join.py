@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from calibra.llm import graph, ngram_join
+from calibra.llm import _common, graph, ngram_join
 
 
 def brute(rows, width, percent):
@@ -20,7 +20,7 @@ def brute(rows, width, percent):
             lists[x].append(d)
     for found in lists.values():
         shared.update((a, b) for i, a in enumerate(found) for b in found[i + 1 :])
-    root = {d: d for d in sets}
+    root, links = {d: d for d in sets}, Counter()
 
     def find(x):
         while root[x] != x:
@@ -29,9 +29,10 @@ def brute(rows, width, percent):
 
     for (a, b), k in shared.items():
         if 100 * k >= percent * (len(sets[a]) + len(sets[b]) - k):
+            links.update((a, b))
             a, b = find(a), find(b)
             root[max(a, b)] = min(a, b)
-    return {d: (len(s), find(d)) for d, s in sets.items()}
+    return {d: (len(s), find(d), links[d]) for d, s in sets.items()}
 
 
 def families(seed=5):
@@ -52,21 +53,28 @@ def families(seed=5):
 @pytest.mark.parametrize(("width", "percent", "block"), [(5, 80, 1_500_000), (3, 90, 1_500_000), (3, 90, 1500), (2, 60, 1500)])
 def test_same_as_brute_force(spark, monkeypatch, width, percent, block):
     monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", block)
-    monkeypatch.setattr(ngram_join, "HEAP_POSTINGS", 200 if block < 10_000 else 4096)
+    monkeypatch.setattr(_common, "SLICE_BYTES", 1500 if block < 10_000 else 4 << 20)
     monkeypatch.setattr(ngram_join, "SAMPLE", 2 if block < 10_000 else 64)
     rows = families()
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = {r[0]: (r[1], r[2]) for r in ngram_join.link_components(df, width, percent).collect()}
+    got = {r[0]: tuple(r[1:]) for r in ngram_join.link_components(df, width, percent).collect()}
     assert got == brute(rows, width, percent)
 
 
 def test_edges(spark):
     df = spark.createDataFrame([(1, "a b c d", "x"), (1, "a b c d", "x"), (None, "a b c d", "x"), (2, "A B C D", "y")], "doc_id long, text string, n_shingles string")
     got = sorted(map(tuple, ngram_join.link_components(df, 3, 90).collect()), key=repr)
-    assert got == sorted([(1, 2, 1), (1, 2, 1), (None, 2, None), (2, 2, 1)], key=repr)
+    assert got == sorted([(1, 2, 1, 2), (1, 2, 1, 2), (None, 2, None, 0), (2, 2, 1, 2)], key=repr)
     assert ngram_join.link_components(df.limit(0), 3, 90).count() == 0
 
 
+def test_one_id_with_two_texts_keeps_the_links_of_both(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y")]
+    got = {tuple(r) for r in ngram_join.link_components(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), 3, 90).collect()}
+    assert got == {(1, 38, 1, 1), (2, 39, 1, 1), (3, 39, 1, 1)}
+
+
 def test_signatures_never_miss():
     rng = np.random.default_rng(0)
     for percent in (60, 80, 90):
