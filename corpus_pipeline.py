@@ -24,10 +24,15 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near duplicates (five words, 0.8)."""
-    found = ngram_join.link_components(docs)
-    first = found.filter("component_id is null or component_id = doc_id").select("doc_id").distinct()
-    return docs.hint("merge").join(first, F.equal_null(docs["doc_id"], first["doc_id"]), "left_semi").select(*COLUMNS)
+    """Keeps the document with the smallest id of each group of near duplicates (five words, 0.8).
+
+    Of rows that share an id one stays. Rows with a null id go by a hash of their text, which no real id reaches.
+    """
+    node = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)).alias("node")
+    rows = docs.select(*COLUMNS, node)
+    found = ngram_join.link_components(rows.select(F.col("node").alias("doc_id"), "text"))
+    first = found.filter("component_id = doc_id").select(F.col("doc_id").alias("node")).distinct()
+    return rows.hint("merge").join(first, "node", "left_semi").dropDuplicates(["node"]).select(*COLUMNS)
 
 
 def without_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
