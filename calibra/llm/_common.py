@@ -72,6 +72,12 @@ def _clear() -> None:
             return
 
 
+def small_batches(df: DataFrame) -> None:
+    """Lets Spark hand Python workers batches of about BATCH_BYTES from now on: bytes bound memory, the number of rows does not."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+BATCH_BYTES = 4 << 20
 #: Bytes of text that a Python worker turns into objects at once.
 SLICE_BYTES = 4 << 20
 
@@ -94,11 +100,6 @@ def free_name(df: DataFrame, *names: str) -> None:
         raise ValueError(f"the input already has columns {taken}; choose other output names")
 
 
-def doc_hash(col: str = "doc_id"):
-    """A seedless uniform hash of an id, for reproducible sampling."""
-    return F.xxhash64(F.col(col))
-
-
 #: Bits of a membership filter: its size is fixed, whatever the number of ids; with very many ids it lets all rows pass.
 FILTER_BITS = 1 << 25
 

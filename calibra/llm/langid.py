@@ -2,17 +2,17 @@
 
 A text's features are its lower-cased character n-grams (as UTF-8 bytes, words set apart by single spaces), hashed into
 a fixed number of buckets. Their embeddings are averaged and classified by a linear softmax. Both are trained by
-stochastic gradient descent in numpy on a bounded sample of labelled rows: at most ROWS_PER_LANG of each of at most
-MAX_LANGS languages, taken by a hash of the id. A fifth of the sample is kept back: it sets the temperature that
-calibrates the probabilities, and the probability under which a prediction is rejected as `und`.
-
-A null text, or one without a letter, is `und` with score 0. A rejected text is `und` with the probability that was
-too low. With no labelled row every text is `und`. Texts are read whole; repeated rows give repeated results; an empty
-table gives an empty result; other columns are not looked at.
+stochastic gradient descent in numpy on a bounded sample of labelled rows: at most ROWS_PER_LANG of each language and
+about SAMPLE_ROWS in all, taken by a hash of the id; every language is learned. A fifth of the sample is kept back: it
+sets the temperature that calibrates the probabilities, and the probability under which a prediction is rejected.
+
+A null text, or one without a letter (Unicode category L), is `und` with score 0. A rejected text keeps the language that
+is most likely, with `rejected` true, as have texts that are `und`. With no labelled row every text is `und`. Texts are
+read whole; repeated rows give repeated results; an empty table gives an empty result; other columns are not looked at,
+but must not be called lang_pred, score or rejected.
 """
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,16 +21,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from calibra.llm._common import doc_hash, table
+from calibra.llm._common import free_name, give_back, slices, small_batches, table
 
 BUCKET_BITS, DIM, EPOCHS, BATCH, RATE = 14, 16, 12, 32, 4.0
 #: The bound of the training sample.
-ROWS_PER_LANG, MAX_LANGS = 512, 64
+ROWS_PER_LANG, SAMPLE_ROWS, LEAST_ROWS = 512, 32_768, 16
 #: The share of right calibration predictions that rejection may cost.
 REJECTED_RIGHT = 0.001
 UNKNOWN = "und"
 _COUNTED = [T.StructField("lang", T.StringType()), T.StructField("buckets", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.IntegerType()))]
-_LETTER = re.compile(r"[^\W\d_]")
 #: ASCII that is no letter separates words.
 _BYTES = np.array([b if b >= 128 or chr(b).isalpha() else 32 for b in range(256)], np.uint8)
 
@@ -56,14 +55,15 @@ class Model:
     def __init__(self, langs: list[str], scores: np.ndarray, bias: np.ndarray, temperature: float, least: float):
         self.langs, self.scores, self.bias, self.temperature, self.least = langs, scores, bias, temperature, least
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        if not self.langs or not text or not _LETTER.search(text):
-            return UNKNOWN, 0.0
+    def predict(self, text: str | None) -> tuple[str, float, bool]:
+        """The most likely language, its probability, and whether that is too low."""
+        if not self.langs or not text or not any(map(str.isalpha, text)):
+            return UNKNOWN, 0.0, True
         counts = features(text)
         z = (counts @ self.scores) / max(1, counts.sum()) + self.bias
         p = _softmax(z[None, :] / self.temperature)[0]
         best = int(p.argmax())
-        return (self.langs[best] if p[best] >= self.least else UNKNOWN), float(p[best])
+        return self.langs[best], float(p[best]), bool(p[best] < self.least)
 
 
 def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Model:
@@ -115,22 +115,30 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Model:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, "text"):
         found = [features(t) for t in batch.column("text").to_pylist()]
         at = [np.flatnonzero(f).astype(np.int32) for f in found]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(at, pa.list_(pa.int32())), pa.array([f[i].astype(np.int32) for f, i in zip(found, at, strict=True)], pa.list_(pa.int32()))], names=["doc_id", "lang", "buckets", "counts"])
 
 
-def train(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG, max_langs: int = MAX_LANGS) -> Model:
-    """Learns from the text and lang of docs alone; the driver gets counts of a bounded sample, no texts."""
+def train(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG, sample_rows: int = SAMPLE_ROWS) -> Model:
+    """Learns from the text and lang of docs alone; the driver gets counts of a bounded sample, no texts.
+
+    All rows of a language are counted first; a hash of the id then lets about four times the wanted number through, so
+    that no language's rows meet in one task before they are few.
+    """
+    small_batches(docs)
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    langs = [r[0] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()]
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("_all"))
+    langs = sizes.count()
     if not langs:
         return fit([])
-    order = Window.partitionBy("lang").orderBy("_order", "doc_id")
-    taken = labelled.filter(F.col("lang").isin(langs)).select("doc_id", "lang", doc_hash().alias("_order")).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= rows_per_lang)
-    picked = taken.select("doc_id", "lang").distinct()  # at most rows_per_lang * max_langs rows
-    sample = labelled.join(F.broadcast(picked), ["doc_id", "lang"], "left_semi").select("doc_id", "lang", "text").dropDuplicates(["doc_id", "lang"])
+    wanted = min(rows_per_lang, max(LEAST_ROWS, sample_rows // langs))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 52))
+    few = labelled.select("doc_id", "lang", place.alias("_place")).join(sizes, "lang").filter(F.col("_place") < F.lit(4.0 * wanted * (1 << 52)) / F.col("_all")).select("doc_id", "lang", "_place")
+    order = Window.partitionBy("lang").orderBy("_place", "doc_id")
+    picked = few.distinct().withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= wanted).select("doc_id", "lang")  # at most wanted rows a language
+    sample = labelled.join(F.broadcast(picked), ["doc_id", "lang"], "left_semi").dropDuplicates(["doc_id", "lang"])
     schema = T.StructType([sample.schema["doc_id"], *_COUNTED])
     got = sample.mapInArrow(_counted, schema).toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
     rows = zip(got["lang"].to_pylist(), got["buckets"], got["counts"], strict=True)
@@ -138,16 +146,20 @@ def train(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG, max_langs: int =
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score; the model's size is bounded by buckets and languages."""
+    """docs with lang_pred, score and rejected; the model's size is that of buckets times languages."""
+    free_name(docs, "lang_pred", "score", "rejected")
+    small_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
+        for batch in slices(batches, text):
             found = [model.predict(t) for t in batch.column(text).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+            cols = [pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=[*batch.schema.names, "lang_pred", "score", "rejected"])
+        give_back()
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]))
 
 
 def held_out(col: str = "doc_id"):
@@ -159,7 +171,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out())
     model = train(docs.filter(~F.col("held_out")))
     found = predict(docs.select("doc_id", "held_out", "text"), model)
-    return found.select("doc_id", "held_out", "lang_pred", "score")
+    return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
 QUERIES = {"op4_language_id": op4_language_id}

@@ -1,7 +1,11 @@
 from __future__ import annotations
 
 import random
+import re
+import unicodedata
+import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -34,10 +38,15 @@ def test_held_out_accuracy(docs, model):
 def test_rejects_and_edges(spark, model):
     rows = [(1, None), (2, ""), (3, "123 !!! ..."), (4, "жщюя ъыэё жщюя"), (5, "THE NATION WAS OVER THE THING"), (6, "the and that " * 50000), (None, "der und nicht ist")]
     df = spark.createDataFrame([(i, t, "x", 1.5) for i, t in rows], "doc_id long, text string, lang string, other double")
-    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(df, model).collect()}
-    assert got[1] == got[2] == got[3] == (langid.UNKNOWN, 0.0)
-    assert got[4][0] == langid.UNKNOWN and 0 < got[4][1] < 0.6
-    assert got[5][0] == "en" and got[6][0] == "en" and got[None][0] == "de"
+    rows += [(7, "½ ² Ⅷ 12"), (8, "ª 12")]
+    df = spark.createDataFrame([(i, t, "x", 1.5) for i, t in rows], "doc_id long, text string, lang string, other double")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"], r["rejected"]) for r in langid.predict(df, model).collect()}
+    assert got[1] == got[2] == got[3] == got[7] == (langid.UNKNOWN, 0.0, True)
+    assert got[4][0] in model.langs and 0 < got[4][1] < 0.6 and got[4][2]
+    assert got[8][0] in model.langs  # category Lo is a letter, No and Nl are none
+    assert got[5][::2] == ("en", False) and got[6][::2] == ("en", False) and got[None][::2] == ("de", False)
+    with pytest.raises(ValueError):
+        langid.predict(df.withColumnRenamed("other", "score"), model)
 
 
 def test_nothing_to_learn_from(spark):
@@ -55,3 +64,36 @@ def test_one_language_and_repeats(spark):
 def test_training_is_bounded_and_stable(docs):
     a, b = (langid.train(docs, rows_per_lang=20) for _ in range(2))
     assert a.langs == b.langs and (a.scores == b.scores).all()
+
+
+def test_every_language_is_learned_whatever_their_number(spark):
+    rows = [(100 * k + i, f"{chr(97 + k % 26)}{chr(97 + k // 26)}{chr(97 + k % 7)} " * 20, f"l{k:03d}") for k in range(100) for i in range(3)]
+    m = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert m.langs == [f"l{k:03d}" for k in range(100)]
+
+
+def test_query_against_slow_predictions(spark, tmp_path):
+    """The query's rows from the model's scores by plain loops over the n-grams."""
+    rng = random.Random(9)
+    rows = [(i, text(k, rng), k) for i in range(300) for k in [rng.choice(list(WORDS))]] + [(400, None, "en"), (401, "12 ½", None), (402, "Ünïcödé--WORDS  and\tmore 12 words", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    m = langid.train(docs.filter(~langid.held_out()))
+    got = {r["doc_id"]: r for r in langid.op4_language_id(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    for i, t, _ in rows:
+        assert got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2)
+        if not any(unicodedata.category(c).startswith("L") for c in t or ""):
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
+            continue
+        b = re.sub(rb"[\x00-\x40\x5b-\x60\x7b-\x7f]+", b" ", f" {t.lower()} ".encode())
+        z, n = np.zeros(len(m.langs)), 0
+        for width, mult in ((3, 0x9E3779B1), (4, 0x85EBCA77)):
+            for k in range(len(b) - width + 1):
+                z += m.scores[int.from_bytes(b[k : k + width]) * mult % 2**32 >> 32 - langid.BUCKET_BITS]
+                n += 1
+        z = z / n + m.bias
+        p = np.exp((z - z.max()) / m.temperature)
+        p /= p.sum()
+        assert got[i]["lang_pred"] == m.langs[int(p.argmax())] and abs(got[i]["score"] - p.max()) < 1e-5
+        assert got[i]["rejected"] == (got[i]["score"] < m.least)
