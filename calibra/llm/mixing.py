@@ -7,12 +7,18 @@ are cut to what they hold and the rest is raked again, until both hold or no mix
 Documents are drawn by a hash of the id: the same ones on every run and at every cluster size.
 
 Targets name values and shares. Values without a target share one (their token share by default) as `*`; targets whose
-value has no token are left out and the rest scaled to 1. The cells are therefore bounded by the targets, and are the
-only data that comes to the driver. A document without words counts as one token. Nulls are a value of their own, written `(none)`. Rows
-with the same id are kept or dropped together within a cell. An empty table gives an empty result.
+value has no token are left out and the rest scaled to 1. By default each value of the corpus is its own target, its
+share raised to TEMPER. Only the cells that occur come to the driver, a row of three names and a number each, however
+many documents they hold. A document without tokens counts as one. Nulls are a value of their own, written `(none)`.
+Rows with the same id are kept or dropped together within a cell. An empty table gives an empty result.
+
+The corpus has no topics; unless a column for it is given, `topic_of` tells a few apart by what a text holds: legal notices,
+contact data, code, lists of figures, shouting, and prose.
 """
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,30 +27,31 @@ from calibra.llm._common import cut, table
 
 DIMS = ("source", "lang", "topic")
 ROUNDS, REFITS, TOLERANCE, BUDGET = 100, 50, 1e-6, 0.5
-#: Targets made from the corpus name this many values at most; their shares are raised to this power.
-MOST_VALUES, TEMPER = 1000, 0.7
+#: Shares of targets made from the corpus are raised to this power.
+TEMPER = 0.7
 _NONE, _REST = "(none)", "*"
+#: A token: a run of letters, a run of digits, or one other mark.
+TOKEN = r"[\p{L}\p{M}]+|\p{N}+|[^\s\p{L}\p{M}\p{N}]"
+LEGAL = ("licensed under", "license, version", "public license", "all rights reserved", "copyright (c)", "permission is hereby granted", "spdx-license-identifier")
+CODE = ("();", "){", ") {", "};", "==", "def ", "import ", "</")
 
 
 def topic_of(text: Column) -> Column:
-    """A coarse topic by form: how much of the whole text is white space and small letters or digits."""
+    """A coarse topic of a whole text; the first rule that holds decides."""
     text = F.coalesce(text, F.lit(""))
     n = F.greatest(F.octet_length(text), F.lit(1))
-    kept = F.octet_length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789.,;:!?#$%&*", ""))
-    share = kept / n
-    return F.when(share >= 0.9, "prose").when(share >= 0.5, "marked").otherwise("loud")
+    share = lambda marks: (F.octet_length(text) - F.octet_length(F.translate(text, marks, ""))) / n
+    holds = lambda x, parts: functools.reduce(lambda a, b: a | b, (x.contains(p) for p in parts))
+    legal = holds(F.lower(text), LEGAL)
+    return (
+        F.when(legal, "legal").when(text.contains("@") & text.rlike(r"\S@\w[\w.-]*\.\w"), "contact").when(holds(text, CODE), "code")
+        .when(share("0123456789") >= 0.2, "figures").when(share("ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?#$%&*") >= 0.25, "loud").otherwise("prose")
+    )
 
 
 def tokens_of(text: Column) -> Column:
-    """Words of the whole text, one at least."""
-    text = F.coalesce(text, F.lit(""))
-    return F.greatest(F.lit(1), F.length(text) - F.length(F.translate(text, " \n\t", "")) + 1).cast("long")
-
-
-def tempered(sums: DataFrame, dim: str, temper: float) -> dict[str, float]:
-    rows = sums.groupBy(dim).agg(F.sum("tokens").alias("t")).orderBy(F.desc("t"), dim).limit(MOST_VALUES).collect()
-    shares = {r[0]: float(r[1]) ** temper for r in rows}
-    return {k: v / sum(shares.values()) for k, v in shares.items()}
+    """Tokens of the whole text, one at least."""
+    return F.greatest(F.lit(1), F.regexp_count(F.coalesce(text, F.lit("")), F.lit(TOKEN))).cast("long")
 
 
 def rake(tokens: np.ndarray, index: list[np.ndarray], targets: list[np.ndarray]) -> np.ndarray:
@@ -62,17 +69,19 @@ def rake(tokens: np.ndarray, index: list[np.ndarray], targets: list[np.ndarray])
     return x / x.sum()
 
 
-def probabilities(cells: list[tuple], targets: dict[str, dict[str, float]], budget: float = BUDGET) -> dict[tuple, float]:
-    """cells: (value of each dimension, tokens). Gives the keeping probability of each cell."""
-    tokens = np.array([c[-1] for c in cells], np.float64)
+def probabilities(names: list[list[str]], tokens: np.ndarray, targets: dict[str, dict[str, float]], budget: float = BUDGET, temper: float = TEMPER) -> np.ndarray:
+    """The keeping probability of each cell. names: the cells' values in each dimension; no targets: those of the corpus, tempered."""
+    tokens = np.asarray(tokens, np.float64)
     index, goals = [], []
-    for d, dim in enumerate(DIMS):
-        values = sorted({c[d] for c in cells})
-        at = np.array([values.index(c[d]) for c in cells])
+    for dim, column in zip(DIMS, names, strict=True):
+        values, at = np.unique(np.asarray(column, object), return_inverse=True)
         own = np.bincount(at, tokens, len(values)) / tokens.sum()
-        goal = np.array([targets[dim].get(v, np.nan) for v in values])
-        rest = np.isnan(goal)
-        goal[rest] = targets[dim].get(_REST, own[rest].sum()) * own[rest] / max(own[rest].sum(), 1e-300)
+        if dim not in targets:
+            goal = own**temper
+        else:
+            goal = np.array([targets[dim].get(v, np.nan) for v in values])
+            rest = np.isnan(goal)
+            goal[rest] = targets[dim].get(_REST, own[rest].sum()) * own[rest] / max(own[rest].sum(), 1e-300)
         index.append(at)
         goals.append(goal / goal.sum())
     wanted, kept = budget * tokens.sum(), tokens
@@ -81,48 +90,57 @@ def probabilities(cells: list[tuple], targets: dict[str, dict[str, float]], budg
         kept = np.minimum(raked, tokens)
         if kept.sum() >= wanted * (1 - TOLERANCE):
             break
-    return {tuple(c[:-1]): float(v) for c, v in zip(cells, kept / tokens, strict=True)}
+    return kept / tokens
+
 
+def _named(targets: dict[str, dict[str, float]], topic: Column) -> list[Column]:
+    """The cell of a row; values that a given target does not name are one."""
+    value = {"source": F.coalesce(F.col("source").cast("string"), F.lit(_NONE)), "lang": F.coalesce(F.col("lang").cast("string"), F.lit(_NONE)), "topic": F.coalesce(topic, F.lit(_NONE))}
+    return [F.when(value[d].isin([v for v in targets[d] if v != _REST]), value[d]).otherwise(F.lit(_REST)) if d in targets else value[d] for d in DIMS]
 
-def _lumped(dim: str, named: list[str]) -> Column:
-    return F.when(F.col(dim).isin(named), F.col(dim)).otherwise(F.lit(_REST))
 
+def _cells(slim: DataFrame, keys: list[str], targets: dict[str, dict[str, float]], budget: float, temper: float) -> DataFrame:
+    """One row for each cell that occurs: its values and keeping probability."""
+    spark = slim.sparkSession
+    sums = slim.groupBy(*keys).agg(F.sum("tokens").alias("tokens")).toArrow()
+    schema = ", ".join(f"`{k}` string" for k in keys) + ", probability double"
+    if not sums.num_rows:
+        return spark.createDataFrame([], schema)
+    names = [sums[k].to_pylist() for k in keys]
+    p = probabilities(names, np.asarray(sums["tokens"]), targets, budget, temper)
+    return spark.createDataFrame(list(zip(*names, p.tolist(), strict=True)), schema)
 
-def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, topic: Column | None = None, budget: float = BUDGET, temper: float = TEMPER, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(decisions, cells): doc_id, source, lang, topic, tokens, probability, kept for each row of docs; the raked cells."""
-    spark = docs.sparkSession
+
+def _drawn() -> Column:
+    return F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 52)) / float(1 << 52)
+
+
+def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, topic: Column | None = None, budget: float = BUDGET, temper: float = TEMPER, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, source, lang, topic, tokens, probability, kept for each row of docs."""
+    targets = targets or {}
     named = [F.coalesce(F.col(c).cast("string"), F.lit(_NONE)).alias(c) for c in ("source", "lang")]
-    slim = cut(docs.select(F.col(doc_id).alias("doc_id"), *named, (topic_of(F.col(text)) if topic is None else topic).alias("topic"), tokens_of(F.col(text)).alias("tokens")))
-    targets = {d: (targets or {}).get(d) or tempered(slim, d, temper) for d in DIMS}
-    keys = [_lumped(d, [v for v in targets[d] if v != _REST]).alias(f"_{d}") for d in DIMS]
-    sums = slim.groupBy(*keys).agg(F.sum("tokens").alias("tokens")).collect()  # at most the product of the targets' values
-    raked = probabilities([tuple(r) for r in sums], {d: targets[d] for d in DIMS}, budget) if sums else {}
-    cells = spark.createDataFrame([(*k, p) for k, p in raked.items()], ", ".join(f"_{d} string" for d in DIMS) + ", probability double")
-    u = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 52)) / float(1 << 52)
-    placed = slim.select("*", *keys).join(F.broadcast(cells), [f"_{d}" for d in DIMS], "left")
-    return placed.select("doc_id", *DIMS, "tokens", "probability", (u < F.col("probability")).alias("kept")), cells
-
-
-def sample(docs: DataFrame, **how) -> DataFrame:
+    slim = cut(docs.select(F.col(doc_id).alias("doc_id"), *named, F.coalesce(topic_of(F.col(text)) if topic is None else topic, F.lit(_NONE)).alias("topic"), tokens_of(F.col(text)).alias("tokens")))
+    keys = [f"_{d}" for d in DIMS]
+    keyed = slim.select("*", *(c.alias(k) for k, c in zip(keys, _named(targets, F.col("topic")), strict=True)))
+    cells = _cells(keyed, keys, targets, budget, temper)
+    placed = keyed.join(cells, keys, "left")
+    return placed.select("doc_id", *DIMS, "tokens", "probability", (_drawn() < F.col("probability")).alias("kept"))
+
+
+def sample(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, topic: Column | None = None, budget: float = BUDGET, temper: float = TEMPER) -> DataFrame:
     """The kept rows of docs, with their own columns."""
-    spark, topic = docs.sparkSession, how.pop("topic", None)
-    _, cells = mix(docs, topic=topic, **how)
-    named = {d: [r[0] for r in cells.select(f"_{d}").distinct().collect()] for d in DIMS}
-    value = {"source": F.coalesce(F.col("source").cast("string"), F.lit(_NONE)), "lang": F.coalesce(F.col("lang").cast("string"), F.lit(_NONE)), "topic": topic_of(F.col("text")) if topic is None else topic}
-    table_of = {tuple(r[:3]): r[3] for r in cells.collect()}
-    if not table_of:
-        return docs
-    lookup = F.create_map(*(F.lit(x) for k, p in table_of.items() for x in ("\x1f".join(k), p))) if len(table_of) <= 500 else None
-    lumped = [F.when(value[d].isin(named[d]), value[d]).otherwise(F.lit(_REST)) for d in DIMS]
-    u = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 52)) / float(1 << 52)
-    if lookup is not None:
-        return docs.filter(u < F.try_element_at(lookup, F.concat_ws("\x1f", *lumped)))
-    flat = spark.createDataFrame([("\x1f".join(k), p) for k, p in table_of.items()], "_cell string, _p double")
-    return docs.withColumn("_cell", F.concat_ws("\x1f", *lumped)).join(F.broadcast(flat), "_cell").filter(u < F.col("_p")).select(*docs.columns)
+    targets = targets or {}
+    names = [f"_cell_{d}" for d in DIMS]
+    while {*names, "_probability"} & set(docs.columns):
+        names = [f"_{n}" for n in names]
+    keys = [c.alias(n) for n, c in zip(names, _named(targets, topic_of(F.col("text")) if topic is None else topic), strict=True)]
+    cells = _cells(docs.select(*keys, tokens_of(F.col("text")).alias("tokens")), names, targets, budget, temper).select(*names, F.col("probability").alias("_" + names[0]))
+    placed = docs.select("*", *keys).join(cells, names)
+    return placed.filter(_drawn() < F.col("_" + names[0])).select(*docs.columns)
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents"))[0]
+    return mix(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {"op8_source_mixing": op8_source_mixing}
