@@ -18,8 +18,9 @@ def brute(rows, k, every):
     return sorted(out)
 
 
-@pytest.mark.parametrize("coord", [0.0, 0.8, 2.0])
-def test_same_as_brute_force(spark, monkeypatch, coord):
+@pytest.mark.parametrize(("coord", "warm"), [(0.0, 20), (0.8, 1), (2.0, 100_000)])
+def test_same_as_brute_force(spark, monkeypatch, coord, warm):
+    monkeypatch.setattr(topk, "WARM", warm)
     monkeypatch.setattr(topk, "COORD_FROM", coord)
     monkeypatch.setattr(topk, "CANDIDATES", 40)
     monkeypatch.setattr(topk, "QUERIES_PER_BLOCK", 7)
