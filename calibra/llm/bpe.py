@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from calibra.llm._common import free_name, give_back, slices, table
+from calibra.llm._common import free_name, give_back, slices, small_batches, table
 
 VOCAB = "byte_bpe_50k.tiktoken"
 #: Entries that a worker's memo of pre-tokens, and of token pairs, holds before it starts anew: about 10 MB each.
@@ -182,6 +182,7 @@ def _spread(spark: SparkSession, vocab: str):
 def encode(df: DataFrame, text: str = "text", ids: str = "ids", vocab: str = VOCAB, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """df with the token ids of each whole text as array<int>."""
     free_name(df, ids)
+    small_batches(df)
     ranks = _spread(df.sparkSession, vocab)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,6 +200,7 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", vocab: str = VOC
 def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", vocab: str = VOCAB, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """df with the bytes that the ids stand for; null ids give no bytes."""
     free_name(df, out)
+    small_batches(df)
     ranks = _spread(df.sparkSession, vocab)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,6 +214,7 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", vocab: str = V
 
 def round_trip(df: DataFrame, key: str = "doc_id", text: str = "text", vocab: str = VOCAB, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """Encodes and decodes each text in one pass and keeps digests only: key, n_tokens, ids_sha256, decoded_sha256."""
+    small_batches(df)
     ranks = _spread(df.sparkSession, vocab)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,11 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calibra.llm._common import table
+from calibra.llm._common import slices, small_batches, table
 
 WINDOW, LONGEST, RUN = 7, 64, 4
-#: Expected UTF-8 bytes in a stretch of neighbouring documents that one task reads in order.
-STRETCH_BYTES, MOST_STRETCHES = 4_000_000, 4096
+#: Expected UTF-8 bytes in a stretch of neighbouring documents. A task reads some stretches in order, a row at a time, so
+#: that with more than STRETCHES times as much they grow, and its memory does not.
+STRETCH_BYTES, STRETCHES = 4_000_000, 65_536
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 _LETTERS = np.frombuffer(_ALPHABET.encode(), np.uint8)
 _TABLE = np.random.default_rng(20240501).integers(0, 2**32, 256, np.uint32)
@@ -110,20 +111,20 @@ def likeness(a: str, b: str) -> float:
 def with_next(docs: DataFrame) -> tuple[DataFrame, int]:
     """docs (doc_id, text) dealt into stretches of neighbours, in order; each stretch ends with the first document of the next.
 
-    Gives columns stretch, guest, doc_id, text. Boundaries come from at most MOST_STRETCHES quantiles of the id.
+    Gives columns stretch, guest, doc_id, text. Boundaries are quantiles of the id, as many as the bytes ask for.
     """
     low = F.lit(-(1 << 63))
     docs = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), low))
-    grid = [i / MOST_STRETCHES for i in range(1, MOST_STRETCHES)]
-    total, points = docs.agg(F.sum(F.octet_length("text")), F.percentile_approx("_id", grid, 40 * MOST_STRETCHES)).first()
-    n = max(1, min(MOST_STRETCHES, -(-(total or 0) // STRETCH_BYTES)))
-    bounds = sorted({points[i * MOST_STRETCHES // n - 1] for i in range(1, n)}) if points else []
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, min(STRETCHES, -(-total // STRETCH_BYTES)))
+    points = docs.agg(F.percentile_approx("_id", [i / n for i in range(1, n)], max(10_000, 40 * n))).first()[0] if n > 1 else None
+    bounds = sorted(set(points or []))
     array = F.array(*map(F.lit, bounds)) if bounds else None
     depth = len(bounds).bit_length()
     at = lambda lo, step: F.when((lo + step <= len(bounds)) & (F.get(array, lo + step - 1) <= F.col("_id")), lo + step).otherwise(lo)
     stretch = F.aggregate(F.array(*(F.lit(1 << b) for b in range(depth - 1, -1, -1))), F.lit(0), at) if bounds else F.lit(0)
     docs = docs.withColumn("stretch", stretch)
-    firsts = sorted((r[0], r[1]) for r in docs.groupBy("stretch").agg(F.min("_id")).collect())  # at most MOST_STRETCHES rows
+    firsts = sorted((r[0], r[1]) for r in docs.groupBy("stretch").agg(F.min("_id")).collect())  # a row for each stretch
     before = {firsts[i][1]: firsts[i - 1][0] for i in range(len(firsts))}
     table_of = F.create_map(*(F.lit(x) for pair in before.items() for x in pair)) if before else None
     target = F.try_element_at(table_of, F.col("_id")) if before else F.lit(None).cast("int")
@@ -145,7 +146,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prev, in_stretch, ended = None, None, False
-        for batch in batches:
+        for batch in slices(batches, "text"):
             out = []
             for stretch, guest, doc, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if stretch != in_stretch:
@@ -160,6 +161,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             cols = list(zip(*out, strict=True)) or [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
+    small_batches(docs)
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     dealt, parts = with_next(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")))

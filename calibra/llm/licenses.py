@@ -1,13 +1,13 @@
 """Licence scan: a trained paragraph classifier on sparse word n-grams, with DataFrame functions only.
 
-Paragraphs are the lines of a text. Those that name a term of licensing become the set of their word pairs and triples.
+Paragraphs end at blank lines, so that a wrapped notice is one. Those that name a term of licensing become the set of their word pairs and triples.
 A softmax regression over these, kept sparse by an L1 penalty, gives the probabilities of licence families and of `none`
 (talk about licences that grants nothing). It is trained on the driver, on built-in labelled lines: notices and texts of
 the families, parts of them, and everyday lines that use the same terms. A held-out part of them sets the temperature
 and the probability under which a paragraph is `unknown`. A prediction counts when a template of its family agrees:
 the paragraph's n-grams that a template holds, over the smaller of the two sets, reach CONFIRM; else it is `unknown`.
 
-A line without any term of TERMS has no feature (all n-grams kept contain one), so it is `none` without being scored.
+A paragraph without any term of TERMS has no feature (all n-grams kept contain one), so it is `none` without being scored.
 A null or empty text has no paragraphs: family `none`, probability 0. Texts are read whole; rows are independent, so
 repeated rows repeat their results; extra columns are not looked at; an empty table gives an empty result.
 """
@@ -24,9 +24,11 @@ from calibra.llm._common import table
 
 NONE, UNKNOWN = "none", "unknown"
 WORD = r"[a-z0-9]+(?:\.[0-9]+)*"
+#: What lies between paragraphs: a blank line.
+PARAGRAPH = r"\n[ \t\r]*\n"
 CONFIRM, FALSE_ACCEPT, L1, STEPS = 0.5, 0.01, 2e-4, 400
 #: Words that a licence notice cannot do without; every feature contains one of them.
-TERMS = "license licensed licence licenced licenses licensor copyright copyleft permission warranty redistribution redistribute apache gnu gpl lgpl agpl mozilla mpl bsd creativecommons commons cc cc0 spdx unlicense proprietary reserved".split()
+TERMS = "license licensed licence licenced licenses licensor copyright copyleft permission warranty redistribution redistribute apache gnu gpl lgpl agpl mozilla mpl bsd creativecommons commons cc cc0 spdx unlicense proprietary reserved unencumbered sublicense merchantability noninfringement domain permitted".split()
 #: Notices and opening sentences of the families, written as they appear in the wild (fixed values).
 TEMPLATES = {
     "Apache-2.0": [
@@ -53,7 +55,7 @@ TEMPLATES = {
     "CC-BY": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "Released under CC BY 3.0."],
     "CC-BY-SA": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Released under CC BY-SA 3.0."],
     "CC-BY-NC": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Released under CC BY-NC 3.0."],
-    "CC0": ["Dedicated to the public domain under the Creative Commons CC0 1.0 Universal dedication.", "Licensed under CC0 1.0.", "SPDX-License-Identifier: CC0-1.0", "This is free and unencumbered software released into the public domain under the Unlicense license."],
+    "CC0": ["Dedicated to the public domain under the Creative Commons CC0 1.0 Universal dedication.", "Licensed under CC0 1.0.", "SPDX-License-Identifier: CC0-1.0", "This is free and unencumbered software released into the public domain.", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software under the Unlicense", "Dedicated to the public domain."],
     "proprietary": ["Copyright All rights reserved. Unauthorized copying of this file is strictly prohibited. Proprietary and confidential.", "Copyright 2020 Example Corporation. All rights reserved.", "This software is proprietary and may not be distributed without written permission of the copyright owner."],
 }
 #: Everyday lines with the same terms that grant nothing.
@@ -63,6 +65,7 @@ OTHER = [
     "The seats in the front are reserved for guests.", "A fishing license costs twenty dollars a year.", "The engine holds 50 cc of oil.", "Please cc me on your answer.", "The redistribution of income was debated for years.",
     "All rights and duties of a citizen are listed here.", "The licensed doctor moved to the city.", "Mozilla wrote a browser.", "Students at MIT built a robot.", "He lost his licence after the accident.", "They asked the licensing board for a new license in March.",
     "The teacher gave permission for the trip.", "Parking is reserved for members of the public.", "This work took three years and a new license.", "Version 3 of the bill mentions a general warranty.",
+    "The domain of the function is the set of real numbers.", "He registered a domain name for the shop.", "Smoking is not permitted in the house.", "No dogs are permitted on the beach in summer.", "The public domain of the king ended at the river.",
 ]
 
 
@@ -172,7 +175,7 @@ def findings(text: Column, model: Model | None = None) -> Column:
     place = F.create_map(*(c for g, i in slots.items() for c in (F.lit(g), F.lit(i))))
     families = _strings(model.families)
     templates = F.array(*(F.array(*(_strings(sorted(grams(t))) for t in TEMPLATES.get(f, []))) if f != NONE else F.array(F.array(F.lit(""))) for f in model.families))
-    lines = F.transform(F.split(text, "\n"), lambda line, i: F.struct(i.alias("i"), F.lower(line).alias("line")))
+    lines = F.transform(F.split(text, PARAGRAPH), lambda line, i: F.struct(i.alias("i"), F.lower(line).alias("line")))
     has_term = lambda x: functools.reduce(lambda a, b: a | b, (x["line"].contains(t) for t in _needles()))
     own = F.transform(F.filter(lines, has_term), lambda x: F.struct(x["i"].alias("i"), _grams(x["line"]).alias("g")))
     hits = F.transform(own, lambda x: F.struct(x["i"].alias("i"), x["g"].alias("g"), F.array_intersect(x["g"], _strings(vocab)).alias("h")))

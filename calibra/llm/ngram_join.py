@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from calibra.llm._common import cut, drop, give_back, id_hash, may_hold, members_filter, slices, table
+from calibra.llm._common import cut, drop, give_back, id_hash, may_hold, members_filter, slices, small_batches, table
 from calibra.llm.graph import components
 
 #: Above this sum of set sizes a block is dealt into parts; an index of so many shingles takes some 30 MB.
@@ -339,6 +339,7 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     """
     if not 50 <= percent <= 100:
         raise ValueError("percent must be from 50 to 100")
+    small_batches(docs)
     spark = docs.sparkSession
     base = cut(_sets(docs, width, percent))
     reps = base.filter("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.count("*").alias("copies"))

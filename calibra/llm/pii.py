@@ -22,6 +22,7 @@ import hashlib
 import re
 import sys
 import unicodedata
+from bisect import bisect
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import cache
@@ -31,12 +32,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from calibra.llm._common import free_name, table
+from calibra.llm._common import free_name, give_back, slices, small_batches, table
 
 KEY = b"change me: spark.calibra.pii.key"
 GIVEN = {
-    ("latin", "f"): "Anna Maria Emma Laura Julia Sofia Clara Elena Lucia Alice Sarah Hannah Marie Camille Ingrid Greta Carmen Isabel Claire Emily".split(),
-    ("latin", "m"): "John Peter Paul Thomas Michael David Daniel Martin Lukas Felix Hans Karl Jean Pierre Louis Carlos Diego Javier James Robert".split(),
+    ("latin", "f"): "Anna Maria Emma Laura Julia Sofia Clara Elena Lucia Alice Sarah Hannah Marie Camille Ingrid Greta Carmen Isabel Claire Emily Olivia Amelia Charlotte Jessica Jennifer Elizabeth Susan Karen Margaret Nancy Katharina Sabine Petra Ursula Brigitte Monika Nathalie Sylvie Chantal Monique Pilar Dolores Teresa Rosa Ana Fatima Aisha Priya Yuki Mei".split(),
+    ("latin", "m"): "John Peter Paul Thomas Michael David Daniel Martin Lukas Felix Hans Karl Jean Pierre Louis Carlos Diego Javier James Robert William Richard Joseph Charles Christopher Matthew Andrew Kevin Brian George Jürgen Klaus Wolfgang Stefan Andreas Uwe François Jacques Philippe Michel José Luis Miguel Pablo Juan Ahmed Mohammed Raj Hiroshi Wei".split(),
     ("cyrillic", "f"): "Анна Мария Елена Ольга Наталья Ирина Татьяна Светлана".split(),
     ("cyrillic", "m"): "Иван Пётр Сергей Алексей Дмитрий Николай Михаил Андрей".split(),
     ("greek", "f"): "Μαρία Ελένη Κατερίνα Σοφία Άννα Ιωάννα".split(),
@@ -102,12 +103,12 @@ def find(text: str) -> list[tuple[int, int, str]]:
             continue
         found += [(*m.span(1), kind) for m in pattern.finditer(text)]
     found.sort(key=lambda f: (f[0] - f[1], f[0]))
-    taken, kept = [], []
+    kept: list[tuple[int, int, str]] = []
     for f in found:
-        if all(f[1] <= a or b <= f[0] for a, b in taken):
-            taken.append(f[:2])
-            kept.append(f)
-    return sorted(kept)
+        i = bisect(kept, (f[0], f[1]))  # by start: only the neighbours can overlap
+        if (i == 0 or kept[i - 1][1] <= f[0]) and (i == len(kept) or f[1] <= kept[i][0]):
+            kept.insert(i, f)
+    return kept
 
 
 class Permuter:
@@ -265,11 +266,12 @@ def pseudonymize(docs: DataFrame, key: bytes, text: str = "text", spans: str | N
     """docs with the entities of a text column replaced; spans and pairs name the columns to add, if any."""
     names = [n for n in (spans, pairs) if n]
     free_name(docs, *names)
+    small_batches(docs)
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = Surrogates(key)
-        for batch in batches:
+        for batch in slices(batches, at):
             found = [(t, [], []) if t is None else made.replace(t) for t in batch.column(at).to_pylist()]
             cols = [*batch.columns]
             cols[at] = pa.array([f[0] for f in found], pa.string())
@@ -278,6 +280,7 @@ def pseudonymize(docs: DataFrame, key: bytes, text: str = "text", spans: str | N
             if pairs:
                 cols.append(pa.array([[dict(zip(("type", "entity", "surrogate"), p, strict=True)) for p in f[2]] for f in found], _ARROW_PAIRS))
             yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names, *names])
+        give_back()
 
     extra = [T.StructField(n, k) for n, k in ((spans, _SPANS), (pairs, _PAIRS)) if n]
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *extra]))

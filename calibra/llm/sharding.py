@@ -1,8 +1,8 @@
 """Sharding by sampled splitters, with DataFrame functions only.
 
 Records are ordered by (hash of the text, id), so copies of a text stand together. A size-weighted sample of the keys
-gives quantile boundaries; the boundaries cut the key space into ranges, and a range that turns out overfull is
-sampled again and subdivided. Ranges are sorted by a task each; exact sums of sizes over ranges then place every
+gives quantile boundaries; the boundaries cut the key space into ranges, more of them the more records there are, and a
+range that turns out overfull is sampled again and subdivided. Ranges are sorted by a task each; exact sums of sizes over ranges then place every
 record, and shard i takes the bytes from i/n to (i+1)/n of the total. Law: `bytes`. Copies of a text stay in one shard
 when together they take at most 1/WHOLE_GROUPS of a shard's share; larger groups are cut where a shard is full.
 
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from calibra.llm._common import cut, table
 
 SHARDS, WHOLE_GROUPS = 24, 64
-#: Ranges per shard, expected sample keys per range, and what makes a range overfull (times the mean).
-RANGES, DRAWS, OVERFULL, ROUNDS = 8, 48, 2.0, 3
+#: Ranges per shard at least, records in a range, expected sample keys per range, what makes a range overfull (times the mean).
+RANGES, RANGE_ROWS, DRAWS, OVERFULL, ROUNDS = 8, 500_000, 48, 2.0, 3
 
 
 def _key(text: str) -> Column:
@@ -59,21 +59,22 @@ def shard(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text: s
     content = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), content.alias("_t")).select("doc_id", (F.octet_length("_t") + 8).cast("long").alias("size"), F.crc32(F.col("_t").cast("binary")).alias("text_crc32"), _key("_t").alias("k"))
     rows = cut(rows)
-    total = rows.agg(F.sum("size")).first()[0]
+    total, n = rows.agg(F.sum("size"), F.count("*")).first()
+    ranges = max(shards * RANGES, -(-n // RANGE_ROWS))
     if not total:
         return rows.select("doc_id", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
     whole = total / shards / WHOLE_GROUPS
     heavy = rows.groupBy("k").agg(F.sum("size").alias("_g")).filter(F.col("_g") > whole).select("k", F.lit(True).alias("heavy"))  # at most shards * WHOLE_GROUPS rows
     rows = rows.join(F.broadcast(heavy), "k", "left").withColumn("heavy", F.coalesce("heavy", F.lit(False))).withColumn("d", F.when(F.col("heavy"), F.coalesce("doc_id", F.lit(low))).otherwise(F.lit(low)))
-    splitters = _quantiles(rows, total, shards * RANGES)
+    splitters = _quantiles(rows, total, ranges)
     for _ in range(ROUNDS):
         filled = rows.groupBy(_range_of(splitters).alias("range")).agg(F.sum("size").alias("b"), F.max("size").alias("most"), F.min(F.struct("k", "d")).alias("lo"), F.max(F.struct("k", "d")).alias("hi"))
-        full = filled.filter((F.col("b") > OVERFULL * total / (shards * RANGES)) & (F.col("lo") < F.col("hi")) & (F.col("b") > 2 * F.col("most"))).collect()  # at most shards * RANGES / OVERFULL rows
+        full = filled.filter((F.col("b") > OVERFULL * total / ranges) & (F.col("lo") < F.col("hi")) & (F.col("b") > 2 * F.col("most"))).collect()  # at most ranges / OVERFULL rows
         if not full:
             break
         inside = rows.filter(_range_of(splitters).isin([r["range"] for r in full]))
         part = sum(r["b"] for r in full)
-        splitters = sorted({*splitters, *_quantiles(inside, part, 2 + int(2 * part * shards * RANGES / total))})
+        splitters = sorted({*splitters, *_quantiles(inside, part, 2 + int(2 * part * ranges / total))})
     order = Window.partitionBy("range").orderBy("k", "d", F.col("doc_id").asc_nulls_first(), "size", "text_crc32")
     upto = order.rowsBetween(Window.unboundedPreceding, -1)
     ranged = rows.withColumn("range", _range_of(splitters))

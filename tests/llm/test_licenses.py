@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import re
+
 from calibra.llm import licenses
 
 LINES = ["Released under the MIT License.", "Licensed### under*** the&&& Apache%%% License,!! Version 2.0.", "THIS WORK IS LICENSED UNDER THE GNU GENERAL PUBLIC LICENSE, VERSION 3.", "She renewed her driving license.", "", "plain words", "Licensed under CC BY-NC 4.0.", "license", "the license of no one knows what under the sun license"]
@@ -19,13 +21,16 @@ def test_held_out_accuracy():
 
 def test_frame_form_is_the_same(spark):
     m = licenses.train()
-    rows = [(1, "\n".join(LINES)), (2, None), (3, ""), (4, LINES[0]), (4, LINES[0]), (None, "x\n" * 2000 + LINES[1])]
+    rows = [(1, "\n \n".join(LINES)), (2, None), (3, ""), (4, LINES[0]), (4, LINES[0]), (None, "x\n" * 2000 + LINES[1]), (5, "Permission is hereby granted, free of charge, to any\nperson obtaining a copy of this software and associated\ndocumentation files, to deal in the Software without restriction"), (6, "This is free and unencumbered software released into the public domain.")]
     df = spark.createDataFrame([(i, t, "n") for i, t in rows], "doc_id long, text string, family string")
     scanned = licenses.scan(df)
     for r in scanned.collect():
-        want = [(i, *m.predict(x)) for i, x in enumerate((r["text"] or "").split("\n"))]
-        want = [(i, f, round(p, 9)) for i, f, p in want if f != licenses.NONE and any(g in m.weights for g in licenses.grams((r["text"] or "").split("\n")[i]))]
+        parts = re.split(licenses.PARAGRAPH, r["text"] or "")
+        want = [(i, *m.predict(x)) for i, x in enumerate(parts)]
+        want = [(i, f, round(p, 9)) for i, f, p in want if f != licenses.NONE and any(g in m.weights for g in licenses.grams(parts[i]))]
         assert [(x["paragraph"], x["family"], round(x["probability"], 9)) for x in r["licences"]] == want
+    family = {r["doc_id"]: [x["family"] for x in r["licences"]] for r in scanned.collect()}
+    assert family[5] == ["MIT"] and family[6] == ["CC0"]  # a wrapped notice; a dedication without the word licence
     assert not any(w in scanned._jdf.queryExecution().toString() for w in ("MapInArrow", "PythonUDF", "ArrowEvalPython"))
     assert licenses.scan(df.limit(0)).count() == 0
 

@@ -11,9 +11,9 @@ COLUMNS = {
     "op1_byte_bpe": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
     "op2_sharding": ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"],
     "op3_fingerprints": ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
-    "op4_language_id": ["doc_id", "held_out", "lang_pred", "score"],
-    "op7_suffix_dedup": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
-    "op9_ngram_jaccard": ["doc_id", "n_shingles", "component_id"],
+    "op4_language_id": ["doc_id", "held_out", "lang_pred", "score", "rejected"],
+    "op7_suffix_dedup": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_bytes"],
+    "op9_ngram_jaccard": ["doc_id", "n_shingles", "component_id", "n_links"],
     "op10_exact_top_k": ["query_id", "rank", "vec_id", "score"],
 }
 
