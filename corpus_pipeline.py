@@ -20,7 +20,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Drops documents whose language is rejected; learns from the labelled rows that op4 learns from."""
     docs = docs.select(*COLUMNS)
     model = langid.train(docs.filter(~langid.held_out()))
-    return langid.predict(docs, model).filter(F.col("lang_pred") != langid.UNKNOWN).select(*COLUMNS)
+    return langid.predict(docs, model).filter(~F.col("rejected")).select(*COLUMNS)
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
