@@ -19,19 +19,38 @@ def sigmoid(z: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value evaluated once for each row, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def centred(z: Column) -> Column:
+    """z less its largest element."""
+    return let(z, lambda v: let(F.array_max(v), lambda m: F.transform(v, lambda x: x - m)))
+
+
 def softmax(z: Column, temperature: Column | float = 1.0) -> Column:
     t = temperature if isinstance(temperature, Column) else F.lit(float(temperature))
-    e = F.transform(z, lambda x: F.exp((x - F.array_max(z)) / t))
-    return F.transform(e, lambda x: x / total(e))
+    return scaled_to_one(F.transform(centred(z), lambda x: F.exp(x / t)))
+
+
+def scaled_to_one(e: Column) -> Column:
+    return let(e, lambda v: let(total(v), lambda s: F.transform(v, lambda x: x / s)))
 
 
 def logsumexp(z: Column) -> Column:
-    return F.array_max(z) + F.log(total(F.transform(z, lambda x: F.exp(x - F.array_max(z)))))
+    return let(z, lambda v: let(F.array_max(v), lambda m: m + F.log(F.aggregate(v, F.lit(0.0), lambda s, x: s + F.exp(x - m)))))
+
+
+def nll_at(c: Column, y: Column, t: Column | float) -> Column:
+    """Negative log likelihood of level y at temperature t, from centred logits c."""
+    t = t if isinstance(t, Column) else F.lit(float(t))
+    return F.log(F.aggregate(c, F.lit(0.0), lambda s, x: s + F.exp(x / t))) - F.get(c, y) / t
 
 
 def argmax(p: Column) -> Column:
     """The first index of the largest element, from 0."""
-    return (F.array_position(p, F.array_max(p)) - 1).cast("int")
+    return let(p, lambda v: (F.array_position(v, F.array_max(v)) - 1).cast("int"))
 
 
 def top(p: Column) -> Column:
@@ -40,14 +59,16 @@ def top(p: Column) -> Column:
 
 def entropy_confidence(p: Column) -> Column:
     """1 - H / ln K, within [0, 1]; 0 for a single option, where it is not defined."""
-    h = -total(F.transform(p, lambda x: F.when(x > 0, x * F.log(x)).otherwise(F.lit(0.0))))
-    k = F.size(p)
-    return F.when(k < 2, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - h / F.log(k.cast("double")))))
+
+    def of(v: Column) -> Column:
+        h = -F.aggregate(v, F.lit(0.0), lambda s, x: s + F.when(x > 0, x * F.log(x)).otherwise(F.lit(0.0)))
+        return F.when(F.size(v) < 2, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - h / F.log(F.size(v).cast("double")))))
+
+    return let(p, of)
 
 
 def margin(p: Column) -> Column:
-    s = F.sort_array(p, asc=False)
-    return F.get(s, F.lit(0)) - F.get(s, F.lit(1))
+    return let(F.sort_array(p, asc=False), lambda s: F.get(s, F.lit(0)) - F.get(s, F.lit(1)))
 
 
 def expected_level(p: Column) -> Column:
@@ -75,21 +96,23 @@ def rotations(n: Column, wanted: int) -> Column:
 
 def unrotate(z: Column, shift: Column) -> Column:
     """Logits in option order from logits of options shifted left by shift."""
-    n = F.size(z)
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(z, F.pmod(i - shift + n, n)))
+    return let(z, lambda v: F.transform(F.sequence(F.lit(0), F.size(v) - 1), lambda i: F.get(v, F.pmod(i - shift + F.size(v), F.size(v)))))
 
 
 def mean_of(members: Column) -> Column:
     """Elementwise mean of an array of equally long arrays."""
-    n = F.size(members)
-    width = F.size(F.get(members, F.lit(0)))
-    return F.transform(F.sequence(F.lit(0), width - 1), lambda i: total(F.transform(members, lambda m: F.get(m, i))) / n)
+
+    def of(ms: Column) -> Column:
+        sums = F.aggregate(ms, F.transform(F.get(ms, F.lit(0)), lambda x: F.lit(0.0)), lambda acc, m: F.zip_with(acc, m, lambda a, b: a + b))
+        return let(F.size(ms), lambda n: F.transform(sums, lambda x: x / n))
+
+    return let(members, of)
 
 
 def matrix_apply(x: Column, w: Column, b: Column, mean: Column, std: Column) -> Column:
     """softmax(W ((x - mean) / (std + 1e-6)) + b)."""
-    s = F.zip_with(F.zip_with(x, mean, lambda a, m: a - m), std, lambda a, d: a / (d + 1e-6))
-    return softmax(F.zip_with(F.transform(w, lambda row: dot(row, s)), b, lambda a, c: a + c))
+    scaled = F.zip_with(F.zip_with(x, mean, lambda a, m: a - m), std, lambda a, d: a / (d + 1e-6))
+    return softmax(let(scaled, lambda s: F.zip_with(F.transform(w, lambda row: dot(row, s)), b, lambda a, c: a + c)))
 
 
 def cumulative_to_levels(z: Column) -> Column:
@@ -97,8 +120,8 @@ def cumulative_to_levels(z: Column) -> Column:
     first = F.array(F.lit(1.0))
     falling = F.aggregate(z, first, lambda acc, x: F.array_append(acc, F.least(sigmoid(x), F.element_at(acc, -1))))
     ends = F.array_append(falling, F.lit(0.0))
-    p = F.transform(F.sequence(F.lit(0), F.size(z)), lambda i: F.greatest(F.get(ends, i) - F.get(ends, i + 1), F.lit(1e-9)))
-    return F.transform(p, lambda x: x / total(p))
+    steps = let(ends, lambda e: F.transform(F.sequence(F.lit(0), F.size(e) - 2), lambda i: F.greatest(F.get(e, i) - F.get(e, i + 1), F.lit(1e-9))))
+    return scaled_to_one(steps)
 
 
 def interpolate(x: Column, xs: Column, ys: Column) -> Column:

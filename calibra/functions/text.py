@@ -52,8 +52,15 @@ def json_answer(text: Column, field: str) -> Column:
     return F.when(kind == "BIGINT", F.try_variant_get(v, f"$.{field}", "bigint"))
 
 
-def scrub(text: Column) -> Column:
-    return F.regexp_replace(text, r"(sk|key|AIza)[-_][A-Za-z0-9_-]{6,}", "[redacted]")
+#: What looks like an API key (fixed value).
+KEY_LIKE = r"(sk|key|AIza)[-_A-Za-z0-9*.]{8,}"
+
+
+def scrub(text: Column, secret: str | None = None) -> Column:
+    """text without the secret, if given, and without anything shaped like a key."""
+    if secret:
+        text = F.replace(text, F.lit(secret), F.lit("<api-key>"))
+    return F.regexp_replace(text, KEY_LIKE, "<api-key>")
 
 
 def safe_name(text: Column) -> Column:
@@ -68,3 +75,57 @@ def html_escape(text: Column) -> Column:
 
 def run_id(ts: Column, config: Column) -> Column:
     return F.concat(F.date_format(ts, "yyyyMMdd'T'HHmmss'Z'"), F.lit("-"), F.substring(F.sha2(config, 256), 1, 6))
+
+
+#: The digits of request ids (fixed value).
+BASE32 = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
+
+
+def base32(value: Column, length: int) -> Column:
+    """The lowest 5 * length bits of a long (60 at most) as characters that sort as the numbers do."""
+    digit = lambda k: F.substring(F.lit(BASE32), F.shiftright(value, 5 * k).bitwiseAND(F.lit(31)).cast("int") + 1, F.lit(1))
+    return F.concat(*(digit(k) for k in reversed(range(length))))
+
+
+def request_id(millis: Column, entropy: Column | None = None) -> Column:
+    """An id that sorts by time: 48 bits of milliseconds and 80 random bits, the first 20 of 32 or more hex digits."""
+    entropy = F.sha2(F.uuid(), 256) if entropy is None else entropy
+    random = [base32(F.conv(F.substring(entropy, 5 * g + 1, 5), 16, 10).cast("long"), 4) for g in range(4)]
+    return F.concat(F.lit("req_"), base32(millis, 10), *random)
+
+
+def json_scalar(value: Column, ascii_only: bool = False) -> Column:
+    """One value as JSON; null is `null`. With ascii_only, other characters become \\uXXXX."""
+    text = F.to_json(F.struct(value.alias("v")))
+    text = F.when(value.isNull(), "null").otherwise(F.substring(text, 6, 1 << 30).substr(F.lit(1), F.length(text) - 6))
+    if not ascii_only:
+        return text
+    escape = lambda n: F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(n), 4, "0")))
+    high = lambda n: F.lit(0xD800) + F.shiftright(n - 0x10000, 10)
+    low = lambda n: F.lit(0xDC00) + (n - 0x10000).bitwiseAND(F.lit(0x3FF))
+    each = F.transform(F.split(text, ""), lambda c: F.when(F.ascii(c) < 128, c).when(F.ascii(c) < 0x10000, escape(F.ascii(c))).otherwise(F.concat(escape(high(F.ascii(c))), escape(low(F.ascii(c))))))
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.array_join(each, "")).otherwise(text)
+
+
+def canonical_json(values: dict[str, Column], ascii_only: bool = False) -> Column:
+    """An object with sorted names, `, ` and `: ` between; values are scalars, or arrays of strings."""
+
+    def shown(name: str, v: Column) -> Column:
+        return F.concat(F.lit(f'"{name}": '), json_scalar(v, ascii_only))
+
+    parts = [shown(k, v) for k, v in sorted(values.items())]
+    return F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))
+
+
+def json_strings(values: Column, ascii_only: bool = False) -> Column:
+    """An array of strings as JSON, `, ` between."""
+    return F.concat(F.lit("["), F.array_join(F.transform(values, lambda v: json_scalar(v, ascii_only)), ", "), F.lit("]"))
+
+
+def key_hash(canonical: Column) -> Column:
+    """12 hex digits of a configuration's canonical JSON; a version is its kind and the first 6 of them."""
+    return F.substring(F.sha2(canonical, 256), 1, 12)
+
+
+def key_version(canonical: Column, kind: str = "cal") -> Column:
+    return F.concat(F.lit(f"{kind}_"), F.substring(F.sha2(canonical, 256), 1, 6))

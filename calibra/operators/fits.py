@@ -19,8 +19,9 @@ FAR = 25.0
 def fit_logistic(df: DataFrame, key: str, features: list[str], y: str, ridge: float = 1e-9, rounds: int = 25) -> DataFrame:
     """Logistic regression per group by Newton steps: key, w (one per feature, then the intercept), n, nll."""
     spark, d = df.sparkSession, len(features) + 1
-    x = [*(F.col(f).cast("double") for f in features), F.lit(1.0)]
-    y_ = F.col(y).cast("double")
+    df = df.select(key, *(F.col(f).cast("double").alias(f"_x{i}") for i, f in enumerate(features)), F.col(y).cast("double").alias("_y")).persist()  # each round reads these rows; lost ones are made again
+    x = [*(F.col(f"_x{i}") for i in range(d - 1)), F.lit(1.0)]
+    y_ = F.col("_y")
     keys = [r[0] for r in df.select(key).distinct().collect()]
     w = {k: np.eye(d)[0] * (len(features) == 1) for k in keys}
     schema = f"_k {df.schema[key].dataType.simpleString()}, _w array<double>"
@@ -49,27 +50,37 @@ def fit_logistic(df: DataFrame, key: str, features: list[str], y: str, ridge: fl
                 open_[k] = live[k]
         if not open_:
             break
+    df.unpersist()
     rows = [(k, live[k].tolist(), int(n), float(loss_)) for k, (_, n, loss_) in out.items()]
     return spark.createDataFrame(rows, f"{key} {df.schema[key].dataType.simpleString()}, w array<double>, n long, nll double")
 
 
 def fit_temperature(df: DataFrame, key: str, z: str, y: str, low: float = -5.0, high: float = 7.0, points: int = 9, rounds: int = 8) -> DataFrame:
     """The temperature of least NLL per group within exp(low) to exp(high): key, temperature, nll. Each pass tries several."""
-    spark = df.sparkSession
+    spark, given = df.sparkSession, df.schema[key].dataType.simpleString()
+    df = df.select(key, A.centred(F.col(z)).alias("_c"), F.col(y).alias("_y")).persist()  # each pass reads these rows; lost ones are made again
     bounds = {r[0]: (low, high) for r in df.select(key).distinct().collect()}
     best: dict = {}
     for _ in range(rounds):
         grid = {k: np.linspace(a, b, points) for k, (a, b) in bounds.items()}
-        made = spark.createDataFrame([(k, np.exp(g).tolist()) for k, g in grid.items()], f"_k {df.schema[key].dataType.simpleString()}, _t array<double>")
-        joined = df.join(F.broadcast(made), df[key].eqNullSafe(made["_k"]))
-        scaled = lambda i: F.transform(F.col(z), lambda v: v / F.col("_t")[i])
-        losses = [F.avg(A.logsumexp(scaled(i)) - F.get(F.col(z), F.col(y)) / F.col("_t")[i]).alias(f"l{i}") for i in range(points)]
+        made = spark.createDataFrame([(k, np.exp(g).tolist()) for k, g in grid.items()], f"_k {given}, _t array<double>")
+        joined = df.join(F.broadcast(made), df[key].eqNullSafe(made["_k"]))  # a row for each group
+        losses = [F.avg(A.nll_at(F.col("_c"), F.col("_y"), F.col("_t")[i])).alias(f"l{i}") for i in range(points)]
         for r in joined.groupBy("_k").agg(*losses).collect():
             values = np.array([r[f"l{i}"] for i in range(points)])
             i, g = int(values.argmin()), grid[r["_k"]]
             best[r["_k"]] = (float(np.exp(g[i])), float(values[i]))
             bounds[r["_k"]] = (g[max(0, i - 1)], g[min(points - 1, i + 1)])
-    return spark.createDataFrame([(k, *v) for k, v in best.items()], f"{key} {df.schema[key].dataType.simpleString()}, temperature double, nll double")
+    df.unpersist()
+    return spark.createDataFrame([(k, *v) for k, v in best.items()], f"{key} {given}, temperature double, nll double")
+
+
+def grid_temperature(df: DataFrame, key: str, z: str, y: str, log_t: list[float]) -> DataFrame:
+    """key, log_t, temperature, nll: the first of the given log temperatures with the least NLL per group, in one pass."""
+    rows = df.select(key, A.centred(F.col(z)).alias("_c"), F.col(y).alias("_y"))
+    tried = [F.struct(F.round(F.avg(A.nll_at(F.col("_c"), F.col("_y"), float(np.exp(g)))), 9).alias("nll"), F.lit(g).alias("log_t")) for g in log_t]
+    best = rows.groupBy(key).agg(F.array_min(F.array(*tried)).alias("_b"))
+    return best.select(key, F.col("_b.log_t").alias("log_t"), F.exp("_b.log_t").alias("temperature"), F.col("_b.nll").alias("nll"))
 
 
 def fit_matrix(df: DataFrame, features: str, y: str, l2: float = 0.05):
@@ -92,7 +103,7 @@ def standardize(df: DataFrame, unit: list[str], z: str, out: str = "x") -> DataF
     flat = df.select(*unit, F.posexplode(z).alias("_i", "_v"))
     stats = flat.groupBy(*unit, "_i").agg(F.avg("_v").alias("_m"), F.stddev_pop("_v").alias("_s"))
     per = stats.groupBy(*unit).agg(F.array_sort(F.collect_list(F.struct("_i", "_m", "_s"))).alias("_pool"))
-    return df.join(F.broadcast(per), unit).withColumn(out, F.zip_with(z, "_pool", lambda v, p: (v - p["_m"]) / (p["_s"] + 1e-6))).drop("_pool")
+    return df.join(per, unit).withColumn(out, F.zip_with(z, "_pool", lambda v, p: (v - p["_m"]) / (p["_s"] + 1e-6))).drop("_pool")
 
 
 def _minimize(loss, start: np.ndarray, rounds: int = 200) -> np.ndarray:
@@ -127,6 +138,65 @@ def vector_scaling(z: np.ndarray, y: np.ndarray) -> np.ndarray:
     return _minimize(lambda p: -_log_softmax((z + np.r_[0.0, p[1:]]) / np.exp(p[0]))[rows, y].mean(), np.zeros(z.shape[1]))
 
 
+def matrix_scaling(z: np.ndarray, y: np.ndarray, k: int, l2: float = 0.05, prior: np.ndarray | None = None) -> np.ndarray:
+    """softmax(s (W x' + b)) on standardized logits: flat W (k rows) and b times s, means, deviations.
+
+    W and b minimize the NLL plus l2 times the squared distance of W to the prior (zero by default), by Newton steps; the
+    sharpness s is then fitted without the penalty and changes no prediction.
+    """
+    mean, std = z.mean(axis=0), z.std(axis=0) + 1e-6
+    x = np.c_[(z - mean) / std, np.ones(len(z))]
+    n, f = x.shape
+    goal, centre = np.eye(k)[y], np.zeros((k, f))
+    if prior is not None:
+        centre[:, :-1] = prior
+    ridge = 2 * l2 * np.r_[np.ones(f - 1), 0.0]
+
+    def loss(w: np.ndarray) -> float:
+        return -_log_softmax(x @ w.T)[np.arange(n), y].mean() + l2 * ((w - centre)[:, :-1] ** 2).sum()
+
+    w = centre.copy()
+    for _ in range(50):
+        p = np.exp(_log_softmax(x @ w.T))
+        g = (p - goal).T @ x / n + ridge * (w - centre)
+        h = np.zeros((k, f, k, f))
+        for a in range(k):
+            for b in range(a, k):
+                h[a, :, b] = h[b, :, a] = (x * (p[:, a] * ((a == b) - p[:, b]))[:, None]).T @ x / n
+        h = h.reshape(k * f, k * f) + np.diag(np.tile(ridge, k)) + 1e-9 * np.eye(k * f)
+        step, size, now = np.linalg.solve(h, g.ravel()).reshape(k, f), 1.0, loss(w)
+        while size > 1e-6 and loss(w - size * step) > now:
+            size /= 2
+        w = w - size * step
+        if np.abs(size * step).max() < 1e-9:
+            break
+    raw = x @ w.T
+    s = float(np.exp(np.clip(_minimize(lambda t: -_log_softmax(np.exp(t[0]) * raw)[np.arange(n), y].mean(), np.zeros(1))[0], -3, 3)))
+    return np.r_[(s * w[:, :-1]).ravel(), s * w[:, -1], mean, std]
+
+
+def candidates(z: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
+    """Flat parameters of the candidate fits: temperature; temperature and biases; matrix."""
+    rows = np.arange(len(y))
+    t = _minimize(lambda p: -_log_softmax(z / np.exp(p[0]))[rows, y].mean(), np.zeros(1))
+    return np.r_[t, vector_scaling(z, y), matrix_scaling(z, y, k)]
+
+
+#: Candidate fits in the order in which equals are preferred.
+KINDS = ("raw", "T", "bias+T", "matrix")
+
+
+def candidate_probabilities(z, params, k: int) -> dict:
+    """The probabilities (columns) of a level readout z under each candidate, from the flat parameters."""
+    at = lambda start, n: F.slice(params, start + 1, n)
+    level = lambda start: F.exp(F.get(params, F.lit(start)))
+    bias = F.concat(F.array(F.lit(0.0)), at(2, k - 1))
+    m = k + 1
+    w = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.slice(params, i * k + m + 1, k))
+    matrix = A.softmax(A.let(F.zip_with(F.zip_with(z, at(m + k * k + k, k), lambda a, b: a - b), at(m + k * k + 2 * k, k), lambda a, b: a / b), lambda x: F.zip_with(F.transform(w, lambda row: A.dot(row, x)), at(m + k * k, k), lambda a, b: a + b)))
+    return {"raw": A.softmax(z), "T": A.softmax(z, level(0)), "bias+T": A.softmax(F.zip_with(z, bias, lambda a, b: a + b), level(1)), "matrix": matrix}
+
+
 def mix_two(z1: np.ndarray, z2: np.ndarray, y: np.ndarray) -> np.ndarray:
     """(weight logit, log T1, log T2) of a blend of two systems' log probabilities."""
     rows = np.arange(len(y))

@@ -1,10 +1,11 @@
-"""Evaluation metrics. Rows are aggregated by unit before anything is ordered within it."""
+"""Evaluation metrics. Nothing is gathered or sorted by unit: ranks come from ranges of the order (`ranks.running`)."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from calibra.functions import arrays as A
+from calibra.operators.ranks import running
 
 BINS = 15
 COVERAGES = (50, 80, 90, 100)
@@ -12,12 +13,10 @@ COVERAGES = (50, 80, 90, 100)
 
 def binned(df: DataFrame, unit: list[str], conf: str, tie: str, bins: int = BINS) -> DataFrame:
     """df with an equal-mass bin from 0: sorted by confidence and dealt into min(bins, n) runs, the longer ones first."""
-    rn = F.row_number().over(Window.partitionBy(*unit).orderBy(conf, tie)) - 1
-    n = df.groupBy(*unit).agg(F.count("*").alias("_n"))
-    b = F.least(F.lit(bins), F.col("_n"))
+    b, r = F.least(F.lit(bins), F.col("_n")), F.col("_rank") - 1
     size, extra = F.floor(F.col("_n") / b), F.col("_n") % b
-    at = F.when(F.col("_r") < extra * (size + 1), F.floor(F.col("_r") / (size + 1))).otherwise(extra + F.floor((F.col("_r") - extra * (size + 1)) / size))
-    return df.withColumn("_r", rn).join(F.broadcast(n), unit).withColumn("bin", at.cast("int")).drop("_r", "_n")
+    at = F.when(r < extra * (size + 1), F.floor(r / (size + 1))).otherwise(extra + F.floor((r - extra * (size + 1)) / size))
+    return running(df, unit, conf, tie).withColumn("bin", at.cast("int")).drop("_rank", "_n")
 
 
 def reliability(df: DataFrame, unit: list[str], conf: str, correct: str, tie: str) -> DataFrame:
@@ -32,26 +31,25 @@ def ece(df: DataFrame, unit: list[str], conf: str, correct: str, tie: str) -> Da
 
 def selective(df: DataFrame, unit: list[str], conf: str, correct: str, tie: str) -> DataFrame:
     """Accuracy of the most confident share of a unit, at least one row; shares round half to even."""
-    n = df.groupBy(*unit).agg(F.count("*").alias("_n"))
-    ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(*unit).orderBy(F.desc(conf), tie))).join(F.broadcast(n), unit)
-    kept = lambda c: F.col("_r") <= F.greatest(F.lit(1), F.bround(F.lit(c / 100) * F.col("_n")))
-    return ranked.groupBy(*unit).agg(*(F.avg(F.when(kept(c), F.col(correct).cast("double"))).alias(f"acc_at_{c}") for c in COVERAGES))
+    kept = lambda c: F.col("_rank") <= F.greatest(F.lit(1), F.bround(F.lit(c / 100) * F.col("_n")))
+    return running(df, unit, conf, tie, desc=True).groupBy(*unit).agg(*(F.avg(F.when(kept(c), F.col(correct).cast("double"))).alias(f"acc_at_{c}") for c in COVERAGES))
 
 
 def risk_coverage(df: DataFrame, unit: list[str], conf: str, correct: str, tie: str) -> DataFrame:
-    w = Window.partitionBy(*unit).orderBy(F.desc(conf), tie)
-    return df.select(*unit, tie, F.row_number().over(w).alias("k"), F.avg(1 - F.col(correct).cast("double")).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("risk"))
+    ranked = running(df, unit, conf, tie, {"wrong": 1 - F.col(correct).cast("long")}, desc=True)
+    return ranked.select(*unit, tie, F.col("_rank").alias("k"), (F.col("_wrong") / F.col("_rank")).alias("risk"))
 
 
-def average_rank(over: list[str], by: str) -> Column:
-    return F.rank().over(Window.partitionBy(*over).orderBy(by)) + (F.count("*").over(Window.partitionBy(*over, by)) - 1) / F.lit(2.0)
+def average_ranks(df: DataFrame, unit: list[str], by: str, out: str) -> DataFrame:
+    """unit, by and the average rank of each value of by, from counts per value."""
+    counts = df.groupBy(*unit, by).agg(F.count("*").alias("_k"))
+    return running(counts, unit, by, by, {"upto": F.col("_k")}).select(*unit, by, (F.col("_upto") - (F.col("_k") - 1) / F.lit(2.0)).alias(out))
 
 
 def auroc(df: DataFrame, unit: list[str], score: str, y: str) -> DataFrame:
     """Rank statistic with ties; null for one class. Counts per distinct score come first, so ties are one row each."""
     n = df.groupBy(*unit, score).agg(F.sum(F.col(y).cast("long")).alias("p"), F.sum(1 - F.col(y).cast("long")).alias("q"))
-    below = F.coalesce(F.sum("q").over(Window.partitionBy(*unit).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = n.withColumn("_w", F.col("p") * (below + F.col("q") / F.lit(2.0)))
+    won = running(n, unit, score, score, {"q_upto": F.col("q")}).withColumn("_w", F.col("p") * (F.col("_q_upto") - F.col("q") / F.lit(2.0)))
     return won.groupBy(*unit).agg(F.try_divide(F.sum("_w"), F.sum("p") * F.sum("q")).alias("auroc"))
 
 
@@ -64,8 +62,17 @@ def macro_f1(df: DataFrame, unit: list[str], pred: str, y: str) -> DataFrame:
 
 
 def correlations(df: DataFrame, unit: list[str], x: str, y: str) -> DataFrame:
-    ranked = df.withColumn("_rx", average_rank(unit, x)).withColumn("_ry", average_rank(unit, y))
-    return ranked.groupBy(*unit).agg(F.corr(F.col(x).cast("double"), F.col(y).cast("double")).alias("pearson"), F.corr("_rx", "_ry").alias("spearman"))
+    counts = df.groupBy(*unit, x, y).agg(F.count("*").alias("_c"))  # equal pairs once
+    ranked = counts.join(average_ranks(df, unit, x, "_rx"), [*unit, x]).join(average_ranks(df, unit, y, "_ry"), [*unit, y])
+
+    def corr(a: str, b: str):
+        c, p, q = F.col("_c"), F.col(a).cast("double"), F.col(b).cast("double")
+        n = F.sum(c)
+        cov = F.sum(c * p * q) / n - F.sum(c * p) / n * F.sum(c * q) / n
+        spread = lambda v: F.sqrt(F.sum(c * v * v) / n - F.pow(F.sum(c * v) / n, F.lit(2.0)))
+        return F.try_divide(cov, spread(p) * spread(q))
+
+    return ranked.groupBy(*unit).agg(corr(x, y).alias("pearson"), corr("_rx", "_ry").alias("spearman"))
 
 
 def confusion(df: DataFrame, unit: list[str], pred: str, y: str, k: int) -> DataFrame:

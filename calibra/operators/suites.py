@@ -6,13 +6,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from calibra.operators.ranks import running
+
 ITEM = ["suite", "item_id", "question", "type", "keys", "label", "split"]
 REGISTRY: dict[str, Callable[..., DataFrame]] = {}
-GROUPS = {"default": ["yes_no_objects", "yes_no_scenes", "many_options"], "stretch": ["open_set", "injection"], "fresh": ["own_class", "own_or_other"], "synthetic": ["probe_count", "screens_state"], "human": ["human_gold"], "skipped": ["doc_types"]}
+GROUPS = {"default": ["yes_no_objects", "yes_no_scenes", "many_options"], "stretch": ["open_set", "injection"], "fresh": ["own_class", "own_or_other"], "human": ["human_gold"], "skipped": ["doc_types"]}
 
 
 class SuiteSkipped(Exception):
@@ -24,21 +25,34 @@ def suite(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     return f
 
 
-def seeded(c: str, seed: int = 7) -> Column:
-    return F.xxhash64(F.col(c), F.lit(seed))
+def seeded(c: str | Column, seed: int = 7) -> Column:
+    """A hash of an id as text, the same in every engine; its order is a shuffle."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.md5(F.concat_ws(":", c.cast("string"), F.lit(str(seed))).cast("binary"))
+
+
+def number_of(digest: Column) -> Column:
+    """The first 52 bits of a hash; rises with it."""
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long")
+
 
+def ranked(df: DataFrame, unit: list[str]) -> DataFrame:
+    """df with _rank, its place in the seeded order of its unit."""
+    hashed = df.withColumns({"_seeded": seeded("item_id"), "_lead": number_of(seeded("item_id"))})
+    return running(hashed, unit, "_lead", "item_id", order=[F.col("_seeded")]).drop("_seeded", "_lead", "_n")
 
-def alternate(df: DataFrame, by: list[Column], levels: int = 1) -> DataFrame:
-    """Every other item (or every other run of `levels` items) calibrates."""
-    r = F.row_number().over(Window.partitionBy("suite").orderBy(*by)) - 1
-    return df.withColumn("split", F.when(F.pmod(F.floor(r / levels), F.lit(2)) == 0, "calibration").otherwise("test"))
+
+def alternate(df: DataFrame, levels: int = 1) -> DataFrame:
+    """Every other item (or every other run of `levels` items) of the seeded order calibrates."""
+    r = F.floor((F.col("_rank") - 1) / levels)
+    return ranked(df, ["suite"]).withColumn("split", F.when(F.pmod(r, F.lit(2)) == 0, "calibration").otherwise("test")).drop("_rank")
 
 
 def _items(df: DataFrame, name: str, question: Column, kind: str, keys: Column, label: Column, n: int | None = None) -> DataFrame:
     made = df.select(F.lit(name).alias("suite"), F.col("item_id").cast("string").alias("item_id"), question.alias("question"), F.lit(kind).alias("type"), keys.alias("keys"), label.cast("string").alias("label"))
     if n is not None:
         made = made.withColumn("_r", F.row_number().over(Window.partitionBy("suite").orderBy(seeded("item_id"), "item_id"))).filter(F.col("_r") <= n).drop("_r")
-    return alternate(made, [seeded("item_id"), F.col("item_id")]).select(*ITEM)
+    return alternate(made).select(*ITEM)
 
 
 _NO_KEYS = F.array
@@ -70,8 +84,8 @@ def many_options(rows: DataFrame, n: int | None = None, drop: str = "background"
 
 def tail(rows: DataFrame, reserved: int, levels: int = 4) -> DataFrame:
     """What a seeded order holds after its first `reserved` rows, with levels dealt in turn."""
-    r = F.row_number().over(Window.orderBy(seeded("item_id"), "item_id"))  # the ids of one suite
-    return rows.withColumn("_r", r).filter(F.col("_r") > reserved).withColumn("level", F.pmod(F.col("_r") - reserved - 1, F.lit(levels)).cast("int")).drop("_r")
+    r = ranked(rows.withColumn("_all", F.lit(1)), ["_all"]).filter(F.col("_rank") > reserved)
+    return r.withColumn("level", F.pmod(F.col("_rank") - reserved - 1, F.lit(levels)).cast("int")).drop("_rank", "_all")
 
 
 @suite
@@ -87,7 +101,7 @@ def human_gold(rows: DataFrame, n: int | None = None) -> DataFrame:
 @suite
 def open_set(rows: DataFrame, n: int | None = None, held: int = 7) -> DataFrame:
     """rows: item_id, keys, label. `held` options leave the list, `other` joins it, and their items become `other`."""
-    out = F.slice(F.array_sort(F.transform("keys", lambda k: F.struct(F.xxhash64(k, F.lit(7)).alias("h"), k.alias("k")))), 1, held)
+    out = F.slice(F.array_sort(F.transform("keys", lambda k: F.struct(seeded(k).alias("h"), k.alias("k")))), 1, held)
     names = F.transform(out, lambda s: s["k"])
     keys = F.concat(F.filter("keys", lambda k: ~F.array_contains(names, k)), F.array(F.lit("other")))
     return _items(rows, "open_set", F.lit("What is shown?"), "choice", keys, F.when(F.array_contains(names, F.col("label")), "other").otherwise(F.col("label")), n)
@@ -111,38 +125,101 @@ def own_class(rows: DataFrame, n: int | None = None) -> DataFrame:
 def own_or_other(rows: DataFrame, classes: list[str], n: int | None = None) -> DataFrame:
     """rows: item_id, label. Each item asks for its own class (true) and for another one by hash (false)."""
     others = F.filter(F.array(*map(F.lit, sorted(classes))), lambda c: c != F.col("label"))
-    other = F.get(others, F.pmod(seeded("item_id"), F.size(others)).cast("int"))
+    other = F.get(others, F.pmod(number_of(seeded("item_id")), F.size(others)).cast("int"))
     both = rows.select("item_id", F.explode(F.array(F.struct(F.col("label").alias("c"), F.lit(True).alias("yes")), F.struct(other.alias("c"), F.lit(False).alias("yes")))).alias("s"))
     named = both.select(F.concat_ws("/", F.col("item_id").cast("string"), "s.c").alias("item_id"), "s.c", "s.yes")
     return _items(named, "own_or_other", F.concat(F.lit("This is a "), "c", F.lit(".")), "noul", _NO_KEYS().cast("array<string>"), F.col("yes"), n)
 
 
+#: Options and wording of the drawn probes and the rendered screens (fixed values).
+LARGEST = {"red": "The red shape", "blue": "The blue shape", "green": "The green shape", "yellow": "The yellow shape"}
+STRIPES = {"horizontal": "Horizontal stripes", "vertical": "Vertical stripes", "diagonal_rising": "Diagonal stripes rising to the right", "diagonal_falling": "Diagonal stripes falling to the right"}
+PROBES = {
+    "count": ("How many balls are in `img0`?", [str(k) for k in range(1, 9)]), "count_color": ("How many RED balls are in `img0`?", [str(k) for k in range(7)]),
+    "largest": ("Which shape in `img0` is the largest?", list(LARGEST)), "stripes": ("Which way do the stripes in `img0` run?", list(STRIPES)),
+}
+STATES = {
+    "dialog_open": "Is a dialog box open on top of the page in `img0`?", "error_shown": "Is an error message shown in `img0`?", "primary_disabled": "Is the main button in `img0` disabled (greyed out)?",
+    "signed_in": "Is a user signed in on the page in `img0`?", "cookie_banner": "Is a cookie banner visible in `img0`?",
+}
+LADDERS = ("blur", "noise", "jpeg", "exposure", "resolution")
+
+
+def _ladder(scale: str) -> Callable[..., DataFrame]:
+    def build(rows: DataFrame, question: str, levels: list[str], n: int | None = None) -> DataFrame:
+        """rows: pos, item_id, level, split, of a committed manifest, whose first n items these are."""
+        kept = rows if n is None else rows.orderBy("pos").limit(n)
+        return kept.select(F.lit(f"ladder_{scale}").alias("suite"), F.col("item_id").cast("string").alias("item_id"), F.lit(question).alias("question"), F.lit("score").alias("type"), F.array(*map(F.lit, levels)).alias("keys"), F.col("level").cast("string").alias("label"), "split")
+
+    return build
+
+
+def _probe(name: str) -> Callable[..., DataFrame]:
+    def build(rows: DataFrame, n: int | None = None) -> DataFrame:
+        """rows: item_id, label; the options are fixed."""
+        question, keys = PROBES[name]
+        return _items(rows, f"probe_{name}", F.lit(question), "choice", F.array(*map(F.lit, keys)), F.col("label"), n)
+
+    return build
+
+
+REGISTRY |= {f"ladder_{k}": _ladder(k) for k in LADDERS} | {f"probe_{k}": _probe(k) for k in PROBES}
+GROUPS["ladders"] = [f"ladder_{k}" for k in LADDERS]
+GROUPS["synthetic"] = [*(f"probe_{k}" for k in PROBES), "probe_spatial", "probe_text", "ui_state", "ui_page", "ui_click", "ui_done", "ui_reason"]
+
+
+@suite
+def probe_spatial(rows: DataFrame, n: int | None = None) -> DataFrame:
+    """rows: item_id, label boolean, question."""
+    return _items(rows, "probe_spatial", F.col("question"), "noul", _NO_KEYS().cast("array<string>"), F.col("label"), n)
+
+
 @suite
-def probe_count(rows: DataFrame, n: int | None = None) -> DataFrame:
-    """rows: item_id, params struct<count>; options 1 to 9."""
-    return _items(rows, "probe_count", F.lit("How many balls are there?"), "choice", F.array(*(F.lit(str(k)) for k in range(1, 10))), F.col("params.count"), n)
+def probe_text(rows: DataFrame, n: int | None = None) -> DataFrame:
+    """rows: item_id, label, words: the look-alike words to choose from."""
+    return _items(rows, "probe_text", F.lit("Which word is printed in `img0`?"), "choice", F.col("words"), F.col("label"), n)
 
 
 @suite
-def screens_state(rows: DataFrame, n: int | None = None) -> DataFrame:
-    """rows: screen, pos, states map<string, boolean>. One state a screen, picked so that yes and no stay in balance.
+def ui_state(rows: DataFrame, n: int | None = None) -> DataFrame:
+    """rows: screen_id, states map<string, boolean>, checkbox_label (null: no checkbox). Two states a screen.
 
-    Each pick depends on the ones before it, so the screens of one suite go through one task: a few thousand small rows.
+    Yes and no are balanced on each screen: one of either, by a seeded order, where it has both; else two of a kind.
     """
+    has = F.when(F.col("checkbox_label").isNull(), F.map_filter("states", lambda k, v: k != "checkbox_checked")).otherwise(F.col("states"))
+    order = F.transform(F.map_entries(has), lambda e: F.struct(seeded(F.concat_ws("__", F.col("screen_id").cast("string"), e["key"])).alias("h"), e["key"].alias("key"), e["value"].alias("yes")))
+    yes, no = (F.array_sort(F.filter(order, lambda s: s["yes"] == wanted)) for wanted in (True, False))
+    turns = F.array_sort(F.concat(F.transform(yes, lambda s, i: F.struct(i.alias("turn"), s.alias("s"))), F.transform(no, lambda s, i: F.struct(i.alias("turn"), s.alias("s")))))
+    picked = rows.select("screen_id", "checkbox_label", F.explode(F.slice(turns, 1, 2)).alias("p")).select(F.concat_ws("__", F.col("screen_id").cast("string"), "p.s.key").alias("item_id"), F.col("p.s.key").alias("key"), F.col("p.s.yes").alias("yes"), "checkbox_label")
+    wording = F.create_map(*(F.lit(x) for pair in STATES.items() for x in pair))
+    asked = F.when(F.col("key") == "checkbox_checked", F.concat(F.lit('Is the "'), "checkbox_label", F.lit('" checkbox checked in `img0`?'))).otherwise(wording[F.col("key")])
+    return _items(picked, "ui_state", asked, "noul", _NO_KEYS().cast("array<string>"), F.col("yes"), n)
+
+
+@suite
+def ui_page(rows: DataFrame, pages: list[str], n: int | None = None) -> DataFrame:
+    """rows: screen_id, page_type."""
+    return _items(rows.withColumn("item_id", F.col("screen_id")), "ui_page", F.lit("What kind of page is `img0`?"), "choice", F.array(*map(F.lit, pages)), F.col("page_type"), n)
 
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen, out = {True: 0, False: 0}, []
-        for r in pdf.sort_values("pos").itertuples():
-            wanted = seen[True] <= seen[False]
-            states = dict(r.states)
-            keys = sorted(k for k, v in states.items() if bool(v) == wanted) or sorted(states)
-            if keys:
-                seen[bool(states[keys[0]])] += 1
-                out.append((f"{r.screen}/{keys[0]}", keys[0], bool(states[keys[0]])))
-        return pd.DataFrame(out, columns=["item_id", "state", "yes"])
 
-    picked = rows.withColumn("_s", F.lit(1)).groupBy("_s").applyInPandas(lambda p: pick(p), "item_id string, state string, yes boolean")
-    return _items(picked, "screens_state", F.concat(F.lit("The page shows: "), "state"), "noul", _NO_KEYS().cast("array<string>"), F.col("yes"), n)
+@suite
+def ui_click(rows: DataFrame, n: int | None = None) -> DataFrame:
+    """rows: screen_id, goal, n_marks, target; the options are the marks of the screen."""
+    asked = F.concat(F.lit("Goal: "), "goal", F.lit(". Which numbered element in `img0` should be clicked?"))
+    return _items(rows.withColumn("item_id", F.col("screen_id")), "ui_click", asked, "choice", F.sequence(F.lit(1), F.col("n_marks").cast("int")).cast("array<string>"), F.col("target"), n)
+
+
+@suite
+def ui_done(rows: DataFrame, n: int | None = None) -> DataFrame:
+    """rows: screen_id, goal, done boolean."""
+    asked = F.concat(F.lit("Goal: "), "goal", F.lit(". Has this goal already been accomplished on the screen in `img0`?"))
+    return _items(rows.withColumn("item_id", F.col("screen_id")), "ui_done", asked, "noul", _NO_KEYS().cast("array<string>"), F.col("done"), n)
+
+
+@suite
+def ui_reason(rows: DataFrame, n: int | None = None) -> DataFrame:
+    """rows: screen_id, question, options array<string>, answer."""
+    return _items(rows.withColumn("item_id", F.col("screen_id")), "ui_reason", F.col("question"), "choice", F.col("options"), F.col("answer"), n)
 
 
 @suite
@@ -160,7 +237,7 @@ def build(name: str, *args, **how) -> tuple[str, DataFrame | None]:
 
 def letter_subset(items: DataFrame, options: int = 26) -> DataFrame:
     """At most `options` keys: the label and others by hash, in their own order."""
-    h = F.transform("keys", lambda k: F.struct(F.when(k == F.col("label"), F.lit(-(1 << 63))).otherwise(F.xxhash64(k, F.col("item_id"))).alias("h"), k.alias("k")))
+    h = F.transform("keys", lambda k: F.struct(F.when(k == F.col("label"), F.lit("")).otherwise(seeded(F.concat_ws("/", F.col("item_id").cast("string"), k))).alias("h"), k.alias("k")))
     kept = F.transform(F.slice(F.array_sort(h), 1, options), lambda s: s["k"])
     return items.withColumn("keys", F.filter("keys", lambda k: F.array_contains(kept, k)))
 

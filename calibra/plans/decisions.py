@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -58,10 +59,13 @@ def scan_prune(spark, sf_dir):
 
 
 def _folder(spark) -> str:
+    """A new folder that all executors see."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="calibra-")
-    return f"{base}/calibra-{spark.sparkContext.applicationId}"
+    return f"{base}/calibra-{uuid.uuid4().hex}"
 
 
 @query("SELECT n_nationkey AS id, n_name AS name, n_regionkey AS region FROM nation")

@@ -5,6 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from calibra.functions import arrays as A
+from calibra.operators.ranks import running
 from calibra.plans._register import Registry
 from calibra.plans.scoring import probs
 from calibra.sources import standins as S
@@ -13,6 +14,11 @@ query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
 
 
+def _leading(c: str):
+    """The first 52 bits of a text's MD5 as a number, which rises as the MD5 does."""
+    return F.conv(F.substring(F.md5(F.col(c).cast("binary")), 1, 13), 16, 10).cast("long")
+
+
 @query(f"WITH {S.SCORES} SELECT item_id, grp FROM scores s WHERE NOT EXISTS (SELECT 1 FROM scores d WHERE d.item_id = s.item_id AND d.grp = s.grp AND d.item_id % 7 < 3)")
 def resume_anti_join(spark, sf_dir):
     todo = S.scores(spark, sf_dir).select("item_id", "grp")
@@ -111,8 +117,7 @@ def loro_pairs(spark, sf_dir):
 
 @query(f"WITH {S.SCORES}, o AS (SELECT grp, item_id, row_number() OVER (PARTITION BY grp ORDER BY item_id) AS pos FROM scores) SELECT grp, count(*) AS n, count(*) FILTER (pos <= 100) AS verified, count(*) FILTER (pos > 100) AS appended, 0::BIGINT AS mismatches FROM o GROUP BY grp")
 def manifest_verify(spark, sf_dir):
-    pos = F.row_number().over(Window.partitionBy("grp").orderBy("item_id"))
-    new = S.scores(spark, sf_dir).select("grp", "item_id", pos.alias("pos"))
+    new = running(S.scores(spark, sf_dir).select("grp", "item_id"), ["grp"], "item_id", "item_id").select("grp", "item_id", F.col("_rank").alias("pos"))
     committed = new.filter("pos <= 100").select("grp", "pos", F.col("item_id").alias("was"))
     return new.join(committed, ["grp", "pos"], "left").groupBy("grp").agg(F.count("*").alias("n"), F.count_if(F.col("was") == F.col("item_id")).alias("verified"), F.count_if(F.col("was").isNull()).alias("appended"), F.count_if(F.col("was") != F.col("item_id")).alias("mismatches"))
 
@@ -147,15 +152,16 @@ def call_packing(spark, sf_dir):
 
 @query("SELECT o_orderstatus AS grp, o_orderkey AS item_id, (row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1) % 2 AS half, ((row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1) // 4) % 2 AS by_four FROM orders")
 def split_alternate(spark, sf_dir):
-    r = F.row_number().over(Window.partitionBy("o_orderstatus").orderBy("o_orderkey")).cast("long") - 1
-    return S.read(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("grp"), F.col("o_orderkey").alias("item_id"), F.pmod(r, F.lit(2)).alias("half"), F.pmod(F.floor(r / 4), F.lit(2)).cast("long").alias("by_four"))
+    r = F.col("_rank") - 1
+    return running(S.read(spark, sf_dir, "orders").select("o_orderstatus", "o_orderkey"), ["o_orderstatus"], "o_orderkey", "o_orderkey").select(F.col("o_orderstatus").alias("grp"), F.col("o_orderkey").alias("item_id"), F.pmod(r, F.lit(2)).alias("half"), F.pmod(F.floor(r / 4), F.lit(2)).cast("long").alias("by_four"))
 
 
 @query("WITH r AS (SELECT source, rank() OVER (ORDER BY md5(source)) AS r FROM (SELECT DISTINCT source FROM documents)) SELECT doc_id, CASE WHEN r % 2 = 1 THEN 'calibration' ELSE 'test' END AS split FROM documents JOIN r USING (source)")
 def split_by_source(spark, sf_dir):
     d = S.read(spark, sf_dir, "documents").select("doc_id", "source")
-    refs = d.select("source").distinct().withColumn("r", F.row_number().over(Window.orderBy(F.md5(F.col("source").cast("binary")))))  # one row for each source
-    return d.join(F.broadcast(refs), "source").select("doc_id", F.when(F.col("r") % 2 == 1, "calibration").otherwise("test").alias("split"))
+    refs = d.select("source").distinct().withColumns({"m": F.md5(F.col("source").cast("binary")), "h": _leading("source"), "_one": F.lit(1)})
+    refs = running(refs, ["_one"], "h", "source", order=[F.col("m")]).select("source", F.col("_rank").alias("r"))
+    return d.join(refs, "source").select("doc_id", F.when(F.col("r") % 2 == 1, "calibration").otherwise("test").alias("split"))
 
 
 @query("SELECT grp, item_id FROM (SELECT o_orderstatus AS grp, o_orderkey AS item_id, row_number() OVER (PARTITION BY o_orderstatus ORDER BY md5(CAST(o_orderkey AS VARCHAR)), o_orderkey) AS r FROM orders) WHERE r <= 50")
@@ -166,15 +172,15 @@ def first_n(spark, sf_dir):
 
 @query("SELECT doc_id, (row_number() OVER (PARTITION BY quality ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1) % 5 AS fold FROM labels")
 def kfold(spark, sf_dir):
-    w = Window.partitionBy("quality").orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id")
-    return S.read(spark, sf_dir, "labels").select("doc_id", F.pmod(F.row_number().over(w).cast("long") - 1, F.lit(5)).alias("fold"))
+    rows = S.read(spark, sf_dir, "labels").select("doc_id", "quality", F.col("doc_id").cast("string").alias("id")).withColumn("h", _leading("id"))
+    ranked = running(rows, ["quality"], "h", "doc_id", order=[F.md5(F.col("id").cast("binary"))])
+    return ranked.select("doc_id", F.pmod(F.col("_rank") - 1, F.lit(5)).alias("fold"))
 
 
 @query(f"WITH {S.SCORES}, c AS (SELECT grp, item_id, row_number() OVER (PARTITION BY grp ORDER BY item_id) AS r, count(*) OVER (PARTITION BY grp) AS n FROM scores WHERE split = 'calibration') SELECT grp, count(*) FILTER (r <= n // 2) AS fit, count(*) FILTER (r > n // 2) AS dev, min(item_id) FILTER (r > n // 2) AS first_dev FROM c GROUP BY grp")
 def dev_halves(spark, sf_dir):
     c = S.scores(spark, sf_dir).filter("split = 'calibration'")
-    n = c.groupBy("grp").agg(F.count("*").alias("n"))
-    r = c.withColumn("r", F.row_number().over(Window.partitionBy("grp").orderBy("item_id"))).join(F.broadcast(n), "grp").withColumn("early", F.col("r") <= F.expr("n div 2"))
+    r = running(c.select("grp", "item_id"), ["grp"], "item_id", "item_id").withColumn("early", F.col("_rank") <= F.expr("_n div 2"))
     return r.groupBy("grp").agg(F.count_if("early").alias("fit"), F.count_if(~F.col("early")).alias("dev"), F.min(F.when(~F.col("early"), F.col("item_id"))).alias("first_dev"))
 
 

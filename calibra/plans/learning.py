@@ -1,11 +1,11 @@
 """Calibration fits and what they are used for."""
 from __future__ import annotations
 
-import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from calibra.functions import arrays as A
-from calibra.operators import fits, pixels
+from calibra.operators import fits, metrics, pixels
 from calibra.plans._register import Registry
 from calibra.sources import standins as S
 
@@ -22,12 +22,8 @@ def _params(df, key: str):
   l AS (SELECT grp, g, round(avg(ln(list_sum(list_transform(z, lambda x: exp((x - list_max(z)) / exp(g))))) + (list_max(z) - z[y + 1]) / exp(g)), 9) AS nll FROM g GROUP BY 1, 2)
   SELECT grp, round(arg_min(g, nll), 6) AS log_t, round(min(nll), 6) AS nll FROM l GROUP BY grp""")
 def fit_temperature_grid(spark, sf_dir):
-    z, rows = F.col("z"), S.scores(spark, sf_dir).filter("split = 'calibration'")
-    scaled = lambda t: F.transform(z, lambda v: v / t)
-    losses = [F.avg(A.logsumexp(scaled(t)) - F.get(z, F.col("y")) / t) for t in map(float, np.exp(GRID))]
-    per = rows.groupBy("grp").agg(F.array(*(F.struct(F.round(x, 9).alias("nll"), F.lit(g).alias("g")) for x, g in zip(losses, GRID, strict=True))).alias("a"))
-    best = F.array_min("a")
-    return per.select("grp", F.round(best["g"], 6).alias("log_t"), F.round(best["nll"], 6).alias("nll"))
+    rows = S.scores(spark, sf_dir).filter("split = 'calibration'")
+    return fits.grid_temperature(rows, "grp", "z", "y", GRID).select("grp", F.round("log_t", 6).alias("log_t"), F.round("nll", 6).alias("nll"))
 
 
 @query()
@@ -88,43 +84,59 @@ def fit_matrix(spark, sf_dir):
     return spark.createDataFrame([(k, j, round(float(v), 4)) for k in range(len(b)) for j, v in enumerate([*w[k], b[k]])], "level int, feature int, weight double")
 
 
-@query()
+@query(f"""WITH {S.SCORES}, r AS (SELECT grp, y, split, item_id, list_transform(z, lambda v: v - list_max(z)) AS c FROM scores), u AS (SELECT grp AS fit_on, y, c FROM r WHERE split = 'calibration' UNION ALL SELECT 'POOLED', y, c FROM r WHERE split = 'calibration'),
+  l AS (SELECT fit_on, g, round(avg(ln(list_sum(list_transform(c, lambda x: exp(x / exp(g))))) - c[y + 1] / exp(g)), 9) AS nll FROM (SELECT *, unnest([{", ".join(f"{g}::DOUBLE" for g in GRID)}]) AS g FROM u) GROUP BY 1, 2),
+  f AS (SELECT fit_on, arg_min(g, (nll, g)) AS g FROM l GROUP BY fit_on UNION ALL SELECT 'NONE', 0.0)
+  SELECT fit_on, grp, count(*) AS n, round(avg(CAST(list_position(c, list_max(c)) - 1 = y AS INT)), 6) AS accuracy, round(avg(ln(list_sum(list_transform(c, lambda x: exp(x / exp(g))))) - c[y + 1] / exp(g)), 6) AS nll FROM r, f WHERE split = 'test' GROUP BY 1, 2""")
 def transfer_matrix(spark, sf_dir):
-    """NLL on each scale's test rows under every scale's temperature: a fitted row for each scale, so the product is small."""
+    """Accuracy and NLL on each scale's test rows under every scale's temperature, under the pooled one, and raw."""
     s = S.scores(spark, sf_dir)
-    fitted = fits.fit_temperature(s.filter("split = 'calibration'"), "grp", "z", "y")
-    pairs = fitted.agg(F.collect_list(F.struct(F.col("grp").alias("fit_on"), "temperature")).alias("all")).withColumn("_one", F.lit(1))
-    test = s.filter("split = 'test'").withColumn("_one", F.lit(1)).join(F.broadcast(pairs), "_one").select("grp", "z", "y", F.inline("all"))
-    loss = A.logsumexp(F.transform("z", lambda v: v / F.col("temperature"))) - F.get("z", F.col("y")) / F.col("temperature")
-    return test.groupBy("fit_on", "grp").agg(F.round(F.avg(loss), 5).alias("nll"))
+    labelled = s.filter("split = 'calibration'").select(F.explode(F.array("grp", F.lit("POOLED"))).alias("fit_on"), "z", "y")
+    raw = spark.createDataFrame([("NONE", 1.0)], "fit_on string, temperature double")
+    fitted = fits.grid_temperature(labelled, "fit_on", "z", "y", GRID).select("fit_on", "temperature").unionByName(raw)
+    pairs = fitted.agg(F.collect_list(F.struct("fit_on", "temperature")).alias("all")).withColumn("_one", F.lit(1))  # a fit for each scale
+    test = s.filter("split = 'test'").withColumn("_one", F.lit(1)).join(F.broadcast(pairs), "_one").select("grp", A.centred(F.col("z")).alias("c"), "y", F.inline("all"))
+    right = (A.argmax(F.col("c")) == F.col("y")).cast("int")
+    return test.groupBy("fit_on", "grp").agg(F.count("*").alias("n"), F.round(F.avg(right), 6).alias("accuracy"), F.round(F.avg(A.nll_at(F.col("c"), F.col("y"), F.col("temperature"))), 6).alias("nll"))
 
 
 @query()
 def cv_select(spark, sf_dir):
-    """Raw logits or a fitted temperature by cross-validated NLL, for each scale."""
+    """For each scale the candidate fit (raw, temperature, biases and temperature, matrix) of least NLL on held-out folds."""
+    k = S.LEVELS
     s = S.scores(spark, sf_dir).filter("split = 'calibration'").withColumn("fold", (F.col("item_id") / 2 % 5).cast("int"))
     folds = s.select("*", F.explode(F.array(*map(F.lit, range(5)))).alias("held")).withColumn("unit", F.concat_ws("/", "grp", F.col("held").cast("string")))
-    t = fits.fit_temperature(folds.filter("fold <> held"), "unit", "z", "y").select("unit", "temperature")
-    held = folds.filter("fold = held").join(F.broadcast(t), "unit")
-    loss = lambda c: A.logsumexp(F.transform("z", lambda v: v / c)) - F.get("z", F.col("y")) / c
-    both = held.groupBy("grp").agg(F.avg(loss(F.lit(1.0))).alias("raw"), F.avg(loss(F.col("temperature"))).alias("scaled"))
-    return both.select("grp", F.when(F.col("scaled") < F.col("raw"), "temperature").otherwise("raw").alias("chosen"), F.round("raw", 5).alias("raw"), F.round("scaled", 5).alias("scaled"))
+    made = fits.fit_by_numpy(folds.filter("fold <> held"), "unit", "item_id", ["z", "y"], lambda z, y: fits.candidates(z, y, k))
+    held = folds.filter("fold = held").join(made, "unit")
+    p = fits.candidate_probabilities(F.col("z"), F.col("params"), k)
+    nll = held.select("grp", "y", *(v.alias(f"p{i}") for i, v in enumerate(p.values()))).groupBy("grp").agg(*(F.avg(A.nll(F.col(f"p{i}"), F.col("y"))).alias(name) for i, name in enumerate(p)))
+    best = F.array_min(F.array(*(F.struct(F.col(f"`{name}`").alias("nll"), F.lit(i).alias("i"), F.lit(name).alias("name")) for i, name in enumerate(p))))
+    return nll.select("grp", best["name"].alias("chosen"), *(F.round(f"`{name}`", 5).alias(name.replace("+", "_")) for name in p))
+
+
+SIZES, DRAWS = (8, 32, 128, 500), 20
 
 
 @query()
 def learning_curve(spark, sf_dir):
-    """Test NLL of a temperature fitted on the first rows of a hashed order, by their number."""
-    from pyspark.sql import Window
-
-    s = S.scores(spark, sf_dir)
-    r = F.row_number().over(Window.partitionBy("grp").orderBy(F.xxhash64("item_id"), "item_id"))
-    first = s.filter("split = 'calibration'").withColumn("r", r).filter("r <= 256")
-    sized = first.select("*", F.explode(F.array(*map(F.lit, (8, 32, 128, 256)))).alias("size")).filter("r <= size").withColumn("unit", F.concat_ws("/", "grp", F.col("size").cast("string")))
-    t = fits.fit_temperature(sized, "unit", "z", "y").select(F.split_part("unit", F.lit("/"), F.lit(1)).alias("grp"), F.split_part("unit", F.lit("/"), F.lit(2)).cast("int").alias("size"), "temperature")
-    per = t.groupBy("grp").agg(F.collect_list(F.struct("size", "temperature")).alias("all"))
-    test = s.filter("split = 'test'").join(F.broadcast(per), "grp").select("grp", "z", "y", F.inline("all"))
-    loss = A.logsumexp(F.transform("z", lambda v: v / F.col("temperature"))) - F.get("z", F.col("y")) / F.col("temperature")
-    return test.groupBy("grp", "size").agg(F.round(F.avg(loss), 5).alias("nll"))
+    """Accuracy, MAE and ECE on test rows (mean and deviation over DRAWS level-balanced draws) by the number of labels; 0 is raw."""
+    k, s = S.LEVELS, S.scores(spark, sf_dir)
+    drawn = s.filter("split = 'calibration'").select("grp", "y", "item_id", "z", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1))).alias("draw"))
+    w = Window.partitionBy("grp", "draw", "y").orderBy(F.xxhash64("draw", "item_id"), "item_id")
+    first = drawn.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= max(SIZES) // k)
+    sized = first.select("*", F.explode(F.array(*(F.lit(n // k) for n in SIZES))).alias("per")).filter("r <= per")
+    whole = sized.groupBy("grp", "draw", "per").agg(F.count("*").alias("rows")).filter(F.col("rows") == F.col("per") * k)  # every level has enough
+    unit = sized.join(whole, ["grp", "draw", "per"]).withColumn("unit", F.concat_ws("/", "grp", F.col("per").cast("string"), F.col("draw").cast("string")))
+    fitted = fits.fit_by_numpy(unit, "unit", "item_id", ["z", "y"], fits.vector_scaling).join(unit.select("unit", "grp", "per", "draw").distinct(), "unit")
+    raw = s.select("grp").distinct().select("grp", F.lit(0).alias("per"), F.lit(0).alias("draw"), F.array(*(F.lit(0.0) for _ in range(k))).alias("params"))
+    per_scale = fitted.select("grp", "per", "draw", "params").unionByName(raw).groupBy("grp").agg(F.collect_list(F.struct("per", "draw", "params")).alias("all"))  # a fit for each size and draw
+    test = s.filter("split = 'test'").join(per_scale, "grp").select("grp", "item_id", "y", "z", F.inline("all"))
+    p = A.softmax(F.zip_with("z", F.concat(F.array(F.lit(0.0)), F.slice("params", 2, k - 1)), lambda a, b: a + b), F.exp(F.get("params", F.lit(0))))
+    scored = test.select("grp", "per", "draw", "item_id", "y", p.alias("p")).select("grp", "per", "draw", "item_id", F.round(A.top(F.col("p")), 9).alias("c"), (A.argmax(F.col("p")) == F.col("y")).cast("int").alias("correct"), F.abs(A.expected_level(F.col("p")) - F.col("y")).alias("off"))
+    units = ["grp", "per", "draw"]
+    both = scored.groupBy(*units).agg(F.avg("correct").alias("accuracy"), F.avg("off").alias("mae")).join(metrics.ece(scored, units, "c", "correct", "item_id"), units)
+    shown = [f(m).alias(f"{m}{end}") for m in ("accuracy", "mae", "ece") for f, end in ((F.avg, ""), (F.stddev_pop, "_sd"))]
+    return both.groupBy("grp", (F.col("per") * k).alias("size")).agg(F.count("*").alias("draws"), *shown).select("grp", "size", "draws", *(F.round(f"{m}{e}", 5).alias(f"{m}{e}") for m in ("accuracy", "mae", "ece") for e in ("", "_sd")))
 
 
 @query()

@@ -47,10 +47,12 @@ def parse_json_answer(spark, sf_dir):
     return S.read(spark, sf_dir, "events").select("event_id", X.json_answer(F.concat(F.lit("Sure:\n"), body, F.lit(" done")), "k").alias("k"))
 
 
-@query(r"SELECT doc_id, length(regexp_replace(text || ' sk-' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 12) || ' end', '(sk|key|AIza)[-_][A-Za-z0-9_-]{6,}', '[redacted]', 'g')) AS n FROM documents")
+@query(r"""SELECT doc_id, length(scrubbed) AS n, md5(scrubbed) AS digest FROM (SELECT doc_id, regexp_replace(text || ' sk-' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 12) || ' AIza' || substr(md5(text), 1, 12) || ' key.a*' || substr(md5(text), 1, 8) || ' end', '(sk|key|AIza)[-_A-Za-z0-9*.]{8,}', '<api-key>', 'g') AS scrubbed FROM documents)""")
 def scrub_keys(spark, sf_dir):
-    dirty = F.concat("text", F.lit(" sk-"), F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 12), F.lit(" end"))
-    return S.read(spark, sf_dir, "documents").select("doc_id", F.length(X.scrub(dirty)).cast("long").alias("n"))
+    part = lambda c, n: F.substring(F.md5(c.cast("binary")), 1, n)
+    dirty = F.concat("text", F.lit(" sk-"), part(F.col("doc_id").cast("string"), 12), F.lit(" AIza"), part(F.col("text"), 12), F.lit(" key.a*"), part(F.col("text"), 8), F.lit(" end"))
+    rows = S.read(spark, sf_dir, "documents").select("doc_id", X.scrub(dirty).alias("t"))
+    return rows.select("doc_id", F.length("t").cast("long").alias("n"), F.md5(F.col("t").cast("binary")).alias("digest"))
 
 
 @query(r"SELECT page_id, regexp_replace(url, '[^\p{L}\p{N}._-]', '_', 'g') AS name FROM pages")

@@ -28,7 +28,8 @@ def dual_encoder(spark: SparkSession, sf_dir: str) -> DataFrame:
     test = vectors.filter(F.col("vec_id") % 2 == 1).withColumn("e", F.transform("embedding", lambda x: x.cast("double")))
     keyed = test.withColumn("_one", F.lit(1)).join(F.broadcast(protos.withColumn("_one", F.lit(1))), "_one")
     z = F.transform("protos", lambda r: F.round(A.dot(r["proto"], F.col("e")) * SCALE, 9))
-    return keyed.select("vec_id", "label", A.softmax(z).alias("p"), F.transform("protos", lambda r: r["label"]).alias("keys"))
+    scored = keyed.select("vec_id", "label", z.alias("z"), F.transform("protos", lambda r: r["label"]).alias("keys"))
+    return scored.select("vec_id", "label", A.softmax(F.col("z")).alias("p"), "keys")
 
 
 @query(f"""

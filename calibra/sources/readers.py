@@ -1,6 +1,11 @@
 """Sources: JSON lines, CSV and folder labels, image folders, keyed calibrations, replayed API pages."""
 from __future__ import annotations
 
+import io
+import json
+
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -76,3 +81,49 @@ def replayed_pages(spark: SparkSession, path: str, schema: str, per_class: int,
     """Saved API pages, up to a quota for each class in page order. The live API needs a network and is not built."""
     rows = jsonl(spark, path, schema)
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(kind).orderBy(pos))).filter(F.col("_r") <= per_class).drop("_r")
+
+
+def footer_values(spark: SparkSession, path: str) -> dict[str, str]:
+    """The key-value metadata of a Parquet file's footer, read through the file's own store."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(conf)
+    if fs.getFileStatus(where).isDirectory():
+        where = next(s.getPath() for s in fs.listStatus(where) if s.getPath().getName().endswith(".parquet"))
+    file = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(where, conf))
+    try:
+        return dict(file.getFooter().getFileMetaData().getKeyValueMetaData())
+    finally:
+        file.close()
+
+
+def label_names(spark: SparkSession, path: str, column: str = "label") -> DataFrame:
+    """label, name: the class names that a dataset's footer holds under `huggingface`; an error without them."""
+    found = json.loads(footer_values(spark, path).get("huggingface", "{}"))
+    names = found.get("info", {}).get("features", {}).get(column, {}).get("names")
+    if not names:
+        raise ValueError(f"no class names of {column} in the footer of {path}")
+    return spark.createDataFrame(list(enumerate(names)), "label int, name string")
+
+
+def hidden_states(spark: SparkSession, path: str) -> DataFrame:
+    """source, item_id, hidden array<float> of NPZ files with item_ids and a matrix of half floats called hidden."""
+
+    def run(batches):
+        for batch in batches:
+            for source, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with np.load(io.BytesIO(content), allow_pickle=False) as z:
+                    ids, rows = z["item_ids"].astype(str), z["hidden"].astype(np.float32)
+                yield pa.RecordBatch.from_arrays([pa.array([source] * len(ids)), pa.array(ids.tolist(), pa.string()), pa.array(list(rows), pa.list_(pa.float32()))], names=["source", "item_id", "hidden"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").option("recursiveFileLookup", True).load(path)
+    return files.select("path", "content").mapInArrow(run, "source string, item_id string, hidden array<float>")
+
+
+def config_patch(text: str, name: str) -> dict:
+    """A settings file as a dictionary: JSON, or YAML where its library is there."""
+    if name.endswith((".yaml", ".yml")):
+        import yaml
+
+        return yaml.safe_load(text) or {}
+    return json.loads(text)

@@ -1,6 +1,8 @@
 """Sinks: appended JSON lines, day-partitioned logs, keyed overwrite, verified manifests, upserts."""
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,3 +34,19 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """New rows over old ones by key."""
     both = old.withColumn("_o", F.lit(1)).unionByName(new.withColumn("_o", F.lit(0)))
     return both.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy("_o"))).filter("_r = 1").drop("_o", "_r")
+
+
+def run_directory(path: str, tables: dict[str, DataFrame], config: dict) -> None:
+    """The tables of a run, each in its folder under one path that must be new, and its configuration; predictions as gzipped JSON lines."""
+    for name, df in tables.items():
+        if name in ("predictions", "errors"):
+            df.write.option("compression", "gzip").json(f"{path}/{name}")
+        else:
+            df.write.parquet(f"{path}/{name}")
+    spark = next(iter(tables.values())).sparkSession
+    spark.createDataFrame([(json.dumps(config, sort_keys=True),)], "value string").coalesce(1).write.text(f"{path}/config")
+
+
+def snapshot(lines: DataFrame, path: str, root: str, column: str = "value") -> None:
+    """Text with its absolute root taken out, gzipped."""
+    lines.select(F.replace(F.col(column), F.lit(root), F.lit("")).alias("value")).write.option("compression", "gzip").text(path)

@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 
 
 def daily_counts(spark: SparkSession, source: str, work: str, late: str = "1 day") -> DataFrame:
-    """day, event_type, calls, total_ms of all files now in source, through a stream that stops when it has caught up."""
+    """day, event_type, calls, total_ms of all files now in source, through a stream that stops when it has caught up.
+
+    A call that comes again within `late` of the first is dropped; one that comes later counts anew (`append_once` takes
+    none twice, at the price of a look at what is there).
+    """
     schema = spark.read.parquet(source).schema
     folder, _, name = source.rpartition("/")
     stream = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder) if name.endswith(".parquet") and not _is_folder(spark, source) else spark.readStream.schema(schema).parquet(source)

@@ -40,9 +40,11 @@ def test_choices(spark):
 def test_others(spark):
     gold = spark.createDataFrame([(1, "q", ["a", "b"], "a", {"x": "a", "y": "b"}), (2, "q", ["a", "b"], "a", {"x": "a"})], "item_id int, question string, keys array<string>, label string, annotators map<string,string>")
     assert {r["item_id"]: r["disagreement"] for r in suites.human_gold(gold).collect()} == {"1": 0.5, "2": None}
-    screens = spark.createDataFrame([(f"s{i}", i, {"a": True, "b": False}) for i in range(10)], "screen string, pos int, states map<string,boolean>")
-    assert suites.screens_state(screens).filter("label = 'true'").count() == 5
-    assert suites.probe_count(spark.createDataFrame([(1, (3,))], "item_id int, params struct<count:int>")).first()["label"] == "3"
+    screens = spark.createDataFrame([(f"s{i}", {"signed_in": i > 2, "error_shown": False, "checkbox_checked": True}, "Terms" if i % 2 else None) for i in range(10)], "screen_id string, states map<string,boolean>, checkbox_label string")
+    states = suites.ui_state(screens).collect()
+    assert len(states) == 20 and sum(r["label"] == "true" for r in states) == 8  # two screens have neither sign-in nor checkbox
+    assert {r["question"] for r in states if "checkbox" in r["item_id"]} <= {'Is the "Terms" checkbox checked in `img0`?'}
+    assert suites.REGISTRY["probe_count"](spark.createDataFrame([(1, "3")], "item_id int, label string")).first()["label"] == "3"
     assert suites.build("doc_types", gold)[0].startswith("skipped")
     s = spark.createDataFrame([("a", "choice", False), ("b", "noul", True)], "suite string, type string, private boolean")
     b = spark.createDataFrame([("local", True, False, True), ("hosted", False, True, False)], "backend string, letters boolean, hosted boolean, allow_private boolean")
