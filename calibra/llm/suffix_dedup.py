@@ -7,7 +7,7 @@ anchors only: each window of `passage` bytes has one anchor, the leftmost of its
 Equal windows have equal anchors, so every repeated string is found among the suffixes that start with the same seed.
 
 1. Each document yields its anchors with the run of windows each one stands for, and hashes of the seed and of all bytes
-   around (from the first window on, to `length` bytes behind the start of the last). Copies: anchors whose bytes around
+   around (from the first window on, to `length` bytes behind the start of the last). Seeds that occur once go. Copies: anchors whose bytes around
    are all repeated have nothing left to find. One of each such class, and all anchors with a repeated seed, go on.
 2. The bytes around them become suffixes. Each task sorts its own, front-codes the sorted run (length of the prefix
    shared with the suffix before, then the rest), and sends one piece per range of seeds.
@@ -42,6 +42,7 @@ RANGE_BYTES = 6 << 20
 #: Window starts of a long text that are looked at together.
 PIECE = 1 << 20
 _POS = np.uint64((1 << 24) - 1)
+_MASK = (1 << 64) - 1
 
 
 def _seeds(b: np.ndarray) -> np.ndarray:
@@ -232,7 +233,28 @@ def _anchors(docs: DataFrame, length: int, passage: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["d", "u", "seed", "whole", "at", "first", "last", "end"])
         give_back()
 
-    return docs.mapInArrow(run, "d long, u long, seed long, whole long, at long, first long, last long, end long")
+    return docs.mapInArrow(run, _ANCHOR)
+
+
+_ANCHOR = "d long, u long, seed long, whole long, at long, first long, last long, end long"
+
+
+def _repeated(found: DataFrame) -> DataFrame:
+    """Anchors whose seed occurs again, and some others that a filter of fixed size lets through: the rest need no shuffle."""
+    seeds = found.groupBy("seed").agg(F.count("*").alias("n")).filter("n > 1")
+    held = members_filter(seeds.select(id_hash("seed").alias("h")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(may_hold(held.value, batch.column(8)))).select(range(8))
+
+    return found.select("*", id_hash("seed").alias("h")).mapInArrow(run, _ANCHOR)
+
+
+def _spread(seed: int) -> int:
+    """A seed's place in the merge. Seeds are the least hashes of their windows, hence small: mixed, they fill the range."""
+    x = seed * 0x9E3779B97F4A7C15 & _MASK
+    return (x ^ x >> 32) * 0xD6E8FEB86659FD93 & _MASK
 
 
 def _runs(found: DataFrame, ranges: int) -> DataFrame:
@@ -244,7 +266,7 @@ def _runs(found: DataFrame, ranges: int) -> DataFrame:
             for d, u, t, marks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = (t or "").encode()
                 for m in marks:
-                    seed = m["seed"] % 2**64
+                    seed = _spread(m["seed"] & _MASK)
                     rows.append((seed * ranges >> 64, seed.to_bytes(8) + data[m["at"] : m["end"]], data[m["first"] : m["at"]][::-1], d, u, m["at"], m["open"]))
             rows.sort(key=lambda r: r[:2])
             for start, end in _bounds([r[0] for r in rows]):
@@ -351,7 +373,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE
     if not SEED < passage <= length:
         raise ValueError(f"passage must be over {SEED} and at most length")
     lengths = tuple(sorted({length, passage}))
-    found = cut(_anchors(docs, length, passage))
+    every = cut(_anchors(docs, length, passage))
+    found = cut(_repeated(every))
+    drop(every)
     classes = cut(found.groupBy("seed", "whole").agg(F.count("*").alias("n"), F.min(F.struct("d", "u", "at", "first", "last", "end")).alias("m")).select("seed", "whole", "n", "m.*"))
     # none of these tables has a size bound: merge joins, never broadcasts, at every size
     settled = found.hint("merge").join(classes.filter("n > 1").select("seed", "whole"), ["seed", "whole"], "left_semi")
