@@ -43,7 +43,7 @@ def running(df: DataFrame, unit: list[str], by: str, tie: str, sums: dict[str, C
     tie_cuts = sorted(set(_quantiles(df.filter(at), F.col(tie).cast("double"), ranges))) if often and numeric else []
     level = _below(cuts, key, False) + _below(cuts, key, True)  # odd for a value that is a cut itself
     fine = F.when(at, _below(tie_cuts, F.col(tie).cast("double"), True)).otherwise(0) if tie_cuts else F.lit(0)
-    place = F.coalesce(level * (len(tie_cuts) + 1) + fine, F.lit((2 * len(cuts) + 1) * (len(tie_cuts) + 1) if desc else -1))
+    place = F.when(key.isNull(), (2 * len(cuts) + 1) * (len(tie_cuts) + 1) if desc else -1).otherwise(level * (len(tie_cuts) + 1) + fine)
     sums = sums or {}
     rows = df.withColumns({f"_{k}": v for k, v in sums.items()} | {"_place": place})
     per = rows.groupBy(*unit, "_place").agg(F.count("*").alias("_c"), *(F.sum(f"_{k}").alias(f"_s_{k}") for k in sums))
