@@ -1,7 +1,7 @@
 """Distortions and features of pictures held as arrays: numpy in Arrow batches, one registry of kernels.
 
-A picture is a flat array<double> of SIDE x SIDE x 3 values in 0 to 255. Codecs, fonts and resampling filters need an
-imaging library and are not built.
+A picture is a flat array<double> of SIDE x SIDE x 3 values in 0 to 255. Codecs (JPEG, JPEG 2000), palettes, fonts and
+resampling filters need an imaging library and are not built.
 """
 from __future__ import annotations
 
@@ -31,11 +31,6 @@ def _blur(x: np.ndarray, sigma: float) -> np.ndarray:
     return x
 
 
-def _median3(x: np.ndarray) -> np.ndarray:
-    p = np.pad(x, ((1, 1), (1, 1), (0, 0)), mode="edge")
-    return np.median(np.stack([p[i : i + x.shape[0], j : j + x.shape[1]] for i in range(3) for j in range(3)]), axis=0)
-
-
 def _disc(x: np.ndarray, radius: int) -> np.ndarray:
     y, z = np.mgrid[-radius : radius + 1, -radius : radius + 1]
     mask = y**2 + z**2 <= radius**2
@@ -52,23 +47,6 @@ def _motion(x: np.ndarray, length: int, rng: np.random.Generator) -> np.ndarray:
     return sum(p[length + dy : length + dy + n, length + dx : length + dx + n] for dy, dx in shifts) / len(shifts)
 
 
-def _shuffle(x: np.ndarray, size: int, rng: np.random.Generator) -> np.ndarray:
-    out, n = x.copy(), x.shape[0] - size
-    for _ in range(12):
-        y, z, dy, dz = (int(v) for v in (*rng.integers(0, n + 1, 2), *rng.integers(-size, size + 1, 2)))
-        ty, tz = np.clip([y + dy, z + dz], 0, n)
-        out[ty : ty + size, tz : tz + size] = x[y : y + size, z : z + size]
-    return out
-
-
-def _blocks(x: np.ndarray, count: int, rng: np.random.Generator) -> np.ndarray:
-    x = x.copy()
-    for _ in range(count):
-        y, z = rng.integers(0, x.shape[0] - 6, 2)
-        x[y : y + 6, z : z + 6] = rng.uniform(0, 255, 3)
-    return x
-
-
 def _impulse(x: np.ndarray, p: float, rng: np.random.Generator) -> np.ndarray:
     u = rng.random(x.shape[:2])[..., None]
     return np.where(u < p / 2, 0.0, np.where(u > 1 - p / 2, 255.0, x))
@@ -86,31 +64,116 @@ def _gray(x: np.ndarray) -> np.ndarray:
     return x @ np.array([0.299, 0.587, 0.114])
 
 
-#: name -> (picture, strength, generator) -> picture before clipping
+def _level(gray: np.ndarray) -> np.ndarray:
+    return gray[..., None]
+
+
+def _spread_colour(x: np.ndarray, size: int) -> np.ndarray:
+    """Colour grows over its edges, brightness stays: the strongest colour difference in a square of `size` replaces each."""
+    y = _gray(x)
+    r, out = size // 2, []
+    for c in range(3):
+        d = x[..., c] - y
+        p = np.pad(d, r, mode="edge")
+        views = np.lib.stride_tricks.sliding_window_view(p, (2 * r + 1, 2 * r + 1))
+        high, low = views.max(axis=(2, 3)), views.min(axis=(2, 3))
+        out.append(y + np.where(np.abs(high) >= np.abs(low), high, low))
+    return np.stack(out, axis=-1)
+
+
+def _median(x: np.ndarray, size: int) -> np.ndarray:
+    r = size // 2
+    p = np.pad(x, ((r, r), (r, r), (0, 0)), mode="edge")
+    return np.median(np.lib.stride_tricks.sliding_window_view(p, (2 * r + 1, 2 * r + 1), axis=(0, 1)), axis=(3, 4))
+
+
+def _pixelated(x: np.ndarray, size: int) -> np.ndarray:
+    n = x.shape[0]
+    at = np.minimum(np.arange(n) // size * size + size // 2, n - 1)
+    return x[np.ix_(at, at)]
+
+
+def _patches(x: np.ndarray, size: int, count: int, g: np.random.Generator) -> np.ndarray:
+    size = min(size, x.shape[0] // 2)
+    out, n = x.copy(), x.shape[0] - size
+    for _ in range(count):
+        y, z, dy, dz = (int(v) for v in (*g.integers(0, n + 1, 2), *g.integers(-size, size + 1, 2)))
+        ty, tz = np.clip([y + dy, z + dz], 0, n)
+        out[ty : ty + size, tz : tz + size] = x[y : y + size, z : z + size]
+    return out
+
+
+def _coloured(x: np.ndarray, size: int, count: int, g: np.random.Generator) -> np.ndarray:
+    out, size = x.copy(), min(size, x.shape[0] - 1)
+    for _ in range(count):
+        y, z = g.integers(0, x.shape[0] - size, 2)
+        out[y : y + size, z : z + size] = g.uniform(0, 255, 3)
+    return out
+
+
+#: name -> (picture, parameter, generator) -> picture before clipping
 KERNELS = {
-    "blur": lambda x, s, g: _blur(x, 0.5 + s),
-    "lens_blur": lambda x, s, g: _disc(x, 1 + int(s)),
-    "motion_blur": lambda x, s, g: _motion(x, 3 + 2 * int(s), g),
-    "color_shift": lambda x, s, g: np.stack([np.roll(x[..., 0], int(s) + 1, 1), x[..., 1], np.roll(x[..., 2], -int(s) - 1, 1)], axis=-1),
-    "saturation": lambda x, s, g: _gray(x)[..., None] + (x - _gray(x)[..., None]) / (1 + s),
-    "white_noise": lambda x, s, g: x + g.normal(0, 8 * s, x.shape[:2])[..., None],
-    "color_noise": lambda x, s, g: x + g.normal(0, 8 * s, x.shape),
-    "impulse_noise": lambda x, s, g: _impulse(x, 0.02 * s, g),
-    "multiplicative_noise": lambda x, s, g: x * (1 + g.normal(0, 0.05 * s, x.shape)),
-    "denoise": lambda x, s, g: _blur(_median3(x), 0.5 * s),
-    "brighten": lambda x, s, g: x * (1 + 0.2 * s),
-    "darken": lambda x, s, g: x / (1 + 0.2 * s),
-    "mean_shift": lambda x, s, g: x + 12 * s,
-    "jitter": lambda x, s, g: _jitter(x, 0.5 * s, g),
-    "patch_shuffle": lambda x, s, g: _shuffle(x, 4, g),
-    "pixelate": lambda x, s, g: np.repeat(np.repeat(x[::4, ::4], 4, 0), 4, 1),
-    "quantization": lambda x, s, g: np.floor(x / 2 ** (2 + int(s))) * 2 ** (2 + int(s)),
-    "color_block": lambda x, s, g: _blocks(x, 2 * int(s), g),
-    "sharpen": lambda x, s, g: x + s * (x - _blur(x, 1.0)),
-    "contrast": lambda x, s, g: x.mean() + (x - x.mean()) / (1 + 0.5 * s),
+    "gaussian_blur": lambda x, v, g: _blur(x, v),
+    "lens_blur": lambda x, v, g: _disc(x, v),
+    "motion_blur": lambda x, v, g: _motion(x, v, g),
+    "color_diffusion": lambda x, v, g: _spread_colour(x, v),
+    "color_shift": lambda x, v, g: np.stack([np.roll(x[..., 0], v, 1), x[..., 1], np.roll(x[..., 2], -v, 1)], axis=-1),
+    "color_saturation_up": lambda x, v, g: _level(_gray(x)) + v * (x - _level(_gray(x))),
+    "color_saturation_down": lambda x, v, g: _level(_gray(x)) + v * (x - _level(_gray(x))),
+    "white_noise": lambda x, v, g: x + g.normal(0, v, x.shape[:2])[..., None],
+    "color_noise": lambda x, v, g: x + g.normal(0, v, x.shape),
+    "impulse_noise": lambda x, v, g: _impulse(x, v, g),
+    "multiplicative_noise": lambda x, v, g: x * (1 + g.normal(0, v, x.shape)),
+    "denoise": lambda x, v, g: _blur(_median(x, v), 0.8),
+    "brighten": lambda x, v, g: x * v,
+    "darken": lambda x, v, g: x * v,
+    "mean_shift": lambda x, v, g: x + v,
+    "jitter": lambda x, v, g: _jitter(x, v, g),
+    "patch_shuffle": lambda x, v, g: _patches(x, *v, g),
+    "pixelate": lambda x, v, g: _pixelated(x, v),
+    "quantization": lambda x, v, g: np.floor(x / 2 ** (8 - v)) * 2 ** (8 - v),
+    "color_block": lambda x, v, g: _coloured(x, *v, g),
+    "sharpen": lambda x, v, g: x + v * (x - _blur(x, 2.0)),
+    "contrast_change": lambda x, v, g: _gray(x).mean() + v * (x - _gray(x).mean()),
+    "ladder_blur": lambda x, v, g: _blur(x, v) if v else x,
+    "ladder_noise": lambda x, v, g: x + g.normal(0, v, x.shape) if v else x,
+    "ladder_exposure": lambda x, v, g: x * v,
+}
+#: Parameters of the levels, mildest first, in pixels or grey values (fixed values).
+LEVELS = {
+    "gaussian_blur": [0.6, 1.2, 2.2, 3.6, 5.5],
+    "lens_blur": [2, 3, 5, 8, 12],
+    "motion_blur": [4, 7, 11, 16, 22],
+    "color_diffusion": [5, 9, 15, 23, 33],
+    "color_shift": [1, 2, 3, 5, 7],
+    "color_saturation_up": [1.4, 1.8, 2.4, 3.2, 4.2],
+    "color_saturation_down": [0.75, 0.55, 0.38, 0.2, 0.0],
+    "white_noise": [5, 10, 17, 26, 38],
+    "color_noise": [5, 10, 17, 26, 38],
+    "impulse_noise": [0.004, 0.01, 0.02, 0.04, 0.07],
+    "multiplicative_noise": [0.06, 0.12, 0.2, 0.3, 0.42],
+    "denoise": [3, 5, 7, 9, 13],
+    "brighten": [1.3, 1.6, 2.0, 2.6, 3.4],
+    "darken": [0.72, 0.52, 0.36, 0.22, 0.1],
+    "mean_shift": [12, 25, 42, 62, 85],
+    "jitter": [0.6, 1.1, 1.8, 2.8, 4.2],
+    "patch_shuffle": [(16, 6), (16, 12), (16, 22), (16, 34), (16, 50)],
+    "pixelate": [3, 5, 8, 13, 20],
+    "quantization": [5, 4, 3, 2, 1],
+    "color_block": [(10, 1), (16, 3), (22, 6), (28, 10), (36, 16)],
+    "sharpen": [0.8, 1.5, 2.4, 3.6, 5.2],
+    "contrast_change": [0.78, 0.58, 0.4, 0.24, 0.1],
+    "ladder_blur": [0, 1.2, 3.0, 7.0],
+    "ladder_noise": [0, 10, 25, 60],
+    "ladder_exposure": [1.0, 0.5, 0.25, 0.1],
 }
 
 
+def degrade(x: np.ndarray, kernel: str, level: int, seed: int) -> np.ndarray:
+    """A picture (rows, columns, 3) at a level of a distortion, clipped; the same for the same arguments."""
+    return _clip(KERNELS[kernel](x, LEVELS[kernel][level], np.random.default_rng(seed)))
+
+
 def pictures(ids: DataFrame) -> DataFrame:
     """item_id, pixels: a picture for each id, the same on every run."""
 
@@ -127,8 +190,8 @@ def pictures(ids: DataFrame) -> DataFrame:
     return ids.mapInPandas(run, "item_id long, pixels array<double>")
 
 
-def distort(rows: DataFrame, strength: float = 2.0) -> DataFrame:
-    """rows: item_id, pixels, kernels (array of names). Gives item_id, kernel, mean, deviation of each clipped result."""
+def distort(rows: DataFrame, level: int = 2) -> DataFrame:
+    """rows: item_id, pixels, kernels (array of names). Gives item_id, kernel, mean, deviation of each result at a level."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -136,35 +199,67 @@ def distort(rows: DataFrame, strength: float = 2.0) -> DataFrame:
             for i, p, kernels in zip(pdf["item_id"], pdf["pixels"], pdf["kernels"], strict=True):
                 picture = np.asarray(p).reshape(SIDE, SIDE, 3)
                 for k in kernels:
-                    x = _clip(KERNELS[k](picture, strength, np.random.default_rng(int(i))))
+                    x = degrade(picture, k, level, int(i))
                     out.append((i, k, round(float(x.mean()), 6), round(float(x.std()), 6)))
             yield pd.DataFrame(out, columns=["item_id", "kernel", "mean", "deviation"])
 
     return rows.mapInPandas(run, "item_id long, kernel string, mean double, deviation double")
 
 
+def _sobel(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Differences along columns and rows, smoothed across, with mirrored edges."""
+    p = np.pad(g, 1, mode="symmetric")
+    d = p[:, 2:] - p[:, :-2]
+    e = p[2:, :] - p[:-2, :]
+    return d[:-2] + 2 * d[1:-1] + d[2:], e[:, :-2] + 2 * e[:, 1:-1] + e[:, 2:]
+
+
+def _box_mean(g: np.ndarray, size: int = 8) -> np.ndarray:
+    """The mean of size x size values around each, from `size // 2` before it, with mirrored edges."""
+    for axis in (0, 1):
+        p = np.pad(g, [(size // 2, size - size // 2 - 1) if a == axis else (0, 0) for a in range(2)], mode="symmetric")
+        g = np.lib.stride_tricks.sliding_window_view(p, size, axis=axis).mean(axis=-1)
+    return g
+
+
+def _steps(g: np.ndarray, axis: int) -> tuple[float, float]:
+    """Mean absolute difference of neighbours at the borders of blocks of 8, and within blocks."""
+    d = np.abs(np.diff(g, axis=axis)).mean(axis=1 - axis)
+    border = np.arange(1, len(d) + 1) % 8 == 0
+    return (float(d[border].mean()) if border.any() else 0.0), (float(d[~border].mean()) if (~border).any() else 0.0)
+
+
 def _features(x: np.ndarray) -> dict[str, float]:
-    g = _gray(x)
+    """29 measures of sharpness, noise, blocks, light, colour and contrast."""
+    g = np.round(_gray(x))
     p = np.pad(g, 1, mode="edge")
-    lap = p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:] - 4 * g
-    gy, gx = np.gradient(g)
-    f = np.abs(np.fft.fftshift(np.fft.fft2(g))) ** 2
-    n = g.shape[0]
-    r = np.hypot(*(np.mgrid[0:n, 0:n] - n // 2))
-    immerkaer = p[:-2, :-2] - 2 * p[:-2, 1:-1] + p[:-2, 2:] - 2 * (p[1:-1, :-2] - 2 * g + p[1:-1, 2:]) + p[2:, :-2] - 2 * p[2:, 1:-1] + p[2:, 2:]
-    hist = np.bincount(g.astype(int).ravel(), minlength=256) / g.size
-    hist = hist[hist > 0]
-    d = np.abs(np.diff(g, axis=1))
-    edge = d[:, 7::8].mean()
-    rg, yb = x[..., 0] - x[..., 1], (x[..., 0] + x[..., 1]) / 2 - x[..., 2]
+    laplacian = (p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:] - 4 * g).var()
+    gx, gy = _sobel(g)
+    slope = np.hypot(gx, gy)
+    power = np.abs(np.fft.fftshift(np.fft.fft2(g - g.mean()))) ** 2
+    h, w = g.shape
+    far = np.hypot(np.arange(h)[:, None] - h / 2, np.arange(w)[None] - w / 2) > 0.25 * min(h, w) / 2
+    second = p[:, :-2] - 2 * p[:, 1:-1] + p[:, 2:]
+    residue = (second[:-2] - 2 * second[1:-1] + second[2:])[1:-1, 1:-1]
+    noise = np.sqrt(np.pi / 2) * np.abs(residue).sum() / (6 * (h - 2) * (w - 2))
+    (col, col_in), (row, row_in) = _steps(g, 1), _steps(g, 0)
+    p1, p5, p50, p95, p99 = np.percentile(g, [1, 5, 50, 95, 99])
     top, low = x.max(axis=2), x.min(axis=2)
+    saturation = np.floor(255 * np.divide(top - low, top, out=np.zeros_like(top), where=top > 0)) / 255
+    rg, yb = x[..., 0] - x[..., 1], (x[..., 0] + x[..., 1]) / 2 - x[..., 2]
+    local = g - _box_mean(g)
+    share = np.histogram(g, bins=256, range=(0, 255))[0] / g.size
+    share = share[share > 0]
     return {
-        "laplacian": lap.var(), "tenengrad": (gx**2 + gy**2).mean(), "high_frequency": f[r > n / 4].sum() / max(f.sum(), 1e-12),
-        "noise": np.abs(immerkaer[1:-1, 1:-1]).mean() * np.sqrt(np.pi / 2) / 6, "blockiness": edge - np.delete(d, np.s_[7::8], axis=1).mean(),
-        "colourfulness": np.hypot(rg.std(), yb.std()) + 0.3 * np.hypot(rg.mean(), yb.mean()), "entropy": -(hist * np.log2(hist)).sum(),
-        "luminance": g.mean(), "contrast": g.std(), "saturation": ((top - low) / np.maximum(top, 1)).mean(),
-        "colours": len(np.unique((x // 16).reshape(-1, 3), axis=0)) / g.size, "p05": np.percentile(g, 5), "p95": np.percentile(g, 95),
-    }
+        "lap_var": laplacian, "lap_var_log": np.log1p(laplacian), "tenengrad": (slope**2).mean(), "tenengrad_log": np.log1p((slope**2).mean()),
+        "edge_mean_mag": slope.mean(), "edge_density": (slope > slope.mean() + slope.std()).mean(), "hf_energy_ratio": power[far].sum() / (power.sum() + 1e-12),
+        "noise_sigma": noise, "noise_sigma_log": np.log1p(noise), "blockiness_col": col - col_in, "blockiness_row": row - row_in, "blockiness_mean": (col - col_in + row - row_in) / 2,
+        "blockiness_ratio": (col + row) / (col_in + row_in + 1e-6), "lum_mean": g.mean(), "lum_std": g.std(), "lum_p5": p5, "lum_p50": p50, "lum_p95": p95,
+        "clip_low_frac": (g <= 2).mean(), "clip_high_frac": (g >= 253).mean(), "sat_mean": saturation.mean(), "sat_std": saturation.std(),
+        "colourfulness": np.hypot(rg.std(), yb.std()) + 0.3 * np.hypot(rg.mean(), yb.mean()), "local_contrast_mean": np.abs(local).mean(), "local_contrast_std": local.std(),
+        "rms_contrast": g.std() / (g.mean() + 1e-6), "michelson_contrast": (p99 - p1) / (p99 + p1 + 1e-6),
+        "unique_color_ratio": len(np.unique((x // 16).reshape(-1, 3), axis=0)) / g.size, "gray_entropy": -(share * np.log2(share)).sum(),
+    }
 
 
 def features(rows: DataFrame) -> DataFrame:

@@ -19,6 +19,46 @@ def test_kernels_same_as_one_by_one(spark):
         f = np.random.default_rng(i).uniform(1, 9, (3, 2))
         picture = np.clip(127 + 100 * np.stack([np.sin(a * y * 6 + b * z * 6) for a, b in f], axis=-1), 0, 255)
         for name, kernel in pixels.KERNELS.items():
-            x = np.clip(kernel(picture, 2.0, np.random.default_rng(i)), 0, 255)
+            x = np.clip(kernel(picture, pixels.LEVELS[name][2], np.random.default_rng(i)), 0, 255)
             want[i, name] = (round(float(x.mean()), 6), round(float(x.std()), 6))
-    assert len(want) == len(ids) * 20 and got == want
+    assert len(want) == len(ids) * 25 and got == want
+
+
+def test_features_by_plain_loops(spark):
+    got = catalog.QUERIES["pixel_features"](spark, SF).orderBy("item_id").first()
+    f = np.random.default_rng(got["item_id"]).uniform(1, 9, (3, 2))
+    y, z = np.mgrid[0:32, 0:32] / 32
+    x = np.clip(127 + 100 * np.stack([np.sin(a * y * 6 + b * z * 6) for a, b in f], axis=-1), 0, 255)
+    g = np.round(x @ np.array([0.299, 0.587, 0.114]))
+    at = lambda i, j: g[min(max(i, 0), 31), min(max(j, 0), 31)]
+    lap = np.array([[at(i - 1, j) + at(i + 1, j) + at(i, j - 1) + at(i, j + 1) - 4 * at(i, j) for j in range(32)] for i in range(32)])
+    slope = np.array([[np.hypot(sum(w * (at(i + d, j + 1) - at(i + d, j - 1)) for d, w in ((-1, 1), (0, 2), (1, 1))), sum(w * (at(i + 1, j + d) - at(i - 1, j + d)) for d, w in ((-1, 1), (0, 2), (1, 1)))) for j in range(32)] for i in range(32)])
+    box = np.array([[np.mean([at2(g, i + a, j + b) for a in range(-4, 4) for b in range(-4, 4)]) for j in range(32)] for i in range(32)])
+    mask = [[1, -2, 1], [-2, 4, -2], [1, -2, 1]]
+    noise = sum(abs(sum(mask[a][b] * g[i + a, j + b] for a in range(3) for b in range(3))) for i in range(30) for j in range(30)) * np.sqrt(np.pi / 2) / (6 * 30 * 30)
+    cols = [abs(g[i, j + 1] - g[i, j]) for j in range(31) for i in range(32) if (j + 1) % 8 == 0]
+    inner = [abs(g[i, j + 1] - g[i, j]) for j in range(31) for i in range(32) if (j + 1) % 8]
+    want = {"lap_var": lap.var(), "tenengrad": (slope**2).mean(), "edge_mean_mag": slope.mean(), "local_contrast_mean": np.abs(g - box).mean(), "local_contrast_std": (g - box).std(), "noise_sigma": noise, "noise_sigma_log": np.log1p(noise), "blockiness_col": np.mean(cols) - np.mean(inner), "lum_p50": np.percentile(g, 50), "rms_contrast": g.std() / (g.mean() + 1e-6)}
+    for k, v in want.items():
+        assert abs(got[k] - v) < 1e-5 * max(1, abs(v)), k
+    assert len(got) == 30
+
+
+def at2(g, i, j):
+    """A value with mirrored edges."""
+    n = len(g)
+    i, j = (-k - 1 if k < 0 else 2 * n - 1 - k if k >= n else k for k in (i, j))
+    return g[i, j]
+
+
+def test_levels_grow(spark):
+    """Each distortion moves a picture further from what it was, level by level, in the mean over pictures."""
+    g = np.random.default_rng(5)
+    y, z = np.mgrid[0:64, 0:64] / 64
+    for name, levels in pixels.LEVELS.items():
+        moved = np.zeros(len(levels))
+        for seed in range(6):
+            f = g.uniform(1, 9, (3, 2))
+            x = np.clip(127 + 100 * np.stack([np.sin(a * y * 6 + b * z * 6) for a, b in f], axis=-1), 0, 255)
+            moved += [np.abs(pixels.degrade(x, name, k, seed) - x).mean() for k in range(len(levels))]
+        assert moved[-1] > moved[0] and (moved[1:] > 0).all(), name
