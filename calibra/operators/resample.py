@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DRAWS = 2000
@@ -30,30 +30,33 @@ def weights(hashes: np.ndarray, draws: int, seed: int) -> np.ndarray:
     return np.searchsorted(_BOUNDS, x ^ (x >> np.uint64(31)), side="right").astype(np.float64)
 
 
-def cluster_bootstrap(df: DataFrame, unit: str, cluster: str, value: str, other: str | None = None, draws: int = DRAWS, seed: int = 7) -> DataFrame:
+def cluster_bootstrap(df: DataFrame, unit: str, cluster: str, value: str, other: str | None = None, draws: int = DRAWS, seed: int = 7, stratum: str | None = None) -> DataFrame:
     """unit, mean, low, high of a mean (or of the mean difference value - other) over resampled clusters, and their number.
 
     Each draw weighs every cluster by a hashed Poisson(1) number; tasks sum over their clusters and Spark over the tasks,
-    so no unit is gathered. Draws without a value are left out.
+    so no unit is gathered. With a stratum each is resampled by itself and counts as much in every draw as in the data.
+    Draws without a value are left out.
     """
+    strata = F.coalesce(F.col(stratum).cast("string"), F.lit("")) if stratum else F.lit("")
+    keys = [unit, "_stratum"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict = {}
 
         def made() -> Iterator[pd.DataFrame]:
-            for u, (s, n, c) in sums.items():
-                yield pd.DataFrame({unit: pd.Series([u] * (draws + 1), dtype=object), "draw": np.arange(-1, draws), "s": s, "n": n, "c": c})
+            for (u, k), (s, n, c) in sums.items():
+                yield pd.DataFrame({unit: pd.Series([u] * (draws + 1), dtype=object), "_stratum": k, "draw": np.arange(-1, draws), "s": s, "n": n, "c": c})
             sums.clear()
 
         for pdf in batches:
-            for u, own in pdf.groupby(unit, dropna=False, sort=False):
-                u = None if pd.isna(u) else u
-                if u not in sums and len(sums) >= UNITS:
+            for (u, k), own in pdf.groupby(keys, dropna=False, sort=False):
+                key = (None if pd.isna(u) else u, k)
+                if key not in sums and len(sums) >= UNITS:
                     yield from made()
-                total = sums.setdefault(u, [np.zeros(draws + 1), np.zeros(draws + 1), 0])
+                total = sums.setdefault(key, [np.zeros(draws + 1), np.zeros(draws + 1), 0])
                 total[2] += len(own)
-                for k in range(0, len(own), CHUNK):
-                    part = own.iloc[k : k + CHUNK]
+                for i in range(0, len(own), CHUNK):
+                    part = own.iloc[i : i + CHUNK]
                     w = weights(part["h"].to_numpy(np.int64), draws, seed)
                     for t, c in zip(total, ("s", "n")):
                         x = part[c].to_numpy(np.float64)
@@ -62,11 +65,13 @@ def cluster_bootstrap(df: DataFrame, unit: str, cluster: str, value: str, other:
         yield from made()
 
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # rows are narrow and draws cost time: spread them
-    hashed = clustered(df, [unit], cluster, value, other).select(unit, F.xxhash64("cluster").alias("h"), "s", "n").repartition(parts, "h")
+    hashed = clustered(df.withColumn("_stratum", strata), keys, cluster, value, other).select(*keys, F.xxhash64("cluster").alias("h"), "s", "n").repartition(parts, "h")
     kind = df.schema[unit].dataType.simpleString()
-    drawn = hashed.mapInPandas(run, f"`{unit}` {kind}, draw int, s double, n double, c long").groupBy(unit, "draw").agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.sum("c").alias("c"))
-    mean, whole = F.when(F.col("n") > 0, F.col("s") / F.col("n")), F.col("draw") < 0
-    found = drawn.groupBy(unit).agg(F.max(F.when(whole, mean)).alias("mean"), F.percentile(F.when(~whole, mean), F.array(F.lit(0.025), F.lit(0.975))).alias("p"), F.max(F.when(whole, F.col("c"))).alias("clusters"))
+    drawn = hashed.mapInPandas(run, f"`{unit}` {kind}, _stratum string, draw int, s double, n double, c long").groupBy(*keys, "draw").agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.sum("c").alias("c"))
+    rows = F.max(F.when(F.col("draw") < 0, F.col("n"))).over(Window.partitionBy(*keys))  # a row for each draw
+    some = drawn.withColumn("rows", F.when(F.col("n") > 0, rows)).groupBy(unit, "draw").agg(F.try_divide(F.sum(F.try_divide(F.col("rows") * F.col("s"), F.col("n"))), F.sum("rows")).alias("mean"), F.sum("c").alias("c"))
+    mean, whole = F.col("mean"), F.col("draw") < 0
+    found = some.groupBy(unit).agg(F.max(F.when(whole, mean)).alias("mean"), F.percentile(F.when(~whole, mean), F.array(F.lit(0.025), F.lit(0.975))).alias("p"), F.max(F.when(whole, F.col("c"))).alias("clusters"))
     return found.select(unit, "mean", F.col("p")[0].alias("low"), F.col("p")[1].alias("high"), "clusters")
 
 

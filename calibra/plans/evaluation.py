@@ -195,3 +195,13 @@ def cluster_bootstrap(spark, sf_dir):
 def paired_difference(spark, sf_dir):
     both = S.systems(spark, sf_dir).groupBy("grp", "item_id").pivot("system", ["a", "b"]).agg(F.first(F.col("correct").cast("int"))).dropna()
     return resample.cluster_bootstrap(both, "grp", "item_id", "a", "b")
+
+
+@query()
+def stratified_difference(spark, sf_dir):
+    """The difference of two systems over resampled photos of ten items, each status resampled by itself; a verdict by the interval's sign."""
+    both = S.systems(spark, sf_dir).groupBy("grp", "item_id").pivot("system", ["a", "b"]).agg(F.first(F.col("correct").cast("int"))).dropna()
+    pooled = both.withColumns({"all": F.lit("all"), "photo": F.concat_ws("/", "grp", F.expr("item_id div 10").cast("string"))})
+    found = resample.cluster_bootstrap(pooled, "all", "photo", "a", "b", stratum="grp")
+    verdict = F.when(F.col("low") > 0, "above").when(F.col("high") < 0, "below").when((F.col("low") > -0.03) & (F.col("high") < 0.03), "equal").otherwise("open")
+    return found.withColumn("verdict", verdict)

@@ -39,3 +39,17 @@ def test_same_as_weighted_sums_at_any_layout(spark, monkeypatch):
 def test_weights_are_poisson():
     w = resample.weights(np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 2000), 100, 7)
     assert w.mean() == pytest.approx(1, abs=0.01) and w.var() == pytest.approx(1, abs=0.02) and (w == 0).mean() == pytest.approx(np.exp(-1), abs=0.005)
+
+
+def test_strata_keep_their_share(spark):
+    """Two strata of different means and sizes: the interval leaves out the difference between them."""
+    rows = [("u", "big", i, float(i % 2)) for i in range(900)] + [("u", "small", 1000 + i, 10.0) for i in range(100)]
+    df = spark.createDataFrame(rows, "u string, s string, c long, v double")
+    whole = resample.cluster_bootstrap(df, "u", "c", "v").first()
+    parts = resample.cluster_bootstrap(df, "u", "c", "v", stratum="s").first()
+    assert parts["mean"] == pytest.approx(1.45) == whole["mean"] and parts["clusters"] == 1000
+    rng = np.random.default_rng(1)
+    found = [0.9 * rng.choice([0.0, 1.0], 900).mean() + 0.1 * 10 for _ in range(2000)]
+    low, high = np.percentile(found, [2.5, 97.5])
+    assert parts["high"] - parts["low"] == pytest.approx(high - low, rel=0.15)
+    assert whole["high"] - whole["low"] > 3 * (parts["high"] - parts["low"])
