@@ -272,3 +272,19 @@ def features(rows: DataFrame) -> DataFrame:
             yield pd.DataFrame({"item_id": pdf["item_id"], **{n: [round(float(m[n]), 6) for m in made] for n in names}})
 
     return rows.mapInPandas(run, "item_id long, " + ", ".join(f"{n} double" for n in names))
+
+
+def laddered(rows: DataFrame, kernel: str) -> DataFrame:
+    """item_id, level and a column for each feature of every picture at every level of a distortion."""
+    names = list(_features(np.zeros((SIDE, SIDE, 3))))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for i, p in zip(pdf["item_id"], pdf["pixels"], strict=True):
+                for level in range(len(LEVELS[kernel])):
+                    f = _features(degrade(np.asarray(p).reshape(SIDE, SIDE, 3), kernel, level, int(i)))
+                    out.append((i, level, *(float(f[n]) for n in names)))
+            yield pd.DataFrame(out, columns=["item_id", "level", *names])
+
+    return rows.mapInPandas(run, "item_id long, level int, " + ", ".join(f"{n} double" for n in names))

@@ -5,7 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from calibra.functions import arrays as A
-from calibra.operators import fits, metrics, pixels
+from calibra.operators import fits, metrics, pixels, readout
 from calibra.plans._register import Registry
 from calibra.sources import standins as S
 
@@ -151,3 +151,29 @@ def pixel_kernels(spark, sf_dir):
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # ids are narrow and pictures cost time: spread the ids
     rows = pixels.pictures(S.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id")).repartition(parts, "item_id"))
     return pixels.distort(rows.withColumn("kernels", F.array(*map(F.lit, sorted(pixels.KERNELS)))))
+
+
+def _readout(spark, name: str, train, test, tie: str, features, y, dims, l2):
+    model, k, chosen, nll = readout.choose(train, tie, features, y, dims, l2)
+    scored = readout.predict(model, test.withColumn("_y", y.cast("int")), features)
+    b = metrics.bundle(scored.withColumn("readout", F.lit(name)), ["readout"], "p", "_y")
+    shown = b.select("readout", F.lit(k).cast("int").alias("dims"), F.lit(chosen).alias("l2"), F.lit(round(nll, 5)).alias("cv_nll"), "n", *(F.round(c, 5).alias(c) for c in ("accuracy", "within_one", "mae", "nll")))
+    return shown
+
+
+@query()
+def readout_ladder(spark, sf_dir):
+    """Hidden vectors to labels: principal components and penalty by cross-validation, then test metrics."""
+    v = S.read(spark, sf_dir, "embeddings")
+    split = F.col("vec_id") % 2 == 0
+    return _readout(spark, "components", v.filter(split), v.filter(~split), "vec_id", F.transform("embedding", lambda x: x.cast("double")), F.col("label"), [8, 32], [0.001, 0.05])
+
+
+@query()
+def feature_classifier(spark, sf_dir):
+    """The level of a distortion (noise, four levels) from 29 picture features."""
+    parts = S.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "item_id")
+    rows = pixels.laddered(pixels.pictures(parts), "ladder_noise").persist()
+    names = [c for c in rows.columns if c not in ("item_id", "level")]
+    split = F.col("item_id") % 2 == 0
+    return _readout(spark, "features", rows.filter(split), rows.filter(~split), "item_id", F.array(*names), F.col("level"), None, [0.001, 0.05])
