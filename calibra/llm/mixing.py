@@ -27,6 +27,8 @@ from calibra.llm._common import cut, table
 
 DIMS = ("source", "lang", "topic")
 ROUNDS, REFITS, TOLERANCE, BUDGET = 100, 50, 1e-6, 0.5
+#: Cells up to this number go to all tasks (some MB); more are joined by a shuffle of the documents.
+FEW_CELLS = 50_000
 #: Shares of targets made from the corpus are raised to this power.
 TEMPER = 0.7
 _NONE, _REST = "(none)", "*"
@@ -108,7 +110,8 @@ def _cells(slim: DataFrame, keys: list[str], targets: dict[str, dict[str, float]
         return spark.createDataFrame([], schema)
     names = [sums[k].to_pylist() for k in keys]
     p = probabilities(names, np.asarray(sums["tokens"]), targets, budget, temper)
-    return spark.createDataFrame(list(zip(*names, p.tolist(), strict=True)), schema)
+    cells = spark.createDataFrame(list(zip(*names, p.tolist(), strict=True)), schema)
+    return F.broadcast(cells) if sums.num_rows <= FEW_CELLS else cells
 
 
 def _drawn() -> Column:
@@ -131,10 +134,10 @@ def sample(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None,
     """The kept rows of docs, with their own columns."""
     targets = targets or {}
     names = [f"_cell_{d}" for d in DIMS]
-    while {*names, "_probability"} & set(docs.columns):
+    while {*names, "_" + names[0]} & set(docs.columns):
         names = [f"_{n}" for n in names]
     keys = [c.alias(n) for n, c in zip(names, _named(targets, topic_of(F.col("text")) if topic is None else topic), strict=True)]
-    cells = _cells(docs.select(*keys, tokens_of(F.col("text")).alias("tokens")), names, targets, budget, temper).select(*names, F.col("probability").alias("_" + names[0]))
+    cells = _cells(docs.select(*keys, tokens_of(F.col("text")).alias("tokens")), names, targets, budget, temper).withColumnRenamed("probability", "_" + names[0])
     placed = docs.select("*", *keys).join(cells, names)
     return placed.filter(_drawn() < F.col("_" + names[0])).select(*docs.columns)
 

@@ -33,7 +33,7 @@ def test_caps_and_missing_targets():
     assert one.tolist() == [1.0]
 
 
-def test_frames(spark):
+def test_frames(spark, monkeypatch):
     rng = random.Random(2)
     rows = [(i, "word " * rng.randrange(1, 40), rng.choice(["en", "de", None]), rng.choice(["s0", "s0", "s0", "s1", None])) for i in range(6000)] + [(4001, None, "en", "s0"), (4002, "", "en", "s1"), (4002, "", "en", "s1"), (4003, "LOUD!!! " * 9, "en", "s1")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("topic_", F.lit(1))
@@ -46,6 +46,8 @@ def test_frames(spark):
     for dim, goal in targets.items():
         for v, share in goal.items():
             assert sum(r["tokens"] for r in kept if r[dim] == v) / total == pytest.approx(share, abs=0.05)
+    monkeypatch.setattr(mixing, "FEW_CELLS", 0)  # the join by a shuffle
+    assert sorted(got, key=repr) == sorted(mixing.mix(df, targets, budget=0.3).collect(), key=repr)
     again = {r["doc_id"] for r in mixing.sample(df, targets=targets, budget=0.3).collect()}
     assert again == {r["doc_id"] for r in kept} and mixing.sample(df, targets=targets).columns == df.columns
     assert mixing.mix(df.limit(0)).count() == 0 and mixing.sample(df.limit(0)).count() == 0
