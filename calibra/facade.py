@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calibra.config import Config, tier
+from calibra.operators import calibrate, fits, suites
 from calibra.operators import decide as D
-from calibra.operators import fits
 
 _REQUEST = "request_id long, images array<string>, question string, type string, keys array<string>, descriptions array<string>"
 
@@ -21,6 +21,7 @@ class Decider:
 
     def __init__(self, spark: SparkSession, scorer: Callable[[DataFrame], DataFrame] = D.hash_scorer, config: Config | None = None):
         self.spark, self.scorer, self.config, self.temperature = spark, scorer, config or Config(), 1.0
+        self.sets: DataFrame | None = None
 
     def ask(self, requests: DataFrame) -> DataFrame:
         """Answers to valid requests; a request with errors is an exception that names its first error."""
@@ -49,12 +50,40 @@ class Decider:
         return new
 
 
+    def calibrate(self, rows: DataFrame) -> Decider:
+        """rows: prediction rows (see operators/calibrate.py). A decider that holds the fits by question type and by suite."""
+        new = Decider(self.spark, self.scorer, self.config)
+        new.sets = calibrate.fit_sets(rows)
+        return new
+
+    def calibrated(self, rows: DataFrame, prefer_suite: bool = False) -> DataFrame:
+        """rows with p under the fit of their own configuration; one without a fit is an error."""
+        if self.sets is None:
+            raise ValueError("calibration_mismatch: nothing is fitted")
+        found = calibrate.apply_sets(rows, self.sets, prefer_suite)
+        bad = F.concat(F.lit("calibration_mismatch: no fit for "), F.concat_ws("/", "key", "type"))
+        return found.withColumn("p", F.when(F.col("fit_scope").isNull(), F.raise_error(bad)).otherwise(F.col("p")))
+
+
+def hosted(config: Config, backend: str) -> str:
+    """A hosted back end's name, if the settings allow sending pictures out."""
+    if not config.allow_hosted:
+        raise PermissionError(f"{backend} is hosted: set allow_hosted to send pictures to it")
+    return backend
+
+
+_ROWS = "key string, suite string, type string, split string, item_id string, z array<double>, label_index int"
+
+
 def main(argv: list[str] | None = None, out=sys.stdout) -> int:
     parser = argparse.ArgumentParser(prog="calibra")
     commands = parser.add_subparsers(dest="command", required=True)
     commands.add_parser("doctor").add_argument("--ram-gb", type=float, default=16)
     ask = commands.add_parser("decide")
     ask.add_argument("requests", help="JSON lines of requests")
+    fit = commands.add_parser("fit")
+    fit.add_argument("predictions", help="JSON lines of prediction rows")
+    commands.add_parser("suites")
     run = commands.add_parser("eval")
     run.add_argument("sf_dir")
     run.add_argument("queries", nargs="*")
@@ -62,7 +91,16 @@ def main(argv: list[str] | None = None, out=sys.stdout) -> int:
     if args.command == "doctor":
         print(json.dumps({"tier": tier(args.ram_gb)}), file=out)
         return 0
+    if args.command == "suites":
+        for group, names in sorted(suites.GROUPS.items()):
+            print(json.dumps({"group": group, "suites": names}), file=out)
+        return 0
     spark = SparkSession.builder.getOrCreate()
+    if args.command == "fit":
+        rows = spark.read.schema(_ROWS).json(args.predictions)
+        for r in calibrate.quality(rows, calibrate.fit_sets(rows)).toLocalIterator():
+            print(json.dumps(r.asDict()), file=out)
+        return 0
     if args.command == "decide":
         rows = spark.read.schema(_REQUEST).json(args.requests)
         for r in Decider(spark).ask(rows).toLocalIterator():

@@ -78,3 +78,20 @@ def test_facade(spark, tmp_path):
     out = io.StringIO()
     assert facade.main(["decide", str(tmp_path / "r.jsonl")], out) == 0 and json.loads(out.getvalue())["request_id"] == 5
     assert facade.main(["doctor", "--ram-gb", "64"], out) == 0
+
+
+def test_facade_calibrates_by_configuration(spark, tmp_path):
+    rows = [{"key": "k", "suite": "ab"[i % 2], "type": "score", "split": "calibration", "item_id": str(i), "z": [0.0, 3.0], "label_index": int(i % 4 > 0)} for i in range(40)]
+    (tmp_path / "p.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    out = io.StringIO()
+    assert facade.main(["fit", str(tmp_path / "p.jsonl")], out) == 0
+    fitted = [json.loads(x) for x in out.getvalue().splitlines()]
+    assert {(r["scope"], r["name"]) for r in fitted} == {("type", "score"), ("suite", "a"), ("suite", "b")} and all(r["nll_after"] <= r["nll_before"] + 1e-9 for r in fitted)
+    df = spark.createDataFrame([("k", "a", "score", [0.0, 3.0]), ("other", "a", "score", [0.0, 3.0])], "key string, suite string, type string, z array<double>")
+    d = facade.Decider(spark).calibrate(spark.read.schema(facade._ROWS).json(str(tmp_path / "p.jsonl")))
+    assert d.calibrated(df.filter("key = 'k'")).first()["p"][1] == pytest.approx(0.75, abs=0.02)
+    with pytest.raises(Exception, match="calibration_mismatch"):
+        d.calibrated(df).collect()
+    with pytest.raises(PermissionError):
+        facade.hosted(config.Config(), "x")
+    assert facade.main(["suites"], out) == 0
