@@ -20,6 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from calibra.functions.arrays import let
 from calibra.llm._common import table
 
 NONE, UNKNOWN = "none", "unknown"
@@ -158,12 +159,15 @@ def _strings(values) -> Column:
 
 
 def _grams(line: Column) -> Column:
-    words = F.regexp_extract_all(F.lower(line), F.lit(WORD), F.lit(0))
+    """The pairs and triples around each term of a paragraph; its words are made once."""
 
-    def runs(n: int) -> Column:
-        return F.transform(words, lambda w, i: F.when(i <= F.size(words) - n, F.concat_ws(" ", *(F.get(words, i + k) for k in range(n)))))
+    def around(words: Column) -> Column:
+        terms = F.array_compact(F.transform(words, lambda w, i: F.when(F.array_contains(_strings(TERMS), w), i)))
+        spans = F.flatten(F.transform(terms, lambda p: F.array(*(F.struct((p - back).alias("at"), F.lit(n).alias("n")) for n in (2, 3) for back in range(n)))))
+        whole = F.filter(spans, lambda s: (s["at"] >= 0) & (s["at"] + s["n"] <= F.size(words)))
+        return F.array_distinct(F.transform(whole, lambda s: F.array_join(F.slice(words, s["at"] + 1, s["n"]), " ")))
 
-    return F.array_distinct(F.array_compact(F.concat(runs(2), runs(3))))
+    return let(F.regexp_extract_all(line, F.lit(WORD), F.lit(0)), around)
 
 
 def findings(text: Column, model: Model | None = None) -> Column:
@@ -176,7 +180,7 @@ def findings(text: Column, model: Model | None = None) -> Column:
     families = _strings(model.families)
     templates = F.array(*(F.array(*(_strings(sorted(grams(t))) for t in TEMPLATES.get(f, []))) if f != NONE else F.array(F.array(F.lit(""))) for f in model.families))
     lines = F.transform(F.split(text, PARAGRAPH), lambda line, i: F.struct(i.alias("i"), F.lower(line).alias("line")))
-    has_term = lambda x: functools.reduce(lambda a, b: a | b, (x["line"].contains(t) for t in _needles()))
+    has_term = lambda x: x["line"].rlike(_ANY_TERM)
     own = F.transform(F.filter(lines, has_term), lambda x: F.struct(x["i"].alias("i"), _grams(x["line"]).alias("g")))
     hits = F.transform(own, lambda x: F.struct(x["i"].alias("i"), x["g"].alias("g"), F.array_intersect(x["g"], _strings(vocab)).alias("h")))
     zero = F.array(*(F.lit(float(v)) for v in model.bias))
@@ -187,6 +191,9 @@ def findings(text: Column, model: Model | None = None) -> Column:
     return F.transform(named, lambda x: F.struct(x["i"].alias("paragraph"), F.when((x["p"] >= model.least) & (x["t"] >= CONFIRM), x["f"]).otherwise(F.lit(UNKNOWN)).alias("family"), x["p"].alias("probability"), x["t"].alias("template")))
 
 
+_ANY_TERM = rf"(?<![a-z0-9])(?:{'|'.join(TERMS)})(?![a-z0-9])"
+
+
 def _needles() -> list[str]:
     """TERMS without those that contain another one: a line holds one of these if it holds any term."""
     return [t for t in TERMS if not any(o != t and o in t for o in TERMS)]
@@ -194,7 +201,8 @@ def _needles() -> list[str]:
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with licences: the paragraphs found, their family, probability and agreement with a template."""
-    some = functools.reduce(lambda a, b: a | b, (F.lower(F.col(text)).contains(t) for t in _needles()))
+    low = F.lower(F.col(text))
+    some = functools.reduce(lambda a, b: a | b, (low.contains(t) for t in _needles())) & low.rlike(_ANY_TERM)
     empty = F.array().cast("array<struct<paragraph:int,family:string,probability:double,template:double>>")
     return docs.withColumn("licences", F.when(some, findings(F.col(text))).otherwise(empty))
 
