@@ -52,7 +52,7 @@ def open_set_share(spark, sf_dir):
 @query(f"WITH {S.PROBS} SELECT CASE WHEN CAST(item_id AS VARCHAR) LIKE '1%' THEN 'one' ELSE 'rest' END AS part, pred AS level, count(*) AS n, round(avg(CAST(pred > y AS INT)), 6) AS over, round(avg(pred - y), 6) AS bias FROM probs GROUP BY 1, 2")
 def score_offsets(spark, sf_dir):
     part = F.when(F.col("item_id").cast("string").startswith("1"), "one").otherwise("rest")
-    return probs(spark, sf_dir).groupBy(part.alias("part"), F.col("pred").cast("long").alias("level")).agg(F.count("*").alias("n"), F.round(F.avg((F.col("pred") > F.col("y")).cast("int")), 6).alias("over"), F.round(F.avg(F.col("pred") - F.col("y")), 6).alias("bias"))
+    return probs(spark, sf_dir).groupBy(part.alias("part"), F.col("pred").alias("level")).agg(F.count("*").alias("n"), F.round(F.avg((F.col("pred") > F.col("y")).cast("int")), 6).alias("over"), F.round(F.avg(F.col("pred") - F.col("y")), 6).alias("bias"))
 
 
 @query(f"""WITH {S.PROBS}, a AS (SELECT grp, avg(correct) FILTER (item_id % 3 = 0) AS control, avg(correct) FILTER (item_id % 3 <> 0) AS main, count(*) AS n FROM probs GROUP BY grp)
