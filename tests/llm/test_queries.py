@@ -15,6 +15,9 @@ COLUMNS = {
     "op7_suffix_dedup": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_bytes"],
     "op9_ngram_jaccard": ["doc_id", "n_shingles", "component_id", "n_links"],
     "op10_exact_top_k": ["query_id", "rank", "vec_id", "score"],
+    "op11_url_filter": ["page_id", "host", "path", "rule", "verdict"],
+    "op12_periodic_runs": ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"],
+    "op13_filter_audit": ["part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"],
 }
 
 
@@ -25,11 +28,13 @@ def test_query(spark, name):
     got = sorted(map(tuple, df.collect()), key=repr)
     if name.startswith("op10"):
         assert len(got) == 5 * spark.read.parquet(f"{SF}/embeddings.parquet").filter("vec_id % 50 = 0").count()
+    elif name.startswith("op13"):
+        assert len(got) == 600 * spark.read.parquet(f"{SF}/documents.parquet").select("source").distinct().count()
     else:
-        assert len(got) == spark.read.parquet(f"{SF}/documents.parquet").count()
+        assert len(got) == spark.read.parquet(f"{SF}/{'pages' if name.startswith('op11') else 'documents'}.parquet").count()
     if name in registry.ORACLES:
         con = duckdb.connect()
-        for t in ("documents", "embeddings"):
+        for t in ("documents", "embeddings", "labels", "pages"):
             con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
         want = con.execute(registry.ORACLES[name])
         at = [[d[0] for d in want.description].index(c) for c in df.columns]
