@@ -87,7 +87,7 @@ def decide(urls: DataFrame, rules: Sequence[tuple[str, str, str]] | DataFrame) -
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<(link|meta|base)\b((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.I | re.S)
 _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'<>]+))")
-_REFRESH = re.compile(r"\s*[\d.]+\s*[;,]?\s*(?:url\s*=\s*)?[\"']?([^\"']+)", re.I)
+_REFRESH = re.compile(r"\s*[\d.]++\s*[;,]?\s*(?:url\s*=\s*)?[\"']?([^\"']+)", re.I)
 
 
 def aliases(url: str, html: str) -> list[str]:
