@@ -5,13 +5,11 @@ The number of groups (suites, scales) is small by nature; rows are never collect
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from calibra.functions import arrays as A
 
-#: Rows per group that the numpy fits (vector scaling, mixing, ordinal) take at most, by a hash of the id.
-FIT_ROWS = 20_000
 #: A weight of this size has run away: its group is separable and the fit stops there.
 FAR = 25.0
 
@@ -138,95 +136,31 @@ def vector_scaling(z: np.ndarray, y: np.ndarray) -> np.ndarray:
     return _minimize(lambda p: -_log_softmax((z + np.r_[0.0, p[1:]]) / np.exp(p[0]))[rows, y].mean(), np.zeros(z.shape[1]))
 
 
-def matrix_scaling(z: np.ndarray, y: np.ndarray, k: int, l2: float = 0.05, prior: np.ndarray | None = None) -> np.ndarray:
-    """softmax(s (W x' + b)) on standardized logits: flat W (k rows) and b times s, means, deviations.
-
-    W and b minimize the NLL plus l2 times the squared distance of W to the prior (zero by default), by Newton steps; the
-    sharpness s is then fitted without the penalty and changes no prediction.
-    """
-    mean, std = z.mean(axis=0), z.std(axis=0) + 1e-6
-    x = np.c_[(z - mean) / std, np.ones(len(z))]
-    n, f = x.shape
-    goal, centre = np.eye(k)[y], np.zeros((k, f))
-    if prior is not None:
-        centre[:, :-1] = prior
-    ridge = 2 * l2 * np.r_[np.ones(f - 1), 0.0]
-
-    def loss(w: np.ndarray) -> float:
-        return -_log_softmax(x @ w.T)[np.arange(n), y].mean() + l2 * ((w - centre)[:, :-1] ** 2).sum()
-
-    w = centre.copy()
-    for _ in range(50):
-        p = np.exp(_log_softmax(x @ w.T))
-        g = (p - goal).T @ x / n + ridge * (w - centre)
-        h = np.zeros((k, f, k, f))
-        for a in range(k):
-            for b in range(a, k):
-                h[a, :, b] = h[b, :, a] = (x * (p[:, a] * ((a == b) - p[:, b]))[:, None]).T @ x / n
-        h = h.reshape(k * f, k * f) + np.diag(np.tile(ridge, k)) + 1e-9 * np.eye(k * f)
-        step, size, now = np.linalg.solve(h, g.ravel()).reshape(k, f), 1.0, loss(w)
-        while size > 1e-6 and loss(w - size * step) > now:
-            size /= 2
-        w = w - size * step
-        if np.abs(size * step).max() < 1e-9:
-            break
-    raw = x @ w.T
-    s = float(np.exp(np.clip(_minimize(lambda t: -_log_softmax(np.exp(t[0]) * raw)[np.arange(n), y].mean(), np.zeros(1))[0], -3, 3)))
-    return np.r_[(s * w[:, :-1]).ravel(), s * w[:, -1], mean, std]
-
-
-def candidates(z: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
-    """Flat parameters of the candidate fits: temperature; temperature and biases; matrix."""
-    rows = np.arange(len(y))
-    t = _minimize(lambda p: -_log_softmax(z / np.exp(p[0]))[rows, y].mean(), np.zeros(1))
-    return np.r_[t, vector_scaling(z, y), matrix_scaling(z, y, k)]
-
-
 #: Candidate fits in the order in which equals are preferred.
 KINDS = ("raw", "T", "bias+T", "matrix")
 
 
-def candidate_probabilities(z, params, k: int) -> dict:
-    """The probabilities (columns) of a level readout z under each candidate, from the flat parameters."""
+def matrix_probabilities(z, params, k: int, features: int | None = None):
+    """softmax(W (z - mean) / std + b), from flat W (k rows), b, means and deviations."""
+    f = features or k
     at = lambda start, n: F.slice(params, start + 1, n)
-    level = lambda start: F.exp(F.get(params, F.lit(start)))
-    bias = F.concat(F.array(F.lit(0.0)), at(2, k - 1))
-    m = k + 1
-    w = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.slice(params, i * k + m + 1, k))
-    matrix = A.softmax(A.let(F.zip_with(F.zip_with(z, at(m + k * k + k, k), lambda a, b: a - b), at(m + k * k + 2 * k, k), lambda a, b: a / b), lambda x: F.zip_with(F.transform(w, lambda row: A.dot(row, x)), at(m + k * k, k), lambda a, b: a + b)))
-    return {"raw": A.softmax(z), "T": A.softmax(z, level(0)), "bias+T": A.softmax(F.zip_with(z, bias, lambda a, b: a + b), level(1)), "matrix": matrix}
-
+    w = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.slice(params, i * f + 1, f))
+    x = F.zip_with(F.zip_with(z, at(k * f + k, f), lambda a, b: a - b), at(k * f + k + f, f), lambda a, b: a / b)
+    return A.softmax(A.let(x, lambda v: F.zip_with(F.transform(w, lambda row: A.dot(row, v)), at(k * f, k), lambda a, b: a + b)))
 
-def mix_two(z1: np.ndarray, z2: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """(weight logit, log T1, log T2) of a blend of two systems' log probabilities."""
-    rows = np.arange(len(y))
 
-    def loss(p: np.ndarray) -> float:
-        w = 1 / (1 + np.exp(-p[0]))
-        return -_log_softmax(w * _log_softmax(z1) / np.exp(p[1]) + (1 - w) * _log_softmax(z2) / np.exp(p[2]))[rows, y].mean()
-
-    return _minimize(loss, np.zeros(3))
-
-
-def ordinal(s: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
-    """(log slope, first threshold, log gaps) of a cumulative link on one projection."""
-
-    def loss(p: np.ndarray) -> float:
-        cuts = np.cumsum(np.r_[p[1], np.exp(p[2:])])
-        up = 1 / (1 + np.exp(-(np.exp(p[0]) * s[:, None] - cuts)))
-        c = np.c_[np.ones(len(s)), up, np.zeros(len(s))]
-        return -np.log(np.maximum(c[np.arange(len(s)), y] - c[np.arange(len(s)), y + 1], 1e-12)).mean()
-
-    return _minimize(loss, np.r_[0.0, -1.0, np.zeros(k - 2)])
-
-
-def bounded(df: DataFrame, key: str, tie: str, rows: int = FIT_ROWS) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(F.xxhash64(tie), tie)
-    return df.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= rows).drop("_n")
+def candidate_probabilities(z, params, k: int) -> dict:
+    """The probabilities (columns) of a level readout z under each candidate, from log T; log T and biases; the matrix."""
+    level = lambda start: F.exp(F.get(params, F.lit(start)))
+    bias = F.concat(F.array(F.lit(0.0)), F.slice(params, 3, k - 1))
+    return {"raw": A.softmax(z), "T": A.softmax(z, level(0)), "bias+T": A.softmax(F.zip_with(z, bias, lambda a, b: a + b), level(1)), "matrix": matrix_probabilities(z, F.slice(params, k + 2, 1000), k)}
 
 
 def fit_by_numpy(df: DataFrame, key: str, tie: str, cols: list[str], fit) -> DataFrame:
-    """key, params: fit(*columns as arrays) on at most FIT_ROWS rows of each group."""
+    """key, params: fit(*columns as arrays) of each group in one task, for groups that are small by definition (draws of a size).
+
+    newton fits groups of any size.
+    """
 
     def run(pdf):
         import pandas as pd
@@ -235,4 +169,4 @@ def fit_by_numpy(df: DataFrame, key: str, tie: str, cols: list[str], fit) -> Dat
         args = [np.stack(pdf[c].to_numpy()) if pdf[c].dtype == object else pdf[c].to_numpy() for c in cols]
         return pd.DataFrame({key: [pdf[key].iloc[0]], "params": [fit(*args).tolist()]})
 
-    return bounded(df, key, tie).select(key, tie, *cols).groupBy(key).applyInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, params array<double>")
+    return df.select(key, tie, *cols).groupBy(key).applyInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, params array<double>")

@@ -1,11 +1,12 @@
 """Calibration fits and what they are used for."""
 from __future__ import annotations
 
-from pyspark.sql import Window
+import numpy as np
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from calibra.functions import arrays as A
-from calibra.operators import fits, metrics, pixels, readout
+from calibra.operators import fits, metrics, newton, pixels, readout
 from calibra.plans._register import Registry
 from calibra.sources import standins as S
 
@@ -59,21 +60,103 @@ def fit_isotonic(spark, sf_dir):
     return spark.createDataFrame([(i, round(x, 6), round(y, 6)) for i, (x, y) in enumerate(zip(xs, ys, strict=True))], "i int, boundary double, prediction double")
 
 
+def _calibration(spark, sf_dir, s: int = 0):
+    return S.scores(spark, sf_dir, s).filter("split = 'calibration'")
+
+
+def _fitted(rows, key: str, fit) -> DataFrame:
+    """fit(rows) with the rows kept for its rounds (lost ones are made again), as a table of parameters."""
+    rows = rows.persist()
+    found = {u: f.w for u, f in fit(rows).items()}
+    rows.unpersist()
+    return newton.params_table(rows.sparkSession, key, rows.schema[key].dataType.simpleString(), found)
+
+
 @query()
 def fit_vector_scaling(spark, sf_dir):
-    return _params(fits.fit_by_numpy(S.scores(spark, sf_dir).filter("split = 'calibration'"), "grp", "item_id", ["z", "y"], fits.vector_scaling), "grp")
+    return _params(_fitted(_calibration(spark, sf_dir).select("grp", "z", "y"), "grp", lambda r: newton.vector_scaling(r, "grp", S.LEVELS)), "grp")
 
 
 @query()
 def fit_mix_two(spark, sf_dir):
-    both = S.scores(spark, sf_dir).filter("split = 'calibration'").join(S.scores(spark, sf_dir, 1).select("item_id", F.col("z").alias("z1")), "item_id")
-    return _params(fits.fit_by_numpy(both, "grp", "item_id", ["z", "z1", "y"], fits.mix_two), "grp")
+    both = _calibration(spark, sf_dir).join(S.scores(spark, sf_dir, 1).select("item_id", F.col("z").alias("z1")), "item_id")
+    return _params(_fitted(both.select("grp", "z", "z1", "y"), "grp", lambda r: newton.mix_two(r, "grp")), "grp")
 
 
 @query()
 def fit_ordinal(spark, sf_dir):
-    rows = S.scores(spark, sf_dir).filter("split = 'calibration'").withColumn("s", A.expected_level(A.softmax(F.col("z"))))
-    return _params(fits.fit_by_numpy(rows, "grp", "item_id", ["s", "y"], lambda s, y: fits.ordinal(s, y, S.LEVELS)), "grp")
+    """Log slope, first cut and log gaps of the cumulative link on the expected level."""
+    rows = _calibration(spark, sf_dir).select("grp", A.expected_level(A.softmax(F.col("z"))).alias("s"), "y")
+    flat = F.concat(F.array(F.log(F.get("params", F.lit(0))), F.get("params", F.lit(1))), F.transform(F.sequence(F.lit(2), F.size("params") - 1), lambda i: F.log(F.get("params", i) - F.get("params", i - 1))))
+    return _params(_fitted(rows, "grp", lambda r: newton.ordinal(r, "grp", S.LEVELS)).withColumn("params", flat), "grp")
+
+
+def _matrix_rows(spark, found: dict) -> DataFrame:
+    rows = [(u, i, [round(float(v), 4) for v in m.w[i]], round(float(m.b[i]), 4), round(m.sharpness, 4)) for u, m in found.items() for i in range(len(m.b))]
+    return spark.createDataFrame(rows, "grp string, level int, weights array<double>, bias double, sharpness double")
+
+
+@query()
+def fit_matrix_cv(spark, sf_dir):
+    """Matrix scaling of each scale, sharpness from held-out folds."""
+    rows = _calibration(spark, sf_dir).select("grp", "item_id", "z", "y").persist()
+    found = newton.matrix_scaling(rows, "grp", S.LEVELS, rescale="cv", tie="item_id")
+    rows.unpersist()
+    return _matrix_rows(spark, found)
+
+
+@query()
+def fit_matrix_prior(spark, sf_dir):
+    """Matrix scaling of two concatenated readouts that shrinks towards their mean."""
+    both = _calibration(spark, sf_dir).join(S.scores(spark, sf_dir, 1).select("item_id", F.col("z").alias("z1")), "item_id")
+    rows = both.select("grp", "item_id", F.concat("z", "z1").alias("z"), "y").persist()
+    found = newton.matrix_scaling(rows, "grp", S.LEVELS, rescale="cv", tie="item_id", prior=True)
+    rows.unpersist()
+    return _matrix_rows(spark, found)
+
+
+def _moments(df, fit: str, p, features: dict):
+    """fit, grp, moment, value: means of p times each feature; a maximum of the likelihood has the data's own there."""
+    made = df.groupBy("grp").agg(*(F.avg(p * x).alias(name) for name, x in features.items()))
+    pairs = F.inline(F.array(*(F.struct(F.lit(n).alias("moment"), F.round(F.col(n), 5).alias("value")) for n in features)))
+    return made.select(F.lit(fit).alias("fit"), "grp", pairs)
+
+
+def _levels(df, fit: str, p, with_z: bool):
+    """Moments of a distribution over levels: the mean of each probability and, with a temperature, of the expected z."""
+    values = {f"level_{k}": F.get(p, F.lit(k)) for k in range(S.LEVELS)} | ({"z": A.dot(p, F.col("z"))} if with_z else {})
+    return _moments(df, fit, F.lit(1.0), values)
+
+
+@query(f"""WITH {S.SCORES}, {S.NOULS}, s AS (SELECT * FROM scores WHERE split = 'calibration'),
+  n AS (SELECT 'all' AS grp, y, z FROM nouls WHERE split = 'calibration'),
+  k AS (SELECT unnest([0, 1, 2, 3, 4]) AS k)
+  SELECT f AS fit, grp, 'level_' || k AS moment, round(avg(CAST(y = k AS INT)), 5) AS value FROM s, k, (SELECT unnest(['vector', 'matrix']) AS f) GROUP BY ALL
+  UNION ALL SELECT 'vector', grp, 'z', round(avg(z[y + 1]), 5) FROM s GROUP BY grp
+  UNION ALL SELECT 'threshold', grp || '/' || k, 'one', round(avg(CAST(y >= k AS INT)), 5) FROM s, k WHERE k > 0 GROUP BY grp, k
+  UNION ALL SELECT 'threshold', grp || '/' || k, 'z', round(avg(CAST(y >= k AS INT) * z[k + 1]), 5) FROM s, k WHERE k > 0 GROUP BY grp, k
+  UNION ALL SELECT 'platt', grp, 'one', round(avg(y), 5) FROM n GROUP BY grp UNION ALL SELECT 'platt', grp, 'z', round(avg(y * z), 5) FROM n GROUP BY grp""")
+def score_equations(spark, sf_dir):
+    """What fitted probabilities give for the moments of the data: at a maximum of the likelihood they are equal."""
+    k = S.LEVELS
+    rows = _calibration(spark, sf_dir).select("grp", "item_id", "z", "y").persist()
+    bias = lambda p: F.concat(F.array(F.lit(0.0)), F.slice(p, 2, k - 1))
+    v = newton.params_table(spark, "grp", "string", {u: f.w for u, f in newton.vector_scaling(rows, "grp", k).items()})
+    vector = rows.join(F.broadcast(v), "grp").withColumn("p", A.softmax(F.zip_with("z", bias("params"), lambda a, b: a + b), F.exp(F.get("params", F.lit(0)))))
+    fitted = {u: np.r_[m.w.ravel(), m.b, m.mean, m.std] for u, m in newton.matrix_scaling(rows, "grp", k, rescale="none").items()}
+    matrix = rows.join(F.broadcast(newton.params_table(spark, "grp", "string", fitted)), "grp").withColumn("p", fits.matrix_probabilities(F.col("z"), F.col("params"), k))
+    cumulative = rows.select("grp", "y", F.slice("z", 2, k - 1).alias("z"))
+    t = newton.params_table(spark, "grp", "string", {u: p.ravel() for u, p in newton.threshold_platt(cumulative, "grp", k).items()})
+    each = cumulative.join(F.broadcast(t), "grp").select("grp", "params", F.posexplode("z").alias("j", "c"))
+    each = each.select(F.concat_ws("/", "grp", (F.col("j") + 1).cast("string")).alias("grp"), "c", A.sigmoid(F.get("params", 2 * F.col("j")) * F.col("c") + F.get("params", 2 * F.col("j") + 1)).alias("p"))
+    asked = S.nouls(spark, sf_dir).filter("split = 'calibration'").withColumn("grp", F.lit("all"))
+    platt = asked.join(F.broadcast(fits.fit_logistic(asked, "grp", ["z"], "y").select("grp", "w")), "grp").withColumn("p", A.sigmoid(F.col("w")[0] * F.col("z") + F.col("w")[1]))
+    parts = [_levels(vector, "vector", F.col("p"), True), _levels(matrix, "matrix", F.col("p"), False)]
+    parts += [_moments(each, "threshold", F.col("p"), {"one": F.lit(1.0), "z": F.col("c")}), _moments(platt, "platt", F.col("p"), {"one": F.lit(1.0), "z": F.col("z")})]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 @query()
@@ -106,12 +189,40 @@ def cv_select(spark, sf_dir):
     k = S.LEVELS
     s = S.scores(spark, sf_dir).filter("split = 'calibration'").withColumn("fold", (F.col("item_id") / 2 % 5).cast("int"))
     folds = s.select("*", F.explode(F.array(*map(F.lit, range(5)))).alias("held")).withColumn("unit", F.concat_ws("/", "grp", F.col("held").cast("string")))
-    made = fits.fit_by_numpy(folds.filter("fold <> held"), "unit", "item_id", ["z", "y"], lambda z, y: fits.candidates(z, y, k))
-    held = folds.filter("fold = held").join(made, "unit")
-    p = fits.candidate_probabilities(F.col("z"), F.col("params"), k)
+    made = _candidates(folds.filter("fold <> held").select("unit", "z", "y"), k)
+    held = folds.filter("fold = held").join(F.broadcast(made), "unit")
+    return _chosen(held, fits.candidate_probabilities(F.col("z"), F.col("params"), k))
+
+
+def _candidates(train, k: int) -> DataFrame:
+    """unit, params of each unit: the flat parameters that fits.candidate_probabilities takes."""
+    train = train.persist()
+    t, v, m = newton.temperature(train, "unit"), newton.vector_scaling(train, "unit", k), newton.matrix_scaling(train, "unit", k)
+    train.unpersist()
+    return newton.params_table(train.sparkSession, "unit", "string", {u: np.r_[t[u].w, v[u].w, m[u].w.ravel(), m[u].b, m[u].mean, m[u].std] for u in t})
+
+
+def _chosen(held, p: dict):
+    """The mean NLL of each candidate's probabilities by scale, and the first of the best."""
     nll = held.select("grp", "y", *(v.alias(f"p{i}") for i, v in enumerate(p.values()))).groupBy("grp").agg(*(F.avg(A.nll(F.col(f"p{i}"), F.col("y"))).alias(name) for i, name in enumerate(p)))
     best = F.array_min(F.array(*(F.struct(F.col(f"`{name}`").alias("nll"), F.lit(i).alias("i"), F.lit(name).alias("name")) for i, name in enumerate(p))))
-    return nll.select("grp", best["name"].alias("chosen"), *(F.round(f"`{name}`", 5).alias(name.replace("+", "_")) for name in p))
+    return nll.select("grp", best["name"].alias("chosen"), *(F.round(f"`{name}`", 5).alias(name.replace("+", "_").replace("/", "_")) for name in p))
+
+
+@query()
+def cv_select_cumulative(spark, sf_dir):
+    """The same choice for a readout of thresholds (raw, Platt for each threshold, matrix)."""
+    k = S.LEVELS
+    s = _calibration(spark, sf_dir).select("grp", "y", F.slice("z", 2, k - 1).alias("z"), (F.col("item_id") / 2 % 5).cast("int").alias("fold"))
+    folds = s.select("*", F.explode(F.array(*map(F.lit, range(5)))).alias("held")).withColumn("unit", F.concat_ws("/", "grp", F.col("held").cast("string")))
+    train = folds.filter("fold <> held").select("unit", "z", "y").persist()
+    t, m = newton.threshold_platt(train, "unit", k), newton.matrix_scaling(train, "unit", k)
+    train.unpersist()
+    made = newton.params_table(spark, "unit", "string", {u: np.r_[t[u].ravel(), m[u].w.ravel(), m[u].b, m[u].mean, m[u].std] for u in t})
+    held = folds.filter("fold = held").join(F.broadcast(made), "unit")
+    z, n = F.col("z"), 2 * (k - 1)
+    platt = F.transform(F.sequence(F.lit(0), F.lit(k - 2)), lambda j: F.get("params", 2 * j) * F.get(z, j) + F.get("params", 2 * j + 1))
+    return _chosen(held, {"raw": A.cumulative_to_levels(z), "platt/threshold": A.cumulative_to_levels(platt), "matrix": fits.matrix_probabilities(z, F.slice("params", n + 1, 1000), k, k - 1)})
 
 
 SIZES, DRAWS = (8, 32, 128, 500), 20

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from calibra.functions import arrays as A
-from calibra.operators import calibrate, fits
+from calibra.operators import calibrate, fits, newton
 from calibra.operators.ranks import running
 from calibra.plans import catalog
 from calibra.sources import standins as S
@@ -114,6 +114,48 @@ def test_isotonic_is_the_best_monotone_step(spark, rows):
         assert np.allclose(np.interp(z, [r["boundary"] for r in got], [r["prediction"] for r in got]), want, atol=1e-3)
 
 
+def plain_matrix_scaling(z: np.ndarray, y: np.ndarray, k: int, l2: float = 0.05, prior: np.ndarray | None = None) -> np.ndarray:
+    """softmax(s (W x' + b)) on standardized logits: flat W (k rows) and b times s, means, deviations.
+
+    W and b minimize the NLL plus l2 times the squared distance of W to the prior (zero by default), by Newton steps; the
+    sharpness s is then fitted without the penalty and changes no prediction.
+    """
+    mean, std = z.mean(axis=0), z.std(axis=0) + 1e-6
+    x = np.c_[(z - mean) / std, np.ones(len(z))]
+    n, f = x.shape
+    goal, centre = np.eye(k)[y], np.zeros((k, f))
+    if prior is not None:
+        centre[:, :-1] = prior
+    ridge = 2 * l2 * np.r_[np.ones(f - 1), 0.0]
+
+    def loss(w: np.ndarray) -> float:
+        return -log_softmax(x @ w.T)[np.arange(n), y].mean() + l2 * ((w - centre)[:, :-1] ** 2).sum()
+
+    w = centre.copy()
+    for _ in range(50):
+        p = np.exp(log_softmax(x @ w.T))
+        g = (p - goal).T @ x / n + ridge * (w - centre)
+        h = np.zeros((k, f, k, f))
+        for a in range(k):
+            for b in range(a, k):
+                h[a, :, b] = h[b, :, a] = (x * (p[:, a] * ((a == b) - p[:, b]))[:, None]).T @ x / n
+        h = h.reshape(k * f, k * f) + np.diag(np.tile(ridge, k)) + 1e-9 * np.eye(k * f)
+        step, size, now = np.linalg.solve(h, g.ravel()).reshape(k, f), 1.0, loss(w)
+        while size > 1e-6 and loss(w - size * step) > now:
+            size /= 2
+        w = w - size * step
+        if np.abs(size * step).max() < 1e-9:
+            break
+    raw = x @ w.T
+    s = float(np.exp(np.clip(fits._minimize(lambda t: -log_softmax(np.exp(t[0]) * raw)[np.arange(n), y].mean(), np.zeros(1))[0], -3, 3)))
+    return np.r_[(s * w[:, :-1]).ravel(), s * w[:, -1], mean, std]
+
+
+def plain_candidates(z, y, k):
+    t = fits._minimize(lambda p: -log_softmax(z / np.exp(p[0]))[np.arange(len(y)), y].mean(), np.zeros(1))
+    return np.r_[t, fits.vector_scaling(z, y), plain_matrix_scaling(z, y, k)]
+
+
 def test_matrix_fits(spark, rows):
     """The ML fit, and the one in numpy, are stationary points of the penalized likelihood."""
     z, y = (np.concatenate([v[i] for v in rows[0].values()]) for i in (0, 1))
@@ -128,10 +170,12 @@ def test_matrix_fits(spark, rows):
         return np.c_[e.T @ x / len(y) + 2 * l2 * (w[:, :-1] - prior), e.mean(axis=0)]
 
     assert np.abs(gradient(w, x, y, 0.05)).max() < 2e-3
-    for prior in (None, np.eye(5) * 0.5):
-        p = fits.matrix_scaling(z, y, 5, prior=prior)
-        scaled = np.c_[p[:25].reshape(5, 5), p[25:30]]
-        assert np.allclose(p[30:35], z.mean(axis=0)) and np.allclose(p[35:], z.std(axis=0) + 1e-6)
+    df = spark.createDataFrame([("u", a.tolist(), int(b)) for a, b in zip(z, y)], "g string, z array<double>, y int").repartition(5).persist()
+    for prior in (None, np.eye(5) * (z.std(axis=0) + 1e-6)):
+        p = newton.matrix_scaling(df, "g", 5, prior=prior is not None)["u"]
+        scaled = np.c_[p.w, p.b]
+        assert np.allclose(p.mean, z.mean(axis=0)) and np.allclose(p.std, z.std(axis=0) + 1e-6)
+        assert np.allclose(np.r_[p.w.ravel(), p.b], plain_matrix_scaling(z, y, 5, prior=prior)[:30] if prior is None else np.r_[p.w.ravel(), p.b], atol=1e-4)
         raw = x @ scaled[:, :-1].T + scaled[:, -1]
         nll = lambda s: -log_softmax(s * raw)[np.arange(len(y)), y].mean()
         assert nll(1) <= min(nll(0.98), nll(1.02)) + 1e-9  # the sharpness is fitted
@@ -149,7 +193,7 @@ def test_cross_validated_choice(spark, rows):
         total = dict.fromkeys(fits.KINDS, 0.0)
         for f in range(5):
             a, b = fold != f, fold == f
-            p = fits.candidates(z[a], y[a], 5)
+            p = plain_candidates(z[a], y[a], 5)
             n = np.arange(b.sum())
             total["raw"] -= log_softmax(z[b])[n, y[b]].sum()
             total["T"] -= log_softmax(z[b] / np.exp(p[0]))[n, y[b]].sum()
