@@ -21,7 +21,7 @@ def binned(df: DataFrame, unit: list[str], conf: str, tie: str, bins: int = BINS
 
 def reliability(df: DataFrame, unit: list[str], conf: str, correct: str, tie: str) -> DataFrame:
     """confidence, accuracy and n of each bin."""
-    return binned(df, unit, conf, tie).groupBy(*unit, "bin").agg(F.avg(conf).alias("confidence"), F.avg(correct).alias("accuracy"), F.count("*").alias("n"))
+    return binned(df.select(*unit, conf, correct, tie), unit, conf, tie).groupBy(*unit, "bin").agg(F.avg(conf).alias("confidence"), F.avg(correct).alias("accuracy"), F.count("*").alias("n"))
 
 
 def ece(df: DataFrame, unit: list[str], conf: str, correct: str, tie: str) -> DataFrame:
@@ -32,11 +32,11 @@ def ece(df: DataFrame, unit: list[str], conf: str, correct: str, tie: str) -> Da
 def selective(df: DataFrame, unit: list[str], conf: str, correct: str, tie: str) -> DataFrame:
     """Accuracy of the most confident share of a unit, at least one row; shares round half to even."""
     kept = lambda c: F.col("_rank") <= F.greatest(F.lit(1), F.bround(F.lit(c / 100) * F.col("_n")))
-    return running(df, unit, conf, tie, desc=True).groupBy(*unit).agg(*(F.avg(F.when(kept(c), F.col(correct).cast("double"))).alias(f"acc_at_{c}") for c in COVERAGES))
+    return running(df.select(*unit, conf, correct, tie), unit, conf, tie, desc=True).groupBy(*unit).agg(*(F.avg(F.when(kept(c), F.col(correct).cast("double"))).alias(f"acc_at_{c}") for c in COVERAGES))
 
 
 def risk_coverage(df: DataFrame, unit: list[str], conf: str, correct: str, tie: str) -> DataFrame:
-    ranked = running(df, unit, conf, tie, {"wrong": 1 - F.col(correct).cast("long")}, desc=True)
+    ranked = running(df.select(*unit, conf, correct, tie), unit, conf, tie, {"wrong": 1 - F.col(correct).cast("long")}, desc=True)
     return ranked.select(*unit, tie, F.col("_rank").alias("k"), (F.col("_wrong") / F.col("_rank")).alias("risk"))
 
 

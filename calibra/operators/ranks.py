@@ -9,18 +9,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from calibra.functions.arrays import let
+from calibra.sources.scratch import FEW_ROWS, cut
 
-def _below(cuts: list[float], value: Column, or_at: bool) -> Column:
-    """How many of the rising cuts lie below value, or at it too, by halving steps."""
+
+def _level(cuts: list[float], value: Column) -> Column:
+    """2 * (rising cuts at or below value), less one for a value that is a cut itself; by halving steps."""
     if not cuts:
         return F.lit(0)
     array = F.array(*map(F.lit, cuts))
 
     def step(low: Column, size: Column) -> Column:
-        cut = F.get(array, low + size - 1)
-        return F.when((low + size <= len(cuts)) & ((cut <= value) if or_at else (cut < value)), low + size).otherwise(low)
+        return F.when((low + size <= len(cuts)) & (F.get(array, low + size - 1) <= value), low + size).otherwise(low)
 
-    return F.aggregate(F.array(*(F.lit(1 << b) for b in range(len(cuts).bit_length() - 1, -1, -1))), F.lit(0), step)
+    upto = F.aggregate(F.array(*(F.lit(1 << b) for b in range(len(cuts).bit_length() - 1, -1, -1))), F.lit(0), step)
+    return let(upto, lambda k: 2 * k - F.when(F.get(array, k - 1) == value, 1).otherwise(0))
 
 
 def _quantiles(df: DataFrame, value: Column, ranges: int) -> list[float]:
@@ -33,24 +36,31 @@ def running(df: DataFrame, unit: list[str], by: str, tie: str, sums: dict[str, C
 
     `by` must be a number; nulls come first, or last if desc. Where one value of it is frequent, its rows are cut further
     by tie if that is a number. `order` may refine the order among equal values of by; tie then does not cut.
+
+    The rows are made once and written; give only the columns that are needed. They are sorted by one shuffle, and the
+    offsets of the ranges are broadcast where they are few.
     """
     ranges = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sums = sums or {}
+    columns = df.columns
+    rows = cut(df.withColumns({f"_{k}": v for k, v in sums.items()}))
     key = (-F.col(by) if desc else F.col(by)).cast("double")
-    points = _quantiles(df, key, ranges)
+    points = _quantiles(rows, key, ranges)
     cuts, often = sorted(set(points)), sorted({a for a, b in zip(points[:-1], points[1:], strict=True) if a == b})
     numeric = isinstance(df.schema[tie].dataType, T.NumericType) and order is None
     at = F.array_contains(F.array(*map(F.lit, often)), key) if often else F.lit(False)
-    tie_cuts = sorted(set(_quantiles(df.filter(at), F.col(tie).cast("double"), ranges))) if often and numeric else []
-    level = _below(cuts, key, False) + _below(cuts, key, True)  # odd for a value that is a cut itself
-    fine = F.when(at, _below(tie_cuts, F.col(tie).cast("double"), True)).otherwise(0) if tie_cuts else F.lit(0)
-    place = F.when(key.isNull(), (2 * len(cuts) + 1) * (len(tie_cuts) + 1) if desc else -1).otherwise(level * (len(tie_cuts) + 1) + fine)
-    sums = sums or {}
-    rows = df.withColumns({f"_{k}": v for k, v in sums.items()} | {"_place": place})
-    per = rows.groupBy(*unit, "_place").agg(F.count("*").alias("_c"), *(F.sum(f"_{k}").alias(f"_s_{k}") for k in sums))
-    whole = Window.partitionBy(*unit)
+    tie_cuts = sorted(set(_quantiles(rows.filter(at), F.col(tie).cast("double"), ranges))) if often and numeric else []
+    fine = 2 * len(tie_cuts) + 1
+    place = _level(cuts, key) * fine + (F.when(at, _level(tie_cuts, F.col(tie).cast("double"))).otherwise(0) if tie_cuts else 0)
+    place = F.when(key.isNull(), (2 * len(cuts) + 1) * fine if desc else -1).otherwise(place)
+    rows = rows.withColumn("_place", place)
+    per = cut(rows.groupBy(*unit, "_place").agg(F.count("*").alias("_c"), *(F.sum(f"_{k}").alias(f"_s_{k}") for k in sums)))
+    whole = Window.partitionBy(*unit)  # at most a row for each range
     before = whole.orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
     earlier = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
     offsets = per.select(*(F.col(u).alias(f"_u{i}") for i, u in enumerate(unit)), F.col("_place").alias("_p"), F.sum("_c").over(whole).alias("_n"), earlier("_c").alias("_o"), *(earlier(f"_s_{k}").alias(f"_o_{k}") for k in sums))
+    if per.count() <= FEW_ROWS:
+        offsets = F.broadcast(offsets)
     within = Window.partitionBy(*unit, "_place").orderBy(F.desc(by) if desc else F.asc(by), *(order or []), tie)
     upto = within.rowsBetween(Window.unboundedPreceding, 0)
     ranked = rows.withColumns({"_r": F.row_number().over(within)} | {f"_{k}": F.sum(f"_{k}").over(upto) for k in sums})
@@ -58,5 +68,4 @@ def running(df: DataFrame, unit: list[str], by: str, tie: str, sums: dict[str, C
     for i, u in enumerate(unit):
         same &= F.col(u).eqNullSafe(F.col(f"_u{i}"))
     made = {"_rank": F.col("_o") + F.col("_r")} | {f"_{k}": F.col(f"_o_{k}") + F.col(f"_{k}") for k in sums}
-    kept = [*df.columns, "_n"]
-    return ranked.join(offsets, same).select(*kept, *(v.alias(k) for k, v in made.items()))
+    return ranked.join(offsets, same).select(*columns, "_n", *(v.alias(k) for k, v in made.items()))

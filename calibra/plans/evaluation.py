@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from calibra.functions import arrays as A
 from calibra.operators import metrics as M
 from calibra.operators import resample
+from calibra.operators.quantiles import quantiles
 from calibra.plans._register import Registry
 from calibra.plans.scoring import probs
 from calibra.sources import standins as S
@@ -102,10 +103,10 @@ def confident_errors(spark, sf_dir):
 
 @query(f"WITH {S.CALLS} SELECT event_type, round(quantile_cont(latency_ms, 0.5), 6) AS p50, round(quantile_cont(latency_ms, 0.9), 6) AS p90, round(quantile_cont(latency_ms, 0.95), 6) AS p95, round(min(latency_ms), 6) AS lo, round(max(latency_ms), 6) AS hi, round(avg(latency_ms), 6) AS mean FROM calls GROUP BY 1")
 def latency_percentiles(spark, sf_dir):
-    v = F.col("latency_ms")
-    p = F.percentile(v, F.array(F.lit(0.5), F.lit(0.9), F.lit(0.95)))
-    rows = S.calls(spark, sf_dir).groupBy("event_type").agg(p.alias("p"), F.min(v).alias("lo"), F.max(v).alias("hi"), F.avg(v).alias("mean"))
-    return rows.select("event_type", *(F.round(F.col("p")[i], 6).alias(n) for i, n in enumerate(("p50", "p90", "p95"))), *(F.round(c, 6).alias(c) for c in ("lo", "hi", "mean")))
+    calls = S.calls(spark, sf_dir)
+    found = quantiles(calls, ["event_type"], "latency_ms", [0.5, 0.9, 0.95])
+    mean = calls.groupBy("event_type").agg(F.avg("latency_ms").alias("mean"))
+    return found.join(mean, "event_type").select("event_type", *(F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("p50", "p90", "p95"))), *(F.round(c, 6).alias(c) for c in ("lo", "hi", "mean")))
 
 
 @query(f"WITH {S.CALLS} SELECT event_type, round(count(*) / nullif(sum(latency_ms) / 1000, 0), 6) AS per_second, round(avg(CASE WHEN tokens > 0 THEN tokens END), 6) AS mean_tokens FROM calls GROUP BY 1")

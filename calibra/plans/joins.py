@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from calibra.functions import arrays as A
 from calibra.operators.ranks import running
+from calibra.operators.quantiles import quantiles
 from calibra.plans._register import Registry
 from calibra.plans.scoring import probs
 from calibra.sources import standins as S
@@ -79,7 +80,8 @@ def cached_vs_reference(spark, sf_dir):
     r = S.readouts(spark, sf_dir)
     side = lambda k: r.filter(F.col("method_key") == k).select("ladder", "item_id", F.col("z").alias(k))
     p = side("m0").join(side("m1"), ["ladder", "item_id"]).withColumn("d", F.array_max(F.zip_with("m0", "m1", lambda a, b: F.abs(a - b)))).withColumn("same", A.argmax(F.col("m0")) == A.argmax(F.col("m1")))
-    return p.groupBy("ladder").agg(F.count("*").alias("n"), F.round(F.max("d"), 6).alias("max_dz"), F.round(F.percentile("d", 0.5), 6).alias("median_dz"), F.round(F.avg(F.col("same").cast("int")), 6).alias("same"))
+    same = p.groupBy("ladder").agg(F.round(F.avg(F.col("same").cast("int")), 6).alias("same"))
+    return quantiles(p, ["ladder"], "d", [0.5]).join(same, "ladder").select("ladder", "n", F.round("hi", 6).alias("max_dz"), F.round(F.col("q")[0], 6).alias("median_dz"), "same")
 
 
 @query(f"""WITH {S.READOUTS}, e AS (SELECT ladder, item_id, method_key, list_transform(z, lambda x: exp(x - list_max(z))) AS e FROM readouts), p AS (SELECT *, list_transform(e, lambda x: x / list_sum(e)) AS p FROM e),
@@ -140,7 +142,7 @@ def params_lookup_coalesce(spark, sf_dir):
 @query(f"""WITH {S.READOUTS}, m AS (SELECT ladder, method_key, quantile_cont(latency_ms, 0.5) AS p50 FROM readouts GROUP BY 1, 2)
   SELECT ladder, round(CASE WHEN count(p50) = 4 THEN sum(p50) ELSE 999 END, 6) AS latency FROM m GROUP BY ladder""")
 def latency_override(spark, sf_dir):
-    m = S.readouts(spark, sf_dir).groupBy("ladder", "method_key").agg(F.percentile("latency_ms", 0.5).alias("p50"))
+    m = quantiles(S.readouts(spark, sf_dir), ["ladder", "method_key"], "latency_ms", [0.5]).select("ladder", F.col("q")[0].alias("p50"))
     return m.groupBy("ladder").agg(F.round(F.when(F.count("p50") == 4, F.sum("p50")).otherwise(F.lit(999.0)), 6).alias("latency"))
 
 

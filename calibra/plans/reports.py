@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from calibra.functions import arrays as A
 from calibra.operators import decide as D
 from calibra.operators import metrics as M
+from calibra.operators.quantiles import quantiles
 from calibra.plans._register import Registry
 from calibra.plans.scoring import dual_encoder, probs
 from calibra.sources import standins as S
@@ -124,7 +125,7 @@ def snapshot_rows(spark, sf_dir):
 def source_pool(spark, sf_dir):
     """Sources large enough, no less sharp than the 30th percentile of those, and bright enough."""
     large = S.read(spark, sf_dir, "part").filter("p_size >= 10")
-    least = large.agg(F.percentile("p_retailprice", 0.3).alias("least"))  # one row
+    least = quantiles(large, [], "p_retailprice", [0.3]).select(F.col("q")[0].alias("least"))  # one row
     return large.join(F.broadcast(least), F.col("p_retailprice") >= F.col("least")).filter("p_partkey % 100 >= 20").select(F.col("p_partkey").alias("item_id"))
 
 
