@@ -90,12 +90,6 @@ def fit_matrix(df: DataFrame, features: str, y: str, l2: float = 0.05):
     return LogisticRegression(family="multinomial", regParam=2 * l2, elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-9).fit(rows)
 
 
-def fit_isotonic(df: DataFrame, x: str, y: str):
-    from pyspark.ml.regression import IsotonicRegression
-
-    return IsotonicRegression(featuresCol=x, labelCol=y).fit(df.select(F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y)))
-
-
 def standardize(df: DataFrame, unit: list[str], z: str, out: str = "x") -> DataFrame:
     """Label-free: each position of the logits by the mean and population deviation of its pool."""
     flat = df.select(*unit, F.posexplode(z).alias("_i", "_v"))

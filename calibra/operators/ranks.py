@@ -13,7 +13,7 @@ from calibra.functions.arrays import let
 from calibra.sources.scratch import FEW_ROWS, cut
 
 
-def _level(cuts: list[float], value: Column) -> Column:
+def level_of(cuts: list[float], value: Column) -> Column:
     """2 * (rising cuts at or below value), less one for a value that is a cut itself; by halving steps."""
     if not cuts:
         return F.lit(0)
@@ -26,7 +26,7 @@ def _level(cuts: list[float], value: Column) -> Column:
     return let(upto, lambda k: 2 * k - F.when(F.get(array, k - 1) == value, 1).otherwise(0))
 
 
-def _quantiles(df: DataFrame, value: Column, ranges: int) -> list[float]:
+def quantile_cuts(df: DataFrame, value: Column, ranges: int) -> list[float]:
     found = df.agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 100 * ranges)).first()[0] if ranges > 1 else None
     return found or []
 
@@ -45,13 +45,13 @@ def running(df: DataFrame, unit: list[str], by: str, tie: str, sums: dict[str, C
     columns = df.columns
     rows = cut(df.withColumns({f"_{k}": v for k, v in sums.items()}))
     key = (-F.col(by) if desc else F.col(by)).cast("double")
-    points = _quantiles(rows, key, ranges)
+    points = quantile_cuts(rows, key, ranges)
     cuts, often = sorted(set(points)), sorted({a for a, b in zip(points[:-1], points[1:], strict=True) if a == b})
     numeric = isinstance(df.schema[tie].dataType, T.NumericType) and order is None
     at = F.array_contains(F.array(*map(F.lit, often)), key) if often else F.lit(False)
-    tie_cuts = sorted(set(_quantiles(rows.filter(at), F.col(tie).cast("double"), ranges))) if often and numeric else []
+    tie_cuts = sorted(set(quantile_cuts(rows.filter(at), F.col(tie).cast("double"), ranges))) if often and numeric else []
     fine = 2 * len(tie_cuts) + 1
-    place = _level(cuts, key) * fine + (F.when(at, _level(tie_cuts, F.col(tie).cast("double"))).otherwise(0) if tie_cuts else 0)
+    place = level_of(cuts, key) * fine + (F.when(at, level_of(tie_cuts, F.col(tie).cast("double"))).otherwise(0) if tie_cuts else 0)
     place = F.when(key.isNull(), (2 * len(cuts) + 1) * fine if desc else -1).otherwise(place)
     rows = rows.withColumn("_place", place)
     per = cut(rows.groupBy(*unit, "_place").agg(F.count("*").alias("_c"), *(F.sum(f"_{k}").alias(f"_s_{k}") for k in sums)))

@@ -2,11 +2,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DRAWS = 2000
@@ -75,13 +75,19 @@ def cluster_bootstrap(df: DataFrame, unit: str, cluster: str, value: str, other:
     return found.select(unit, "mean", F.col("p")[0].alias("low"), F.col("p")[1].alias("high"), "clusters")
 
 
-def ece_floor(bins: DataFrame, unit: str, draws: int = 200, seed: int = 7) -> DataFrame:
-    """The ECE that perfect calibration would show by chance: bins (confidence, n) redrawn as binomials."""
+def hashed_uniform(tie: Column, draw: Column) -> Column:
+    """A number in [0, 1) of a row and a draw, from a hash."""
+    return F.pmod(F.xxhash64(tie, draw), F.lit(1 << 53)) / F.lit(float(1 << 53))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bin")
-        p, n = np.clip(pdf["confidence"].to_numpy(), 0, 1), pdf["n"].to_numpy()
-        hits = np.random.default_rng(seed).binomial(n, p, (draws, len(n)))
-        return pd.DataFrame({unit: [pdf[unit].iloc[0]], "ece_floor": [float((np.abs(p - hits / n) * n).sum(axis=1).mean() / n.sum())]})
 
-    return bins.groupBy(unit).applyInPandas(run, f"{unit} {bins.schema[unit].dataType.simpleString()}, ece_floor double")
+def ece_floor(binned: DataFrame, unit: list[str], conf: str, tie: str, draws: int = 200, uniform: Callable[[Column, Column], Column] = hashed_uniform) -> DataFrame:
+    """unit, ece_floor: the mean ECE that rows right with just the probability they claim would show by chance.
+
+    binned: rows with a confidence and a bin. In each draw a row is right if its uniform number lies below its confidence;
+    tasks sum by bin and draw, and only the sums are shuffled.
+    """
+    drawn = binned.select(*unit, "bin", conf, tie, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    right = (uniform(F.col(tie), F.col("draw")) < F.col(conf)).cast("double")
+    bins = drawn.groupBy(*unit, "draw", "bin").agg(F.sum(conf).alias("c"), F.sum(right).alias("h"), F.count("*").alias("n"))
+    each = bins.groupBy(*unit, "draw").agg((F.sum(F.abs(F.col("c") - F.col("h"))) / F.sum("n")).alias("ece"))
+    return each.groupBy(*unit).agg(F.avg("ece").alias("ece_floor"))

@@ -8,7 +8,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
+from calibra.operators.balance import counter
 from calibra.operators.ranks import running
 
 ITEM = ["suite", "item_id", "question", "type", "keys", "label", "split"]
@@ -184,13 +186,20 @@ def probe_text(rows: DataFrame, n: int | None = None) -> DataFrame:
 def ui_state(rows: DataFrame, n: int | None = None) -> DataFrame:
     """rows: screen_id, states map<string, boolean>, checkbox_label (null: no checkbox). Two states a screen.
 
-    Yes and no are balanced on each screen: one of either, by a seeded order, where it has both; else two of a kind.
+    Yes and no are balanced over the whole suite: a screen takes what the screens before it leave scarce, in a seeded order
+    among equals. Screens come in the order of their ids if those are numbers, else of a seeded hash of them.
     """
     has = F.when(F.col("checkbox_label").isNull(), F.map_filter("states", lambda k, v: k != "checkbox_checked")).otherwise(F.col("states"))
-    order = F.transform(F.map_entries(has), lambda e: F.struct(seeded(F.concat_ws("__", F.col("screen_id").cast("string"), e["key"])).alias("h"), e["key"].alias("key"), e["value"].alias("yes")))
-    yes, no = (F.array_sort(F.filter(order, lambda s: s["yes"] == wanted)) for wanted in (True, False))
-    turns = F.array_sort(F.concat(F.transform(yes, lambda s, i: F.struct(i.alias("turn"), s.alias("s"))), F.transform(no, lambda s, i: F.struct(i.alias("turn"), s.alias("s")))))
-    picked = rows.select("screen_id", "checkbox_label", F.explode(F.slice(turns, 1, 2)).alias("p")).select(F.concat_ws("__", F.col("screen_id").cast("string"), "p.s.key").alias("item_id"), F.col("p.s.key").alias("key"), F.col("p.s.yes").alias("yes"), "checkbox_label")
+    keys = F.transform(F.map_entries(has), lambda e: F.struct(seeded(F.concat_ws("__", F.col("screen_id").cast("string"), e["key"])).alias("h"), e["key"].alias("key"), e["value"].alias("yes")))
+    sorted_ = rows.select("screen_id", "checkbox_label", F.array_sort(keys).alias("_keys"))
+    yes, no = F.filter("_keys", lambda s: s["yes"]), F.filter("_keys", lambda s: ~s["yes"])
+    first = {"below": F.slice(F.concat(yes, no), 1, 2), "zero": F.slice("_keys", 1, 2), "above": F.slice(F.concat(no, yes), 1, 2)}
+    change = lambda picks: F.aggregate(picks, F.lit(0).cast("long"), lambda d, s: d + F.when(s["yes"], 1).otherwise(-1))
+    place = F.col("screen_id") if isinstance(rows.schema["screen_id"].dataType, NumericType) else number_of(seeded("screen_id"))
+    counted = counter(sorted_.withColumns({"_place": place} | {name: change(picks) for name, picks in first.items()}), "_place", "screen_id")
+    d = F.col("counter")
+    picks = F.when(d < 0, first["below"]).when(d > 0, first["above"]).otherwise(first["zero"])
+    picked = counted.select("screen_id", "checkbox_label", F.explode(picks).alias("p")).select(F.concat_ws("__", F.col("screen_id").cast("string"), "p.key").alias("item_id"), F.col("p.key").alias("key"), F.col("p.yes").alias("yes"), "checkbox_label")
     wording = F.create_map(*(F.lit(x) for pair in STATES.items() for x in pair))
     asked = F.when(F.col("key") == "checkbox_checked", F.concat(F.lit('Is the "'), "checkbox_label", F.lit('" checkbox checked in `img0`?'))).otherwise(wording[F.col("key")])
     return _items(picked, "ui_state", asked, "noul", _NO_KEYS().cast("array<string>"), F.col("yes"), n)

@@ -5,8 +5,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from calibra.functions import arrays as A
-from calibra.operators.ranks import running
+from calibra.operators import assign
 from calibra.operators.quantiles import quantiles
+from calibra.operators.ranks import running
 from calibra.plans._register import Registry
 from calibra.plans.scoring import probs
 from calibra.sources import standins as S
@@ -216,3 +217,37 @@ def set_difference(spark, sf_dir):
 def level_scarcity(spark, sf_dir):
     g = S.read(spark, sf_dir, "documents").filter("n_chars > 300").groupBy("lang").agg(F.count_distinct("source").alias("feasible"))
     return g.withColumn("place", F.row_number().over(Window.orderBy("feasible", "lang")))  # a row for each level
+
+
+_LEVELS, _WANTED = 5, 6
+#: A document can have level k if its number of characters is divisible by k + 2; the higher the level, the fewer can.
+_ABLE = "SELECT coalesce(lang, '') AS lang, doc_id, md5(doc_id || ':source') AS h, unnest([0, 1, 2, 3, 4]) AS level, n_chars FROM documents"
+
+
+def _able(spark, sf_dir):
+    d = S.read(spark, sf_dir, "documents").select(F.coalesce("lang", F.lit("")).alias("lang"), "doc_id", "n_chars", F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(":source")).cast("binary")).alias("h"))
+    return d.select("*", F.explode(F.sequence(F.lit(0), F.lit(_LEVELS - 1))).alias("level")).filter("n_chars % ((level + 2) * (level + 2)) = 0")
+
+
+def _assign_sql(select: str) -> str:
+    """The assignment as a chain of picks, a turn each."""
+    ctes = [f"a AS (SELECT lang, doc_id, h, level FROM ({_ABLE}) WHERE n_chars % ((level + 2) * (level + 2)) = 0)", f"u AS (SELECT DISTINCT lang, unnest(range({_LEVELS})) AS level FROM a)",
+        "t AS (SELECT u.lang, u.level, row_number() OVER (PARTITION BY u.lang ORDER BY count(a.doc_id), u.level) - 1 AS turn FROM u LEFT JOIN a ON a.lang = u.lang AND a.level = u.level GROUP BY u.lang, u.level)"]
+    for i in range(_LEVELS):
+        used = " UNION ALL ".join(f"SELECT lang, doc_id FROM p{j}" for j in range(i)) or "SELECT lang, doc_id FROM a WHERE false"
+        ctes.append(f"p{i} AS (SELECT a.lang, a.level, a.doc_id, row_number() OVER (PARTITION BY a.lang ORDER BY h, a.doc_id) - 1 AS place FROM a JOIN t ON t.lang = a.lang AND t.level = a.level AND t.turn = {i} WHERE NOT EXISTS (SELECT 1 FROM ({used}) x WHERE x.lang = a.lang AND x.doc_id = a.doc_id) QUALIFY place < {_WANTED})")
+    ctes.append("p AS (" + " UNION ALL ".join(f"SELECT * FROM p{i}" for i in range(_LEVELS)) + ")")
+    return "WITH " + ", ".join(ctes) + " " + select
+
+
+@query(_assign_sql("SELECT lang, CAST(level AS INT) AS level, doc_id, CAST(place AS INT) AS place, CASE WHEN place % 2 = 0 THEN 'calibration' ELSE 'test' END AS split FROM p"))
+def consume_once(spark, sf_dir):
+    """Sources dealt to the levels of each scale, each once, the scarcest level first."""
+    taken, _ = assign.assign(_able(spark, sf_dir), "lang", "doc_id", F.col("h"), _LEVELS, _WANTED)
+    return taken.withColumn("split", F.when(F.col("place") % 2 == 0, "calibration").otherwise("test"))
+
+
+@query(_assign_sql(f"SELECT t.lang, CAST(t.level AS INT) AS level, {_WANTED} AS needed, count(p.doc_id) AS got FROM t LEFT JOIN p ON p.lang = t.lang AND p.level = t.level GROUP BY t.lang, t.level HAVING count(p.doc_id) < {_WANTED}"))
+def consume_once_shortfalls(spark, sf_dir):
+    """The levels that the sources cannot fill, all of them."""
+    return assign.assign(_able(spark, sf_dir), "lang", "doc_id", F.col("h"), _LEVELS, _WANTED)[1]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from calibra.functions import arrays as A
-from calibra.operators import fits, metrics, newton, pixels, readout
+from calibra.operators import fits, isotonic, metrics, newton, pixels, readout
 from calibra.plans._register import Registry
 from calibra.sources import standins as S
 
@@ -55,9 +55,24 @@ def fit_threshold_platt(spark, sf_dir):
 
 @query()
 def fit_isotonic(spark, sf_dir):
-    m = fits.fit_isotonic(S.nouls(spark, sf_dir).filter("split = 'calibration'"), "z", "y")
-    xs, ys = (list(map(float, v)) for v in (m.boundaries, m.predictions))
-    return spark.createDataFrame([(i, round(x, 6), round(y, 6)) for i, (x, y) in enumerate(zip(xs, ys, strict=True))], "i int, boundary double, prediction double")
+    """The monotone map of all yes/no decisions."""
+    rows = S.nouls(spark, sf_dir).filter("split = 'calibration'").withColumn("unit", F.lit("all"))
+    ends = isotonic.fit(rows, "unit", "z", "y", 1).select(F.posexplode(F.arrays_zip("xs", "ys")).alias("i", "e"))
+    return ends.select("i", F.round("e.xs", 6).alias("boundary"), F.round("e.ys", 6).alias("prediction"))
+
+
+@query(f"""WITH {S.SCORES}, r AS (SELECT unnest([grp, 'POOLED']) AS unit, round(z[4], 1) AS x, CAST(y >= 3 AS INT) AS yes FROM scores WHERE split = 'calibration'),
+  v AS (SELECT unit, x, sum(yes) AS s, count(*) AS n FROM r GROUP BY ALL), big AS (SELECT unit FROM v GROUP BY unit HAVING sum(n) >= {isotonic.MIN_ROWS}),
+  c AS (SELECT unit, x, row_number() OVER w AS i, s, n, sum(s) OVER w AS cs, sum(n) OVER w AS cn FROM v JOIN big USING (unit) WINDOW w AS (PARTITION BY unit ORDER BY x)),
+  m AS (SELECT a.unit, a.i AS a, b.i AS b, (b.cs - a.cs + a.s)::DOUBLE / (b.cn - a.cn + a.n) AS mean FROM c a JOIN c b ON a.unit = b.unit AND a.i <= b.i),
+  k AS (SELECT unit, a, b, min(mean) OVER (PARTITION BY unit, a ORDER BY b DESC) AS least FROM m)
+  SELECT c.unit, round(c.x, 1) AS x, round(max(k.least), 6) AS p FROM c JOIN k ON k.unit = c.unit AND k.b = c.i GROUP BY c.unit, c.x""")
+def isotonic_by_suite(spark, sf_dir):
+    """The monotone map of each scale with rows enough, and of all, at every score of its rows; SQL by the min-max formula."""
+    rows = _calibration(spark, sf_dir).select(F.explode(F.array("grp", F.lit("POOLED"))).alias("unit"), F.round(F.get("z", F.lit(3)), 1).alias("x"), (F.col("y") >= 3).cast("int").alias("yes"))
+    models = isotonic.fit(rows, "unit", "x", "yes")
+    at = rows.select("unit", "x").distinct().join(models, "unit")
+    return at.select("unit", "x", F.round(A.interpolate(F.col("x"), F.col("xs"), F.col("ys")), 6).alias("p"))
 
 
 def _calibration(spark, sf_dir, s: int = 0):

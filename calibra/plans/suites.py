@@ -133,9 +133,11 @@ def suite_probes_by_item(spark, sf_dir):
 _STATE = """SELECT c_custkey, box, unnest([{'k': 'signed_in', 'v': c_custkey % 3 > 0}, {'k': 'error_shown', 'v': c_custkey % 4 = 0}, {'k': 'cookie_banner', 'v': c_custkey % 5 = 0}, {'k': 'checkbox_checked', 'v': c_custkey % 2 = 0}]) AS s FROM (SELECT *, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_mktsegment END AS box FROM customer)"""
 
 
-@query(f"""WITH s AS (SELECT c_custkey, box, s.k AS k, s.v AS v FROM ({_STATE}) WHERE s.k <> 'checkbox_checked' OR box IS NOT NULL),
-  t AS (SELECT *, md5(c_custkey || '__' || k || ':7') AS h, row_number() OVER (PARTITION BY c_custkey, v ORDER BY md5(c_custkey || '__' || k || ':7')) AS turn FROM s),
-  p AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY turn, h) <= 2) """ + _sql("SELECT 'ui_state' AS suite, c_custkey || '__' || k AS item_id, CASE k " + " ".join(f"WHEN '{k}' THEN '{q}'" for k, q in suites.STATES.items()) + """ ELSE 'Is the "' || box || '" checkbox checked in `img0`?' END AS question, '' AS keys, CASE WHEN v THEN 'true' ELSE 'false' END AS label FROM p"""))
+@query(f"""WITH RECURSIVE s AS (SELECT c_custkey, box, s.k AS k, s.v AS v, md5(c_custkey || '__' || s.k || ':7') AS h FROM ({_STATE}) WHERE s.k <> 'checkbox_checked' OR box IS NOT NULL),
+  o AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY h) AS i, row_number() OVER (PARTITION BY c_custkey ORDER BY v, h) AS falling, row_number() OVER (PARTITION BY c_custkey ORDER BY NOT v, h) AS rising FROM s),
+  g AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS r, sum(CASE WHEN v THEN 1 ELSE -1 END) FILTER (i <= 2) AS zero, sum(CASE WHEN v THEN 1 ELSE -1 END) FILTER (falling <= 2) AS above, sum(CASE WHEN v THEN 1 ELSE -1 END) FILTER (rising <= 2) AS below FROM o GROUP BY c_custkey),
+  d AS (SELECT CAST(1 AS BIGINT) AS r, CAST(0 AS BIGINT) AS d UNION ALL SELECT d.r + 1, CAST(d.d + CASE WHEN d.d > 0 THEN above WHEN d.d < 0 THEN below ELSE zero END AS BIGINT) FROM d JOIN g USING (r)),
+  p AS (SELECT o.* FROM o JOIN g USING (c_custkey) JOIN d USING (r) WHERE CASE WHEN d.d > 0 THEN falling WHEN d.d < 0 THEN rising ELSE i END <= 2) """ + _sql("SELECT 'ui_state' AS suite, c_custkey || '__' || k AS item_id, CASE k " + " ".join(f"WHEN '{k}' THEN '{q}'" for k, q in suites.STATES.items()) + """ ELSE 'Is the "' || box || '" checkbox checked in `img0`?' END AS question, '' AS keys, CASE WHEN v THEN 'true' ELSE 'false' END AS label FROM p"""))
 def suite_ui_state(spark, sf_dir):
     i = F.col("c_custkey")
     states = F.create_map(F.lit("signed_in"), i % 3 > 0, F.lit("error_shown"), i % 4 == 0, F.lit("cookie_banner"), i % 5 == 0, F.lit("checkbox_checked"), i % 2 == 0)

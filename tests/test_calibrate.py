@@ -246,13 +246,29 @@ def test_running_sums_of_skewed_orders(spark):
                 assert got[r[2]] == (k + 1, total, len(own))
 
 
-def test_ece_floor_shrinks_with_rows(spark):
+def test_ece_floor_by_rows(spark):
+    """The floor of mixed confidences in a bin is that of draws by row, below that of one binomial for the bin."""
     from calibra.operators import resample
 
-    bins = spark.createDataFrame([("few", b, 0.7, 10) for b in range(10)] + [("many", b, 0.7, 10_000) for b in range(10)], "u string, bin int, confidence double, n long")
-    got = {r["u"]: r["ece_floor"] for r in resample.ece_floor(bins, "u").collect()}
-    want = np.abs(0.7 - np.random.default_rng(0).binomial(10, 0.7, 100_000) / 10).mean()
-    assert got["few"] == pytest.approx(want, rel=0.05) and got["many"] < got["few"] / 20
+    rng = np.random.default_rng(5)
+    conf = {"few": rng.choice([0.5, 1.0], 60), "many": rng.choice([0.5, 1.0], 6000), None: np.full(30, 0.7)}
+    rows = [(u, i, i % 6, float(c)) for u, cs in conf.items() for i, c in enumerate(cs)]
+    binned = spark.createDataFrame(rows, "u string, i long, bin int, c double").repartition(5)
+    got = {r["u"]: r["ece_floor"] for r in resample.ece_floor(binned, ["u"], "c", "i", 400).collect()}
+
+    def floor(cs, hits):
+        off = [np.abs(np.add.reduceat((cs - h)[order], np.searchsorted(bins[order], np.arange(6)))).sum() / len(cs) for h in hits]
+        return np.mean(off)
+
+    for u, cs in conf.items():
+        bins = np.arange(len(cs)) % 6
+        order = np.argsort(bins, kind="stable")
+        by_row = floor(cs, rng.random((4000, len(cs))) < cs)
+        assert got[u] == pytest.approx(by_row, rel=0.1)
+    assert got["many"] < got["few"] / 5
+    tie = lambda i, d: (i * 7 + d * 3) % 11 / F.lit(11.0)
+    plain = np.mean([np.abs(np.bincount(np.arange(60) % 6, conf["few"] - ((np.arange(60) * 7 + d * 3) % 11 / 11.0 < conf["few"]))).sum() / 60 for d in range(9)])
+    assert {r["u"]: r["ece_floor"] for r in resample.ece_floor(binned, ["u"], "c", "i", 9, tie).collect()}["few"] == pytest.approx(plain)
 
 
 def test_let_evaluates_once_and_softmax_takes_computed_input(spark):

