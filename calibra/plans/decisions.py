@@ -1,15 +1,17 @@
 """Requests, statements and answers; sources and sinks."""
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from calibra.operators import decide as D
+from calibra.operators.ranks import running
 from calibra.plans._register import Registry
-from calibra.sources import readers, sinks
+from calibra.sources import paged, readers, sinks, store
 from calibra.sources import standins as S
+from calibra.sources.scratch import shared_dir
+from calibra.streaming import collector
 
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
@@ -60,12 +62,7 @@ def scan_prune(spark, sf_dir):
 
 def _folder(spark) -> str:
     """A new folder that all executors see."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="calibra-")
-    return f"{base}/calibra-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/calibra-{uuid.uuid4().hex}"
 
 
 @query("SELECT n_nationkey AS id, n_name AS name, n_regionkey AS region FROM nation")
@@ -95,3 +92,46 @@ def stream_call_log_daily(spark, sf_dir):
 
     path = f"{_folder(spark)}/stream-{sf_dir.rstrip('/').rsplit('/', 1)[-1]}"
     return call_log.daily_counts(spark, f"{sf_dir}/events.parquet", path).select("day", "event_type", "calls", F.round("total_ms", 2).alias("total_ms"))
+
+
+_COLLECTED = ", ".join(f"('{m}', {'NULL' if v is None else repr(v)}, '{m if v is None else f'{m}@{v}'}', {i})" for i, (m, v) in enumerate(collector.jobs()))
+
+
+@query(f"""SELECT o_orderstatus AS ladder, o_orderkey AS item_id, m.key AS method_key, ((o_orderkey * 7919 + m.i * 104729) % 1009) / 1009::DOUBLE AS top
+  FROM orders, (VALUES {_COLLECTED}) AS m(method, variant, key, i)""")
+def collect_stream(spark, sf_dir):
+    """Items that arrive in two parts, read out by a stream that is started for each; its last batch then comes a second time."""
+    base = f"{_folder(spark)}"
+    items = S.read(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("ladder"), F.col("o_orderkey").alias("item_id"))
+    number = F.element_at(F.create_map(*(F.lit(x) for i, (m, v) in enumerate(collector.jobs()) for x in (m if v is None else f"{m}@{v}", i))), F.col("method_key"))
+    readout = lambda rows: rows.withColumn("top", S.noise(F.col("item_id"), number))
+    schema = "ladder string, item_id long"
+    for part in (0, 1):
+        items.filter(F.col("item_id") % 2 == part).repartition(2, "item_id").write.mode("append").parquet(f"{base}/items")
+        collector.collect(spark, f"{base}/items", schema, f"{base}/rows", f"{base}/state", readout)
+    collector.step(spark, spark.read.parquet(f"{base}/items"), f"{base}/rows", readout, collector.jobs())
+    return spark.read.parquet(f"{base}/rows").select("ladder", "item_id", "method_key", "top")
+
+
+@query("""WITH p AS (SELECT regexp_extract(url, '//(?:[^/]*\\.)?example\\.([a-z]+)/', 1) AS kind, page_id, length(html) AS n FROM pages),
+  r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY page_id) AS r FROM p WHERE kind IN ('com', 'net'))
+  SELECT kind, CAST((r - 1) // 20 + 1 AS INT) AS page, page_id, n FROM r WHERE r <= 50""")
+def paged_source(spark, sf_dir):
+    """Saved pages of an API, read through the data source up to a quota for each class; classes that are not asked for are not opened."""
+    paged.register(spark)
+    path = f"{_folder(spark)}/api"
+    kind = F.regexp_extract("url", r"//(?:[^/]*\.)?example\.([a-z]+)/", 1)
+    rows = S.read(spark, sf_dir, "pages").select(kind.alias("kind"), "page_id", F.length("html").cast("long").alias("n")).filter("kind <> ''")
+    paged.save_pages(running(rows, ["kind"], "page_id", "page_id"), path, "kind", 20)
+    asked = spark.read.format("saved_pages").options(path=path, classes="com,net", per_class=50, per_page=20, schema="page_id long, n long").load()
+    return asked.select("kind", "page", "page_id", "n")
+
+
+@query("""SELECT vec_id, round(CAST(embedding[1] AS DOUBLE) * CASE WHEN vec_id % 3 = 0 THEN -1 ELSE 1 END, 6) AS first, CAST(len(embedding) AS INT) AS size FROM embeddings WHERE vec_id % 2 = 0 OR vec_id % 3 = 0""")
+def hidden_upsert(spark, sf_dir):
+    """Vectors written to the bucketed store, then others over some of them and beside them."""
+    v = S.read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<float>").alias("embedding"))
+    table = store.KeyedStore(spark, f"{_folder(spark)}/hidden", ["vec_id"])
+    table.upsert(v.filter("vec_id % 2 = 0"))
+    table.upsert(v.filter("vec_id % 3 = 0").withColumn("embedding", F.transform("embedding", lambda x: -x)))
+    return table.read().select("vec_id", F.round(F.col("embedding")[0].cast("double"), 6).alias("first"), F.size("embedding").alias("size"))

@@ -1,6 +1,8 @@
 """Reports over runs: sweeps, paired variants, offsets, controls, outside systems, and small projections of run files."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from calibra.functions import arrays as A
@@ -9,7 +11,9 @@ from calibra.operators import metrics as M
 from calibra.operators.quantiles import quantiles
 from calibra.plans._register import Registry
 from calibra.plans.scoring import dual_encoder, probs
+from calibra.sources import sinks
 from calibra.sources import standins as S
+from calibra.sources.scratch import shared_dir
 
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
@@ -116,9 +120,13 @@ def next_unlabeled(spark, sf_dir):
 
 @query("SELECT page_id, replace(url, 'https://', '') AS path, length(replace(html, '<', '')) AS n FROM pages")
 def snapshot_rows(spark, sf_dir):
-    """Text files of a run with their absolute root taken out, so that a copy reads the same anywhere."""
-    relative = lambda c, root: F.replace(F.col(c), F.lit(root), F.lit(""))
-    return S.read(spark, sf_dir, "pages").select("page_id", relative("url", "https://").alias("path"), F.length(relative("html", "<")).cast("long").alias("n"))
+    """Lines of a run written as a snapshot, with their absolute root taken out, and read again."""
+    path = f"{shared_dir(spark)}/snapshot-{uuid.uuid4().hex}"
+    bare = F.replace("html", F.lit("<"), F.lit(""))
+    lines = S.read(spark, sf_dir, "pages").select(F.concat_ws("\t", F.col("page_id").cast("string"), F.length(bare).cast("string"), "url").alias("value"))
+    sinks.snapshot(lines, path, "https://")
+    parts = F.split("value", "\t", 3)
+    return spark.read.text(path).select(parts[0].cast("long").alias("page_id"), parts[2].alias("path"), parts[1].cast("long").alias("n"))
 
 
 @query("SELECT p_partkey AS item_id FROM part WHERE p_size >= 10 AND p_retailprice >= (SELECT quantile_cont(p_retailprice, 0.3) FROM part WHERE p_size >= 10) AND p_partkey % 100 >= 20")
