@@ -25,8 +25,9 @@ from pyspark.sql import types as T
 from calibra.llm._common import free_name, give_back, slices, small_batches, table
 
 VOCAB = "byte_bpe_50k.tiktoken"
-#: Entries that a worker's memo of pre-tokens, and of token pairs, holds before it starts anew: about 10 MB each.
-MEMO_ENTRIES = 60_000
+#: Bytes that a generation of a worker's memo (of words, of words after a space, of token pairs) takes, and those of an
+#: entry beside its key and value.
+MEMO_BYTES, ENTRY_BYTES = 48 << 20, 190
 #: Longer runs of text are not remembered: they hardly come again.
 LONGEST_KEY = 64
 _MANY_CHARS = 4_000_000
@@ -36,18 +37,30 @@ _loaded: dict[str, "ByteBPE"] = {}
 
 
 class _Memo(dict):
-    """A bounded memo that starts anew when it is full."""
+    """A bounded memo of two generations: what was not asked for while the young one filled up is forgotten.
+
+    A key that only the old generation knows moves into the young one. When the young one has taken MEMO_BYTES it becomes
+    the old one, so frequent keys stay and each generation is bounded by bytes.
+    """
 
     def __init__(self, work):
         super().__init__()
-        self.work = work
+        self.work, self.old, self.room = work, {}, MEMO_BYTES
 
     def __missing__(self, key):
-        if len(self) >= MEMO_ENTRIES:
+        found = self.old.get(key)
+        if found is None:
+            found = self.work(key)
+        if isinstance(key, int):
+            self.room -= ENTRY_BYTES
+        elif len(key) <= LONGEST_KEY:
+            self.room -= ENTRY_BYTES + 2 * len(key) + len(found)
+        else:
+            return found
+        if self.room < 0:
+            self.old, self.room = dict(self), MEMO_BYTES
             self.clear()
-        found = self.work(key)
-        if not isinstance(key, str) or len(key) <= LONGEST_KEY:
-            self[key] = found
+        self[key] = found
         return found
 
 
@@ -153,7 +166,7 @@ class ByteBPE:
                 return self.words[first] + b"".join(map(self.spaced.__getitem__, rest)) if first else b"".join(map(self.spaced.__getitem__, rest))
             return b"".join(map(self.words.__getitem__, _RUNS.findall(text)))
         out, found = [], (m[0] for m in _RUNS.finditer(text))
-        while part := list(islice(found, MEMO_ENTRIES)):
+        while part := list(islice(found, 60_000)):
             out.append(b"".join(map(self.words.__getitem__, part)))
         return b"".join(out)
 
