@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from calibra.functions import text as X
 from calibra.operators import calibrate as C
+from calibra.operators import labelfree
 from calibra.plans._register import Registry
 from calibra.sources import standins as S
 
@@ -131,3 +132,32 @@ def unlabeled_readout(spark, sf_dir):
     both = S.scores(spark, sf_dir).join(S.scores(spark, sf_dir, 1).select("item_id", F.col("z").alias("z1")), "item_id").select("grp", "item_id", F.array("z", "z1").alias("members"))
     made = C.unlabeled_readout(both, ["grp"], "members").filter("z is not null")
     return made.select("grp", "item_id", F.posexplode("z").alias("k", "z")).select("grp", "item_id", F.col("k").cast("long").alias("k"), F.round("z", 6).alias("z"))
+
+
+_LF_PLAN = ", ".join(f"({i}, '{a}', {d}, {'NULL' if k is None else k}, {n}, {m})" for i, (a, d, k, n, m) in enumerate(labelfree.plan(S.LEVELS)))
+
+
+@query(f"""WITH {S.SCORES}, {S.SCORES1}, b AS (SELECT a.grp, a.item_id, a.y, a.split, list_concat(a.z, b.z) AS x FROM scores a JOIN scores1 b USING (item_id)),
+  pl(deal, setting, draw, skew, n, rest) AS (VALUES {_LF_PLAN}),
+  e AS (SELECT b.*, pl.*, coalesce(b.y = skew, true) AS own, {S.uniform_sql('item_id', 'deal')} AS key FROM b, pl WHERE split = 'calibration'),
+  t AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY grp, setting, draw, own ORDER BY key, item_id) <= CASE WHEN own THEN n ELSE rest END),
+  f AS (SELECT * FROM t QUALIFY count(*) OVER (PARTITION BY grp, setting, draw) = n + rest),
+  al AS (SELECT grp, setting, draw, x FROM f UNION ALL SELECT grp, 'all', 0, x FROM b WHERE split = 'calibration'),
+  fl AS (SELECT grp, setting, draw, generate_subscripts(x, 1) AS i, unnest(x) AS v FROM al),
+  ms AS (SELECT grp, setting, draw, i, avg(v) AS m, stddev_pop(v) + 1e-6 AS s FROM fl GROUP BY ALL),
+  pm AS (SELECT grp, setting, draw, list(m ORDER BY i) AS mean, list(s ORDER BY i) AS std FROM ms GROUP BY ALL),
+  z AS (SELECT b.grp, y, setting, draw, 'centred' AS variant, list_transform(list_zip(x, mean), lambda t: t[1] - t[2]) AS z FROM b JOIN pm USING (grp) WHERE split = 'test'
+    UNION ALL SELECT b.grp, y, setting, draw, 'scaled', list_transform(list_zip(x, mean, std), lambda t: (t[1] - t[2]) / t[3]) FROM b JOIN pm USING (grp) WHERE split = 'test'
+    UNION ALL SELECT grp, y, 'none', 0, 'raw', x FROM b WHERE split = 'test'),
+  q AS (SELECT grp, y, setting, draw, variant, list_transform(list_zip(z[1:{S.LEVELS}], z[{S.LEVELS} + 1:]), lambda t: round((t[1] + t[2]) / 2, 9)) AS z FROM z),
+  x AS (SELECT *, list_transform(z, lambda v: exp(v - list_max(z))) AS e FROM q),
+  h AS (SELECT grp, variant, setting, draw, avg(CAST(list_position(e, list_max(e)) - 1 = y AS INT)) AS hit, avg(abs(list_sum(list_transform(list_zip(e, [0, 1, 2, 3, 4]), lambda t: t[1] * t[2])) / list_sum(e) - y)) AS off,
+    avg(CAST(abs(list_position(e, list_max(e)) - 1 - y) <= 1 AS INT)) AS near FROM x GROUP BY ALL),
+  g AS (SELECT grp, variant, setting, count(*) AS draws, avg(hit) AS accuracy, avg(off) AS mae, avg(near) AS within_one FROM h GROUP BY ALL)
+  SELECT grp, variant, setting, draws, round(accuracy, 6) AS accuracy, round(mae, 6) AS mae, round(within_one, 6) AS within_one, round(accuracy - max(CASE WHEN variant = 'raw' THEN accuracy END) OVER (PARTITION BY grp), 6) AS gain FROM g""")
+def label_free_tables(spark, sf_dir):
+    """Accuracy, MAE and within-one of two members' mean readout after correction by pools of each kind, against raw."""
+    both = S.scores(spark, sf_dir).join(S.scores(spark, sf_dir, 1).select("item_id", F.col("z").alias("z1")), "item_id")
+    rows = both.select("grp", "item_id", "split", F.col("y").alias("level"), F.concat("z", "z1").alias("x"))
+    made = labelfree.tables(rows.filter("split = 'calibration'"), rows.filter("split = 'test'"), "grp", "item_id", S.LEVELS, 2, lambda deal, tie: S.uniform(tie, deal))
+    return made.select("grp", "variant", "setting", "draws", *(F.round(c, 6).alias(c) for c in ("accuracy", "mae", "within_one", "gain")))

@@ -177,32 +177,17 @@ def comparison_matrix(spark, sf_dir):
     return S.systems(spark, sf_dir).groupBy("grp").pivot("system", ["a", "b", "c"]).agg(F.round(F.avg(F.col("correct").cast("int")), 6))
 
 
-_PRIME = 2147483647
-#: Draws of the query; a row and a draw give a number by squares modulo a prime, which every engine computes alike.
+#: Draws of the query.
 _DRAWS = 50
 
 
-def _square_uniform(tie, draw):
-    x = (tie * 48271 + draw * 69621 + 12345) % _PRIME
-    for k in (1, 2, 3):
-        x = (x * x + draw * (7919 * k) + tie) % _PRIME
-    return x / F.lit(float(_PRIME))
-
-
-def _square_sql(tie: str, draw: str) -> str:
-    x = f"(({tie} * 48271 + {draw} * 69621 + 12345) % {_PRIME})"
-    for k in (1, 2, 3):
-        x = f"(({x} * {x} + {draw} * {7919 * k} + {tie}) % {_PRIME})"
-    return f"{x} / {float(_PRIME)}::DOUBLE"
-
-
 @query(f"""{_BINS}, b AS (SELECT grp, item_id, c, CASE WHEN r < x * (s + 1) THEN r // (s + 1) ELSE x + (r - x * (s + 1)) // s END AS bin FROM q),
-  d AS (SELECT grp, bin, c, draw, {_square_sql("item_id", "draw")} < c AS hit FROM (SELECT *, unnest(range({_DRAWS})) AS draw FROM b)),
+  d AS (SELECT grp, bin, c, draw, {S.uniform_sql("item_id", "draw")} < c AS hit FROM (SELECT *, unnest(range({_DRAWS})) AS draw FROM b)),
   s AS (SELECT grp, draw, bin, abs(sum(c) - sum(CAST(hit AS INT))) AS off, count(*) AS n FROM d GROUP BY ALL), e AS (SELECT grp, draw, sum(off) / sum(n) AS ece FROM s GROUP BY ALL)
   SELECT grp, round(avg(ece), 6) AS ece_floor FROM e GROUP BY grp""")
 def ece_noise_floor(spark, sf_dir):
     rows = _test(spark, sf_dir).select("grp", "item_id", "c")
-    floor = resample.ece_floor(M.binned(rows, ["grp"], "c", "item_id"), ["grp"], "c", "item_id", _DRAWS, _square_uniform)
+    floor = resample.ece_floor(M.binned(rows, ["grp"], "c", "item_id"), ["grp"], "c", "item_id", _DRAWS, S.uniform)
     return floor.select("grp", F.round("ece_floor", 6).alias("ece_floor"))
 
 

@@ -20,6 +20,24 @@ def noise(i: Column, k: Column | int, s: int = 0) -> Column:
     return ((i * 7919 + k * 104729 + s * 1299709) % 1009) / F.lit(1009.0)
 
 
+#: A row and a draw give a number in [0, 1) by squares modulo this prime, which every engine computes alike.
+_PRIME = 2147483647
+
+
+def uniform(i: Column, draw: Column) -> Column:
+    x = (i * 48271 + draw * 69621 + 12345) % _PRIME
+    for k in (1, 2, 3):
+        x = (x * x + draw * (7919 * k) + i) % _PRIME
+    return x / F.lit(float(_PRIME))
+
+
+def uniform_sql(i: str, draw: str) -> str:
+    x = f"(({i} * 48271 + {draw} * 69621 + 12345) % {_PRIME})"
+    for k in (1, 2, 3):
+        x = f"(({x} * {x} + {draw} * {7919 * k} + {i}) % {_PRIME})"
+    return f"{x} / {float(_PRIME)}::DOUBLE"
+
+
 def scores(spark: SparkSession, sf_dir: str, s: int = 0) -> DataFrame:
     """item_id, grp, y, split, z: ratings on five levels."""
     o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("item_id"), F.col("o_orderstatus").alias("grp"), (F.substring("o_orderpriority", 1, 1).cast("int") - 1).alias("y"))
