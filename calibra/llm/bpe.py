@@ -39,13 +39,13 @@ _loaded: dict[str, "ByteBPE"] = {}
 class _Memo(dict):
     """A bounded memo of two generations: what was not asked for while the young one filled up is forgotten.
 
-    A key that only the old generation knows moves into the young one. When the young one has taken MEMO_BYTES it becomes
+    A key that only the old generation knows moves into the young one. When the young one has taken `most` bytes it becomes
     the old one, so frequent keys stay and each generation is bounded by bytes.
     """
 
-    def __init__(self, work):
+    def __init__(self, work, most: int):
         super().__init__()
-        self.work, self.old, self.room = work, {}, MEMO_BYTES
+        self.work, self.old, self.most, self.room = work, {}, most, most
 
     def __missing__(self, key):
         found = self.old.get(key)
@@ -58,7 +58,7 @@ class _Memo(dict):
         else:
             return found
         if self.room < 0:
-            self.old, self.room = dict(self), MEMO_BYTES
+            self.old, self.room = dict(self), self.most
             self.clear()
         self[key] = found
         return found
@@ -67,7 +67,7 @@ class _Memo(dict):
 class ByteBPE:
     """The vocabulary of one rank file and the tables derived from it."""
 
-    def __init__(self, ranks: bytes, pattern: str):
+    def __init__(self, ranks: bytes, pattern: str, memo_bytes: int = MEMO_BYTES):
         import ahocorasick
         import regex
 
@@ -91,9 +91,9 @@ class ByteBPE:
         self.flat = np.frombuffer(b"".join(self.token_bytes), np.uint8)
         self.lengths = np.array(self.length, np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
-        self.fits = _Memo(lambda key: self._stable(key >> 32, key & 0xFFFFFFFF))
-        self.words = _Memo(self._encode_run)
-        self.spaced = _Memo(lambda run: self._encode_run(run if run[:1] == "\n" else f" {run}"))
+        self.fits = _Memo(lambda key: self._stable(key >> 32, key & 0xFFFFFFFF), memo_bytes)
+        self.words = _Memo(self._encode_run, memo_bytes)
+        self.spaced = _Memo(lambda run: self._encode_run(run if run[:1] == "\n" else f" {run}"), memo_bytes)
 
     def _find_parts(self, i: int, token: bytes) -> bool:
         """The last merge that makes a token, from merges of lower rank; False if no merge makes it."""
@@ -178,11 +178,11 @@ class ByteBPE:
         return self.flat[np.arange(ends[-1]) + np.repeat(self.starts[ids] - ends + lengths, lengths)].tobytes()
 
 
-def _coder(ranks: bytes, pattern: str) -> ByteBPE:
-    """One coder per Python worker and vocabulary."""
-    key = hashlib.sha256(ranks + pattern.encode()).hexdigest()
+def _coder(ranks: bytes, pattern: str, memo_bytes: int = MEMO_BYTES) -> ByteBPE:
+    """One coder per Python worker, vocabulary and size of memo."""
+    key = f"{hashlib.sha256(ranks + pattern.encode()).hexdigest()}-{memo_bytes}"
     if key not in _loaded:
-        _loaded[key] = ByteBPE(ranks, pattern)
+        _loaded[key] = ByteBPE(ranks, pattern, memo_bytes)
     return _loaded[key]
 
 
@@ -192,14 +192,14 @@ def _spread(spark: SparkSession, vocab: str):
         return spark.sparkContext.broadcast(f.read())
 
 
-def encode(df: DataFrame, text: str = "text", ids: str = "ids", vocab: str = VOCAB, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """df with the token ids of each whole text as array<int>."""
+def encode(df: DataFrame, text: str = "text", ids: str = "ids", vocab: str = VOCAB, pattern: str = public_tokenizers.PATTERN, memo_bytes: int = MEMO_BYTES) -> DataFrame:
+    """df with the token ids of each whole text as array<int>. A smaller memo takes less of a worker's memory and more time."""
     free_name(df, ids)
     small_batches(df)
     ranks = _spread(df.sparkSession, vocab)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(ranks.value, pattern)
+        coder = _coder(ranks.value, pattern, memo_bytes)
         for batch in slices(batches, text):
             packed = [coder.encode_packed(t or "") for t in batch.column(text).to_pylist()]
             offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]).astype(np.int32)

@@ -45,7 +45,9 @@ def test_every_character(pair):
 def test_long_texts_in_parts(pair, monkeypatch):
     mine, theirs = pair
     monkeypatch.setattr(bpe, "_MANY_CHARS", 50)
-    monkeypatch.setattr(bpe, "MEMO_BYTES", 2000)
+    for memo in (mine.words, mine.spaced, mine.fits):
+        monkeypatch.setattr(memo, "most", 2000)
+        monkeypatch.setattr(memo, "room", 2000)
     t = "the and  of\n that is  a thing, " * 20
     assert ids(mine, t) == theirs.encode_ordinary(t)
 
