@@ -48,7 +48,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of each whole text."""
-    return bpe.encode(docs.select("doc_id", "lang", "source", "text")).select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    return bpe.encode(docs.select("doc_id", "lang", "source", "text"), memo_bytes=10 << 20).select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
 STAGES = [("language_id", known_language), ("ngram_jaccard", distinct_texts), ("pii_surrogates", without_pii), ("source_mixing", mixed), ("byte_bpe", tokens)]
