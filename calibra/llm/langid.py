@@ -4,7 +4,14 @@ A text's features are its lower-cased character n-grams (as UTF-8 bytes, words s
 a fixed number of buckets. Their embeddings are averaged and classified by a linear softmax. Both are trained by
 stochastic gradient descent in numpy on a bounded sample of labelled rows: at most ROWS_PER_LANG of each language and
 about SAMPLE_ROWS in all, taken by a hash of the id; every language is learned. A fifth of the sample is kept back: it
-sets the temperature that calibrates the probabilities, and the probability under which a prediction is rejected.
+sets the temperature that calibrates the probabilities, and what is rejected.
+
+A softmax is sure of texts of languages it never saw, so rejection does not rest on the probability alone. Each language
+also has a density: the mean log likelihood ratio of a text's n-grams under the language's smoothed n-gram frequencies
+against a uniform choice of buckets. The kept rows are read twice: by the density of their own language, and by the best
+density of any other, as if their own were unknown (one language left out at a time). A prediction is rejected if its
+density is below the level that stops FOREIGN_STOPPED of the texts so left out, but that level never costs more than
+REJECTED_RIGHT of the right predictions; or if its probability is too low.
 
 A null text, or one without a letter (Unicode category L), is `und` with score 0. A rejected text keeps the language that
 is most likely, with `rejected` true, as have texts that are `und`. With no labelled row every text is `und`. Texts are
@@ -28,6 +35,8 @@ BUCKET_BITS, DIM, EPOCHS, BATCH, RATE = 14, 16, 12, 32, 4.0
 ROWS_PER_LANG, SAMPLE_ROWS, LEAST_ROWS = 512, 32_768, 16
 #: The share of right calibration predictions that rejection may cost.
 REJECTED_RIGHT = 0.001
+#: The share of texts of a language left out that rejection is to stop.
+FOREIGN_STOPPED = 0.99
 UNKNOWN = "und"
 _COUNTED = [T.StructField("lang", T.StringType()), T.StructField("buckets", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.IntegerType()))]
 #: ASCII that is no letter separates words.
@@ -50,27 +59,31 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Class scores per bucket (embedding times weights: the average and the softmax layer are both linear)."""
+    """Class scores per bucket (embedding times weights: the average and the softmax layer are both linear).
+
+    density: the log likelihood ratios of the buckets by language; least and least_density: what is below is rejected.
+    """
 
-    def __init__(self, langs: list[str], scores: np.ndarray, bias: np.ndarray, temperature: float, least: float):
+    def __init__(self, langs: list[str], scores: np.ndarray, bias: np.ndarray, temperature: float, least: float, density: np.ndarray, least_density: float):
         self.langs, self.scores, self.bias, self.temperature, self.least = langs, scores, bias, temperature, least
+        self.density, self.least_density = density, least_density
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
-        """The most likely language, its probability, and whether that is too low."""
+        """The most likely language, its probability, and whether that or its density is too low."""
         if not self.langs or not text or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0, True
         counts = features(text)
-        z = (counts @ self.scores) / max(1, counts.sum()) + self.bias
-        p = _softmax(z[None, :] / self.temperature)[0]
+        n = max(1, counts.sum())
+        p = _softmax(((counts @ self.scores) / n + self.bias)[None, :] / self.temperature)[0]
         best = int(p.argmax())
-        return self.langs[best], float(p[best]), bool(p[best] < self.least)
+        return self.langs[best], float(p[best]), bool(p[best] < self.least or counts @ self.density[best] / n < self.least_density)
 
 
 def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Model:
     """rows: language, the buckets that occur, how often."""
     langs = sorted({r[0] for r in rows})
     if not rows:
-        return Model([], np.zeros((1 << BUCKET_BITS, 0), np.float32), np.zeros(0), 1.0, 1.0)
+        return Model([], np.zeros((1 << BUCKET_BITS, 0), np.float32), np.zeros(0), 1.0, 1.0, np.zeros((0, 1 << BUCKET_BITS), np.float32), -np.inf)
     y = np.array([langs.index(r[0]) for r in rows])
     held = np.arange(len(rows)) % 5 == 4
 
@@ -106,12 +119,32 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Model:
     held_rows = np.flatnonzero(held) if held.any() else train
     z = np.concatenate([dense(held_rows[i : i + 256]) @ scores + bias for i in range(0, len(held_rows), 256)]).astype(np.float64)
     truth = y[held_rows]
-    temperature = min(np.geomspace(0.2, 5, 60), key=lambda t: -np.log(_softmax(z / t)[np.arange(len(truth)), truth] + 1e-12).mean())
+    chance = 1 / len(langs)
+    # a label is taken as right but for one in as many rows as there are, so that texts that are easily told apart do not push the temperature to 0
+    doubt = 1 / (len(truth) + 2)
+    target = np.full(z.shape, doubt * chance)
+    target[np.arange(len(truth)), truth] += 1 - doubt
+    temperature = min(np.geomspace(0.02, 5, 100), key=lambda t: -(target * np.log(_softmax(z / t) + 1e-300)).sum(axis=1).mean())
     p = _softmax(z / temperature)
     right = p.max(axis=1)[p.argmax(axis=1) == truth]
-    chance = 1 / len(langs)
     least = 0.0 if len(langs) == 1 else float(np.clip(np.quantile(right, REJECTED_RIGHT) * 0.8 if len(right) else 1, chance + 0.1 * (1 - chance), 0.5))
-    return Model(langs, scores.astype(np.float32), bias.astype(np.float64), float(temperature), least)
+    density, least_density = _densities(rows, y, train, held_rows, len(langs))
+    return Model(langs, scores.astype(np.float32), bias.astype(np.float64), float(temperature), least, density, least_density)
+
+
+def _densities(rows: list[tuple[str, np.ndarray, np.ndarray]], y: np.ndarray, train: np.ndarray, held: np.ndarray, langs: int) -> tuple[np.ndarray, float]:
+    """Log likelihood ratios by language and bucket, and the least density that is no rejection (none for one language)."""
+    seen = np.full((langs, 1 << BUCKET_BITS), 0.5)
+    for i in train:
+        seen[y[i], rows[i][1]] += rows[i][2]
+    density = np.log(seen / seen.sum(axis=1, keepdims=True) * (1 << BUCKET_BITS)).astype(np.float32)
+    if langs == 1:
+        return density, -np.inf
+    of = np.array([density[:, rows[i][1]] @ rows[i][2] / max(1, rows[i][2].sum()) for i in held])
+    at = np.arange(len(held)), y[held]
+    own = of[at].copy()
+    of[at] = -np.inf
+    return density, float(min(np.quantile(of.max(axis=1), FOREIGN_STOPPED), np.quantile(own, REJECTED_RIGHT)))
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -96,4 +96,40 @@ def test_query_against_slow_predictions(spark, tmp_path):
         p = np.exp((z - z.max()) / m.temperature)
         p /= p.sum()
         assert got[i]["lang_pred"] == m.langs[int(p.argmax())] and abs(got[i]["score"] - p.max()) < 1e-5
-        assert got[i]["rejected"] == (got[i]["score"] < m.least)
+        d = 0.0
+        for width, mult in ((3, 0x9E3779B1), (4, 0x85EBCA77)):
+            for k in range(len(b) - width + 1):
+                d += m.density[int(p.argmax())][int.from_bytes(b[k : k + width]) * mult % 2**32 >> 32 - langid.BUCKET_BITS]
+        assert got[i]["rejected"] == (got[i]["score"] < m.least or d / n < m.least_density)
+
+
+FOREIGN = {
+    "nl": "De kinderen spelen in de tuin terwijl hun ouders in de keuken het avondeten klaarmaken en naar de radio luisteren.",
+    "it": "I bambini giocano nel giardino mentre i genitori preparano la cena in cucina e ascoltano la radio con gli amici.",
+    "pt": "As crianças brincam no jardim enquanto os pais preparam o jantar na cozinha e ouvem a rádio com os amigos.",
+    "sv": "Barnen leker i trädgården medan föräldrarna lagar middag i köket och lyssnar på radion tillsammans med vänner.",
+    "ru": "Дети играют в саду, пока родители готовят ужин на кухне и слушают радио.",
+    "el": "Τα παιδιά παίζουν στον κήπο ενώ οι γονείς ετοιμάζουν το δείπνο στην κουζίνα και ακούν ραδιόφωνο.",
+    "ja": "子供たちは庭で遊んでいて、両親は台所で夕食を作りながらラジオを聞いています。",
+    "zh": "中" * 500,
+    "mash": "asdkjh qwoeiu zxmcnb lkjasd poiqwe mnzxcb qlwkej asdlkj zmxncb qpwoei",
+}
+DOCUMENTS = "/root/testdata/sf0.01"
+
+
+def test_foreign_texts_are_rejected_and_known_ones_are_not(spark):
+    docs = spark.read.parquet(f"{DOCUMENTS}/documents.parquet").select("doc_id", "text", "lang")
+    m = langid.train(docs.filter(~langid.held_out()))
+    assert {k for k, v in FOREIGN.items() if not m.predict(v)[2]} == set()
+    r = langid.predict(docs.filter(langid.held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()), m)
+    right, lost, n = r.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")), F.count_if("rejected"), F.count("*")).first()
+    assert right > 0.99 and lost <= 0.005 * n
+
+
+@pytest.mark.parametrize("left_out", ["de", "es", "fr"])
+def test_a_language_left_out_is_rejected(spark, left_out):
+    """Recall of rejection on a language that nothing was learned of, and its cost on the others."""
+    docs = spark.read.parquet(f"{DOCUMENTS}/documents.parquet").select("doc_id", "text", "lang").filter("lang is not null and text is not null")
+    m = langid.train(docs.filter(~langid.held_out() & (F.col("lang") != left_out)), rows_per_lang=100)
+    shares = {r[0]: r[1] for r in langid.predict(docs.filter(langid.held_out()), m).groupBy(F.col("lang") == left_out).agg(F.avg(F.col("rejected").cast("int"))).collect()}
+    assert shares[True] >= 0.9 and shares[False] <= 0.01
