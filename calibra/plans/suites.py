@@ -6,7 +6,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from calibra.operators import suites
+from calibra.operators import layout, suites
 from calibra.plans._register import Registry
 from calibra.sources import standins as S
 
@@ -169,3 +169,29 @@ def plan_units(spark, sf_dir):
     asked = n.select(F.col("n_name").alias("suite"), F.get(F.array(*map(F.lit, ("noul", "choice", "score"))), F.col("n_nationkey") % 3).alias("type"), (F.col("n_regionkey") == 0).alias("private"))
     k = F.col("r_regionkey")
     return suites.plan(asked, r.select(F.col("r_name").alias("backend"), (k % 2 == 0).alias("letters"), (k == 4).alias("hosted"), (k < 2).alias("allow_private")))
+
+
+_WITHIN = "{low} + (({n} * ({high} - ({low}))) >> 28)"
+
+
+def _hex(digest: str, at: int, digits: int = 7) -> str:
+    return f"('0x' || substr({digest}, {at}, {digits}))::BIGINT"
+
+
+_RADIUS = _WITHIN.format(n=_hex("md5(item_id || ':' || attempt || ':' || d)", 1), low=layout.RADIUS[0], high=layout.RADIUS[1])
+_EDGE = f"(s.r + {layout.BORDER})"
+_TRY = "md5(item_id || ':' || attempt || ':' || s.disc || ':' || t)"
+
+
+@query(f"""WITH RECURSIVE items AS (SELECT item_id, (row_number() OVER (ORDER BY h, item_id) - 1) % 8 + 1 AS n FROM (SELECT p_partkey AS item_id, {_hex("md5(p_partkey || ':count')", 1, 13)} AS h FROM part)),
+  walk AS (SELECT item_id, n, 0 AS attempt, 0 AS t, []::STRUCT(disc INT, r BIGINT, x BIGINT, y BIGINT)[] AS placed FROM items UNION ALL
+    SELECT item_id, n, CASE WHEN NOT fits AND t + 1 = {layout.TRIES} THEN attempt + 1 ELSE attempt END, CASE WHEN fits OR t + 1 = {layout.TRIES} THEN 0 ELSE t + 1 END,
+      CASE WHEN fits THEN list_append(placed, c) WHEN t + 1 = {layout.TRIES} THEN [] ELSE placed END FROM (
+        SELECT *, len(list_filter(placed, lambda q: (q.x - c.x) * (q.x - c.x) + (q.y - c.y) * (q.y - c.y) < (q.r + c.r + {layout.GAP}) * (q.r + c.r + {layout.GAP}))) = 0 AS fits FROM (
+          SELECT item_id, n, attempt, t, placed, {{'disc': s.disc, 'r': s.r, 'x': {_WITHIN.format(n=_hex(_TRY, 1), low=_EDGE, high=f"{layout.WIDTH} - {_EDGE}")}, 'y': {_WITHIN.format(n=_hex(_TRY, 8), low=_EDGE, high=f"{layout.HEIGHT} - {_EDGE}")}}}::STRUCT(disc INT, r BIGINT, x BIGINT, y BIGINT) AS c FROM (
+            SELECT *, list_sort(list_transform(range(n), lambda d: {{'m': -({_RADIUS}), 'r': {_RADIUS}, 'disc': d}}))[len(placed) + 1] AS s FROM walk WHERE len(placed) < n AND attempt < {layout.ATTEMPTS}))))
+  SELECT item_id, CAST(n AS INT) AS discs, attempt, p.disc AS disc, p.r AS r, p.x AS x, p.y AS y FROM (SELECT item_id, n, attempt, unnest(placed) AS p FROM walk WHERE len(placed) = n)""")
+def probe_layouts(spark, sf_dir):
+    parts = S.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id"))
+    counts = layout.balanced(parts, "item_id", 8).withColumnRenamed("value", "discs")
+    return layout.layouts(counts, "item_id", "discs")[0]
