@@ -168,7 +168,8 @@ def train(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG, sample_rows: int
         return fit([])
     wanted = min(rows_per_lang, max(LEAST_ROWS, sample_rows // langs))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 52))
-    few = labelled.select("doc_id", "lang", place.alias("_place")).join(sizes, "lang").filter(F.col("_place") < F.lit(4.0 * wanted * (1 << 52)) / F.col("_all")).select("doc_id", "lang", "_place")
+    # sizes has a row a language, far smaller than the model; a shuffle by lang would put all rows of a language in one task
+    few = labelled.select("doc_id", "lang", place.alias("_place")).join(F.broadcast(sizes), "lang").filter(F.col("_place") < F.lit(4.0 * wanted * (1 << 52)) / F.col("_all")).select("doc_id", "lang", "_place")
     order = Window.partitionBy("lang").orderBy("_place", "doc_id")
     picked = few.distinct().withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= wanted).select("doc_id", "lang")  # at most wanted rows a language
     sample = labelled.join(F.broadcast(picked), ["doc_id", "lang"], "left_semi").dropDuplicates(["doc_id", "lang"])
