@@ -1,25 +1,31 @@
 """Surrogates for personal data and secrets.
 
-Entities are found in whole texts: e-mail addresses, IPv4 addresses, phone numbers, social security numbers, IBANs,
-payment cards and other long numbers, secrets, and person names after a form of address or starting with a known given
-name. Each gets a replacement of its own type that a keyed permutation of all values of the same format yields:
+Entities are found in whole texts: e-mail addresses, IPv4 and IPv6 addresses, international and national phone numbers,
+social security numbers, IBANs, payment cards and other long numbers, secrets (assigned ones, tokens with a known prefix, signed
+web tokens, private key blocks), and person names: after a form of address, after words that announce a name, or starting with a
+known given name. Names found so are also found where the same text repeats them, whole or by their last word. Each entity
+gets a replacement of its own type that a keyed permutation of all values of the same format yields:
 
 * distinctness: a permutation gives different entities different surrogates, and none is left as it was (a keyed shift
   between the permutation and its inverse has no fixed point); where validity must be kept (card check digits, private
-  addresses, names that no list holds) the permutation is applied again until the check holds, which stays one-to-one;
+  addresses, the kind of an IPv6 address, prefixes of tokens, names that no list holds) the permutation is applied again until the check holds, which stays one-to-one;
 * coreference: a surrogate depends on key, type and canonical value only, so it is the same in all documents and
-  however a number is punctuated or an address cased;
+  however a number is punctuated, an address cased or the zeros of an IPv6 address shortened;
 * gender, script, format: known given names are permuted within their list of one gender and script; other names keep
   vowels, consonants, script, case and the last letter; digits stay digits and punctuation stays. Letters of other
   scripts move within those of their script, kind and 256 code points; secrets of punctuation alone get other punctuation.
 
+Where no other value of a cycle of the permutation passes such a check, a value stays as it is (no case is known).
+
 `collisions` checks the outcome over a whole corpus; op5 reports their number, which must be 0, in each row. A null text stays null with no entities; empty texts stay empty;
 rows are independent, so repeated rows and shared ids are fine; extra columns pass through.
 """
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
+import secrets
 import sys
 import unicodedata
 from bisect import bisect
@@ -34,7 +40,6 @@ from pyspark.sql import types as T
 
 from calibra.llm._common import free_name, give_back, slices, small_batches, table
 
-KEY = b"change me: spark.calibra.pii.key"
 GIVEN = {
     ("latin", "f"): "Anna Maria Emma Laura Julia Sofia Clara Elena Lucia Alice Sarah Hannah Marie Camille Ingrid Greta Carmen Isabel Claire Emily Olivia Amelia Charlotte Jessica Jennifer Elizabeth Susan Karen Margaret Nancy Katharina Sabine Petra Ursula Brigitte Monika Nathalie Sylvie Chantal Monique Pilar Dolores Teresa Rosa Ana Fatima Aisha Priya Yuki Mei".split(),
     ("latin", "m"): "John Peter Paul Thomas Michael David Daniel Martin Lukas Felix Hans Karl Jean Pierre Louis Carlos Diego Javier James Robert William Richard Joseph Charles Christopher Matthew Andrew Kevin Brian George Jürgen Klaus Wolfgang Stefan Andreas Uwe François Jacques Philippe Michel José Luis Miguel Pablo Juan Ahmed Mohammed Raj Hiroshi Wei".split(),
@@ -53,15 +58,26 @@ _DIGIT = {c: "0123456789" for c in "0123456789"}
 
 _NAME = r"[^\W\d_a-zа-яёα-ωά-ώ][^\W\d_]+(?:-[^\W\d_]+)?"
 _TITLES = r"Mr|Mrs|Ms|Miss|Mx|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Mlle|Señora|Señor|Sra|Sr|Doña|Don|Г-н|Г-жа|Κύριος|Κυρία"
+#: Words that announce a name, in the languages of the corpus.
+_CUES = r"(?i:my name is|her name is|his name is|the name is|signed by|written by|yours sincerely,?|sincerely yours,?|kind regards,?|best regards,?|mein name ist|ich heiße|er heißt|sie heißt|mit freundlichen grüßen,?|je m'appelle|mon nom est|il s'appelle|elle s'appelle|cordialement,?|me llamo|mi nombre es|se llama|atentamente,?|меня зовут|με λένε)|(?:[Ff]ull|[Ff]irst|[Ll]ast) [Nn]ame:|(?m:^[ \t]*)(?:Name|Nombre|Nom):"
+#: Beginnings of tokens that name their issuer; a surrogate keeps them.
+_PREFIX = re.compile(r"(?i)akia|asia|gh[pousr]_|github_pat_|glpat-|xox[abeoprs]-|sk-|[sr]k_(?:live|test)_|npm_|hf_|aiza|eyj")
+_TOKEN = r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|github_pat_\w{22,}|glpat-[\w-]{20,}|xox[abeoprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{20,}|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}|npm_[A-Za-z0-9]{36}|hf_[A-Za-z0-9]{30,}|AIza[\w-]{35}"
+_SIGNED = r"eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,}"
 _PATTERNS: list[tuple[str, str, re.Pattern]] = [
+    ("name", "", re.compile(rf"(?<!\w)(?:{_CUES})\s{{1,3}}({_NAME}(?:[ ]{_NAME}){{0,2}})(?!\w)")),
     ("name", "", re.compile(rf"(?<!\w)(?:{_TITLES})\.?[ ]({_NAME}(?:[ ]{_NAME}){{0,2}})")),
     ("name", "", re.compile(rf"(?<!\w)((?:{'|'.join(n for names in GIVEN.values() for n in names)})[ ]{_NAME})(?!\w)")),
     ("secret", "=:", re.compile(r"""(?i)(?<![a-z])(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth(?:orization)?|bearer|key)["']?[ ]?[:=][ ]?["']?([A-Za-z0-9_+/=.-]{8,})""")),
-    ("secret", "0", re.compile(r"(?<![A-Za-z0-9])(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|sk-[A-Za-z0-9]{20,}|(?=\d*[a-f])[0-9a-f]{32,128}|(?=\d*[A-F])[0-9A-F]{32,128})(?![A-Za-z0-9])")),
+    ("secret", "0", re.compile(rf"(?<![A-Za-z0-9])({_TOKEN}|{_SIGNED})(?![A-Za-z0-9])")),
+    ("secret", "0", re.compile(r"-----BEGIN (?:[A-Z]{2,10} )?PRIVATE KEY-----\s([A-Za-z0-9+/=\s]{40,8000})\s-----END")),
+    ("secret", "0", re.compile(r"(?<![A-Za-z0-9])((?=\d*[a-f])[0-9a-f]{32,128}|(?=\d*[A-F])[0-9A-F]{32,128})(?![A-Za-z0-9])")),
     ("iban", "0", re.compile(r"(?<![A-Za-z0-9])([A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){3,7}(?:[ ]?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])")),
     ("ip", "0", re.compile(r"(?<![\w.])((?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d))(?!\w|\.\d)")),
+    ("ip6", ":", re.compile(r"(?<![\w:.])((?=[0-9A-Fa-f:]*::|(?:[0-9A-Fa-f]{1,4}:){7})[0-9A-Fa-f:]{4,39})(?![\w:])")),
     ("ssn", "0", re.compile(r"(?<![\w-])(\d{3}-\d{2}-\d{4})(?![\w-])")),
     ("phone", "0", re.compile(r"(?<![\w+])(\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ ]?\d{3}[ .-]\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?!\w)")),
+    ("phone", "0", re.compile(r"(?<![\w+.,/-])((?=(?:[ /-]?\d){9,12}(?![ /-]?\d))(?!\d\d[ /-]\d\d[ /-]\d{4}(?!\d))0[1-9]\d{0,3}(?:[ /-]\d{2,8}){1,4})(?!\w|[.,:/-]\d)")),
     ("number", "0", re.compile(r"(?<![\w.-])(\d(?:[ -]?\d){11,18})(?![\w-]|\.\d)")),
 ]
 
@@ -84,6 +100,10 @@ def _all_classes() -> dict[str, str]:
 _LOCAL = re.compile(r"[\w.%+-]{1,64}$")
 _DOMAIN = re.compile(r"(?:[^\W_](?:[\w-]{0,61}[^\W_])?\.)+[^\W\d_]{2,24}")
 _HAS_DIGIT = re.compile(r"\d")
+_WORD = re.compile(rf"(?<!\w){_NAME}(?!\w)")
+_TRUNK = re.compile(r"0[1-9]")
+#: Kinds of IPv6 addresses by their first bits; the rest of the space is one kind more.
+_KINDS = [ipaddress.IPv6Network(n) for n in ("fe80::/10", "fc00::/7", "ff00::/8", "2000::/3")]
 
 
 def find(text: str) -> list[tuple[int, int, str]]:
@@ -99,9 +119,10 @@ def find(text: str) -> list[tuple[int, int, str]]:
         at = text.find("@", at + 1)
     digits = _HAS_DIGIT.search(text)
     for kind, needs, pattern in _PATTERNS:
-        if needs == "0" and not digits or needs == "=:" and "=" not in text and ":" not in text:
+        if needs in ("0", ":") and not digits or needs == "=:" and "=" not in text and ":" not in text or needs == ":" and ":" not in text:
             continue
-        found += [(*m.span(1), kind) for m in pattern.finditer(text)]
+        found += [(*m.span(1), kind) for m in pattern.finditer(text) if kind != "ip6" or _address(m[1])]
+    found += _again(text, {text[a:b] for a, b, kind in found if kind == "name"})
     found.sort(key=lambda f: (f[0] - f[1], f[0]))
     kept: list[tuple[int, int, str]] = []
     for f in found:
@@ -111,6 +132,37 @@ def find(text: str) -> list[tuple[int, int, str]]:
     return kept
 
 
+def _address(value: str) -> ipaddress.IPv6Address | None:
+    """The address, unless the text is none or one of the fixed ones, or looks like a slice (1::2) or words with colons between them."""
+    if value.count(":") < 3 and not re.match("[0-9A-Fa-f]{4}:", value):
+        return None
+    try:
+        found = ipaddress.IPv6Address(value)
+    except ValueError:
+        return None
+    return found if _HAS_DIGIT.search(value) and int(found) > 1 else None
+
+
+def _again(text: str, names: set[str]) -> list[tuple[int, int, str]]:
+    """Where the text repeats names of two words or more, whole or by their last word (of four letters or more)."""
+    many = [n.split(" ") for n in names if " " in n]
+    if not many:
+        return []
+    by_first: dict[str, set[tuple[str, ...]]] = defaultdict(set)
+    for words in many:
+        by_first[words[0]].add(tuple(words))
+        if len(words[-1]) > 3:
+            by_first[words[-1]].add((words[-1],))
+    found, words = [], list(_WORD.finditer(text))
+    for i, m in enumerate(words):
+        for name in sorted(by_first.get(m[0], ()), key=len, reverse=True):
+            end = words[i + len(name) - 1].end() if i + len(name) <= len(words) else -1
+            if end >= 0 and text[m.start() : end] == " ".join(name):
+                found.append((m.start(), end, "name"))
+                break
+    return found
+
+
 class Permuter:
     """A keyed permutation without fixed points of the numbers below n."""
 
@@ -199,6 +251,23 @@ class Surrogates:
                 out.append(self._spelled(word, "name", _CLASS, lambda s: s.casefold() not in _KNOWN, fixed=1 if len(word) > 3 else 0))
         return "".join(out)
 
+    def _ip6(self, value: str) -> str:
+        """An address of the same kind, written out or shortened and cased like the one it stands for."""
+        x = int(ipaddress.IPv6Address(value))
+        kind = next((n for n in _KINDS if ipaddress.IPv6Address(x) in n), None)
+        while True:
+            if kind is None:
+                x = self.permute(x, 2**128, "ip6")
+                good = x > 1 and not any(ipaddress.IPv6Address(x) in n for n in _KINDS)
+            else:
+                base, size = int(kind.network_address), kind.num_addresses
+                x, good = base + self.permute(x - base, size, f"ip6|{kind}"), True
+            if good:
+                break
+        made = ipaddress.IPv6Address(x)
+        out = made.exploded if len(value) == 39 else str(made)
+        return out.upper() if value.upper() == value and re.search("[A-F]", value) else out
+
     def make(self, value: str, kind: str) -> str:
         if kind == "email":
             local, _, domain = value.rpartition("@")
@@ -212,9 +281,14 @@ class Surrogates:
                 parts = list(x.to_bytes(4))
                 if _private(parts) == private:
                     return ".".join(map(str, parts))
+        if kind == "ip6":
+            return self._ip6(value)
         if kind == "phone":
             code = re.match(r"\+(\d{1,3})(?=\D)", value)
-            return self._digits(value, "phone", len(code[1]) if code else 0)
+            if code:
+                return self._digits(value, "phone", len(code[1]))
+            national = bool(_TRUNK.match(re.sub(r"\D", "", value)))
+            return self._digits(value, "phone", keep=lambda s: bool(_TRUNK.match(s)) == national)
         if kind == "number":
             valid = _luhn(re.sub(r"\D", "", value))
             return self._digits(value, "number", keep=lambda s: _luhn(s) == valid)
@@ -224,17 +298,21 @@ class Surrogates:
             return value[:2] + self._spelled(value[2:], f"iban|{value[:2]}", _CLASS)
         if kind == "secret":
             hexes = re.fullmatch(r"[0-9a-f]{16,}|[0-9A-F]{16,}", value)
-            return self._spelled(value, "secret", _HEX if hexes else _CLASS)
+            start = _PREFIX.match(value)
+            if start and start.end() < len(value) and any(c in _CLASS for c in value[start.end() :].lower()):
+                return start[0] + self._spelled(value[start.end() :], f"secret|{start[0].lower()}", _CLASS)
+            return self._spelled(value, "secret", _HEX if hexes else _CLASS, lambda s: not _PREFIX.match(s))
         return self._name(value)
 
     def replace(self, text: str) -> tuple[str, list[tuple[int, int, str]], list[tuple[str, str, str]]]:
-        """The new text, the entities' places in it with their types, and (type, entity, surrogate) for each."""
+        """The new text, the entities' places in it with their types, and (type, entity, surrogate) for each; IPv6 addresses are shortened there."""
         out, at, shift, spans, pairs = [], 0, 0, [], []
         for start, end, kind in find(text):
             made = self.make(text[start:end], kind)
             out += [text[at:start], made]
             spans.append((start + shift, start + shift + len(made), kind))
-            pairs.append((kind, text[start:end], made))
+            short = (lambda v: str(ipaddress.IPv6Address(v))) if kind == "ip6" else str
+            pairs.append((kind, short(text[start:end]), short(made)))
             shift += len(made) - (end - start)
             at = end
         return ("".join([*out, text[at:]]) if out else text), spans, pairs
@@ -296,8 +374,13 @@ def collisions(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
     return found.select("type", canon("entity").alias("entity"), canon("surrogate").alias("surrogate")).groupBy("type", "surrogate").agg(F.min("entity").alias("a"), F.max("entity").alias("b")).filter("a <> b").select("type", "surrogate", F.array("a", "b").alias("entities"))
 
 
+_made: dict[str, bytes] = {}
+
+
 def key_of(spark: SparkSession) -> bytes:
-    return spark.conf.get("spark.calibra.pii.key", KEY.decode()).encode()
+    """The key of `spark.calibra.pii.key`; without one a random key of this application, which no one can repeat."""
+    found = spark.conf.get("spark.calibra.pii.key", None)
+    return found.encode() if found else _made.setdefault(spark.sparkContext.applicationId, secrets.token_bytes(32))
 
 
 def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:

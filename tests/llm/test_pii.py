@@ -89,3 +89,87 @@ def test_names_of_other_scripts_are_found_and_moved(made):
 def test_query_reports_collisions(spark, tmp_path):
     spark.createDataFrame([(1, "Dr. 王小明 and a@b.co"), (2, "Dr. 李小 and c@b.co"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert [r["n_collisions"] for r in pii.op5_pii_surrogates(spark, str(tmp_path)).collect()] == [0, 0, 0]
+
+
+FOUND = [
+    ("fe80::1ff:fe23:4567:890a is up", "fe80::1ff:fe23:4567:890a", "ip6"), ("at 2001:0db8:0000:0000:0000:ff00:0042:8329.", None, None), ("[2001:db8::8a2e:370:7334]:443", "2001:db8::8a2e:370:7334", "ip6"),
+    ("x eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N y", "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N", "secret"),
+    ("use xoxb-123456789012-abcdefGHIJ now", "xoxb-123456789012-abcdefGHIJ", "secret"), ("glpat-ABCdef1234567890abcd", "glpat-ABCdef1234567890abcd", "secret"),
+    ("call 0171 2345678 today", "0171 2345678", "phone"), ("Tel. 030/1234 567", "030/1234 567", "phone"), ("le 01 23 45 67 89.", "01 23 45 67 89", "phone"),
+    ("my name is Xiaoming Wang.", "Xiaoming Wang", "name"), ("Kind regards,\nOlu Adeyemi", "Olu Adeyemi", "name"), ("ich heiße Björk Öz,", "Björk Öz", "name"), ("a\nName: Garcia Lopez\n", "Garcia Lopez", "name"),
+]
+
+
+@pytest.mark.parametrize(("text", "entity", "kind"), FOUND)
+def test_more_kinds_are_found_whole(made, text, entity, kind):
+    got = [(text[a:b], k) for a, b, k in pii.find(text)]
+    assert entity is None or got == [(entity, kind)]
+    out, _, pairs = made.replace(text)
+    assert all(p[1] not in out for p in pairs)
+
+
+@pytest.mark.parametrize("text", ["a[1::2] and b[10::20]", "std::be ad::dead", "12:30:45", "aa:bb:cc:dd:ee:ff", "on 01-02-2023 12:30 or 01/02/2023", "0.123 456 789", "the file name: Report A", "0001 0002 000", "Brief by hand, best regards to all", "::1 and ::"])
+def test_likenesses_stay(text):
+    assert pii.find(text) == []
+
+
+def test_addresses_keep_kind_and_spelling(made):
+    import ipaddress
+
+    out = {v: made.make(v, "ip6") for v in ("2001:db8::1", "2001:0db8:0000:0000:0000:0000:0000:0001", "2001:DB8::1", "fe80::1", "fd00::5", "ff02::fb", "::ffff:0:1", "4000::1")}
+    same = {ipaddress.IPv6Address(out[v]) for v in ("2001:db8::1", "2001:0db8:0000:0000:0000:0000:0000:0001", "2001:DB8::1")}
+    assert len(same) == 1 and len(out["2001:0db8:0000:0000:0000:0000:0000:0001"]) == 39 and out["2001:DB8::1"].upper() == out["2001:DB8::1"]
+    for v, o in out.items():
+        assert ipaddress.IPv6Address(v) != ipaddress.IPv6Address(o)
+        assert [ipaddress.IPv6Address(v) in n for n in pii._KINDS] == [ipaddress.IPv6Address(o) in n for n in pii._KINDS]
+    many = {made.make(f"fe80::{i:x}", "ip6") for i in range(400)}
+    assert len(many) == 400
+    found, _, pairs = made.replace("from 2001:db8:0:0:0:0:0:1 to 2001:db8::1")
+    assert pairs[0] == pairs[1] and len(found.split()) == 4
+
+
+def test_tokens_keep_their_prefix_and_stay_apart(made):
+    values = [f"{p}{i:020d}abcd" for p in ("ghp_", "xoxb-", "sk-", "eyJ", "qqz_") for i in range(200)]
+    out = [made.make(v, "secret") for v in values]
+    assert len({o.lower() for o in out}) == len(values) and not set(out) & set(values)
+    for v, o in zip(values, out, strict=True):
+        start = pii._PREFIX.match(v)
+        assert (pii._PREFIX.match(o) or [None])[0] == (start[0] if start else None)
+
+
+def test_national_numbers_stay_national_and_apart(made):
+    values = [f"0171 {i:07d}" for i in range(300)] + [f"555-123-{i:04d}" for i in range(300)]
+    out = [made.make(v, "phone") for v in values]
+    digits = ["".join(c for c in o if c.isdigit()) for o in out]
+    assert len(set(digits)) == len(values) and all(d[0] == "0" and d[1] != "0" for d in digits[:300]) and not any(d[0] == "0" and d[1] != "0" and len(d) == 10 for d in digits[300:])
+    assert made.make("0171/2345678", "phone").replace("/", " ") == made.make("0171 2345678", "phone")
+
+
+def test_announced_names_are_found_again(made):
+    text = "My name is Xiaoming Garcia. Xiaoming Garcia wrote; Garcia signed; garcia and Garcias stay, Xiaoming too."
+    out, spans, pairs = made.replace(text)
+    assert [p[1] for p in pairs] == ["Xiaoming Garcia", "Xiaoming Garcia", "Garcia"] and len(spans) == 3
+    assert pairs[0][2] == pairs[1][2] and pairs[0][2].endswith(" " + pairs[2][2]) and out.endswith("garcia and Garcias stay, Xiaoming too.")
+
+
+def test_without_a_setting_the_key_is_random_and_holds_for_the_application(spark, monkeypatch):
+    assert not spark.conf.get("spark.calibra.pii.key", None)
+    first = pii.key_of(spark)
+    assert first == pii.key_of(spark) and len(first) == 32
+    monkeypatch.setattr(pii, "_made", {})
+    assert pii.key_of(spark) != first
+    spark.conf.set("spark.calibra.pii.key", "mine")
+    try:
+        assert pii.key_of(spark) == b"mine"
+    finally:
+        spark.conf.unset("spark.calibra.pii.key")
+
+
+def test_query_equals_the_plain_replacement_of_each_text(spark, tmp_path):
+    texts = [TEXT, None, "", *(t for t, _, _ in FOUND), TEXT]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    plain = pii.Surrogates(pii.key_of(spark))
+    got = {r["doc_id"]: r for r in pii.op5_pii_surrogates(spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        want = (t, []) if t is None else plain.replace(t)[:2]
+        assert got[i]["text"] == want[0] and [tuple(s) for s in got[i]["pii_spans"]] == want[1] and got[i]["n_entities"] == len(want[1]) and got[i]["n_collisions"] == 0
