@@ -84,6 +84,15 @@ def main(argv: list[str] | None = None, out=sys.stdout) -> int:
     fit = commands.add_parser("fit")
     fit.add_argument("predictions", help="JSON lines of prediction rows")
     commands.add_parser("suites")
+    one = commands.add_parser("ask", help="one yes/no question or choice about one picture")
+    one.add_argument("image")
+    one.add_argument("question")
+    one.add_argument("--option", action="append", default=[], help="key=description or key; none asks yes or no")
+    rate = commands.add_parser("score", help="one rating of one picture")
+    rate.add_argument("image")
+    rate.add_argument("--rubric", help='a JSON file with "instructions" and "criteria", lowest first')
+    rate.add_argument("--instructions")
+    rate.add_argument("--criteria", nargs="+")
     run = commands.add_parser("eval")
     run.add_argument("sf_dir")
     run.add_argument("queries", nargs="*")
@@ -95,7 +104,24 @@ def main(argv: list[str] | None = None, out=sys.stdout) -> int:
         for group, names in sorted(suites.GROUPS.items()):
             print(json.dumps({"group": group, "suites": names}), file=out)
         return 0
+    if args.command == "score" and args.rubric:
+        with open(args.rubric, encoding="utf-8") as f:
+            read = json.load(f)
+        args.instructions, args.criteria = read.get("instructions"), read.get("criteria")
+    if args.command == "score" and not (args.instructions and args.criteria):
+        print("give --rubric with instructions and criteria, or --instructions and --criteria", file=sys.stderr)
+        return 2
     spark = SparkSession.builder.getOrCreate()
+    if args.command in ("ask", "score"):
+        decider = Decider(spark)
+        if args.command == "score":
+            row = decider.score(args.image, args.instructions, args.criteria)
+        elif args.option:
+            row = decider.choice(args.image, args.question, {k: d or None for k, _, d in (o.partition("=") for o in args.option)})
+        else:
+            row = decider._one(args.image, args.question, "noul", [], [])
+        print(json.dumps(row.asDict()), file=out)
+        return 0
     if args.command == "fit":
         rows = spark.read.schema(_ROWS).json(args.predictions)
         for r in calibrate.quality(rows, calibrate.fit_sets(rows)).toLocalIterator():
