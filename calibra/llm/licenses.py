@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calibra.functions.arrays import let
-from calibra.llm._common import table
+from calibra.llm._common import free_name, table
 
 NONE, UNKNOWN = "none", "unknown"
 WORD = r"[a-z0-9]+(?:\.[0-9]+)*"
@@ -200,7 +200,11 @@ def _needles() -> list[str]:
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with licences: the paragraphs found, their family, probability and agreement with a template."""
+    """docs with licences: the paragraphs found, their family, probability and agreement with a template.
+
+    A column of that name in docs is an error.
+    """
+    free_name(docs, "licences")
     low = F.lower(F.col(text))
     some = functools.reduce(lambda a, b: a | b, (low.contains(t) for t in _needles())) & low.rlike(_ANY_TERM)
     empty = F.array().cast("array<struct<paragraph:int,family:string,probability:double,template:double>>")

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import re
 
+import pytest
+
 from calibra.llm import licenses
 
 LINES = ["Released under the MIT License.", "Licensed### under*** the&&& Apache%%% License,!! Version 2.0.", "THIS WORK IS LICENSED UNDER THE GNU GENERAL PUBLIC LICENSE, VERSION 3.", "She renewed her driving license.", "", "plain words", "Licensed under CC BY-NC 4.0.", "license", "the license of no one knows what under the sun license"]
@@ -38,3 +40,9 @@ def test_frame_form_is_the_same(spark):
 def test_every_feature_contains_a_needle():
     needles = licenses._needles()
     assert all(any(n in g for n in needles) for g in licenses.train().weights)
+
+
+def test_a_column_of_the_same_name_is_an_error(spark):
+    df = spark.createDataFrame([(1, "x", "mine")], "doc_id long, text string, Licences string")
+    with pytest.raises(ValueError):
+        licenses.scan(df)
