@@ -265,18 +265,22 @@ def learning_curve(spark, sf_dir):
     return both.groupBy("grp", (F.col("per") * k).alias("size")).agg(F.count("*").alias("draws"), *shown).select("grp", "size", "draws", *(F.round(f"{m}{e}", 5).alias(f"{m}{e}") for m in ("accuracy", "mae", "ece") for e in ("", "_sd")))
 
 
+def _pictures(spark, sf_dir) -> DataFrame:
+    """A picture for each part; ids are narrow and pictures cost time, so the ids are spread first."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return pixels.pictures(S.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id")).repartition(parts, "item_id"))
+
+
 @query()
 def pixel_features(spark, sf_dir):
     """Image features of small synthetic pictures, made from parts."""
-    return pixels.features(pixels.pictures(S.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id"))))
+    return pixels.features(_pictures(spark, sf_dir))
 
 
 @query()
 def pixel_kernels(spark, sf_dir):
     """Mean and deviation of every part's picture after each distortion."""
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # ids are narrow and pictures cost time: spread the ids
-    rows = pixels.pictures(S.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id")).repartition(parts, "item_id"))
-    return pixels.distort(rows.withColumn("kernels", F.array(*map(F.lit, sorted(pixels.KERNELS)))))
+    return pixels.distort(_pictures(spark, sf_dir).withColumn("kernels", F.array(*map(F.lit, sorted(pixels.KERNELS)))))
 
 
 def _readout(spark, name: str, train, test, tie: str, features, y, dims, l2):
@@ -298,8 +302,7 @@ def readout_ladder(spark, sf_dir):
 @query()
 def feature_classifier(spark, sf_dir):
     """The level of a distortion (noise, four levels) from 29 picture features."""
-    parts = S.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "item_id")
-    rows = pixels.laddered(pixels.pictures(parts), "ladder_noise").persist()
+    rows = pixels.laddered(_pictures(spark, sf_dir), "ladder_noise").persist()
     names = [c for c in rows.columns if c not in ("item_id", "level")]
     split = F.col("item_id") % 2 == 0
     return _readout(spark, "features", rows.filter(split), rows.filter(~split), "item_id", F.array(*names), F.col("level"), None, [0.001, 0.05])

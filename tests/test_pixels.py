@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow.parquet as pq
+import pytest
 
 from calibra.operators import pixels
 from calibra.plans import catalog
@@ -62,3 +63,34 @@ def test_levels_grow(spark):
             x = np.clip(127 + 100 * np.stack([np.sin(a * y * 6 + b * z * 6) for a, b in f], axis=-1), 0, 255)
             moved += [np.abs(pixels.degrade(x, name, k, seed) - x).mean() for k in range(len(levels))]
         assert moved[-1] > moved[0] and (moved[1:] > 0).all(), name
+
+
+def test_stacks_are_single_pictures():
+    """Every kernel at every level, and every feature, of a stack are those of its pictures by themselves."""
+    from calibra.operators import pixel_stacks
+
+    ids = np.array([3, 70, 100_000_007])
+    x, draws = pixel_stacks.pictures(ids, 32), pixel_stacks.Draws(ids, 32)
+    for name, levels in pixels.LEVELS.items():
+        for k, value in enumerate(levels):
+            got = pixel_stacks.degrade(x, name, value, draws)
+            for j, i in enumerate(ids):
+                assert np.abs(got[..., j] - pixels.degrade(x[..., j], name, k, int(i))).max() < 1e-9, (name, k)
+    both, alone = pixel_stacks.features(x), [pixel_stacks.features(x[..., j : j + 1]) for j in range(3)]
+    assert all(both[n][j] == pytest.approx(alone[j][n][0], rel=1e-12) for n in both for j in range(3))
+
+
+def test_few_part_files_are_spread(spark):
+    """The features of one small file of parts are made by many tasks."""
+    assert catalog.QUERIES["pixel_features"](spark, SF).rdd.getNumPartitions() == 4
+
+
+def test_rows_may_ask_for_different_kernels(spark):
+    rows = pixels.pictures(spark.range(5).withColumnRenamed("id", "item_id"))
+    from pyspark.sql import functions as F
+
+    asked = rows.withColumn("kernels", F.when(F.col("item_id") % 2 == 0, F.array(F.lit("jitter"), F.lit("denoise"))).when(F.col("item_id") == 1, F.array(F.lit("denoise"))).otherwise(F.array().cast("array<string>")))
+    got = {(r["item_id"], r["kernel"]): r["mean"] for r in pixels.distort(asked).collect()}
+    assert set(got) == {(i, k) for i in (0, 2, 4) for k in ("jitter", "denoise")} | {(1, "denoise")}
+    whole = {r["item_id"]: r["mean"] for r in pixels.distort(rows.withColumn("kernels", F.array(F.lit("denoise")))).collect()}
+    assert all(got[i, "denoise"] == whole[i] for i in (0, 1, 2, 4))
