@@ -7,8 +7,11 @@ a pool that comes out short by that is drawn from all rows. All draws of all set
 """
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +22,8 @@ SIZES, DRAWS = (16, 32, 64), 20
 SKEWED, SHARE, SKEWED_DRAWS = 100, 0.7, 5
 #: How many deviations above the wanted number a hashed number may lie to be looked at: it sets the work, not the result.
 SLACK = 10
+#: Judged rows of a unit that a task takes at a time, and those whose logits are corrected together.
+PART, CHUNK = 50_000, 2048
 
 
 def hashed(deal: Column, tie: Column) -> Column:
@@ -69,35 +74,61 @@ def corrections(rows: DataFrame, unit: str, tie: str, levels: int, key=hashed) -
     return per.select(unit, "setting", "draw", F.col("p.m").alias("mean"), F.transform("p.s", lambda s: s + 1e-6).alias("std"))
 
 
+def _judge(rows: pa.Table, dealt: pa.Table, levels: int, members: int) -> Iterator[tuple]:
+    """variant, setting, draw, rows, and their sums of hits, of distances and of hits within one, for each correction of a unit."""
+    width = levels * members
+    rows = rows.filter(pc.and_(pc.is_valid(rows["level"]), pc.is_valid(rows["x"])))
+    x = rows["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float)
+    if len(x) != len(rows) * width:
+        raise ValueError(f"x must have {width} numbers")
+    x, y = x.reshape(-1, members, levels), rows["level"].to_numpy()
+    given = ~np.isnan(x).any(axis=(1, 2))
+    x, y = x[given].transpose(1, 2, 0), y[given]
+    many = [("raw", "none", 0, np.zeros((members, levels)), np.ones((members, levels)))]
+    for r in dealt.to_pylist():
+        mean, std = (np.array(r[c]).reshape(members, levels) for c in ("mean", "std"))
+        many += [("centred", r["setting"], r["draw"], mean, np.ones_like(std)), ("scaled", r["setting"], r["draw"], mean, std)]
+    sums = np.zeros((len(many), 3))
+    for at in range(0, len(y), CHUNK):
+        own, label = np.ascontiguousarray(x[:, :, at : at + CHUNK]), y[at : at + CHUNK]
+        for i, (variant, _, _, mean, std) in enumerate(many):
+            z = own if variant == "raw" else own - mean[:, :, None]
+            z = (z / std[:, :, None] if variant == "scaled" else z).sum(axis=0) / members
+            z = np.rint(z * 1e9)  # so that no tie hangs on the order in which a pool was summed
+            top, best = z.max(axis=0), np.full(len(label), levels - 1)
+            for k in range(levels - 2, -1, -1):
+                best[z[k] == top] = k
+            e = np.exp((z - top) * 1e-9)
+            off, far = np.abs(np.arange(levels) @ e / e.sum(axis=0) - label), np.abs(best - label)
+            sums[i] += (far == 0).sum(), off.sum(), (far <= 1).sum()
+    for (variant, setting, draw, _, _), (hit, off, near) in zip(many, sums.tolist(), strict=True):
+        yield variant, setting, draw, len(y), hit, off, near
+
+
 def tables(pool: DataFrame, judged: DataFrame, unit: str, tie: str, levels: int, members: int, key=hashed) -> DataFrame:
     """unit, variant (raw; centred; scaled), setting, draws, accuracy, mae, within_one, and gain over raw, of the judged rows.
 
     pool and judged: unit, tie, level and x, the logits of all members, one after the other. Labels of the pool only skew it.
     """
     n = int(pool.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # rows are narrow and deals cost time: spread the rows
-    pool, judged = pool.repartition(n, tie), judged.repartition(n, tie)
-    found = cut(corrections(pool, unit, tie, levels, key))
-    deals = found.groupBy(unit).agg(F.collect_list(F.struct("setting", "draw", "mean", "std")).alias("deals"))  # as many as plan has
-    if found.count() <= FEW_ROWS:
-        deals = F.broadcast(deals)
-    none = F.array(F.struct(F.lit("none").alias("setting"), F.lit(0).alias("draw"), F.lit(None).cast("array<double>").alias("mean"), F.lit(None).cast("array<double>").alias("std")))
-    rows = judged.join(deals, unit, "left").select(unit, "level", "x", F.explode(F.concat(none, F.coalesce("deals", F.slice(none, 1, 0)))).alias("d")).select(unit, "level", "x", "d.*")
-    # by position instead of by array: these rows are many, and plain columns compile
-    at = lambda c, m, k: F.get(c, F.lit(m * levels + k))
-    mean = lambda of: [sum((of(m, k) for m in range(1, members)), of(0, k)) / members for k in range(levels)]
-    made = {
-        "raw": (F.col("mean").isNull(), mean(lambda m, k: at("x", m, k))),
-        "centred": (F.col("mean").isNotNull(), mean(lambda m, k: at("x", m, k) - at("mean", m, k))),
-        "scaled": (F.col("mean").isNotNull(), mean(lambda m, k: (at("x", m, k) - at("mean", m, k)) / at("std", m, k))),
-    }
-    # rounded, so that no tie hangs on the order in which a pool was summed
-    variants = F.array(*(F.struct(F.lit(name).alias("variant"), applies.alias("applies"), *(F.round(v, 9).alias(f"z{k}") for k, v in enumerate(z))) for name, (applies, z) in made.items()))
-    each = rows.select(unit, "level", "setting", "draw", F.inline(variants)).filter("applies").withColumn("top", F.greatest(*(f"z{k}" for k in range(levels))))
-    each = each.withColumns({"best": F.coalesce(*(F.when(F.col(f"z{k}") == F.col("top"), k) for k in range(levels))), **{f"e{k}": F.exp(F.col(f"z{k}") - F.col("top")) for k in range(levels)}})
-    total = sum((F.col(f"e{k}") for k in range(1, levels)), F.col("e0"))
-    expected = sum((F.col(f"e{k}") * k for k in range(2, levels)), F.col("e1")) / total
-    scored = each.select(unit, "variant", "setting", "draw", (F.col("best") == F.col("level")).cast("double").alias("hit"), F.abs(expected - F.col("level")).alias("off"), (F.abs(F.col("best") - F.col("level")) <= 1).cast("double").alias("near"))
-    per = scored.groupBy(unit, "variant", "setting", "draw").agg(F.avg("hit").alias("hit"), F.avg("off").alias("off"), F.avg("near").alias("near"))
+    found = cut(corrections(pool.repartition(n, tie), unit, tie, levels, key))
+    sizes = cut(judged.groupBy(F.col(unit).alias("_u")).agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")))
+    if sizes.count() <= FEW_ROWS:
+        sizes = F.broadcast(sizes)
+    same = F.col(unit).eqNullSafe(F.col("_u"))
+    # parts of a unit's rows, each beside the unit's corrections: as many as plan has
+    rows = judged.select(unit, tie, "level", "x").join(sizes, same).select(unit, F.pmod(F.xxhash64(tie), "parts").cast("int").alias("part"), "level", "x")
+    dealt = found.filter(F.col(unit).isNotNull()).join(sizes, same).select(unit, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "setting", "draw", "mean", "std")
+    kind = judged.schema[unit].dataType
+    schema = f"`{unit}` {kind.simpleString()}, variant string, setting string, draw int, n long, hit double, off double, near double"
+
+    def run(of: tuple, rows: pa.Table, dealt: pa.Table) -> pa.Table:
+        made = list(_judge(rows, dealt, levels, members))
+        columns = [pa.array([of[0].as_py()] * len(made), rows.schema.field(unit).type), *(pa.array(c, t) for c, t in zip(zip(*made), (pa.string(), pa.string(), pa.int32(), pa.int64(), *[pa.float64()] * 3), strict=True))]
+        return pa.table(columns, names=[unit, "variant", "setting", "draw", "n", "hit", "off", "near"])
+
+    sums = rows.groupBy(unit, "part").cogroup(dealt.groupBy(unit, "part")).applyInArrow(run, schema)
+    per = sums.groupBy(unit, "variant", "setting", "draw").agg(*(F.try_divide(F.sum(c), F.sum("n")).alias(c) for c in ("hit", "off", "near")))
     tables_ = per.groupBy(unit, "variant", "setting").agg(F.count("*").alias("draws"), F.avg("hit").alias("accuracy"), F.avg("off").alias("mae"), F.avg("near").alias("within_one"))
     raw = F.max(F.when(F.col("variant") == "raw", F.col("accuracy"))).over(Window.partitionBy(unit))  # a row for each setting
     return tables_.withColumn("gain", F.col("accuracy") - raw)

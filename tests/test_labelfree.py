@@ -71,3 +71,15 @@ def test_no_pool(rows):
     _, df = rows
     assert {r["variant"] for r in L.tables(df.filter("false"), df, "u", "i", 3, 2).collect()} == {"raw"}
     assert L.tables(df, df.filter(F.lit(False)), "u", "i", 3, 2).count() == 0
+
+
+def test_parts_of_a_unit_add_up(rows, monkeypatch):
+    """A unit judged in parts, in some pieces each, has the tables of one part; rows without a level or logits are left out."""
+    _, df = rows
+    extra = df.sparkSession.createDataFrame([("a", 9001, None, [0.0] * 6, ""), ("a", 9003, 1, None, "")], df.schema)
+    pool, judged = df.filter("i % 2 = 0"), df.filter("i % 2 = 1")
+    show = lambda d: {(r["u"], r["variant"], r["setting"]): (r["draws"], *(round(r[c], 9) for c in ("accuracy", "mae", "within_one", "gain"))) for r in d.collect()}
+    whole = show(L.tables(pool, judged, "u", "i", 3, 2))
+    monkeypatch.setattr(L, "PART", 40)
+    monkeypatch.setattr(L, "CHUNK", 7)
+    assert show(L.tables(pool, judged.unionByName(extra), "u", "i", 3, 2)) == whole
