@@ -1,22 +1,29 @@
 """Evaluation metrics. Nothing is gathered or sorted by unit: ranks come from ranges of the order (`ranks.running`)."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from calibra.functions import arrays as A
 from calibra.operators.ranks import running
+from calibra.sources.scratch import FEW_ROWS, cut
 
 BINS = 15
+#: Ranges of confidence that are counted before any row is ranked: it sets the work, not the result.
+RANGES = 4096
 COVERAGES = (50, 80, 90, 100)
 
 
 def binned(df: DataFrame, unit: list[str], conf: str, tie: str, bins: int = BINS) -> DataFrame:
     """df with an equal-mass bin from 0: sorted by confidence and dealt into min(bins, n) runs, the longer ones first."""
-    b, r = F.least(F.lit(bins), F.col("_n")), F.col("_rank") - 1
-    size, extra = F.floor(F.col("_n") / b), F.col("_n") % b
-    at = F.when(r < extra * (size + 1), F.floor(r / (size + 1))).otherwise(extra + F.floor((r - extra * (size + 1)) / size))
-    return running(df, unit, conf, tie).withColumn("bin", at.cast("int")).drop("_rank", "_n")
+    return running(df, unit, conf, tie).withColumn("bin", _bin(F.col("_rank") - 1, F.col("_n"), bins)).drop("_rank", "_n")
+
+
+def _bin(r: Column, n: Column, bins: int = BINS) -> Column:
+    """The bin of place r, from 0, of n rows."""
+    b = F.least(F.lit(bins), n)
+    size, extra = F.floor(n / b), n % b
+    return F.when(r < extra * (size + 1), F.floor(r / (size + 1))).otherwise(extra + F.floor((r - extra * (size + 1)) / size)).cast("int")
 
 
 def reliability(df: DataFrame, unit: list[str], conf: str, correct: str, tie: str) -> DataFrame:
@@ -25,8 +32,31 @@ def reliability(df: DataFrame, unit: list[str], conf: str, correct: str, tie: st
 
 
 def ece(df: DataFrame, unit: list[str], conf: str, correct: str, tie: str) -> DataFrame:
-    bins = reliability(df, unit, conf, correct, tie)
-    return bins.groupBy(*unit).agg((F.sum(F.col("n") * F.abs(F.col("confidence") - F.col("accuracy"))) / F.sum("n")).alias("ece"))
+    """unit, ece over equal-mass bins, as of `reliability`.
+
+    Ranges of confidence are summed first; a range that lies in one bin counts as a whole, and only rows of the ranges
+    that a border of bins cuts are ranked. df is read twice.
+    """
+    value = F.col(conf).cast("double")
+    range_ = F.when(value.isNull(), -1).otherwise(F.floor(F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)) * RANGES).cast("int"))
+    rows = df.select(*unit, value.alias("_c"), F.col(correct).cast("double").alias("_h"), F.col(tie).alias("_tie"), range_.alias("_range"))
+    sums = [F.sum("_c").alias("c"), F.count("_c").alias("cn"), F.sum("_h").alias("h"), F.count("_h").alias("hn"), F.count("*").alias("n")]
+    per = cut(rows.groupBy(*unit, "_range").agg(*sums))
+    whole = Window.partitionBy(*unit)  # at most a row for each range
+    before = F.coalesce(F.sum("n").over(whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = cut(per.withColumns({"before": before, "all": F.sum("n").over(whole)}).withColumns({"bin": _bin(F.col("before"), F.col("all")), "last": _bin(F.col("before") + F.col("n") - 1, F.col("all"))}))
+    parts = placed.filter("bin = last").select(*unit, "bin", "c", "cn", "h", "hn", "n")
+    borders = placed.filter("bin <> last").select(*(F.col(u).alias(f"_b{i}") for i, u in enumerate(unit)), F.col("_range").alias("_br"), "before", "all")
+    if count := borders.count():
+        same = F.col("_range").eqNullSafe(F.col("_br"))  # plain equality would push a test for null, with all that _range is made of, below the projections
+        for i, u in enumerate(unit):
+            same &= F.col(u).eqNullSafe(F.col(f"_b{i}"))
+        cut_through = rows.join(F.broadcast(borders) if count <= FEW_ROWS else borders, same).select(*unit, "_range", "_c", "_h", "_tie", "before", "all")
+        ranked = running(cut_through, [*unit, "_range"], "_c", "_tie").withColumn("bin", _bin(F.col("before") + F.col("_rank") - 1, F.col("all")))
+        parts = parts.unionByName(ranked.groupBy(*unit, "bin").agg(*sums))
+    bins = parts.groupBy(*unit, "bin").agg(*(F.sum(c).alias(c) for c in ("c", "cn", "h", "hn", "n")))
+    gap = F.abs(F.try_divide(F.col("c"), F.col("cn")) - F.try_divide(F.col("h"), F.col("hn")))
+    return bins.groupBy(*unit).agg((F.sum(F.col("n") * gap) / F.sum("n")).alias("ece"))
 
 
 def selective(df: DataFrame, unit: list[str], conf: str, correct: str, tie: str) -> DataFrame:

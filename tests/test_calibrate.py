@@ -275,3 +275,25 @@ def test_let_evaluates_once_and_softmax_takes_computed_input(spark):
     p = spark.createDataFrame([([1.0, 2.0],)], "z array<double>").select(A.softmax(F.transform("z", lambda x: x * 2)).alias("p")).first()["p"]
     assert p[1] == pytest.approx(1 / (1 + np.exp(-2)))
     assert spark.range(1).select(A.let(F.rand(), lambda v: v - v).alias("v")).first()["v"] == 0
+
+
+def test_ece_ranks_only_rows_at_borders(spark, monkeypatch):
+    """Equal to the bins of all rows ranked, with ties, nulls and values beyond 0 and 1; few rows are ranked for it."""
+    from calibra.operators import metrics
+
+    rng = np.random.default_rng(11)
+    data = [("a" if i % 4 else None, float(rng.choice([0.5, rng.random(), rng.random(), 1.5])) if i % 90 else None, int(rng.random() < 0.6), i) for i in range(4000)]
+    data += [("even", float(rng.random()), int(rng.random() < 0.3), i) for i in range(4000, 44000)]
+    df = spark.createDataFrame(data + [("one", 0.25, 1, -1)], "u string, c double, h int, i long").repartition(5).persist()
+    bins = metrics.reliability(df, ["u"], "c", "h", "i")
+    want = {r["u"]: r["e"] for r in bins.groupBy("u").agg((F.sum(F.col("n") * F.abs(F.col("confidence") - F.col("accuracy"))) / F.sum("n")).alias("e")).collect()}
+    seen, ranked = [], metrics.running
+
+    def counted(rows, unit, *args, **how):
+        seen.extend(r["u"] for r in rows.select("u").collect())
+        return ranked(rows, unit, *args, **how)
+
+    monkeypatch.setattr(metrics, "running", counted)
+    got = {r["u"]: r["ece"] for r in metrics.ece(df, ["u"], "c", "h", "i").collect()}
+    assert set(got) == {"a", None, "even", "one"} and all(got[u] == pytest.approx(v, abs=1e-12) for u, v in want.items())
+    assert 0 < seen.count("even") < 1000
