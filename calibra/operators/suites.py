@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from calibra.functions.arrays import let
 from calibra.operators.balance import counter
 from calibra.operators.ranks import running
 
@@ -78,10 +79,19 @@ def yes_no_scenes(rows: DataFrame, n: int | None = None) -> DataFrame:
 @suite
 def many_options(rows: DataFrame, n: int | None = None, drop: str = "background") -> DataFrame:
     """rows: item_id, label. The options are all labels but the background one."""
+    kept, names = options(rows, drop)
+    return _with_keys(_items(kept, "many_options", F.lit("What is shown?"), "choice", F.lit(None).cast("array<string>"), F.col("label"), n), names).select(*ITEM)
+
+
+def options(rows: DataFrame, drop: str) -> tuple[DataFrame, DataFrame]:
+    """The rows without the dropped label, and one row with keys: all their labels."""
     kept = rows.filter(F.col("label") != drop)
-    names = kept.select("label").distinct().agg(F.array_sort(F.collect_list("label")).alias("keys"))
-    joined = kept.withColumn("_one", F.lit(1)).join(F.broadcast(names.withColumn("_one", F.lit(1))), "_one")
-    return _items(joined, "many_options", F.lit("What is shown?"), "choice", F.col("keys"), F.col("label"), n)
+    return kept, kept.select("label").distinct().agg(F.array_sort(F.collect_list("label")).alias("keys"))
+
+
+def _with_keys(items: DataFrame, names: DataFrame) -> DataFrame:
+    """items with the columns of the one row of names, which items are ranked without."""
+    return items.drop("keys").withColumn("_one", F.lit(1)).join(F.broadcast(names.withColumn("_one", F.lit(1))), "_one")
 
 
 def tail(rows: DataFrame, reserved: int, levels: int = 4) -> DataFrame:
@@ -103,10 +113,26 @@ def human_gold(rows: DataFrame, n: int | None = None) -> DataFrame:
 @suite
 def open_set(rows: DataFrame, n: int | None = None, held: int = 7) -> DataFrame:
     """rows: item_id, keys, label. `held` options leave the list, `other` joins it, and their items become `other`."""
-    out = F.slice(F.array_sort(F.transform("keys", lambda k: F.struct(seeded(k).alias("h"), k.alias("k")))), 1, held)
-    names = F.transform(out, lambda s: s["k"])
-    keys = F.concat(F.filter("keys", lambda k: ~F.array_contains(names, k)), F.array(F.lit("other")))
-    return _items(rows, "open_set", F.lit("What is shown?"), "choice", keys, F.when(F.array_contains(names, F.col("label")), "other").otherwise(F.col("label")), n)
+    of = let(_held("keys", held), lambda out: F.struct(_left("keys", out).alias("keys"), out.alias("out")))
+    made = rows.withColumn("_o", of)
+    return _items(made, "open_set", F.lit("What is shown?"), "choice", F.col("_o.keys"), F.when(F.array_contains("_o.out", F.col("label")), "other").otherwise(F.col("label")), n)
+
+
+def open_set_of(rows: DataFrame, names: DataFrame, n: int | None = None, held: int = 7) -> DataFrame:
+    """open_set of rows (item_id, label) that share their keys, the one row of names: those are hashed once and not carried along."""
+    items = _items(rows, "open_set", F.lit("What is shown?"), "choice", F.lit(None).cast("array<string>"), F.col("label"), n)
+    out = names.withColumn("out", _held("keys", held)).select(_left("keys", F.col("out")).alias("keys"), "out")
+    return _with_keys(items, out).withColumn("label", F.when(F.array_contains("out", F.col("label")), "other").otherwise(F.col("label"))).select(*ITEM)
+
+
+def _held(keys: str, held: int) -> Column:
+    """The options that leave the list."""
+    out = F.slice(F.array_sort(F.transform(keys, lambda k: F.struct(seeded(k).alias("h"), k.alias("k")))), 1, held)
+    return F.transform(out, lambda s: s["k"])
+
+
+def _left(keys: str, out: Column) -> Column:
+    return F.concat(F.filter(keys, lambda k: ~F.array_contains(out, k)), F.array(F.lit("other")))
 
 
 @suite

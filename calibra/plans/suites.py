@@ -70,8 +70,7 @@ def suite_many_options(spark, sf_dir):
 @query(f"""WITH {_BRANDS}, o AS (SELECT list_transform(list_sort(list_transform(keys, lambda x: md5(x || ':7') || x))[1:7], lambda x: x[33:]) AS out FROM k)
   """ + _sql("SELECT 'open_set' AS suite, item_id, 'What is shown?' AS question, array_to_string(list_append(list_filter(keys, lambda x: NOT list_contains(out, x)), 'other'), '|') AS keys, CASE WHEN list_contains(out, label) THEN 'other' ELSE label END AS label FROM b, o"))
 def suite_open_set(spark, sf_dir):
-    items = suites.many_options(_brands(spark, sf_dir), drop="Brand#11").select("item_id", "keys", "label")
-    return _shown(suites.open_set(items))
+    return _shown(suites.open_set_of(*suites.options(_brands(spark, sf_dir), "Brand#11")))
 
 
 @query("WITH c AS (SELECT unnest(['red', 'green', 'blue', 'grey']) AS c), i AS (SELECT p_partkey, ['red', 'green', 'blue', 'grey'][p_size % 4 + 1] AS own FROM part), o AS (SELECT p_partkey, own, list_sort(list(c)) AS others FROM i JOIN c ON c <> own GROUP BY 1, 2), b AS (SELECT p_partkey, own AS c, 'true' AS label FROM i UNION ALL SELECT p_partkey, others[CAST(CAST('0x' || substr(md5(p_partkey || ':7'), 1, 13) AS BIGINT) % 3 AS INT) + 1], 'false' FROM o) " + _sql("SELECT 'own_or_other' AS suite, p_partkey || '/' || c AS item_id, 'This is a ' || c || '.' AS question, '' AS keys, label FROM b"))

@@ -95,3 +95,14 @@ def test_facade_calibrates_by_configuration(spark, tmp_path):
     with pytest.raises(PermissionError):
         facade.hosted(config.Config(), "x")
     assert facade.main(["suites"], out) == 0
+
+
+def test_open_set_of_shared_keys(spark):
+    """Keys that all rows share are hashed once: the same items as of rows that carry their keys, one pass of ranks instead of two."""
+    rows = spark.range(300).selectExpr("id AS item_id", "concat('k', id % 12) AS label")
+    kept, names = suites.options(rows, "k3")
+    carried = suites.many_options(rows, drop="k3").select("item_id", "keys", "label")
+    show = lambda d: sorted(map(str, d.collect()))
+    got = show(suites.open_set_of(kept, names))
+    assert len(got) == 275 and got == show(suites.open_set(carried))
+    assert sum("label='other'" in r for r in got) == 7 * 25
