@@ -17,6 +17,7 @@ from calibra.functions import arrays as A
 from calibra.operators import metrics, newton
 from calibra.operators.quantiles import quantiles
 from calibra.operators.resample import cluster_bootstrap, ece_floor, hashed_uniform
+from calibra.sources.scratch import cut
 
 
 def side_by_side(rows: DataFrame, unit: list[str], item: str, variant: str, variants: list, values: list[str]) -> DataFrame:
@@ -87,33 +88,43 @@ def yes_rates(rows: DataFrame, unit: str, part: Column, y: str, raw: str, calibr
     return found.agg(F.count("*").alias("n"), F.avg(y).alias("yes_label"), F.avg(yes(raw)).alias("yes_raw"), F.avg(yes(calibrated)).alias("yes_calibrated"), right(raw).alias("accuracy_raw"), right(calibrated).alias("accuracy_calibrated"))
 
 
+def _measured(rows: DataFrame, kept: list[str], k: int) -> DataFrame:
+    """kept, conf, correct, nll and off (distance from y) of softmax((z + bias) / temperature), in plain columns, which compile."""
+    each, most = range(k), lambda c: F.greatest(*(F.col(f"{c}{j}") for j in range(k))) if k > 1 else F.col(f"{c}0")
+    total = lambda c: sum((c(j) for j in each), F.lit(0.0))
+    p, y = [F.col(f"_p{j}") for j in each], F.col("y")
+    v = rows.select(*kept, *(((F.get("z", F.lit(j)) + F.get("bias", F.lit(j))) / F.col("temperature")).alias(f"_v{j}") for j in each)).withColumn("_top", most("_v"))
+    e = v.select(*kept, *(F.exp(F.col(f"_v{j}") - F.col("_top")).alias(f"_e{j}") for j in each)).withColumn("_sum", total(lambda j: F.col(f"_e{j}")))
+    scored = e.select(*kept, *((F.col(f"_e{j}") / F.col("_sum")).alias(f"_p{j}") for j in each)).withColumn("conf", most("_p"))
+    best = F.coalesce(*(F.when(p[j] == F.col("conf"), F.lit(j)) for j in each))
+    own = F.coalesce(*(F.when(y == j, p[j]) for j in each))
+    return scored.select(*kept, "conf", (best == y).cast("int").alias("correct"), (-F.log(F.greatest(own, F.lit(A.TINY)))).alias("nll"), F.abs(total(lambda j: p[j] * j) - y).alias("off"))
+
+
 def level_offsets(rows: DataFrame, unit: str, k: int, tie: str = "item_id", draws: int = 50) -> DataFrame:
     """Raw scores, one temperature, and a bias for each level with a temperature, fitted on `calibration` and measured on `test`.
 
     rows: unit, split, tie, z (k numbers), y from 0. unit, fit, n, accuracy, mae, nll, ece, ece_floor, temperature, bias (of each level,
     the first is 0). A unit without calibration rows keeps its raw line only.
     """
-    fit_on = rows.filter("split = 'calibration'").select(unit, "z", "y").persist()
-    try:
-        flat = {u: np.r_[f.w, np.zeros(k)] for u, f in newton.temperature(fit_on, unit).items()}
-        full = {u: np.r_[f.w[0], 0.0, f.w[1:]] for u, f in newton.vector_scaling(fit_on, unit, k).items()}
-    finally:
-        fit_on.unpersist()
+    with newton.packed(rows.filter("split = 'calibration'").select(unit, "z", "y"), unit) as blocks:
+        flat = {u: np.r_[f.w, np.zeros(k)] for u, f in newton.temperature(blocks, unit).items()}
+        full = {u: np.r_[f.w[0], 0.0, f.w[1:]] for u, f in newton.vector_scaling(blocks, unit, k).items()}
     units = {r[0] for r in rows.select(unit).distinct().collect()}  # as the fits: units are few
     named = [(name, {u: p for u, p in found.items() if u in units}) for name, found in (("raw", dict.fromkeys(units, np.zeros(k + 1))), ("temperature", flat), ("level_bias", full))]
     kind = rows.schema[unit].dataType.simpleString()
     spark = rows.sparkSession
     params = spark.createDataFrame([(u, name, float(np.exp(p[0])), [float(x) for x in p[1:]]) for name, found in named for u, p in found.items()], f"`_{unit}` {kind}, fit string, temperature double, bias array<double>")
     test = rows.filter("split = 'test'").join(F.broadcast(params), F.col(unit).eqNullSafe(F.col(f"_{unit}"))).drop(f"_{unit}")  # three rows a unit
-    p = A.softmax(F.zip_with("z", "bias", lambda a, b: (a + b) / F.col("temperature")))
-    test = test.withColumn("p", p).select(unit, "fit", tie, "y", "temperature", "bias", "p", F.array_max("p").alias("conf"), (A.argmax(F.col("p")) == F.col("y")).cast("int").alias("correct"))
+    test = cut(_measured(test, [unit, "fit", tie, "y"], k))
     keys = [unit, "fit"]
     bins = metrics.binned(test.select(*keys, tie, "conf", "correct"), keys, "conf", tie)
     error = bins.groupBy(*keys, "bin").agg(F.abs(F.avg("conf") - F.avg("correct")).alias("gap"), F.count("*").alias("m")).groupBy(*keys).agg((F.sum(F.col("m") * F.col("gap")) / F.sum("m")).alias("ece"))
     floor = ece_floor(bins, keys, "conf", tie, draws, hashed_uniform)
-    found = metrics.bundle(test, keys, "p", "y").select(*keys, "n", "accuracy", "mae", "nll")
-    fitted = test.groupBy(*keys).agg(F.first("temperature").alias("temperature"), F.first("bias").alias("bias"))
-    return _joined(_joined(_joined(found, error, keys), floor, keys), fitted, keys)
+    found = test.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("correct").alias("accuracy"), F.avg("off").alias("mae"), F.avg("nll").alias("nll"))
+    fitted = params.withColumnRenamed("fit", "_fit")
+    named = F.col(unit).eqNullSafe(F.col(f"_{unit}")) & (F.col("fit") == F.col("_fit"))
+    return _joined(_joined(found, error, keys), floor, keys).join(F.broadcast(fitted), named).drop(f"_{unit}", "_fit")
 
 
 def defects(hits: DataFrame, defective: DataFrame, unit: list[str], item: str, system: str, systems: list[str], correct: str) -> DataFrame:

@@ -15,8 +15,39 @@ COVERAGES = (50, 80, 90, 100)
 
 
 def binned(df: DataFrame, unit: list[str], conf: str, tie: str, bins: int = BINS) -> DataFrame:
-    """df with an equal-mass bin from 0: sorted by confidence and dealt into min(bins, n) runs, the longer ones first."""
-    return running(df, unit, conf, tie).withColumn("bin", _bin(F.col("_rank") - 1, F.col("_n"), bins)).drop("_rank", "_n")
+    """df with an equal-mass bin from 0: sorted by confidence and dealt into min(bins, n) runs, the longer ones first.
+
+    Ranges of confidence are counted first: rows of a range that lies in one bin take it, and only those of the ranges that a
+    border of bins cuts are ranked. df is read three times.
+    """
+    rows = df.withColumn("_range", _range(F.col(conf).cast("double")))
+    placed = _placed(cut(rows.groupBy(*unit, "_range").agg(F.count("*").alias("n"))), unit, bins)
+    whole = _at_ranges(rows, placed.filter("bin = last").select(*unit, "_range", "bin"), unit).select(*df.columns, "bin")
+    cut_through = _at_ranges(rows, placed.filter("bin <> last").select(*unit, "_range", "before", "all"), unit)
+    ranked = running(cut_through, [*unit, "_range"], conf, tie).withColumn("bin", _bin(F.col("before") + F.col("_rank") - 1, F.col("all"), bins))
+    return whole.unionByName(ranked.select(*df.columns, "bin"))
+
+
+def _range(value: Column) -> Column:
+    """The range of a confidence, rising with it; -1 for null."""
+    return F.when(value.isNull(), -1).otherwise(F.floor(F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)) * RANGES).cast("int"))
+
+
+def _placed(per: DataFrame, unit: list[str], bins: int = BINS) -> DataFrame:
+    """per (a row for each range of a unit, with its n rows) with the rows before it, all rows of the unit, and its first and last bin."""
+    whole = Window.partitionBy(*unit)  # at most a row for each range
+    before = F.coalesce(F.sum("n").over(whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return cut(per.withColumns({"before": before, "all": F.sum("n").over(whole)}).withColumns({"bin": _bin(F.col("before"), F.col("all"), bins), "last": _bin(F.col("before") + F.col("n") - 1, F.col("all"), bins)}))
+
+
+def _at_ranges(rows: DataFrame, places: DataFrame, unit: list[str]) -> DataFrame:
+    """The rows whose unit and range places has, with its other columns."""
+    few = places.count() <= FEW_ROWS
+    places = places.withColumnsRenamed({"_range": "_br"} | {u: f"_b{i}" for i, u in enumerate(unit)})
+    same = F.col("_range").eqNullSafe(F.col("_br"))  # plain equality would push a test for null, with all that _range is made of, below the projections
+    for i, u in enumerate(unit):
+        same &= F.col(u).eqNullSafe(F.col(f"_b{i}"))
+    return rows.join(F.broadcast(places) if few else places, same).drop("_br", *(f"_b{i}" for i in range(len(unit))))
 
 
 def _bin(r: Column, n: Column, bins: int = BINS) -> Column:
@@ -38,20 +69,13 @@ def ece(df: DataFrame, unit: list[str], conf: str, correct: str, tie: str) -> Da
     that a border of bins cuts are ranked. df is read twice.
     """
     value = F.col(conf).cast("double")
-    range_ = F.when(value.isNull(), -1).otherwise(F.floor(F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)) * RANGES).cast("int"))
-    rows = df.select(*unit, value.alias("_c"), F.col(correct).cast("double").alias("_h"), F.col(tie).alias("_tie"), range_.alias("_range"))
+    rows = df.select(*unit, value.alias("_c"), F.col(correct).cast("double").alias("_h"), F.col(tie).alias("_tie"), _range(value).alias("_range"))
     sums = [F.sum("_c").alias("c"), F.count("_c").alias("cn"), F.sum("_h").alias("h"), F.count("_h").alias("hn"), F.count("*").alias("n")]
-    per = cut(rows.groupBy(*unit, "_range").agg(*sums))
-    whole = Window.partitionBy(*unit)  # at most a row for each range
-    before = F.coalesce(F.sum("n").over(whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = cut(per.withColumns({"before": before, "all": F.sum("n").over(whole)}).withColumns({"bin": _bin(F.col("before"), F.col("all")), "last": _bin(F.col("before") + F.col("n") - 1, F.col("all"))}))
+    placed = _placed(cut(rows.groupBy(*unit, "_range").agg(*sums)), unit)
     parts = placed.filter("bin = last").select(*unit, "bin", "c", "cn", "h", "hn", "n")
-    borders = placed.filter("bin <> last").select(*(F.col(u).alias(f"_b{i}") for i, u in enumerate(unit)), F.col("_range").alias("_br"), "before", "all")
-    if count := borders.count():
-        same = F.col("_range").eqNullSafe(F.col("_br"))  # plain equality would push a test for null, with all that _range is made of, below the projections
-        for i, u in enumerate(unit):
-            same &= F.col(u).eqNullSafe(F.col(f"_b{i}"))
-        cut_through = rows.join(F.broadcast(borders) if count <= FEW_ROWS else borders, same).select(*unit, "_range", "_c", "_h", "_tie", "before", "all")
+    borders = placed.filter("bin <> last").select(*unit, "_range", "before", "all")
+    if not borders.isEmpty():
+        cut_through = _at_ranges(rows, borders, unit).select(*unit, "_range", "_c", "_h", "_tie", "before", "all")
         ranked = running(cut_through, [*unit, "_range"], "_c", "_tie").withColumn("bin", _bin(F.col("before") + F.col("_rank") - 1, F.col("all")))
         parts = parts.unionByName(ranked.groupBy(*unit, "bin").agg(*sums))
     bins = parts.groupBy(*unit, "bin").agg(*(F.sum(c).alias(c) for c in ("c", "cn", "h", "hn", "n")))

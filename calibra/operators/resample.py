@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 DRAWS = 2000
 #: Clusters that are weighted at a time, and units whose sums a task holds before it passes them on.
 CHUNK, UNITS = 256, 256
+#: Draws that one row sums up side by side.
+SIDE = 10
 #: Poisson(1): a hash below the k-th bound has a weight of k or less.
 _BOUNDS = np.array([int(p * 2**64) for p in np.cumsum([math.exp(-1) / math.factorial(k) for k in range(16)])], np.uint64)
 
@@ -84,10 +86,11 @@ def ece_floor(binned: DataFrame, unit: list[str], conf: str, tie: str, draws: in
     """unit, ece_floor: the mean ECE that rows right with just the probability they claim would show by chance.
 
     binned: rows with a confidence and a bin. In each draw a row is right if its uniform number lies below its confidence;
-    tasks sum by bin and draw, and only the sums are shuffled.
+    tasks sum by bin and draw, SIDE draws in the columns of a row, and only the sums are shuffled.
     """
-    drawn = binned.select(*unit, "bin", conf, tie, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    right = (uniform(F.col(tie), F.col("draw")) < F.col(conf)).cast("double")
-    bins = drawn.groupBy(*unit, "draw", "bin").agg(F.sum(conf).alias("c"), F.sum(right).alias("h"), F.count("*").alias("n"))
+    drawn = binned.select(*unit, "bin", conf, tie, F.explode(F.sequence(F.lit(0), F.lit(draws - 1), F.lit(SIDE))).alias("draw"))
+    right = [(uniform(F.col(tie), F.col("draw") + j) < F.col(conf)).cast("double") for j in range(min(SIDE, draws))]
+    sums = drawn.groupBy(*unit, "draw", "bin").agg(F.sum(conf).alias("c"), F.count("*").alias("n"), *(F.sum(h).alias(f"_h{j}") for j, h in enumerate(right)))
+    bins = sums.select(*unit, F.col("draw").alias("_first"), "bin", "c", "n", F.posexplode(F.array(*(f"_h{j}" for j in range(len(right))))).alias("_j", "h")).withColumn("draw", F.col("_first") + F.col("_j")).filter(F.col("draw") < draws)
     each = bins.groupBy(*unit, "draw").agg((F.sum(F.abs(F.col("c") - F.col("h"))) / F.sum("n")).alias("ece"))
     return each.groupBy(*unit).agg(F.avg("ece").alias("ece_floor"))
