@@ -94,3 +94,21 @@ def test_rows_may_ask_for_different_kernels(spark):
     assert set(got) == {(i, k) for i in (0, 2, 4) for k in ("jitter", "denoise")} | {(1, "denoise")}
     whole = {r["item_id"]: r["mean"] for r in pixels.distort(rows.withColumn("kernels", F.array(F.lit("denoise")))).collect()}
     assert all(got[i, "denoise"] == whole[i] for i in (0, 1, 2, 4))
+
+
+def test_a_stack_of_one_picture(spark):
+    """The last stack of a part can hold one picture, in Arrow's own read-only memory; no kernel writes into what it is given."""
+    from calibra.operators import pixel_stacks
+
+    x, draws = pixel_stacks.pictures(np.array([70]), 32), pixel_stacks.Draws(np.array([70]), 32)
+    x.flags.writeable = False
+    for name, levels in pixels.LEVELS.items():
+        for k, value in enumerate(levels):
+            got = pixel_stacks.degrade(x, name, value, draws)
+            assert np.abs(got[..., 0] - pixels.degrade(x[..., 0], name, k, 70)).max() < 1e-9, (name, k)
+    from pyspark.sql import functions as F
+
+    asked = pixels.pictures(spark.range(70, 71, numPartitions=1).withColumnRenamed("id", "item_id")).withColumn("kernels", F.array(*map(F.lit, sorted(pixels.KERNELS))))
+    got = {r["kernel"]: (r["mean"], r["deviation"]) for r in pixels.distort(asked).collect()}
+    made = {n: pixels.degrade(x[..., 0], n, 2, 70) for n in pixels.KERNELS}
+    assert got == {n: (round(float(v.mean()), 6), round(float(v.std()), 6)) for n, v in made.items()}
