@@ -163,4 +163,5 @@ def fit_by_numpy(df: DataFrame, key: str, tie: str, cols: list[str], fit) -> Dat
         args = [np.stack(pdf[c].to_numpy()) if pdf[c].dtype == object else pdf[c].to_numpy() for c in cols]
         return pd.DataFrame({key: [pdf[key].iloc[0]], "params": [fit(*args).tolist()]})
 
-    return df.select(key, tie, *cols).groupBy(key).applyInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, params array<double>")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # rows are few and fits cost time: spread the groups
+    return df.select(key, tie, *cols).repartition(parts, key).groupBy(key).applyInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, params array<double>")

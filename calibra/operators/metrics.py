@@ -21,10 +21,10 @@ def binned(df: DataFrame, unit: list[str], conf: str, tie: str, bins: int = BINS
     border of bins cuts are ranked. df is read three times.
     """
     rows = df.withColumn("_range", _range(F.col(conf).cast("double")))
-    placed = _placed(cut(rows.groupBy(*unit, "_range").agg(F.count("*").alias("n"))), unit, bins)
+    placed = placed_ranges(cut(rows.groupBy(*unit, "_range").agg(F.count("*").alias("n"))), unit, bins)
     whole = _at_ranges(rows, placed.filter("bin = last").select(*unit, "_range", "bin"), unit).select(*df.columns, "bin")
     cut_through = _at_ranges(rows, placed.filter("bin <> last").select(*unit, "_range", "before", "all"), unit)
-    ranked = running(cut_through, [*unit, "_range"], conf, tie).withColumn("bin", _bin(F.col("before") + F.col("_rank") - 1, F.col("all"), bins))
+    ranked = running(cut_through, [*unit, "_range"], conf, tie).withColumn("bin", bin_at(F.col("before") + F.col("_rank") - 1, F.col("all"), bins))
     return whole.unionByName(ranked.select(*df.columns, "bin"))
 
 
@@ -33,11 +33,11 @@ def _range(value: Column) -> Column:
     return F.when(value.isNull(), -1).otherwise(F.floor(F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)) * RANGES).cast("int"))
 
 
-def _placed(per: DataFrame, unit: list[str], bins: int = BINS) -> DataFrame:
+def placed_ranges(per: DataFrame, unit: list[str], bins: int = BINS) -> DataFrame:
     """per (a row for each range of a unit, with its n rows) with the rows before it, all rows of the unit, and its first and last bin."""
     whole = Window.partitionBy(*unit)  # at most a row for each range
     before = F.coalesce(F.sum("n").over(whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return cut(per.withColumns({"before": before, "all": F.sum("n").over(whole)}).withColumns({"bin": _bin(F.col("before"), F.col("all"), bins), "last": _bin(F.col("before") + F.col("n") - 1, F.col("all"), bins)}))
+    return cut(per.withColumns({"before": before, "all": F.sum("n").over(whole)}).withColumns({"bin": bin_at(F.col("before"), F.col("all"), bins), "last": bin_at(F.col("before") + F.col("n") - 1, F.col("all"), bins)}))
 
 
 def _at_ranges(rows: DataFrame, places: DataFrame, unit: list[str]) -> DataFrame:
@@ -50,7 +50,7 @@ def _at_ranges(rows: DataFrame, places: DataFrame, unit: list[str]) -> DataFrame
     return rows.join(F.broadcast(places) if few else places, same).drop("_br", *(f"_b{i}" for i in range(len(unit))))
 
 
-def _bin(r: Column, n: Column, bins: int = BINS) -> Column:
+def bin_at(r: Column, n: Column, bins: int = BINS) -> Column:
     """The bin of place r, from 0, of n rows."""
     b = F.least(F.lit(bins), n)
     size, extra = F.floor(n / b), n % b
@@ -71,12 +71,12 @@ def ece(df: DataFrame, unit: list[str], conf: str, correct: str, tie: str) -> Da
     value = F.col(conf).cast("double")
     rows = df.select(*unit, value.alias("_c"), F.col(correct).cast("double").alias("_h"), F.col(tie).alias("_tie"), _range(value).alias("_range"))
     sums = [F.sum("_c").alias("c"), F.count("_c").alias("cn"), F.sum("_h").alias("h"), F.count("_h").alias("hn"), F.count("*").alias("n")]
-    placed = _placed(cut(rows.groupBy(*unit, "_range").agg(*sums)), unit)
+    placed = placed_ranges(cut(rows.groupBy(*unit, "_range").agg(*sums)), unit)
     parts = placed.filter("bin = last").select(*unit, "bin", "c", "cn", "h", "hn", "n")
     borders = placed.filter("bin <> last").select(*unit, "_range", "before", "all")
     if not borders.isEmpty():
         cut_through = _at_ranges(rows, borders, unit).select(*unit, "_range", "_c", "_h", "_tie", "before", "all")
-        ranked = running(cut_through, [*unit, "_range"], "_c", "_tie").withColumn("bin", _bin(F.col("before") + F.col("_rank") - 1, F.col("all")))
+        ranked = running(cut_through, [*unit, "_range"], "_c", "_tie").withColumn("bin", bin_at(F.col("before") + F.col("_rank") - 1, F.col("all")))
         parts = parts.unionByName(ranked.groupBy(*unit, "bin").agg(*sums))
     bins = parts.groupBy(*unit, "bin").agg(*(F.sum(c).alias(c) for c in ("c", "cn", "h", "hn", "n")))
     gap = F.abs(F.try_divide(F.col("c"), F.col("cn")) - F.try_divide(F.col("h"), F.col("hn")))

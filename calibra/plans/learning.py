@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from calibra.functions import arrays as A
-from calibra.operators import fits, isotonic, metrics, newton, pixels, readout
+from calibra.operators import fits, isotonic, metrics, newton, pixels, readout, variants
 from calibra.plans._register import Registry
 from calibra.sources import standins as S
 from calibra.sources.scratch import cut
@@ -251,32 +251,31 @@ def learning_curve(spark, sf_dir):
     labelled, most = s.filter("split = 'calibration'").select("grp", "y", "item_id", "z"), max(SIZES) // k
     number = F.xxhash64("draw", "item_id")
     w = Window.partitionBy("grp", "draw", "y").orderBy(number, "item_id")
-    drawn = labelled.join(F.broadcast(labelled.groupBy("grp", "y").agg(F.count("*").alias("c"))), ["grp", "y"]).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1))))
+    counts = cut(labelled.groupBy("grp", "y").agg(F.count("*").alias("c")))
+    drawn = labelled.join(F.broadcast(counts), ["grp", "y"]).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1))))
     near = number.cast("double") < (3 * most / F.col("c") - 0.5) * 2.0**64  # three times as many rows as a draw takes
     first = lambda rows: rows.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= most)
     taken = cut(first(drawn.filter(near)))
     short = taken.groupBy("grp", "y", "draw").agg(F.count("*").alias("n"), F.first("c").alias("c")).filter(F.col("n") < F.least(F.lit(most), F.col("c")))
-    groups = drawn.select("grp", "y").distinct().count() * DRAWS
+    groups = counts.dropna(subset=["grp", "y"]).count() * DRAWS
     if not short.isEmpty() or taken.select("grp", "y", "draw").distinct().count() < groups:  # hardly ever
         taken = cut(first(drawn))
     first = taken
     sized = first.select("*", F.explode(F.array(*(F.lit(n // k) for n in SIZES))).alias("per")).filter("r <= per")
     whole = sized.groupBy("grp", "draw", "per").agg(F.count("*").alias("rows")).filter(F.col("rows") == F.col("per") * k)  # every level has enough
     unit = sized.join(whole, ["grp", "draw", "per"]).withColumn("unit", F.concat_ws("/", "grp", F.col("per").cast("string"), F.col("draw").cast("string")))
-    fitted = fits.fit_by_numpy(unit, "unit", "item_id", ["z", "y"], fits.vector_scaling).join(unit.select("unit", "grp", "per", "draw").distinct(), "unit")
-    raw = s.select("grp").distinct().select("grp", F.lit(0).alias("per"), F.lit(0).alias("draw"), F.array(*(F.lit(0.0) for _ in range(k))).alias("params"))
-    per_scale = fitted.select("grp", "per", "draw", "params").unionByName(raw).groupBy("grp").agg(F.collect_list(F.struct("per", "draw", "params")).alias("all"))  # a fit for each size and draw
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # rows are narrow and fits cost time: spread the rows
-    test = s.filter("split = 'test'").repartition(parts, "item_id").join(F.broadcast(cut(per_scale)), "grp").select("grp", "item_id", "y", "z", F.inline("all"))
-    # by position instead of by array: these rows are many, and plain columns compile
-    z = {f"z{j}": F.get("z", F.lit(j)) + (F.get("params", F.lit(j)) if j else F.lit(0.0)) for j in range(k)}
-    flat = test.select("grp", "per", "draw", "item_id", "y", F.exp(F.get("params", F.lit(0))).alias("t"), *(v.alias(c) for c, v in z.items())).withColumn("top", F.greatest(*z))
-    flat = flat.select("grp", "per", "draw", "item_id", "y", F.coalesce(*(F.when(F.col(c) == F.col("top"), j) for j, c in enumerate(z))).alias("best"), *(F.exp((F.col(c) - F.col("top")) / F.col("t")).alias(f"e{j}") for j, c in enumerate(z)))
-    flat = flat.withColumn("total", sum((F.col(f"e{j}") for j in range(1, k)), F.col("e0")))
-    expected = sum((F.col(f"e{j}") / F.col("total") * j for j in range(2, k)), F.col("e1") / F.col("total"))
-    scored = flat.select("grp", "per", "draw", "item_id", F.round(1 / F.col("total"), 9).alias("c"), (F.col("best") == F.col("y")).cast("int").alias("correct"), F.abs(expected - F.col("y")).alias("off"))
-    units = ["grp", "per", "draw"]
-    both = scored.groupBy(*units).agg(F.avg("correct").alias("accuracy"), F.avg("off").alias("mae")).join(metrics.ece(scored, units, "c", "correct", "item_id"), units)
+    fitted = fits.fit_by_numpy(unit, "unit", "item_id", ["z", "y"], fits.vector_scaling).collect()  # a few numbers for each size and draw
+    units = [(g, 0, [0.0] * k) for (g,) in s.select("grp").distinct().collect() if g is not None]
+    for r in fitted:
+        g, per, _ = r["unit"].rsplit("/", 2)
+        units.append((g, int(per), r["params"]))
+    by_scale: dict[str, list] = {}
+    for i, (g, _, params) in enumerate(units):
+        by_scale.setdefault(g, []).append((i, params))
+    # rows are narrow and fits cost time: spread the rows, over some times the cores, as each task hands in sums of every unit
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    found = variants.quality(s.filter("split = 'test'"), by_scale, parts)
+    both = found.join(F.broadcast(spark.createDataFrame([(i, g, per) for i, (g, per, _) in enumerate(units)], "unit int, grp string, per int")), "unit")
     shown = [f(m).alias(f"{m}{end}") for m in ("accuracy", "mae", "ece") for f, end in ((F.avg, ""), (F.stddev_pop, "_sd"))]
     return both.groupBy("grp", (F.col("per") * k).alias("size")).agg(F.count("*").alias("draws"), *shown).select("grp", "size", "draws", *(F.round(f"{m}{e}", 5).alias(f"{m}{e}") for m in ("accuracy", "mae", "ece") for e in ("", "_sd")))
 
