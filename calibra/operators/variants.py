@@ -1,4 +1,4 @@
-"""Quality of many fits on the same rows: every row is scored under each fit of its group by numpy, and only sums leave a task.
+"""Quality of many fits on the same rows: every row is scored under each fit of its group by numpy, and sums leave a task, not a row for each fit.
 
 A row that is copied for each fit costs a pass of wide rows for each; here a block of rows meets one fit after the other.
 """
@@ -168,8 +168,9 @@ def quality(rows: DataFrame, fits: Fits, parts: int) -> DataFrame:
 
     rows: grp, item_id (a whole number), y, z; they are kept in order of their ids in so many parts, and lost ones are made
     again. Ranges of confidence are counted first. Of a range that a border of bins cuts, each confidence is counted by
-    itself, equal ones by stretches of the ids; only rows of the stretches that hold a border are ranked. So nothing but
-    counts is shuffled however many rows are equal. The driver sees some numbers for each border.
+    itself, equal ones by stretches of the ids; only rows of the stretches that hold a border are ranked. So the
+    rows are shuffled once, as they are, and after that counts, however many rows are equal. The driver sees some numbers
+    for each border.
     """
     rows = rows.select("grp", "item_id", "y", "z").repartitionByRange(parts, "item_id").sortWithinPartitions("item_id").persist()
     found = cut(sums(rows, fits))
